@@ -17,8 +17,73 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Fraction(85, 100))
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.token_orc import token_output
+    from quarry.llm.tokens import public_path
+
+    return token_output(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), end_id=0)
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.bpe import round_trip
+    from quarry.llm.tokens import public_path
+
+    return round_trip(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.packing import pack_documents
+    from quarry.llm.tokens import public_path
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_orc": op3_token_orc,
+    "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op7_url_filter": op7_url_filter,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP2_SQL = """
+WITH hashed AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+  FROM documents
+), grouped AS (
+  SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM hashed GROUP BY text_sha256
+)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
+FROM hashed JOIN grouped USING (text_sha256)"""
+
+
+def _url_sql() -> str:
+    from quarry.llm.url_filter import oracle
+
+    return oracle()
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": _OP2_SQL,
+    "op7_url_filter": _url_sql(),
+}
