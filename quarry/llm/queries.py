@@ -30,6 +30,12 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), end_id=0)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.suffix_dedup import removal_report
+
+    return removal_report(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.bpe import round_trip
     from quarry.llm.tokens import public_path
@@ -37,6 +43,12 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.warc import report
+
+    return report(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.url_filter import filter_urls
 
@@ -56,14 +68,23 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_orc": op3_token_orc,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_language_id": op10_language_id,
 }
 
 _OP2_SQL = """

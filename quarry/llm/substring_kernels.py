@@ -1,12 +1,15 @@
-"""Kernels of the suffix-array operator: cutting texts at minimizers, and suffix sorting."""
+"""Kernels of the suffix-array operator: cutting texts at minimizers, suffix sorting by groups, and
+finding the windows that occur before."""
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 
-from quarry.llm.common import BYTE_VALUES, prefix_hash, span_hash
+from quarry.llm.common import BYTE_VALUES, U64, prefix_hash, span_hash
+
+#: Low bits of a packed key that hold a place; above them is the hash.
+_PLACE = 28
+_LOW = U64((1 << _PLACE) - 1)
 
 
 def pieces(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -21,24 +24,25 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tupl
     if n < length:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    if n >> _PLACE:
+        raise ValueError("a text over 256 MB can't be cut in one slice")
     prefix = prefix_hash(BYTE_VALUES[raw])
     at = np.arange(n - gram + 1)
     h = span_hash(prefix, at, at + gram)
-    low, arg, step = h, at.astype(np.int32), 1
+    low = (h & ~_LOW) | at.astype(np.uint64)
+    step = 1
     while step * 2 <= width:
-        take = low[step:] < low[:-step]
-        arg = np.where(take, arg[step:], arg[:-step])
-        low = np.where(take, low[step:], low[:-step])
+        low = np.minimum(low[step:], low[:-step])
         step *= 2
     if step < width:
-        gap = width - step
-        take = low[gap:] < low[:-gap]
-        arg = np.where(take, arg[gap:], arg[:-gap])
+        low = np.minimum(low[width - step :], low[: -(width - step)])
+    arg = (low & _LOW).astype(np.int64)
     windows = len(arg)  # starts 0 .. n - length
-    inside = np.zeros(n + 1, np.int32)
-    np.add.at(inside, np.maximum(offsets[1:] - length + 1, offsets[:-1]), 1)
-    np.add.at(inside, offsets[1:], -1)
-    valid = np.cumsum(inside[:windows]) == 0
+    edge = np.zeros(n + 1, np.int32)
+    starts, stops = offsets[:-1], offsets[1:]
+    edge += np.bincount(np.maximum(stops - length + 1, starts), minlength=n + 1).astype(np.int32)
+    edge -= np.bincount(stops, minlength=n + 1).astype(np.int32)
+    valid = np.cumsum(edge[:windows]) == 0
     fresh = np.ones(windows, bool)
     fresh[1:] = (arg[1:] != arg[:-1]) | ~valid[:-1]
     first = np.flatnonzero(valid & fresh)
@@ -48,3 +52,181 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tupl
     size = last - first + length
     doc = np.searchsorted(offsets, first, side="right") - 1
     return doc, first - offsets[doc], size, h[arg[first]], span_hash(prefix, first, first + size)
+
+
+def sort_suffixes(text: np.ndarray) -> np.ndarray:
+    """The suffix array of an array of positive numbers, in linear time by grouping.
+
+    First, suffixes are grouped by their first symbol, and groups are taken from the highest down.
+    For each suffix of a group the nearest earlier suffix in a lower group is its previous smaller
+    one, found along pointers already set. Those that are pointed to by more members of the group
+    are larger: they leave their old group for a new one just above it. In the end a group holds
+    the suffixes that share their longest Lyndon prefix. Second, from the lowest suffix up, the
+    suffix before each one and its chain of previous smaller ones take the next place of their
+    groups, which orders every group.
+    """
+    n = len(text) + 1
+    symbols = np.append(text, 0)
+    order = np.argsort(symbols, kind="stable")
+    ranked = symbols[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    counts = np.diff(np.append(first, n))
+    inverse = np.empty(n, np.int64)
+    inverse[order] = np.arange(n)
+    group_of = np.empty(n, np.int64)
+    group_of[order] = np.repeat(first, counts)
+    sizes = np.zeros(n, np.int64)
+    sizes[first] = counts
+    listed, place, group, size = order.tolist(), inverse.tolist(), group_of.tolist(), sizes.tolist()
+    smaller = [-1] * n
+
+    top = n - 1
+    while top >= 0:
+        base = group[listed[top]]
+        if base == top:
+            p = listed[top] - 1
+            i = p + 1
+            while p >= 0 and group[p] >= base:
+                p = smaller[p]
+            smaller[i] = p
+            if p >= 0:
+                g = group[p]
+                left = size[g] - 1
+                if left:
+                    e = g + left
+                    q, other = place[p], listed[e]
+                    listed[q], place[other] = other, q
+                    listed[e], place[p] = p, e
+                    size[g], size[e], group[p] = left, 1, e
+        else:
+            votes: dict[int, int] = {}
+            for i in sorted(listed[base : top + 1]):
+                p = i - 1
+                while p >= 0 and group[p] >= base:
+                    p = smaller[p]
+                smaller[i] = p
+                if p >= 0:
+                    votes[p] = votes.get(p, 0) + 1
+            by_votes: dict[int, list[int]] = {}
+            for p, v in votes.items():
+                by_votes.setdefault(v, []).append(p)
+            for v in sorted(by_votes, reverse=True):
+                leaving: dict[int, list[int]] = {}
+                for p in by_votes[v]:
+                    leaving.setdefault(group[p], []).append(p)
+                for g, out in leaving.items():
+                    left = size[g] - len(out)
+                    if not left:
+                        continue
+                    e = g + size[g]
+                    for p in out:
+                        e -= 1
+                        q, other = place[p], listed[e]
+                        listed[q], place[other] = other, q
+                        listed[e], place[p] = p, e
+                    size[g], size[e] = left, len(out)
+                    for p in out:
+                        group[p] = e
+        top = base - 1
+
+    result, free, placed = [-1] * n, list(range(n)), bytearray(n)
+    result[0], placed[n - 1] = n - 1, 1
+    for i in range(n):
+        p = result[i] - 1
+        while p >= 0 and not placed[p]:
+            g = group[p]
+            c = free[g]
+            result[c], free[g], placed[p] = p, c + 1, 1
+            p = smaller[p]
+    return np.array(result[1:], np.int64)
+
+
+def _candidates(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
+    """Spans of each text whose windows have a fingerprint that occurs twice or more in all."""
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    starts = ends - np.array([len(t) for t in texts])
+    if len(raw) < length:
+        return [[] for _ in texts]
+    at = np.arange(len(raw) - length + 1)
+    owner = np.repeat(np.arange(len(texts)), ends - starts)[: len(at)]
+    h = span_hash(prefix_hash(BYTE_VALUES[raw]), at, at + length)
+    inside = at + length <= ends[owner]
+    at, owner, h = at[inside], owner[inside], h[inside]
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    hit = np.zeros(len(at), bool)
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    at, owner = at[hit], owner[hit]
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    if len(at):
+        fresh = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])])
+        head = np.flatnonzero(fresh)
+        tail = np.append(head[1:], len(at)) - 1
+        for a, b, o in zip(at[head].tolist(), at[tail].tolist(), owner[head].tolist()):
+            spans[o].append((a - int(starts[o]), b - int(starts[o]) + length))
+    return spans
+
+
+def repeats(texts: list[bytes], places: list[tuple[int, int]], length: int) -> list[tuple[int, int, int]]:
+    """(text, from, to) of the spans whose windows occur earlier in another text; places order texts.
+
+    A place is (document, first byte). Fingerprints narrow the texts to spans that may repeat; of
+    spans with the same bytes only the earliest goes on; the rest are suffix-sorted, windows next
+    to each other in that order are compared byte by byte, and all but the earliest of equal
+    windows are reported.
+    """
+    out: list[tuple[int, int, int]] = []
+    live = [(i, 0, len(t)) for i, t in enumerate(texts)]
+    for _ in range(3):
+        cut = [texts[i][a:b] for i, a, b in live]
+        earliest: dict[bytes, int] = {}
+        place = lambda k: (places[live[k][0]][0], places[live[k][0]][1] + live[k][1])
+        for k, t in enumerate(cut):
+            if t not in earliest or place(k) < place(earliest[t]):
+                earliest[t] = k
+        out += [live[k] for k, t in enumerate(cut) if earliest[t] != k]
+        rest = sorted(earliest.values())
+        spans = _candidates([cut[k] for k in rest], length)
+        now = [(live[k][0], live[k][1] + a, live[k][1] + b) for k, s in zip(rest, spans) for a, b in s]
+        same = len(now) == len(live) and now == live
+        live = now
+        if same or not live:
+            break
+    cut = [texts[i][a:b] for i, a, b in live]
+    if len(cut) < 2:
+        return out
+    sizes = np.array([len(t) for t in cut])
+    raw = np.frombuffer(b"\0".join(cut), np.uint8)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    symbols = raw.astype(np.int64) + 2
+    symbols[starts[1:] - 1] = 1
+    order = sort_suffixes(symbols)
+    owner = np.repeat(np.arange(len(cut)), sizes + 1)[: len(raw)]
+    order = order[order + length <= (starts + sizes)[owner[order]]]
+    if not len(order):
+        return out
+    equal = np.zeros(len(order), bool)
+    reach = np.arange(length)
+    for at in range(1, len(order), 8192):
+        end = min(at + 8192, len(order))
+        block = raw[order[at - 1 : end, None] + reach]
+        equal[at:end] = (block[1:] == block[:-1]).all(axis=1)
+    group = np.cumsum(~equal) - 1
+    own = owner[order]
+    doc = np.array([places[i][0] for i, _, _ in live], np.int64)[own]
+    first = np.array([places[i][1] + a for i, a, _ in live], np.int64)[own] + order - starts[own]
+    by = np.lexsort((first, doc))
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    least = np.minimum.reduceat(rank, np.flatnonzero(~equal))
+    later = np.sort(order[rank != least[group]])
+    if len(later):
+        head = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1] + 1]))
+        tail = np.append(head[1:], len(later)) - 1
+        for a, b in zip(later[head].tolist(), later[tail].tolist()):
+            k = int(owner[a])
+            i, s, _ = live[k]
+            out.append((i, s + a - int(starts[k]), s + b - int(starts[k]) + length))
+    return out

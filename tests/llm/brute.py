@@ -43,3 +43,19 @@ def components(rows, num, den):
     for i, (d, _) in enumerate(rows):
         least[root(i)] = min(d, least.get(root(i), d))
     return {d: (len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows)}
+
+
+def removals(rows, length):
+    """rows: (id, text). id -> (bytes, removed, runs, what stays), by a set of strings seen so far."""
+    seen, out = set(), {}
+    for d, text in sorted(rows):
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - length + 1):
+            w = raw[i : i + length]
+            if w in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(w)
+        runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        out[d] = (len(raw), sum(gone), runs, bytes(b for b, g in zip(raw, gone) if not g))
+    return out
