@@ -33,8 +33,9 @@ def piece_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capaci
     end = np.array([end_id], "<u4").tobytes()
     for batch in slices(batches):
         rows = []
-        for doc, tie, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "text"))):
-            ids = encode(text or "") + end
+        encoded = encode([t or "" for t in batch.column("text").to_pylist()])
+        for doc, tie, ids in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), encoded):
+            ids += end
             n = len(ids) // 4
             size = n % capacity or capacity
             at = piece = 0
