@@ -13,16 +13,18 @@ import gzip
 import hashlib
 import html
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VERSION = b"WARC/1.1"
+#: How hard gzip tries: records are read back at once more often than they are kept.
+LEVEL = 1
 #: Namespace of record ids derived from other ids, so that a rerun names records alike.
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 #: Date of records that have none.
@@ -39,13 +41,13 @@ def record_id(*parts: object) -> str:
 
 def clean(value: str) -> str:
     """A header value on one line."""
-    return regex.sub(r"[\r\n]+", " ", value)
+    return re.sub(r"[\r\n]+", " ", value)
 
 
 def build(headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One record as a gzip member; the length is added."""
     lines = [VERSION] + [f"{k}: {clean(v)}".encode("utf-8", "surrogatepass") for k, v in headers] + [f"Content-Length: {len(block)}".encode()]
-    return gzip.compress(b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n", 4, mtime=0)
+    return gzip.compress(b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n", LEVEL, mtime=0)
 
 
 def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
@@ -102,14 +104,16 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0].decode("latin-1"), parse_headers(lines[1:]), block[end + 4 :]
 
 
-# Elements whose content is no text, and those that end a line.
-_DROP = regex.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<(?:script|style|noscript|template)\b[^>]*>.*$", regex.S | regex.I)
-_TITLE = regex.compile(r"<title\b[^>]*>(.*?)</title\s*>", regex.S | regex.I)
-_BREAK = regex.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", regex.I)
-_TAG = regex.compile(r"</?[A-Za-z!?][^>]*>")
-_LINK = regex.compile(r"""<(?:a|area|link)\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", regex.I)
-_CHARSET = regex.compile(rb"""charset\s*=\s*["']?([\w.:-]+)""", regex.I)
-_BLANKS = regex.compile(r"[ \t\f\v\r ]+")
+# Elements whose content is no text, those that end a line, and those that link.
+_DROPPED = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template")}
+_BREAKS = frozenset(
+    "address article aside blockquote body br dd div dl dt footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul".split()
+)
+_LINKED = frozenset(("a", "area", "link"))
+_MARKUP = re.compile(r"<(?:!--.*?-->|(/?)([A-Za-z][A-Za-z0-9]*)[^>]*>|[!?][^>]*>)", re.S)
+_TITLE_END = re.compile(r"</title\s*>", re.I)
+_HREF = re.compile(r"""\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_CHARSET = re.compile(rb"""charset\s*=\s*["']?([\w.:-]+)""", re.I)
 
 
 def decode_payload(payload: bytes, content_type: str | None) -> str:
@@ -120,17 +124,36 @@ def decode_payload(payload: bytes, content_type: str | None) -> str:
         return payload.decode("utf-8", "replace")
 
 
+def _line(text: str) -> str:
+    return " ".join(text.split())
+
+
 def page_text(source: str) -> tuple[str, str, list[str]]:
-    """(title, plain text by lines, links) of HTML."""
-    bare = _DROP.sub(" ", source)
-    title = _TITLE.search(bare)
-    links = [html.unescape(x.strip("\"'")) for x in _LINK.findall(bare)]
-    if title:
-        bare = bare[: title.start()] + bare[title.end() :]
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", bare)))
-    lines = (_BLANKS.sub(" ", line).strip() for line in text.split("\n"))
-    name = _BLANKS.sub(" ", html.unescape(_TAG.sub("", title[1])).replace("\n", " ")).strip() if title else ""
-    return name, "\n".join(line for line in lines if line), links
+    """(title, plain text by lines, links) of HTML, in one pass over its tags."""
+    out: list[str] = []
+    links: list[str] = []
+    title, at = None, 0
+    while found := _MARKUP.search(source, at):
+        out.append(source[at : found.start()])
+        at = found.end()
+        name = (found[2] or "").lower()
+        opening = not found[1]
+        if not name:
+            out.append(" ")
+        elif name in _DROPPED and opening:
+            end = _DROPPED[name].search(source, at)
+            at = end.end() if end else len(source)
+            out.append(" ")
+        elif name == "title" and opening and title is None and (end := _TITLE_END.search(source, at)):
+            title = _line(html.unescape(_MARKUP.sub("", source[at : end.start()])))
+            at = end.end()
+        elif name in _BREAKS:
+            out.append("\n")
+        if name in _LINKED and opening and (href := _HREF.search(found[0])):
+            links.append(html.unescape(href[1].strip("\"'")))
+    out.append(source[at:])
+    lines = map(_line, html.unescape("".join(out)).split("\n"))
+    return title or "", "\n".join(filter(None, lines)), links
 
 
 def response_record(page_id: object, url: str | None, source: str | None) -> bytes:
