@@ -615,6 +615,34 @@ def eval_metrics(spark, d):
     return S.retrieval_metrics(ranks, ["kind"])
 
 
+def _as_hwpx(batches):
+    """Each document as an HWPX file of one section, a paragraph for each line."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    for batch in batches:
+        made = []
+        for text in batch["text"]:
+            body = "".join(f"<hp:p><hp:run><hp:t>{escape(line)}</hp:t></hp:run></hp:p>" for line in text.split("\n"))
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("Contents/section0.xml", f'<hs:sec xmlns:hs="s" xmlns:hp="p">{body}</hs:sec>')
+            made.append(out.getvalue())
+        yield batch.assign(path=[f"/in/{i}.hwpx" for i in batch["doc_id"]], content=made)[["path", "content"]]
+
+
+@query(
+    r"""SELECT concat(CAST(doc_id AS VARCHAR), '.hwpx') AS source_file, 'success' AS status, 1 AS n_pages,
+array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10) || chr(10)) AS full_text FROM documents"""
+)
+def hwpx_parse(spark, d):
+    from quarry.sources.parse import parsed
+
+    files = table(spark, d, "documents").select("doc_id", "text").mapInPandas(_as_hwpx, "path string, content binary")
+    return parsed(files).select("source_file", "status", F.size("pages").alias("n_pages"), F.get(F.col("pages"), F.lit(0))["text"].alias("full_text"))
+
+
 # ---- streams ----------------------------------------------------------------------------------------------------
 
 _RATE = "SELECT event_id, user_id AS key, ts AS at, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS in_window FROM events"
