@@ -17,9 +17,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices
-from quarry.llm.tokens import PRETOKEN, REMEMBERED
+from quarry.llm.common import KEPT, slices
+from quarry.llm.tokens import PRETOKEN
 
+#: Pre-tokens that a worker remembers before it forgets them all.
+REMEMBERED = 400_000
 #: Bytes of new words merged at a time.
 FLAT = 1 << 20
 
@@ -166,19 +168,18 @@ class ByteBPE:
             return raw.decode("utf-8", "replace").encode("utf-8")
 
 
-_CODECS: dict[str, ByteBPE] = {}
-
-
 def codec(path: str) -> ByteBPE:
-    if path not in _CODECS:
-        _CODECS[path] = ByteBPE(path)
-    return _CODECS[path]
+    """The worker's codec for a vocabulary file; tasks that use it go on with what it remembers."""
+    key = "codec:" + path
+    if key not in KEPT:
+        KEPT[key] = ByteBPE(path)
+    return KEPT[key]
 
 
 def encode_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """doc_id, text -> doc_id, ids, ids_sha256, decoded, decoded_sha256."""
     bpe = codec(path)
-    for batch in slices(batches):
+    for batch in slices(batches, keep="codec:" + path):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         encoded = bpe.encode(texts)
         decoded = [bpe.decode(np.frombuffer(ids, "<u4").astype(np.int64)) for ids, _ in encoded]
@@ -195,7 +196,7 @@ def encode_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
 
 def id_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = codec(path)
-    for batch in slices(batches):
+    for batch in slices(batches, keep="codec:" + path):
         ids = [np.frombuffer(x, "<u4").astype(np.int32) for x, _ in bpe.encode([t or "" for t in batch.column("text").to_pylist()])]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a numpy kernel works on at a time; one longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 U64 = np.uint64
 
@@ -52,8 +52,17 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about SLICE_BYTES of text, or one row."""
+#: What kernels keep in a worker from task to task; workers are shared, so others drop it first.
+KEPT: dict[str, object] = {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about SLICE_BYTES of text, or one row.
+
+    A kernel names what it keeps; all else that earlier tasks left in this worker is let go.
+    """
+    for name in [k for k in KEPT if k != keep]:
+        del KEPT[name]
     for batch in batches:
         if not batch.num_rows:
             continue

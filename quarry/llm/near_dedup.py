@@ -239,27 +239,39 @@ def links_in(reps: np.ndarray, sets: list[np.ndarray], least: Fraction) -> list[
 
 
 def confirm(batches: Iterator[pa.RecordBatch], least: Fraction) -> Iterator[pa.RecordBatch]:
-    """cluster, part, rep, elements, sorted by cluster and part -> a, b: true links."""
-    for keys, (reps, elements) in _runs(batches, ["cluster", "part"], ["rep", "elements"]):
-        ids = np.asarray(reps)
-        out = []
-        for s, e in zip(keys[:-1], keys[1:]):
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in elements.slice(int(s), int(e - s))]
-            out += links_in(ids[s:e], sets, least)
-        if out:
-            a, b = np.array(out, np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    """cluster, part, rep, elements, sorted by cluster and part -> a, b: true links.
+
+    Only the sets of the block at hand are held; batches are cut up as they come.
+    """
+    now, ids, sets = None, [], []
+
+    def links() -> list[pa.RecordBatch]:
+        out = links_in(np.array(ids, np.int64), sets, least) if len(sets) > 1 else []
+        if not out:
+            return []
+        a, b = np.array(out, np.int64).T
+        return [pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])]
+
+    for batch in batches:
+        elements = batch.column("elements")
+        for i, key in enumerate(zip(batch.column("cluster").to_pylist(), batch.column("part").to_pylist(), batch.column("rep").to_pylist())):
+            if key[:2] != now:
+                yield from links()
+                now, ids, sets = key[:2], [], []
+            ids.append(key[2])
+            sets.append(np.frombuffer(elements[i].as_buffer(), np.uint64).copy())
+    yield from links()
 
 
 def element_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """rep, cluster, text -> rep, cluster, n, elements: the full set as packed 64-bit hashes."""
+    """rep, cluster, part, text -> the full set as packed 64-bit hashes in place of text."""
     for batch in slices(batches):
         raw, offsets = string_buffers(batch.column("text"))
         u, sets = shingle_sets(raw, offsets, words)
         packed = [u[s:e].tobytes() for s, e in zip(sets[:-1], sets[1:])]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("rep"), batch.column("cluster"), pa.array(np.diff(sets)), pa.array(packed, pa.binary())],
-            names=["rep", "cluster", "n", "elements"],
+            [batch.column("rep"), batch.column("cluster"), batch.column("part"), pa.array(packed, pa.binary())],
+            names=["rep", "cluster", "part", "elements"],
         )
 
 
@@ -310,13 +322,16 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5), word
         .sortWithinPartitions("key", "part", "rep")
         .mapInArrow(lambda it: close_pairs(it, limit), "a long, b long")
     )
-    clusters = materialize(components(close).select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")
-    # One row carries the text of each set; rows that repeat its id are set aside by the fingerprint.
-    member = source.join(clusters, source.doc_id == clusters.rep).select("rep", "cluster", "text")
-    elements = member.mapInArrow(lambda it: element_rows(it, words), "rep long, cluster long, n long, elements binary")
-    parts = in_blocks(elements.where("n > 0"), "cluster", F.col("n"), CLUSTER_BLOCK, "rep")
+    near = components(close).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    sized = near.join(filled.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n_shingles").alias("n")), "rep")
+    parts = materialize(in_blocks(sized, "cluster", F.col("n"), CLUSTER_BLOCK, "rep").select("rep", "cluster", "part"), "clusters")
+    # Blocks are dealt out before texts join them, so that no window ever holds a text or a set.
     links = (
-        parts.repartition("cluster", "part")
+        source.join(parts, source.doc_id == parts.rep)
+        .select("rep", "cluster", "part", "text")
+        .mapInArrow(lambda it: element_rows(it, words), "rep long, cluster long, part long, elements binary")
+        .where("length(elements) > 0")
+        .repartition("cluster", "part")
         .sortWithinPartitions("cluster", "part", "rep")
         .select("cluster", "part", "rep", "elements")
         .mapInArrow(lambda it: confirm(it, similarity), "a long, b long")
@@ -326,7 +341,7 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5), word
         "fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id")
     )
     answer = sets.join(by_set, ["fp1", "fp2", "n_shingles"], "left")
-    component = F.coalesce("component_id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return answer.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")
     )

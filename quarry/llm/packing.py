@@ -31,7 +31,7 @@ def piece_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capaci
     """doc_id, text, tie -> PIECE_SCHEMA; only texts over capacity are cut, the first piece taking the rest."""
     encode = encoder(path).encode
     end = np.array([end_id], "<u4").tobytes()
-    for batch in slices(batches):
+    for batch in slices(batches, keep="encoder:" + path):
         rows = []
         encoded = encode([t or "" for t in batch.column("text").to_pylist()])
         for doc, tie, ids in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), encoded):

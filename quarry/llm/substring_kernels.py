@@ -8,7 +8,7 @@ import numpy as np
 from quarry.llm.common import BYTE_VALUES, U64, prefix_hash, span_hash
 
 #: Low bits of a packed key that hold a place; above them is the hash.
-_PLACE = 28
+_PLACE = 31
 _LOW = U64((1 << _PLACE) - 1)
 
 
@@ -25,7 +25,7 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tupl
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     if n >> _PLACE:
-        raise ValueError("a text over 256 MB can't be cut in one slice")
+        raise ValueError("a text over 2 GB can't be cut in one slice")
     prefix = prefix_hash(BYTE_VALUES[raw])
     at = np.arange(n - gram + 1)
     h = span_hash(prefix, at, at + gram)
@@ -195,7 +195,7 @@ def repeats(texts: list[bytes], places: list[tuple[int, int]], length: int) -> l
         if same or not live:
             break
     cut = [texts[i][a:b] for i, a, b in live]
-    if len(cut) < 2:
+    if not cut:
         return out
     sizes = np.array([len(t) for t in cut])
     raw = np.frombuffer(b"\0".join(cut), np.uint8)

@@ -173,6 +173,8 @@ def _tie(text: Column) -> Column:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc, tie, a, b): byte spans of docs (doc, tie, text) covered by windows that occur earlier."""
+    if not 0 < gram <= length or 2 * length - gram > 255:
+        raise ValueError("a piece must fit in 255 bytes: gram <= length and 2 * length - gram <= 255")
     rows = docs.select("doc", "tie", "text").mapInArrow(lambda it: piece_rows(it, length, gram), _PIECES)
     # One shuffle by minimizer serves both windows; finished intervals are spread by their document.
     dealt = rows.withColumn("key", F.when(F.col("done"), F.xxhash64("doc", "h")).otherwise(F.col("h"))).repartition("key")

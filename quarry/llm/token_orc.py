@@ -34,7 +34,7 @@ def token_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Ite
     encode = encoder(path).encode
     end = np.array([end_id], "<u4").tobytes()
     part, seq, start = TaskContext.get().partitionId(), 0, 0
-    for batch in slices(batches):
+    for batch in slices(batches, keep="encoder:" + path):
         ids = [np.frombuffer(x + end, "<i4") for x in encode([t or "" for t in batch.column("text").to_pylist()])]
         sizes = np.array([len(x) for x in ids], np.int64)
         ends = np.cumsum(sizes)

@@ -16,8 +16,10 @@ from collections.abc import Callable
 
 import regex
 
+from quarry.llm.common import KEPT
+
 #: Units between spaces, and pre-tokens, that a worker remembers; frequent ones come early.
-REMEMBERED = 750_000
+REMEMBERED = 500_000
 #: A space before white space or at the end: the only place where splitting at spaces may be wrong.
 _WIDE = re.compile("[\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -118,11 +120,9 @@ class LibraryEncoder:
         return out
 
 
-_ENCODERS: dict[str, LibraryEncoder] = {}
-
-
 def encoder(path: str) -> LibraryEncoder:
-    """The worker's encoder for a vocabulary file; it outlives tasks where Spark reuses workers."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = LibraryEncoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder for a vocabulary file; tasks that encode go on with what it remembers."""
+    key = "encoder:" + path
+    if key not in KEPT:
+        KEPT[key] = LibraryEncoder(path)
+    return KEPT[key]
