@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,13 +57,23 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 KEPT: dict[str, object] = {}
 
 
+def _let_go(keep: str | None) -> None:
+    """Drop what is kept but for one name, and give freed memory back to the system."""
+    for name in [k for k in KEPT if k != keep]:
+        del KEPT[name]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", keep: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about SLICE_BYTES of text, or one row.
 
     A kernel names what it keeps; all else that earlier tasks left in this worker is let go.
     """
-    for name in [k for k in KEPT if k != keep]:
-        del KEPT[name]
+    _let_go(keep)
     for batch in batches:
         if not batch.num_rows:
             continue

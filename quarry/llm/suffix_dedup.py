@@ -14,7 +14,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,8 +128,9 @@ def sorted_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
                 )
 
 
-def removed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, cuts (a, b), ... -> the same without text and cuts, counts, hash and what is kept."""
+def removed_rows(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
+    """text, cuts (a, b) and others -> the others, counts, hash and what is kept, as bytes or as text,
+    in which a character cut in two goes whole."""
     for batch in slices(batches):
         n_bytes, n_removed, n_spans, sha, kept = [], [], [], [], []
         for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
@@ -147,19 +147,15 @@ def removed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_removed.append(len(raw) - len(rest))
             n_spans.append(spans)
             sha.append(hashlib.sha256(rest).hexdigest())
-            kept.append(rest)
+            kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
         own = [n for n in batch.schema.names if n not in ("text", "cuts")]
         yield pa.RecordBatch.from_arrays(
             [batch.column(n) for n in own]
-            + [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())],
+            + [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string() if as_text else pa.binary())],
             names=[*own, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
         )
 
 
-def _decode(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-
 REMOVED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -216,8 +212,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     return done.union(copies).union(inner).union(windows)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """The columns of docs but text, and n_bytes, n_removed, n_spans, kept_sha256, kept (bytes).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, as_text: bool = False) -> DataFrame:
+    """The columns of docs but text, and n_bytes, n_removed, n_spans, kept_sha256, kept (bytes, or text).
 
     Every byte covered by a string of `length` bytes that also starts earlier (smaller doc_id, or
     the same document before) goes; strings are judged on the input and never cross documents.
@@ -234,7 +230,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     cuts = spans.groupBy("doc", "tie").agg(F.collect_set(F.struct("a", "b")).alias("cuts"))
     joined = rows.join(cuts, ["doc", "tie"], "left").drop("doc", "tie")
     own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "cuts"))
-    return joined.mapInArrow(removed_rows, f"{own}, {REMOVED}")
+    kept = REMOVED.replace("kept binary", "kept string") if as_text else REMOVED
+    return joined.mapInArrow(lambda it: removed_rows(it, as_text), f"{own}, {kept}")
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
@@ -248,10 +245,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     The columns are those of docs; n_chars, where there is one, follows the text.
     """
-    out = remove_repeats(docs)
-    out = out.withColumn("_text", F.pandas_udf(_decode, "string")(F.col("kept")))
+    out = remove_repeats(docs, as_text=True)
     columns = []
     for i, name in enumerate(docs.columns):
-        col = F.col("_text") if name == "text" else F.char_length("_text").cast(docs.schema[i].dataType) if name == "n_chars" else F.col(f"c{i}")
+        col = F.col("kept") if name == "text" else F.char_length("kept").cast(docs.schema[i].dataType) if name == "n_chars" else F.col(f"c{i}")
         columns.append(col.alias(name))
     return out.select(*columns)
