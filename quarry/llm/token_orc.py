@@ -18,6 +18,8 @@ from quarry.llm.common import fresh_path, slices
 from quarry.llm.tokens import encoder
 
 SCHEMA = "doc_id long, part int, seq long, part_start long, n_tokens long, ids array<int>"
+#: Units that a worker remembers here, where little else needs its memory.
+REMEMBERED = 750_000
 #: Fixed at writing: stripe size, rows between index entries, false positives of the Bloom filter.
 ORC_OPTIONS = {
     "orc.stripe.size": str(16 << 20),
@@ -31,7 +33,7 @@ ORC_OPTIONS = {
 
 def token_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """doc_id, text in document order -> SCHEMA; part_start counts the ids before it in its part."""
-    encode = encoder(path).encode
+    encode = encoder(path, REMEMBERED).encode
     end = np.array([end_id], "<u4").tobytes()
     part, seq, start = TaskContext.get().partitionId(), 0, 0
     for batch in slices(batches, keep="encoder:" + path):

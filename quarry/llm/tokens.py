@@ -19,7 +19,8 @@ import regex
 from quarry.llm.common import KEPT
 
 #: Units between spaces, and pre-tokens, that a worker remembers; frequent ones come early.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
+_MARKS = frozenset(".,;:!?")
 #: A space before white space or at the end: the only place where splitting at spaces may be wrong.
 _WIDE = re.compile("[\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -49,7 +50,8 @@ class LibraryEncoder:
     all texts of a tokenizer whose pre-tokenizer is not byte-level without normalizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -80,7 +82,7 @@ class LibraryEncoder:
             found = dict(zip(fresh, make(fresh)))
             for row, at, k in holes:
                 row[at] = found[k]
-            if len(store) + len(found) <= REMEMBERED:
+            if len(store) + len(found) <= self.remembered:
                 store.update(found)
         return [b"".join(row) for row in out]
 
@@ -101,6 +103,19 @@ class LibraryEncoder:
             if collecting:
                 gc.enable()
 
+    def _by_units(self, units: list[str]) -> list[bytes]:
+        """Ids of units with the space before them. Letters alone, or with one mark after them, need
+        no pattern to be cut."""
+        words = []
+        for u in units:
+            if u.isalpha():
+                words.append([" " + u])
+            elif u[-1:] in _MARKS and u[:-1].isalpha():
+                words.append([" " + u[:-1], u[-1]])
+            else:
+                words.append(self.cut(" " + u))
+        return self._lookup(self.known, words, self._by_library)
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         plain, other = [], []
@@ -111,7 +126,7 @@ class LibraryEncoder:
                 plain.append((i, t.split(" ")))
             else:
                 other.append(i)
-        units = self._lookup(self.units, [p[1:] for _, p in plain], lambda new: self._by_words([" " + u for u in new]))
+        units = self._lookup(self.units, [p[1:] for _, p in plain], self._by_units)
         heads = self._by_words([p[0] for _, p in plain] + [texts[i] for i in other])
         for (i, _), head, tail in zip(plain, heads, units):
             out[i] = head + tail
@@ -120,9 +135,9 @@ class LibraryEncoder:
         return out
 
 
-def encoder(path: str) -> LibraryEncoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> LibraryEncoder:
     """The worker's encoder for a vocabulary file; tasks that encode go on with what it remembers."""
     key = "encoder:" + path
-    if key not in KEPT:
-        KEPT[key] = LibraryEncoder(path)
+    if key not in KEPT or KEPT[key].remembered != remembered:
+        KEPT[key] = LibraryEncoder(path, remembered)
     return KEPT[key]
