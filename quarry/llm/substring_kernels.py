@@ -172,10 +172,10 @@ def _candidates(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
 def repeats(texts: list[bytes], places: list[tuple[int, int]], length: int) -> list[tuple[int, int, int]]:
     """(text, from, to) of the spans whose windows occur earlier in another text; places order texts.
 
-    A place is (document, first byte). Fingerprints narrow the texts to spans that may repeat; of
-    spans with the same bytes only the earliest goes on; the rest are suffix-sorted, windows next
-    to each other in that order are compared byte by byte, and all but the earliest of equal
-    windows are reported.
+    A place is (document, first byte); equal texts at one place are one text. Fingerprints narrow
+    the texts to spans that may repeat; of spans with the same bytes only the earliest goes on; the
+    rest are suffix-sorted, windows next to each other in that order are compared byte by byte, and
+    all but the earliest of equal windows are reported.
     """
     out: list[tuple[int, int, int]] = []
     live = [(i, 0, len(t)) for i, t in enumerate(texts)]
@@ -186,7 +186,8 @@ def repeats(texts: list[bytes], places: list[tuple[int, int]], length: int) -> l
         for k, t in enumerate(cut):
             if t not in earliest or place(k) < place(earliest[t]):
                 earliest[t] = k
-        out += [live[k] for k, t in enumerate(cut) if earliest[t] != k]
+        # A span at the very place of the earliest is that span, of a row that repeats an id and text.
+        out += [live[k] for k, t in enumerate(cut) if place(k) != place(earliest[t])]
         rest = sorted(earliest.values())
         spans = _candidates([cut[k] for k in rest], length)
         now = [(live[k][0], live[k][1] + a, live[k][1] + b) for k, s in zip(rest, spans) for a, b in s]

@@ -11,6 +11,7 @@ from quarry.llm import suffix_dedup as S
 from quarry.llm.exact_dedup import exact_duplicates, keep_largest
 from quarry.llm.substring_kernels import repeats, sort_suffixes
 from tests.llm import brute
+from tests.llm.conftest import frame
 
 
 @pytest.mark.parametrize("share", [(17, 20), (4, 5)])
@@ -122,3 +123,17 @@ def test_suffix_removals_of_odd_rows(odd, empty, texts):
     clean = S.without_repeats(odd)
     assert clean.columns == odd.columns
     assert all(r.n_chars == len(r.text) for r in clean.collect())
+
+
+def test_suffix_removals_of_repeated_rows(spark, texts):
+    """Each of two equal rows keeps what the row keeps where it stands alone."""
+    want = brute.removals(texts, S.LENGTH)
+    got = S.remove_repeats(frame(spark, texts + texts).repartition(5)).select("c0", "n_bytes", "n_removed", "n_spans", "kept").collect()
+    assert len(got) == 2 * len(texts)
+    assert all((r[1], r[2], r[3], bytes(r[4])) == want[r[0]] for r in got)
+
+
+def test_one_place_twice_is_no_repeat():
+    text = b"abcdefgh"
+    assert repeats([text, text], [(1, 0), (1, 0)], 5) == []
+    assert repeats([text, text, text], [(1, 0), (2, 0), (2, 0)], 5) == [(1, 0, 8), (2, 0, 8)]
