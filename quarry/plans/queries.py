@@ -660,8 +660,10 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    events = table(spark, d, "events")
+    # A stream takes a folder of part files by its path and a single file only by a pattern.
+    single = any(f.endswith("/events.parquet") for f in events.inputFiles())
+    return spark.readStream.schema(events.schema).parquet(f"{d}/{{events}}.parquet" if single else f"{d}/events.parquet")
 
 
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
