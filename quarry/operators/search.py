@@ -69,6 +69,14 @@ def field_stats(index: DataFrame) -> DataFrame:
     return sizes.groupBy("field").agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
 
 
+def chunk_stats(chunks: DataFrame, fields: tuple[str, ...] = tuple(FIELDS), tokenize=terms) -> DataFrame:
+    """field_stats of the postings of chunks, counted without a row for each term."""
+    size = lambda f: F.size(F.filter(tokenize(F.coalesce(F.col(f), F.lit(""))), lambda t: t != "")).cast("long")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), size(f).alias("dl")) for f in fields])).alias("f")
+    sizes = chunks.select(each).select("f.field", "f.dl").where("dl > 0")
+    return sizes.groupBy("field").agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+
+
 def query_terms(query: str) -> list[str]:
     import re
 
@@ -104,6 +112,56 @@ def bm25(index: DataFrame, stats: DataFrame, query: list[str], boosts: dict[str,
     return scored if allowed is None else scored.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+def bm25_each(index: DataFrame, stats: DataFrame, words: DataFrame, boosts: dict[str, float] = FIELDS, min_match: float = MIN_MATCH) -> DataFrame:
+    """query_id, chunk_id, doc_id, score: what bm25 gives for each query of words (query_id, term).
+
+    A chunk with enough of a query's terms has one of its rarest, so only chunks of those are looked
+    up for the others; nothing is joined without a key and nothing is broadcast by force.
+    """
+    k1, b = LUCENE
+    words = words.select("query_id", "term").distinct()
+    need = words.groupBy("query_id").agg(F.greatest(F.lit(1), F.floor(F.lit(min_match) * F.count("*"))).alias("need"))
+    hits = index.join(words.select("term").distinct(), "term", "left_semi")
+    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+    group = Window.partitionBy("query_id", "field")
+    order = F.row_number().over(group.orderBy("df", "term"))
+    asked = words.join(df, "term").join(need, "query_id").withColumn("first", order <= F.count("*").over(group) - F.col("need") + 1)
+    found = hits.join(asked.where("first").select("query_id", "field", "term", "need"), ["field", "term"]).select("query_id", "field", "chunk_id", "need").distinct()
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    boost = F.lit(0.0)
+    for field, value in boosts.items():
+        boost = F.when(F.col("field") == field, F.lit(value)).otherwise(boost)
+    return (
+        found.join(asked.select("query_id", "field", "term", "df"), ["query_id", "field"])
+        .join(hits, ["chunk_id", "field", "term"])
+        .join(stats, "field")
+        .groupBy("query_id", "chunk_id", "doc_id", "field", "need")
+        .agg(F.sum(idf * weight).alias("s"), F.count("*").alias("matched"))
+        .where(F.col("matched") >= F.col("need"))
+        .groupBy("query_id", "chunk_id", "doc_id")
+        .agg(F.round(F.max(F.col("s") * boost), 6).alias("score"))
+        .where("score > 0")
+    )
+
+
+def holders(passages: DataFrame, docs: DataFrame, tokenize=terms) -> DataFrame:
+    """query_id, doc_id: the docs (doc_id, text) that contain a passage (query_id, passage) as a whole.
+
+    Inner terms of a passage are terms of each text that contains it; the longest, as the likeliest
+    to be rare, is the key by which they meet. Passages without an inner term are looked up in every text, blank ones nowhere.
+    """
+    asked = passages.where(F.trim("passage") != "")
+    whole = tokenize(F.col("passage"))
+    inner = asked.withColumn("ts", F.array_distinct(F.filter(F.slice(whole, 2, F.greatest(F.size(whole) - 2, F.lit(0))), lambda t: t != "")))
+    long = F.array_max(F.transform("ts", lambda t: F.struct(F.length(t).alias("n"), t.alias("term"))))
+    key = inner.where(F.size("ts") > 0).select("query_id", long["term"].alias("term"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
+    met = key.join(held, "term").select("query_id", "doc_id").join(asked, "query_id").join(docs.select("doc_id", "text"), "doc_id")
+    bare = inner.where(F.size("ts") == 0).select("query_id", "passage").crossJoin(docs.select("doc_id", "text"))
+    return met.where(F.contains("text", "passage")).select("query_id", "doc_id").union(bare.where(F.contains("text", "passage")).select("query_id", "doc_id"))
+
+
 def okapi(index: DataFrame, query: list[str], n_chunks: int | None = None) -> DataFrame:
     """chunk_id, doc_id, score of the older index: no field weights, negative idf lifted to a share
     of the mean idf, and only positive scores kept."""

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -617,6 +617,26 @@ def eval_metrics(spark, d):
     return S.retrieval_metrics(ranks, ["kind"])
 
 
+@query()
+def eval_retrieval(spark, d):
+    """eval_metrics with ranks of a search: the first 40 characters of each passage are the question,
+    BM25 over all fields ranks the visible documents, those with the whole passage are its targets."""
+    docs = view(spark, d, "kb_documents")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    question = T.terms(F.substring("passage", 1, 40))
+    words = asked.select("query_id", F.explode(question).alias("term")).where((F.col("term") != "") & ~F.col("term").isin(*S.QUESTION_WORDS))
+    path = _scratch(spark) + "/postings"
+    S.postings(_as_chunks(docs)).join(words.select("term").distinct(), "term", "left_semi").write.parquet(path)
+    seen = D.visible(docs).select(F.col("id").alias("doc_id"))
+    hits = S.bm25_each(spark.read.parquet(path), S.chunk_stats(_as_chunks(docs)), words).join(seen, "doc_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    page = hits.withColumn("place", place).where(F.col("place") <= S.RESULTS)
+    names = docs.select(F.col("id").alias("doc_id"), F.col("filename").alias("name"))
+    targets = S.holders(asked, docs.select(F.col("id").alias("doc_id"), "text")).join(names, "doc_id")
+    ranks = asked.select("query_id").join(S.first_ranks(page.join(names, "doc_id"), targets), "query_id", "left")
+    return S.retrieval_metrics(ranks.withColumn("kind", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd")), ["kind"])
+
+
 def _as_hwpx(batches):
     """Each document as an HWPX file of one section, a paragraph for each line."""
     import io

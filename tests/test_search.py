@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
 from quarry.operators import search as S
+from quarry.plans.catalog import view
 from quarry.plans.dispatch import log_row, search
+from quarry.plans.queries import QUERIES, _as_chunks
 from quarry.schemas import TABLES
 
 
@@ -36,3 +38,43 @@ def test_search_modes(spark):
     first = search(docs, grants, users, query="pears", mode="semantic", index=index).first()
     assert first.snippet == "green pears" and first.uploaded_by_name == "U" and first.score == 1.0
     assert log_row(" ", None, 3, "t") is None and log_row("q", None, 3, "t")["user_email"] == "anonymous"
+
+
+def test_many_queries_at_once_score_as_each_alone(spark):
+    index = S.postings(_as_chunks(view(spark, "/root/testdata/sf0.001", "kb_documents"))).cache()
+    asked = {1: ["the", "and", "that", "note"], 2: ["thon", "the"], 3: ["zzzz"], 4: ["en", "pdf", "report"]}
+    words = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "query_id long, term string")
+    stats = lambda df: sorted((r.field, r.n, round(r.avgdl, 9)) for r in df.collect())
+    assert stats(S.chunk_stats(_as_chunks(view(spark, "/root/testdata/sf0.001", "kb_documents")))) == stats(S.field_stats(index))
+    got = {(r.query_id, r.chunk_id): r.score for r in S.bm25_each(index, S.field_stats(index), words).collect()}
+    want = {(q, r.chunk_id): r.score for q, ts in asked.items() for r in S.bm25(index, S.field_stats(index), ts).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert {q for q, _ in want} >= {1, 2}
+
+
+def test_targets_hold_the_whole_passage(spark):
+    passage = "x" * 20 + " same first forty characters " + "and one tail"
+    docs = spark.createDataFrame([(1, "pre" + passage + "post"), (2, passage[:45] + " other"), (3, "one")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, passage), (2, "one"), (3, " "), (4, "nowhere at all")], "query_id long, passage string")
+    assert sorted(map(tuple, S.holders(asked, docs).collect())) == [(1, 1), (2, 1), (2, 3)]
+
+
+def test_evaluation_ranks_by_a_search(spark):
+    """The metrics of one search for each question, over documents that hold the passage."""
+    d = "/root/testdata/sf0.001"
+    docs = view(spark, d, "kb_documents").cache()
+    index = S.postings(_as_chunks(docs)).cache()
+    texts = {r.id: (r.text, r.status) for r in docs.collect()}
+    ranks = {}
+    for r in spark.read.parquet(f"{d}/benchmark.parquet").collect():
+        targets = {i for i, (t, _) in texts.items() if r.text in t}
+        if not targets:
+            ranks[r.item_id] = None
+            continue
+        hits = S.bm25(index, S.field_stats(index), S.query_terms(r.text[:40])).collect()
+        order = sorted((-h.score, h.doc_id) for h in hits if texts[h.doc_id][1] == "success")[:50]
+        ranks[r.item_id] = next((i + 1 for i, (_, x) in enumerate(order) if x in targets), None)
+    got = {r.kind: (r.n, r.hit1, r.hit5, r.mrr10) for r in QUERIES["eval_retrieval"](spark, d).collect()}
+    for kind, own in ((None, list(ranks.values())), ("even", [v for k, v in ranks.items() if k % 2 == 0]), ("odd", [v for k, v in ranks.items() if k % 2])):
+        mean = lambda xs: round(sum(xs) / len(own), 3)
+        assert got[kind] == (len(own), mean([v == 1 for v in own if v]), mean([v <= 5 for v in own if v]), mean([1 / v for v in own if v and v <= 10]))
