@@ -3,8 +3,9 @@
 Pieces are dealt out by a hash; each partition packs its own by best-fit decreasing and compares
 its number of bins with a lower bound from dual-feasible functions. A partition that meets its
 bound is certified: no packing of its pieces has fewer sequences. Partitions with a gap keep their
-full bins and exchange the documents of the others, which are dealt out anew to fewer partitions
-and packed again, until all are certified or one partition is left.
+full bins and exchange the documents of the others, which are dealt out anew and packed again, to fewer
+partitions or, for MIXES rounds at most and while bins get fewer, to as many in another mix; all
+until each is certified or one partition is left.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long,
 PACK_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long, open boolean"
 #: Pieces that a partition packs at a time.
 PARTITION_PIECES = 200_000
+#: Rounds in which what is left goes to as many partitions again, in another mix.
+MIXES = 3
 
 
 def piece_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
@@ -117,30 +120,38 @@ def pack_rows(batches: Iterator[pa.RecordBatch], capacity: int, turn: int, most:
         yield from table.combine_chunks().to_batches(max_chunksize=50_000)
 
 
-def _deal(pieces: DataFrame, parts: int) -> DataFrame:
-    return pieces.repartition(parts, F.xxhash64("doc_id", "piece", "tie"))
+def _deal(pieces: DataFrame, parts: int, seed: int = 0) -> DataFrame:
+    return pieces.repartition(parts, F.xxhash64("doc_id", "piece", "tie", *[F.lit(seed)] * (seed > 0)))
 
 
 def pack(pieces: DataFrame, capacity: int = 1024, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
     """PIECE_SCHEMA -> the same rows with sequence_id and offset.
 
-    Each round has as many partitions as its pieces need; exchange ends when all are certified or
-    what is left would be dealt to as many partitions again.
+    Each round has as many partitions as its pieces need; exchange ends when all are certified, one
+    partition is left, or what is left needs as many partitions as before and another mix of it
+    doesn't take fewer sequences or has been tried MIXES times.
     """
     pieces = materialize(pieces, "pieces")
     whole = pieces.where(F.col("length") == capacity)
     # A full piece is a sequence of its own; its id comes from its file and place in it.
     done = whole.select(*pieces.columns, F.monotonically_increasing_id().bitwiseOR(F.lit(127 << 56)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest, turn = pieces.where(F.col("length") < capacity), 0
+    rest, turn, mixes = pieces.where(F.col("length") < capacity), 0, 0
     parts = max(1, -(-rest.count() // partition_pieces))
     out = [materialize(done, "packed")]
+    bins = lambda df: df.select("sequence_id").distinct().count()
+    before = None  # the open rows of the last round, where they were dealt to as many partitions again
     while True:
-        packed = materialize(_deal(rest, parts).mapInArrow(lambda it, t=turn: pack_rows(it, capacity, t, partition_pieces), PACK_SCHEMA), "packed")
+        packed = materialize(_deal(rest, parts, mixes).mapInArrow(lambda it, t=turn: pack_rows(it, capacity, t, partition_pieces), PACK_SCHEMA), "packed")
+        if before is not None and bins(packed) >= bins(before):
+            out.append(before.drop("open"))
+            break
         fewer = -(-packed.where("open").count() // partition_pieces) if parts > 1 else 0
-        if not 0 < fewer < parts:
+        if fewer == 0 or (fewer == parts and mixes == MIXES):
             out.append(packed.drop("open"))
             break
         out.append(packed.where("NOT open").drop("open"))
+        before = packed.where("open") if fewer == parts else None
+        mixes += fewer == parts
         rest, parts, turn = packed.where("open").drop("sequence_id", "offset", "open"), fewer, turn + 1
     result = out[0]
     for more in out[1:]:

@@ -140,3 +140,19 @@ def test_lower_bounds_hold():
         assert len(packing.best_fit(sizes, 20)[2]) >= packing.lower_bound(np.bincount(sizes, minlength=21), 20)
     assert packing.lower_bound(np.bincount([11] * 7 + [5] * 2, minlength=21), 20) == 7
     assert packing.lower_bound(np.bincount([7] * 6, minlength=21), 20) == 3
+
+
+def test_packing_mixes_what_stays_open(spark, monkeypatch):
+    """Lengths near a third leave most bins open; they are dealt anew, and no sequence is added."""
+    lengths = np.random.default_rng(3).integers(300, 380, 400).tolist()
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0, 0) for i, n in enumerate(lengths)], packing.PIECE_SCHEMA)
+    dealt, deal = [], packing._deal
+    monkeypatch.setattr(packing, "_deal", lambda df, parts, *seed: dealt.append(parts) or deal(df, parts, *seed))
+    rows = packing.pack(pieces, 1024, 100).collect()
+    fills, mixed = {}, len(dealt)
+    for r in rows:
+        fills[r.sequence_id] = fills.get(r.sequence_id, 0) + r.length
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths)) and max(fills.values()) <= 1024
+    monkeypatch.setattr(packing, "MIXES", 0)
+    once = {r.sequence_id for r in packing.pack(pieces, 1024, 100).collect()}
+    assert dealt[mixed - 2] == dealt[mixed - 1] and len(dealt) - mixed < mixed and len(fills) <= len(once)
