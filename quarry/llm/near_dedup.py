@@ -2,8 +2,9 @@
 
 A signature has SYMBOLS minima of independent hashes of a document's shingle set, of which the low
 16 bits stay. Two sets of Jaccard similarity s differ in a binomial number of symbols with mean
-(1 - s) * SYMBOLS. The join guarantees every pair of signatures within `radius` differing symbols,
-the mean at the threshold plus SIGMAS standard deviations: the indexed symbols are split into so
+(1 - s) * SYMBOLS. The join guarantees every pair whose INDEXED symbols differ in at most `radius`,
+the mean at the threshold plus SIGMAS standard deviations; a pair within the radius of all symbols
+but not of the indexed ones may share no key. For this the indexed symbols are split into so
 many chunks that by pigeonhole one of them has at most ERRORS errors, and each chunk is indexed
 once for every choice of ERRORS positions that may be wrong. What shares a key is compared by whole
 signatures, and what remains is confirmed on full sets, so precision is exact.
