@@ -16,14 +16,15 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tupl
     """Cut concatenated texts into runs of windows of `length` bytes with one and the same minimizer.
 
     A window's minimizer is its leftmost gram of least hash, so equal windows have it at the same
-    place with the same hash. Gives (document, first byte, bytes, minimizer hash, piece hash); the
-    windows of a piece are all of `length` bytes in it, and each window of a text is in one piece.
+    place with the same hash. Gives (document, first byte, gram's place in the piece, bytes,
+    minimizer hash, piece hash); the windows of a piece are all of `length` bytes in it, and each
+    window of a text is in one piece.
     """
     width = length - gram + 1
     n = len(raw)
     if n < length:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     if n >> _PLACE:
         raise ValueError("a text over 2 GB can't be cut in one slice")
     prefix = prefix_hash(BYTE_VALUES[raw])
@@ -51,7 +52,7 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tupl
     last = np.flatnonzero(valid & ends)
     size = last - first + length
     doc = np.searchsorted(offsets, first, side="right") - 1
-    return doc, first - offsets[doc], size, h[arg[first]], span_hash(prefix, first, first + size)
+    return doc, first - offsets[doc], arg[first] - first, size, h[arg[first]], span_hash(prefix, first, first + size)
 
 
 def sort_suffixes(text: np.ndarray) -> np.ndarray:
@@ -141,93 +142,232 @@ def sort_suffixes(text: np.ndarray) -> np.ndarray:
     return np.array(result[1:], np.int64)
 
 
-def _candidates(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """Spans of each text whose windows have a fingerprint that occurs twice or more in all."""
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum([len(t) for t in texts])
-    starts = ends - np.array([len(t) for t in texts])
+def _grouped(symbols: np.ndarray, owner: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(suffixes by first symbol, their places, group of each suffix, sizes of groups) in each text."""
+    n = len(symbols)
+    order = np.argsort(owner * 260 + symbols, kind="stable")
+    ranked, own = symbols[order], owner[order]
+    fresh = np.ones(n, bool)
+    fresh[1:] = (ranked[1:] != ranked[:-1]) | (own[1:] != own[:-1])
+    first = np.flatnonzero(fresh)
+    counts = np.diff(np.append(first, n))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    group = np.empty(n, np.int64)
+    group[order] = np.repeat(first, counts)
+    sizes = np.zeros(n, np.int64)
+    sizes[first] = counts
+    return order, place, group, sizes
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0] .. starts[0] + counts[0] - 1, starts[1] .. and so on."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+def sort_many(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What sort_suffixes gives for each of many short texts that stand end to end, as places in
+    symbols. A step takes the highest group that is left of every text at once."""
+    n_texts = len(sizes)
+    stops = np.cumsum(sizes + 1)
+    begins = stops - sizes - 1
+    text = np.zeros(int(stops[-1]) if n_texts else 0, np.int64)
+    text[_ranges(begins, sizes)] = symbols
+    owner = np.repeat(np.arange(n_texts), sizes + 1)
+    listed, place, group, size = _grouped(text, owner, n_texts)
+    smaller = np.arange(len(text)) - 1
+    smaller[begins] = -1
+    leaving = np.zeros(len(text), bool)
+    top = stops - 1
+    low = begins
+    while len(top):
+        base = group[listed[top]]
+        counts = top - base + 1
+        members = listed[_ranges(base, counts)]
+        floor = np.repeat(base, counts)
+        # A member that is not settled points to the suffix before it, so chains through the same
+        # group need no order; each round doubles what they skip.
+        on = np.arange(len(members))
+        while len(on):
+            p = smaller[members[on]]
+            on = on[p >= 0]
+            p = p[p >= 0]
+            go = group[p] >= floor[on]
+            on, p = on[go], p[go]
+            smaller[members[on]] = smaller[p]
+        p = smaller[members]
+        p, votes = np.unique(p[p >= 0], return_counts=True)
+        g = group[p]
+        by = np.lexsort((-votes, g))
+        p, votes, g = p[by], votes[by], g[by]
+        if len(p):
+            head = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            out = np.diff(np.append(head, len(g)))
+            groups = g[head]
+            whole = size[groups]
+            rank = np.arange(len(g)) - np.repeat(head, out)
+            goal = g + np.repeat(whole, out) - 1 - rank
+            last = np.concatenate([(g[1:] != g[:-1]) | (votes[1:] != votes[:-1]), [True]])
+            ends = np.flatnonzero(last)
+            block = np.diff(np.concatenate([[-1], ends]))
+            # What leaves goes to the end of its old group and changes places with what stood there.
+            leaving[p] = True
+            at = place[p]
+            gap = at[at < g + np.repeat(whole - out, out)]
+            displaced = listed[goal]
+            displaced = displaced[~leaving[displaced]]
+            leaving[p] = False
+            listed[gap], place[displaced] = displaced, gap
+            listed[goal], place[p] = p, goal
+            size[groups] = whole - out
+            size[goal[ends]] = block
+            group[p] = np.repeat(goal[ends], block)
+        top = base - 1
+        left = top >= low
+        top, low = top[left], low[left]
+
+    result = np.full(len(text), -1, np.int64)
+    free = np.arange(len(text))
+    placed = np.zeros(len(text), bool)
+    result[begins] = stops - 1
+    placed[stops - 1] = True
+    longest = np.argsort(-sizes, kind="stable")
+    starts, spans = begins[longest], sizes[longest] + 1
+    for i in range(int(spans[0]) if n_texts else 0):
+        live = np.searchsorted(-spans, -i, side="left")
+        here = starts[:live]
+        p = result[here + i] - 1
+        ok = p >= here
+        p = p[ok]
+        while len(p):
+            p = p[~placed[p]]
+            g = group[p]
+            c = free[g]
+            result[c] = p
+            free[g] = c + 1
+            placed[p] = True
+            p = smaller[p]
+            p = p[p >= 0]
+    keep = np.ones(len(text), bool)
+    keep[begins] = False
+    result = result[keep]
+    return result - np.repeat(np.arange(n_texts), sizes)
+
+
+#: Symbols up to which a text is sorted together with others.
+SHORT = 4096
+
+
+def sort_texts(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The suffix arrays of texts that stand end to end, as places in symbols."""
+    starts = np.cumsum(sizes) - sizes
+    short = sizes <= SHORT
+    if short.all():
+        return sort_many(symbols, sizes) if len(sizes) else np.zeros(0, np.int64)
+    out = np.empty(len(symbols), np.int64)
+    if short.any():
+        at = _ranges(starts[short], sizes[short])
+        out[at] = at[sort_many(symbols[at], sizes[short])]
+    for s, n in zip(starts[~short].tolist(), sizes[~short].tolist()):
+        out[s : s + n] = s + sort_suffixes(symbols[s : s + n])
+    return out
+
+
+def _words(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number."""
+    return np.ndarray(len(raw) - 7, np.uint64, raw.tobytes(), strides=(1,))
+
+
+def _same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the length bytes from a and from b on are the same, for each pair."""
+    if length < 8:
+        reach = np.arange(length)
+        return (raw[a[:, None] + reach] == raw[b[:, None] + reach]).all(axis=1)
+    words = _words(raw)
+    same = np.ones(len(a), bool)
+    for step in sorted({*range(0, length - 7, 8), length - 8}):
+        on = np.flatnonzero(same)
+        same[on] = words[a[on] + step] == words[b[on] + step]
+    return same
+
+
+def repeats_in(raw: np.ndarray, sizes: np.ndarray, bucket: np.ndarray, row: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(text, from, to) of the spans whose windows occur earlier in another text of their bucket.
+
+    Texts stand end to end in raw, those of a bucket together; (row, start) is the place of a text,
+    and a place that comes twice is one text. Fingerprints leave out windows that nothing repeats; the
+    suffixes of the rest are sorted bucket by bucket, windows that are neighbours in that order are
+    compared byte by byte, and all but the earliest of equal windows are reported.
+    """
+    none = np.zeros(0, np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
     if len(raw) < length:
-        return [[] for _ in texts]
-    at = np.arange(len(raw) - length + 1)
-    owner = np.repeat(np.arange(len(texts)), ends - starts)[: len(at)]
+        return none, none, none
+    by = np.lexsort((start, row, bucket))
+    again = np.zeros(len(sizes), bool)
+    again[by[1:]] = (bucket[by[1:]] == bucket[by[:-1]]) & (row[by[1:]] == row[by[:-1]]) & (start[by[1:]] == start[by[:-1]])
+    windows = np.where(again, 0, np.maximum(sizes - length + 1, 0))
+    at = _ranges(begins, windows)
+    owner = np.repeat(np.arange(len(sizes)), windows)
     h = span_hash(prefix_hash(BYTE_VALUES[raw]), at, at + length)
-    inside = at + length <= ends[owner]
-    at, owner, h = at[inside], owner[inside], h[inside]
     order = np.argsort(h, kind="stable")
     same = h[order[1:]] == h[order[:-1]]
     hit = np.zeros(len(at), bool)
     hit[order[1:][same]] = True
     hit[order[:-1][same]] = True
     at, owner = at[hit], owner[hit]
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    if len(at):
-        fresh = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])])
-        head = np.flatnonzero(fresh)
-        tail = np.append(head[1:], len(at)) - 1
-        for a, b, o in zip(at[head].tolist(), at[tail].tolist(), owner[head].tolist()):
-            spans[o].append((a - int(starts[o]), b - int(starts[o]) + length))
-    return spans
+    if not len(at):
+        return none, none, none
+    head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])]))
+    tail = np.append(head[1:], len(at)) - 1
+    lo, span, owner = at[head], at[tail] - at[head] + length, owner[head]
 
-
-def repeats(texts: list[bytes], places: list[tuple[int, int]], length: int) -> list[tuple[int, int, int]]:
-    """(text, from, to) of the spans whose windows occur earlier in another text; places order texts.
-
-    A place is (document, first byte); equal texts at one place are one text. Fingerprints narrow
-    the texts to spans that may repeat; of spans with the same bytes only the earliest goes on; the
-    rest are suffix-sorted, windows next to each other in that order are compared byte by byte, and
-    all but the earliest of equal windows are reported.
-    """
-    out: list[tuple[int, int, int]] = []
-    live = [(i, 0, len(t)) for i, t in enumerate(texts)]
-    for _ in range(3):
-        cut = [texts[i][a:b] for i, a, b in live]
-        earliest: dict[bytes, int] = {}
-        place = lambda k: (places[live[k][0]][0], places[live[k][0]][1] + live[k][1])
-        for k, t in enumerate(cut):
-            if t not in earliest or place(k) < place(earliest[t]):
-                earliest[t] = k
-        # A span at the very place of the earliest is that span, of a row that repeats an id and text.
-        out += [live[k] for k, t in enumerate(cut) if place(k) != place(earliest[t])]
-        rest = sorted(earliest.values())
-        spans = _candidates([cut[k] for k in rest], length)
-        now = [(live[k][0], live[k][1] + a, live[k][1] + b) for k, s in zip(rest, spans) for a, b in s]
-        same = len(now) == len(live) and now == live
-        live = now
-        if same or not live:
-            break
-    cut = [texts[i][a:b] for i, a, b in live]
-    if not cut:
-        return out
-    sizes = np.array([len(t) for t in cut])
-    raw = np.frombuffer(b"\0".join(cut), np.uint8)
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    symbols = raw.astype(np.int64) + 2
-    symbols[starts[1:] - 1] = 1
-    order = sort_suffixes(symbols)
-    owner = np.repeat(np.arange(len(cut)), sizes + 1)[: len(raw)]
-    order = order[order + length <= (starts + sizes)[owner[order]]]
-    if not len(order):
-        return out
-    equal = np.zeros(len(order), bool)
-    reach = np.arange(length)
-    for at in range(1, len(order), 8192):
-        end = min(at + 8192, len(order))
-        block = raw[order[at - 1 : end, None] + reach]
-        equal[at:end] = (block[1:] == block[:-1]).all(axis=1)
-    group = np.cumsum(~equal) - 1
-    own = owner[order]
-    doc = np.array([places[i][0] for i, _, _ in live], np.int64)[own]
-    first = np.array([places[i][1] + a for i, a, _ in live], np.int64)[own] + order - starts[own]
-    by = np.lexsort((first, doc))
+    # A bucket's spans with a mark after each are one text to be sorted.
+    cut = _ranges(lo, span)
+    stops = np.cumsum(span + 1)
+    symbols = np.ones(int(stops[-1]), np.int64)
+    where = _ranges(stops - span - 1, span)
+    symbols[where] = raw[cut].astype(np.int64) + 2
+    origin = np.full(len(symbols), -1, np.int64)
+    origin[where] = cut
+    span_of = np.repeat(np.arange(len(span)), span + 1)
+    own = bucket[owner]
+    fresh = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    text_sizes = np.add.reduceat(span + 1, fresh)
+    text_of = np.repeat(np.arange(len(text_sizes)), text_sizes)
+    ranked = sort_texts(symbols, text_sizes)
+    ranked = ranked[ranked + length < stops[span_of[ranked]]]
+    if not len(ranked):
+        return none, none, none
+    text_of, span_of, origin = text_of[ranked], span_of[ranked], origin[ranked]
+    pair = np.flatnonzero(text_of[1:] == text_of[:-1])
+    equal = np.zeros(len(ranked), bool)
+    equal[pair + 1] = _same_bytes(raw, origin[pair], origin[pair + 1], length)
+    piece = owner[span_of]
+    first = start[piece] + origin - begins[piece]
+    by = np.lexsort((first, row[piece]))
     rank = np.empty(len(by), np.int64)
     rank[by] = np.arange(len(by))
     least = np.minimum.reduceat(rank, np.flatnonzero(~equal))
-    later = np.sort(order[rank != least[group]])
-    if len(later):
-        head = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1] + 1]))
-        tail = np.append(head[1:], len(later)) - 1
-        for a, b in zip(later[head].tolist(), later[tail].tolist()):
-            k = int(owner[a])
-            i, s, _ = live[k]
-            out.append((i, s + a - int(starts[k]), s + b - int(starts[k]) + length))
-    return out
+    later = np.sort(origin[rank != least[np.cumsum(~equal) - 1]])
+    if not len(later):
+        return none, none, none
+    piece = np.searchsorted(ends, later, side="right")
+    head = np.flatnonzero(np.concatenate([[True], (later[1:] != later[:-1] + 1) | (piece[1:] != piece[:-1])]))
+    tail = np.append(head[1:], len(later)) - 1
+    piece = piece[head]
+    return piece, later[head] - begins[piece], later[tail] - begins[piece] + length
+
+
+def repeats(texts: list[bytes], places: list[tuple[int, int]], length: int) -> list[tuple[int, int, int]]:
+    """repeats_in for the texts of one bucket; places are (row, first byte). A text at the place of
+    another is reported as that one is."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    row, start = (np.array(x, np.int64) for x in zip(*places))
+    found = repeats_in(np.frombuffer(b"".join(texts), np.uint8), sizes, np.zeros(len(texts), np.int64), row, start, length)
+    out = [(int(i), int(a), int(b)) for i, a, b in zip(*found)]
+    first: dict[tuple[int, int], int] = {}
+    twins = [(k, first[p]) for k, p in enumerate(places) if first.setdefault(p, k) != k]
+    return out + [(k, a, b) for k, of in twins for i, a, b in out if i == of]

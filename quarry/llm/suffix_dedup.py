@@ -2,10 +2,12 @@
 
 Every window of LENGTH bytes belongs to the piece around its minimizer, a gram of GRAM bytes that
 equal windows share. Pieces are dealt out by the minimizer's hash, so all copies of a window meet.
-Equal pieces are settled there by their hashes; where a minimizer has pieces of different bytes,
-the earliest of each is fetched, and the suffixes of a minimizer's pieces are sorted by groups
-(see substring_kernels) to find equal windows inside them. Minimizers with more than HOT different
-pieces are dealt out anew by single windows, so no task ever holds an unbounded bucket.
+Of equal pieces the earliest two go on, and what the suffix sort finds for the second holds for
+those after it. All others go on where their minimizer has different ones. They are fetched, and
+the suffixes of a minimizer's pieces are sorted by groups (see substring_kernels) to find equal
+windows. A minimizer with more than HOT such pieces is dealt out anew, by half of the bytes that its
+windows don't have in common yet, and again until no bucket has more; windows with nothing left
+to differ in are all equal, so this ends.
 """
 
 from __future__ import annotations
@@ -18,114 +20,171 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BYTE_VALUES, U64, materialize, mix, prefix_hash, slices, span_hash, string_buffers
+from quarry.llm.common import U64, materialize, slices, string_buffers
 from quarry.llm.near_dedup import _runs
-from quarry.llm.substring_kernels import pieces, repeats
+from quarry.llm.substring_kernels import pieces, repeats_in
 
 LENGTH = 100
 GRAM = 32
-#: Different pieces that a minimizer may have before it is dealt out by windows.
+#: Pieces that go to the suffix sort together; a bucket with more is dealt out anew.
 HOT = 4096
 #: Bytes of pieces that are suffix-sorted at a time.
-SORTED_BYTES = 256 << 10
+SORTED_BYTES = 1 << 20
+#: Pieces that a task remembers so that what repeats often is finished before the shuffle.
+REMEMBERED = 1 << 17
 
-_NO_ID = (1 << 63) - 1
-_PIECES = "h long, ph long, doc long, pos long, done boolean"
+#: A row's order: its id, rows without one last, then k1 and k2, zeros where ids are unique.
+ROW = ["none", "doc", "k1", "k2"]
+ROW_SCHEMA = "none boolean, doc long, k1 long, k2 long"
+_PIECES = f"h long, ph long, {ROW_SCHEMA}, pos long, done boolean"
+_BUCKET = f"h long, ph long, {ROW_SCHEMA}, pos long, common int, piece binary"
 
 
-def _pack(start: np.ndarray, size: np.ndarray, tie: np.ndarray) -> np.ndarray:
-    """tie, first byte and size of a piece in one long that sorts by tie and place."""
-    return (tie << 48) | (start << 8) | size
+def _pack(start: np.ndarray, gram: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """First byte, place of the gram in it and size of a piece in one long that sorts by place."""
+    return (start << 16) | (gram << 8) | size
+
+
+def _later(keys: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Whether each tuple of keys is greater than that of others."""
+    out, tied = np.zeros(len(keys[0]), bool), np.ones(len(keys[0]), bool)
+    for a, b in zip(keys, others):
+        out |= tied & (a > b)
+        tied &= a == b
+    return out
+
+
+class _Seen:
+    """The second place at which pieces stood that a task has met, for some of them."""
+
+    def __init__(self) -> None:
+        self.columns = [np.zeros(REMEMBERED, x) for x in (np.uint64, np.uint64, bool, np.int64, np.int64, np.int64, np.int64)]
+
+    def finished(self, h: np.ndarray, ph: np.ndarray, place: list[np.ndarray]) -> np.ndarray:
+        """Pieces that come after two places already handed on."""
+        at = (ph & U64(REMEMBERED - 1)).astype(np.int64)
+        own = [c[at] for c in self.columns]
+        return (own[0] == h) & (own[1] == ph) & _later(place, own[2:])
+
+    def add(self, h: np.ndarray, ph: np.ndarray, place: list[np.ndarray]) -> None:
+        at = (ph & U64(REMEMBERED - 1)).astype(np.int64)
+        for column, values in zip(self.columns, (h, ph, *place)):
+            column[at] = values
 
 
 def piece_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """doc, tie, text -> _PIECES. What repeats within a slice of texts comes as finished intervals:
-    done, from h to ph of the document."""
+    """ROW_SCHEMA, text -> _PIECES. What comes after two equal pieces that the task has handed on
+    comes as finished intervals: done, from h to ph of the document."""
+    seen = _Seen()
     for batch in slices(batches):
         raw, offsets = string_buffers(batch.column("text"))
-        d, start, size, h, ph = pieces(raw, offsets, length, gram)
+        d, start, at, size, h, ph = pieces(raw, offsets, length, gram)
         if not len(d):
             continue
-        ids = np.asarray(batch.column("doc"))[d]
-        tie = np.asarray(batch.column("tie"))[d]
-        pos = _pack(start, size, tie)
-        order = np.lexsort((pos, ids, ph, h))
-        same = (h[order[1:]] == h[order[:-1]]) & (ph[order[1:]] == ph[order[:-1]])
+        rows = [np.asarray(batch.column(n)) if n != "none" else np.asarray(batch.column(n).to_pylist(), bool) for n in ROW]
+        place = [r[d] for r in rows] + [_pack(start, at, size)]
+        order = np.lexsort((*place[::-1], ph, h))
+        moved = lambda x: x[order[1:]] != x[order[:-1]]
+        fresh = np.concatenate([[True], moved(h) | moved(ph)])
+        # Rows that repeat an id and text stand at one place: none is earlier or later than the other.
+        new_place = fresh | np.concatenate([[True], np.any([moved(x) for x in place], axis=0)])
+        nth = np.cumsum(new_place)
+        nth -= np.repeat(nth[fresh], np.diff(np.append(np.flatnonzero(fresh), len(order)))) - 1
         later = np.zeros(len(d), bool)
-        later[order[1:][same]] = True
-        # A row that repeats an id and text is no earlier or later than the other.
-        twin = same & (ids[order[1:]] == ids[order[:-1]]) & (pos[order[1:]] == pos[order[:-1]])
-        later[order[1:][twin]] = False
+        later[order[nth > 2]] = True
+        later |= seen.finished(h, ph, place)
+        second = order[new_place & (nth == 2)]
+        second = second[~later[second]]
+        seen.add(h[second], ph[second], [x[second] for x in place])
         keep = ~later
-        yield _piece_batch(h[keep].view(np.int64), ph[keep].view(np.int64), ids[keep], pos[keep], False)
+        yield _piece_batch(h[keep].view(np.int64), ph[keep].view(np.int64), [x[keep] for x in place], False)
         if later.any():
-            d, start, ids, tie, end = d[later], start[later], ids[later], tie[later], (start + size)[later]
+            d, start, end = d[later], start[later], (start + size)[later]
             head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (start[1:] > end[:-1])]))
             tail = np.append(head[1:], len(d)) - 1
-            yield _piece_batch(start[head], end[tail], ids[head], tie[head] << 48, True)
+            yield _piece_batch(start[head], end[tail], [r[d[head]] for r in rows] + [np.zeros(len(head), np.int64)], True)
 
 
-def _piece_batch(h: np.ndarray, ph: np.ndarray, doc: np.ndarray, pos: np.ndarray, done: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(h), pa.array(ph), pa.array(doc), pa.array(pos), pa.array(np.full(len(h), done))], names=["h", "ph", "doc", "pos", "done"]
-    )
+def _piece_batch(h: np.ndarray, ph: np.ndarray, place: list[np.ndarray], done: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, ph, *place, np.full(len(h), done))], names=["h", "ph", *ROW, "pos", "done"])
 
 
-def fetch_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """doc, text, asked (h, pos, hot) -> h, ph, doc, pos, piece; a hot piece comes as its windows,
-    each with two hashes and no bytes."""
+def fetch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ROW_SCHEMA, text, asked (h, ph, pos, again) -> _BUCKET and again."""
     for batch in slices(batches):
-        h, ph, doc, pos, piece = [], [], [], [], []
-        for own, text, asked in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist()):
-            raw = text.encode("utf-8", "surrogatepass")
-            for ask in asked:
-                at, size = (ask["pos"] >> 8) & ((1 << 40) - 1), ask["pos"] & 255
-                cut = raw[at : at + size]
-                if not ask["hot"]:
-                    h.append(ask["h"])
-                    ph.append(0)
-                    doc.append(own)
-                    pos.append(ask["pos"])
-                    piece.append(cut)
-                    continue
-                i = np.arange(size - length + 1)
-                values = np.frombuffer(cut, np.uint8)
-                one = span_hash(prefix_hash(BYTE_VALUES[values]), i, i + length)
-                two = span_hash(prefix_hash(mix(BYTE_VALUES * U64(0x9E3779B97F4A7C15))[values]), i, i + length)
-                base = ask["pos"] >> 48 << 48
-                h += one.view(np.int64).tolist()
-                ph += two.view(np.int64).tolist()
-                doc += [own] * len(i)
-                pos += (base | ((at + i) << 8) | length).tolist()
-                piece += [None] * len(i)
+        _, offsets = string_buffers(batch.column("text"))
+        raw = memoryview(string_buffers(batch.column("text"))[0])
+        asked = batch.column("asked")
+        counts = np.diff(np.asarray(asked.offsets))
+        flat = asked.flatten()
+        h, ph, pos, again = (flat.field(n) for n in ("h", "ph", "pos", "again"))
+        owner = np.repeat(np.arange(batch.num_rows), counts)
+        packed = np.asarray(pos)
+        lo = offsets[owner] + (packed >> 16)
+        hi = lo + (packed & 255)
+        piece = pa.array([bytes(raw[a:b]) for a, b in zip(lo.tolist(), hi.tolist())], pa.binary())
+        common = pa.array(np.zeros(len(owner), np.int32))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h, pa.int64()), pa.array(ph, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int64()), pa.array(piece, pa.binary())],
-            names=["h", "ph", "doc", "pos", "piece"],
+            [h, ph, *[batch.column(n).take(pa.array(owner)) for n in ROW], pos, common, piece, again], names=["h", "ph", *ROW, "pos", "common", "piece", "again"]
         )
 
 
+def _digest(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+def halved_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """_BUCKET -> _BUCKET: the windows of each piece in two groups, by whether half of the bytes that
+    they need not share stand before what they share or after it. The bytes of that half, with the old
+    key, are the new one; common has the bytes shared before and after the gram."""
+    for batch in batches:
+        out = []
+        columns = [batch.column(n).to_pylist() for n in ("h", *ROW, "pos", "common", "piece")]
+        for h, none, doc, k1, k2, pos, common, piece in zip(*columns):
+            start, m, size = pos >> 16, (pos >> 8) & 255, pos & 255
+            left, right = common >> 8, common & 255
+            open_ = length - gram - left - right
+            half = -(-open_ // 2)
+            last = size - length  # the start of the last window in the piece
+            edge = m - left - half  # windows from here back have half of the open bytes before
+            key = h.to_bytes(8, "little", signed=True)
+            if edge >= 0:
+                cut = piece[: min(edge, last) + length]
+                new = _digest(b"<", key, piece[edge : m - left])
+                out.append((new, _digest(cut), none, doc, k1, k2, start << 16 | m << 8 | len(cut), (left + half) << 8 | right, cut))
+            a = max(edge + 1, 0)
+            if a <= last:
+                cut, more = piece[a:], open_ - half + 1
+                new = _digest(b">", key, piece[m + gram + right : m + gram + right + more])
+                out.append((new, _digest(cut), none, doc, k1, k2, (start + a) << 16 | (m - a) << 8 | len(cut), left << 8 | (right + more), cut))
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        made = list(zip(*out)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds)], names=["h", "ph", *ROW, "pos", "common", "piece"])
+
+
 def sorted_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """h, doc, pos, piece, sorted by h -> doc, tie, a, b: spans that occur earlier. Buckets are whole."""
-    for bounds, (docs, pos, piece) in _runs(batches, ["h"], ["doc", "pos", "piece"]):
-        docs, pos = np.asarray(docs), np.asarray(pos)
+    """_BUCKET sorted by h -> ROW_SCHEMA, a, b: spans that occur earlier. Buckets are whole."""
+    for bounds, columns in _runs(batches, ["h"], [*ROW, "pos", "piece"]):
+        none, doc, k1, k2 = (np.asarray(c) if i else np.asarray(c.to_pylist(), bool) for i, c in enumerate(columns[:4]))
+        pos, piece = np.asarray(columns[4]), columns[5]
+        size = pos & 255
+        total = np.concatenate([[0], np.cumsum(size)])
         s = 0
         while s < len(bounds) - 1:
-            e, size = s, 0
-            while e < len(bounds) - 1 and (e == s or size < SORTED_BYTES):
-                size += int((pos[bounds[e] : bounds[e + 1]] & 255).sum())
-                e += 1
+            e = max(s + 1, int(np.searchsorted(total[bounds], total[bounds[s]] + SORTED_BYTES, side="right")) - 1)
             lo, hi = int(bounds[s]), int(bounds[e])
+            bucket = np.repeat(np.arange(e - s), np.diff(bounds[s : e + 1]))
             s = e
-            own, tie = docs[lo:hi], pos[lo:hi] >> 48
-            start = (pos[lo:hi] >> 8) & ((1 << 40) - 1)
-            # Texts of one id stand end to end: the tie is the high part of their places.
-            places = list(zip(own.tolist(), (pos[lo:hi] >> 8).tolist()))
-            found = repeats(piece.slice(lo, hi - lo).to_pylist(), places, length)
-            if found:
-                i, a, b = (np.array(x, np.int64) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[i]), pa.array(tie[i]), pa.array(start[i] + a), pa.array(start[i] + b)], names=["doc", "tie", "a", "b"]
-                )
+            rows = [x[lo:hi] for x in (none, doc, k1, k2)]
+            by = np.lexsort(rows[::-1])
+            fresh = np.any([x[by[1:]] != x[by[:-1]] for x in rows], axis=0) if len(by) > 1 else np.zeros(0, bool)
+            row = np.empty(hi - lo, np.int64)
+            row[by] = np.concatenate([[0], np.cumsum(fresh)])
+            raw = np.frombuffer(b"".join(piece.slice(lo, hi - lo).to_pylist()), np.uint8)
+            start = pos[lo:hi] >> 16
+            i, a, b = repeats_in(raw, size[lo:hi], bucket, row, start, length)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i]) for x in rows] + [pa.array(start[i] + a), pa.array(start[i] + b)], names=[*ROW, "a", "b"])
 
 
 def removed_rows(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
@@ -157,59 +216,77 @@ def removed_rows(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[p
 
 
 REMOVED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+SPAN_SCHEMA = ROW_SCHEMA + ", a long, b long"
+
+
+def with_keys(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:
+    """docs with ROW. Where an id repeats, or several rows have none, k1 and k2 are a 128-bit hash of
+    the text; where ids are unique they are zeros, which cost nothing to move."""
+    repeated = docs.groupBy(F.col(doc_id).cast("long").alias("doc")).count().where("count > 1").limit(1)
+    k1, k2 = F.lit(0).cast("long"), F.lit(0).cast("long")
+    if repeated.count():
+        digest = F.md5(text.cast("binary"))
+        k1, k2 = (F.conv(F.substring(digest, at, 16), 16, -10).cast("long") for at in (1, 17))
+    doc = F.col(doc_id).cast("long")
+    return docs.withColumns({"none": doc.isNull(), "doc": F.coalesce(doc, F.lit(0).cast("long")), "k1": k1, "k2": k2})
+
+
+def _judged(rows: DataFrame, hot: int) -> DataFrame:
+    """rows and kind: 0 for finished intervals, 1 for pieces after the second of equal ones, 2 for
+    those to be sorted, 3 for those whose bucket has more than `hot` to be sorted. Pieces that nothing
+    can repeat are left out."""
+    equal = Window.partitionBy("key", "ph").orderBy(*ROW, "pos")
+    bucket = Window.partitionBy("key")
+    return (
+        rows.withColumn("nth", F.dense_rank().over(equal))
+        .withColumn("more", F.lead("pos").over(equal).isNotNull())
+        .withColumn("low", F.min("ph").over(bucket))
+        .withColumn("high", F.max("ph").over(bucket))
+        .withColumn("n", F.count_if(F.col("nth") <= 2).over(bucket))
+        .where("done OR nth > 1 OR more OR low < high")
+        .withColumn("kind", F.when(F.col("done"), 0).when(F.col("nth") > 2, 1).when(F.col("n") <= hot, 2).otherwise(3))
+        .drop("nth", "more", "low", "high", "n", "key")
+    )
 
 
-def _doc(col: Column) -> Column:
-    return F.coalesce(col.cast("long"), F.lit(_NO_ID))
+def _whole(rows: DataFrame) -> DataFrame:
+    """SPAN_SCHEMA of whole pieces."""
+    at = F.shiftright("pos", 16)
+    return rows.select(*ROW, at.alias("a"), (at + F.col("pos").bitwiseAND(F.lit(255))).alias("b"))
 
 
-def _tie(text: Column) -> Column:
-    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFF))
+def _sorted(rows: DataFrame, length: int) -> DataFrame:
+    buckets = rows.select("h", *ROW, "pos", "piece").repartition("h").sortWithinPartitions("h", *ROW, "pos")
+    return buckets.mapInArrow(lambda it: sorted_rows(it, length), SPAN_SCHEMA)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc, tie, a, b): byte spans of docs (doc, tie, text) covered by windows that occur earlier."""
+    """SPAN_SCHEMA: byte spans of docs (ROW_SCHEMA, text) covered by windows that occur earlier.
+
+    `hot` is how many pieces go to a sort together, at least the two that equal windows leave.
+    """
     if not 0 < gram <= length or 2 * length - gram > 255:
         raise ValueError("a piece must fit in 255 bytes: gram <= length and 2 * length - gram <= 255")
-    rows = docs.select("doc", "tie", "text").mapInArrow(lambda it: piece_rows(it, length, gram), _PIECES)
+    hot = max(hot, 2)
+    rows = docs.select(*ROW, "text").mapInArrow(lambda it: piece_rows(it, length, gram), _PIECES)
     # One shuffle by minimizer serves both windows; finished intervals are spread by their document.
     dealt = rows.withColumn("key", F.when(F.col("done"), F.xxhash64("doc", "h")).otherwise(F.col("h"))).repartition("key")
-    same = Window.partitionBy("key", "ph").orderBy("doc", "pos")
-    bucket = Window.partitionBy("key")
-    judged = (
-        dealt.withColumn("rank", F.rank().over(same))
-        .withColumn("low", F.min("ph").over(bucket))
-        .withColumn("high", F.max("ph").over(bucket))
-        .withColumn("kinds", F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).over(bucket))
-        .where("done OR rank > 1 OR low < high")
-    )
-    kind = F.when(F.col("done"), 0).when(F.col("rank") > 1, 1).when(F.col("kinds") <= hot, 2).otherwise(3)
-    known = materialize(judged.select("h", "ph", "doc", "pos", kind.alias("kind")), "pieces")
-
-    tie = F.shiftright("pos", 48).alias("tie")
-    at = F.shiftright("pos", 8).bitwiseAND(F.lit((1 << 40) - 1))
-    done = known.where("kind = 0").select("doc", tie, F.col("h").alias("a"), F.col("ph").alias("b"))
-    copies = known.where("kind = 1").select("doc", tie, at.alias("a"), (at + F.col("pos").bitwiseAND(F.lit(255))).alias("b"))
-    ask = F.collect_set(F.struct("h", "pos", (F.col("kind") == 3).alias("hot"))).alias("asked")
-    asked = known.where("kind >= 2").groupBy("doc", tie).agg(ask)
-    fetched = materialize(
-        docs.select("doc", "tie", "text").join(asked, ["doc", "tie"]).mapInArrow(lambda it: fetch_rows(it, length), "h long, ph long, doc long, pos long, piece binary"),
-        "fetched",
-    )
-    inner = (
-        fetched.where("piece IS NOT NULL")
-        .select("h", "doc", "pos", "piece")
-        .repartition("h")
-        .sortWithinPartitions("h", "doc", "pos")
-        .mapInArrow(lambda it: sorted_rows(it, length), "doc long, tie long, a long, b long")
-    )
-    windows = (
-        fetched.where("piece IS NULL")
-        .withColumn("rank", F.rank().over(Window.partitionBy("h", "ph").orderBy("doc", "pos")))
-        .where("rank > 1")
-        .select("doc", tie, at.alias("a"), (at + length).alias("b"))
-    )
-    return done.union(copies).union(inner).union(windows)
+    known = materialize(_judged(dealt, hot).drop("done"), "pieces")
+    out = known.where("kind = 0").select(*ROW, F.col("h").alias("a"), F.col("ph").alias("b")).union(_whole(known.where("kind = 1")))
+
+    ask = F.collect_set(F.struct("h", "ph", "pos", (F.col("kind") == 3).alias("again"))).alias("asked")
+    fetched = docs.select(*ROW, "text").join(known.where("kind >= 2").groupBy(*ROW).agg(ask), ROW).mapInArrow(fetch_rows, _BUCKET + ", again boolean")
+    if known.where("kind = 3").limit(1).count():
+        fetched = materialize(fetched, "fetched")
+    out = out.union(_sorted(fetched.where("NOT again"), length))
+    dealt = fetched.where("again").drop("again") if known.where("kind = 3").limit(1).count() else None
+    while dealt is not None:
+        # At most eight rounds: each halves the bytes in which the windows of a bucket may differ.
+        halves = dealt.mapInArrow(lambda it: halved_rows(it, length, gram), _BUCKET)
+        now = materialize(_judged(halves.withColumns({"key": F.col("h"), "done": F.lit(False)}), hot).drop("done"), "halves")
+        out = out.union(_whole(now.where("kind = 1"))).union(_sorted(now.where("kind = 2"), length))
+        dealt = now.where("kind = 3").drop("kind") if now.where("kind = 3").limit(1).count() else None
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, as_text: bool = False) -> DataFrame:
@@ -217,18 +294,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     Every byte covered by a string of `length` bytes that also starts earlier (smaller doc_id, or
     the same document before) goes; strings are judged on the input and never cross documents.
-    Null texts are empty. Rows without an id come after all others; rows that repeat an id stand in
-    the order of a hash of their texts; rows that repeat id and text get the same answer each.
-    Other columns pass through by position, so names may clash with those made here. An empty
-    table gives an empty result.
+    Null texts are empty. Rows without an id come after all others; rows that repeat an id or have
+    none stand in the order of a 128-bit hash of their texts; rows that repeat id and text get the
+    same answer each. Other columns pass through by position, so names may clash with those made
+    here. An empty table gives an empty result.
     """
     inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     names = {n: f"c{i}" for i, n in enumerate(docs.columns)}
     text = F.coalesce(F.col(names["text"]), F.lit(""))
-    rows = inner.withColumn("doc", _doc(F.col(names["doc_id"]))).withColumn("tie", _tie(text)).withColumn("text", text).drop(names["text"])
+    rows = with_keys(inner, names["doc_id"], text).withColumn("text", text).drop(names["text"])
     spans = repeated_spans(rows, length, gram, hot)
-    cuts = spans.groupBy("doc", "tie").agg(F.collect_set(F.struct("a", "b")).alias("cuts"))
-    joined = rows.join(cuts, ["doc", "tie"], "left").drop("doc", "tie")
+    cuts = spans.groupBy(*ROW).agg(F.collect_set(F.struct("a", "b")).alias("cuts"))
+    joined = rows.join(cuts, ROW, "left").drop(*ROW)
     own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "cuts"))
     kept = REMOVED.replace("kept binary", "kept string") if as_text else REMOVED
     return joined.mapInArrow(lambda it: removed_rows(it, as_text), f"{own}, {kept}")

@@ -4,12 +4,13 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import components as CC
 from quarry.llm import near_dedup as N
 from quarry.llm import suffix_dedup as S
 from quarry.llm.exact_dedup import exact_duplicates, keep_largest
-from quarry.llm.substring_kernels import repeats, sort_suffixes
+from quarry.llm.substring_kernels import repeats, sort_many, sort_suffixes, sort_texts
 from tests.llm import brute
 from tests.llm.conftest import frame
 
@@ -133,6 +134,50 @@ def test_suffix_removals_of_repeated_rows(spark, texts):
     assert all((r[1], r[2], r[3], bytes(r[4])) == want[r[0]] for r in got)
 
 
+@pytest.mark.parametrize("shared_id", [None, 5])
+def test_suffix_removals_of_rows_that_share_an_id(spark, shared_id):
+    """Thousands of rows without an id, or with one and the same: each loses what repeats and no more."""
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    alone = ["".join(rng.choice("abcdefgh ") for _ in range(120 + rng.randrange(40))) for _ in range(2000)]
+    rows = [(1, passage), (2, "short")] + [(shared_id, t) for t in alone] + [(shared_id, passage + t[:60]) for t in alone[:30]]
+    out = S.remove_repeats(frame(spark, rows).repartition(5)).select("c0", "n_bytes", "kept").collect()
+    kept = sorted(bytes(r.kept).decode() for r in out if r.c0 == shared_id)
+    whole = [(0, passage)] + sorted(((1 + i, t) for i, (_, t) in enumerate(sorted((S_order(t), t) for d, t in rows if d == shared_id))))
+    want = brute.removals(whole, S.LENGTH)
+    assert kept == sorted(want[i][3].decode() for i, _ in whole if i) and sum(map(len, kept)) >= sum(map(len, alone))
+
+
+def S_order(text):
+    """k1 and k2 of a text: its md5 as two signed longs."""
+    digest = hashlib.md5(text.encode()).digest()
+    return tuple(int.from_bytes(digest[i : i + 8], "big", signed=True) for i in (0, 8))
+
+
+def test_equal_pieces_are_decided_by_the_sort(spark, monkeypatch):
+    """Without the sort no byte of a document with one copy goes: hashes alone remove nothing there."""
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    two = frame(spark, [(1, text), (2, text)])
+    spans = lambda: S.repeated_spans(S.with_keys(two, "doc_id", F.col("text")).select(*S.ROW, "text"))
+    covered = sorted((r.a, r.b) for r in spans().collect())
+    assert covered[0][0] == 0 and max(b for _, b in covered) == 900
+    monkeypatch.setattr(S, "_sorted", lambda rows, length: rows.limit(0).selectExpr(*S.ROW, "CAST(0 AS LONG) AS a", "CAST(0 AS LONG) AS b"))
+    assert spans().collect() == []
+
+
+def test_many_texts_are_sorted_as_each_alone():
+    rng = random.Random(6)
+    for _ in range(100):
+        texts = [[rng.randint(1, rng.choice([1, 2, 3, 9])) for _ in range(rng.randint(0, 60))] for _ in range(rng.randint(1, 12))]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        want = [s + i for s, t in zip(starts.tolist(), texts) for i in sorted(range(len(t)), key=lambda i: t[i:])]
+        symbols = np.array(sum(texts, []), np.int64)
+        assert sort_many(symbols, sizes).tolist() == want
+        assert sort_texts(symbols, sizes).tolist() == want
+
+
 def test_one_place_twice_is_no_repeat():
     text = b"abcdefgh"
     assert repeats([text, text], [(1, 0), (1, 0)], 5) == []
