@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -22,25 +22,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(own)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; component is the smallest node reachable.
 
     edges: columns a and b, longs, in any order, repeats and loops allowed. Minima are aggregated
     before the shuffle, so a node of any degree is safe; each round's edges are written out, so a
-    lost executor costs no more than that round. An empty input gives an empty result.
+    lost executor costs no more than that round, and those of the round before are deleted. Rounds
+    go on until the edges stay as they are; each takes every node's edges to smaller nodes, so that
+    they end. An empty input gives an empty result.
     """
     now = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
     mark = None
-    for _ in range(rounds):
-        step = _small_star(_large_star(now).distinct()).distinct()
-        now = materialize(step, "edges")
-        n, sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    while True:
+        step = materialize(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        n, sums = step.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(now)
+        now = step
         if mark == (n, sums):
             break
         mark = (n, sums)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(now.select("b", "b").distinct())

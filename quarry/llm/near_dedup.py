@@ -12,7 +12,9 @@ signatures, and what remains is confirmed on full sets, so precision is exact.
 No group of copies is expanded: equal sets are one node from the start; a bucket yields a spanning
 forest of its close pairs, not the pairs; these forests make clusters, and within a cluster a
 prefix-filtered exact join yields a spanning forest of true links. Large buckets and clusters are
-cut into blocks, each pair of blocks being a task of bounded memory.
+dealt over blocks of bounded size, a row to one block, in a few mixes: members of one component meet
+in some of them and become one label. Only groups that still have several labels are then compared
+in full, in pairs of blocks whose labels differ.
 """
 
 from __future__ import annotations
@@ -34,9 +36,11 @@ INDEXED = 64
 SYMBOLS = 128
 ERRORS = 1
 SIGMAS = 5.0
-#: Members of a bucket, and shingles of a cluster, that one block may hold.
+#: Members of a bucket, and shingles of a cluster, that one block holds, about.
 BUCKET_BLOCK = 4096
 CLUSTER_BLOCK = 1 << 19
+#: Mixes in which a large group is dealt over blocks before blocks are compared in pairs.
+MIXES = 3
 
 _MUL = stream(31, SYMBOLS) | U64(1)
 _ADD = stream(37, SYMBOLS)
@@ -276,18 +280,57 @@ def element_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.R
         )
 
 
-def in_blocks(df: DataFrame, by: str, weight: F.Column, most: int, order: str) -> DataFrame:
-    """Adds part to the rows of groups of two or more: a group over `most` is cut into blocks, and
-    each of its rows goes to every pair of blocks that holds its own."""
-    grouped = Window.partitionBy(by)
-    run = grouped.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("_run", F.sum(weight).over(run)).withColumn("_all", F.sum(weight).over(grouped))
-    df = df.withColumn("_rows", F.count("*").over(grouped)).where("_rows > 1")
-    blk = F.floor((F.col("_run") - 1) / most)
-    n = F.floor((F.col("_all") - 1) / most) + 1
-    df = df.withColumn("_blk", blk).withColumn("_n", n).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    part = F.least("_blk", "_o") * F.col("_n") + F.greatest("_blk", "_o")
-    return df.withColumn("part", part).drop("_run", "_all", "_rows", "_blk", "_n", "_o")
+def _sized(rows: DataFrame, by: str, weight: F.Column, most: int) -> DataFrame:
+    """Rows of groups of two or more, with the number of blocks that their group takes. Sizes are
+    counted in the map tasks first, and rows meet them by a join that may be split where a key is hot."""
+    sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.sum(weight).alias("_sum"), F.count("*").alias("_rows")).where("_rows > 1")
+    sizes = sizes.select("_by", (F.floor((F.col("_sum") - 1) / most) + 1).alias("blocks"))
+    return rows.join(sizes, F.col(by) == F.col("_by")).drop("_by")
+
+
+def _dealt(rows: DataFrame, by: str, mix_no: int) -> DataFrame:
+    """Adds part: each row is in one block of its group, by a hash."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("rep", by, F.lit(mix_no)), F.col("blocks")))
+
+
+def _unsettled(rows: DataFrame, by: str, edges: DataFrame) -> DataFrame:
+    """Rows of the groups that edges leave in several components, with label."""
+    labels = components(edges).select(F.col("node").alias("_node"), F.col("component").alias("_label"))
+    marked = materialize(
+        rows.drop("label").join(labels, F.col("rep") == F.col("_node"), "left").withColumn("label", F.coalesce("_label", "rep")).drop("_node", "_label"), "labels"
+    )
+    several = marked.groupBy(F.col(by).alias("_by")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("_by")
+    return marked.join(several, F.col(by) == F.col("_by")).drop("_by")
+
+
+def _crossed(rows: DataFrame, by: str, weight: F.Column, most: int) -> DataFrame:
+    """Adds part: rows in blocks by label, each in every pair of blocks that have different labels."""
+    run = Window.partitionBy(by).orderBy("label", "rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = rows.withColumn("_blk", F.floor((F.sum(weight).over(run) - 1) / most))
+    spans = cut.groupBy(F.col(by).alias("_by"), F.col("_blk").alias("b")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    first = spans.select("_by", F.col("b").alias("i"), "lo")
+    pairs = first.join(spans.select("_by", F.col("b").alias("j"), "hi"), "_by").where("i <= j AND lo < hi")
+    pairs = pairs.select("_by", F.struct("i", "j").alias("part"), F.explode(F.array_distinct(F.array("i", "j"))).alias("b"))
+    part = F.xxhash64("part.i", "part.j").alias("part")
+    return cut.join(pairs, (F.col(by) == F.col("_by")) & (F.col("_blk") == F.col("b"))).select(*[F.col(c) for c in rows.columns], part)
+
+
+def linked(rows: DataFrame, by: str, weight: F.Column, most: int, link) -> DataFrame:
+    """Edges that connect within each group of rows (by, rep, ...) what link's pairs connect.
+
+    link takes rows with part and gives the pairs (a, b) found in each (group, part). Groups of one
+    block are settled at once.
+    """
+    rows = materialize(_sized(rows, by, weight, most), "groups")
+    edges = materialize(link(_dealt(rows, by, 0)), "links")
+    left = rows.where("blocks > 1")
+    for mix_no in range(1, MIXES + 1):
+        if not left.limit(1).count():
+            return edges
+        left = _unsettled(left, by, edges)
+        more = link(_dealt(left, by, mix_no) if mix_no < MIXES else _crossed(left, by, weight, most))
+        edges = materialize(edges.union(more), "links")
+    return edges
 
 
 def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5), words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,8 +339,9 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5), word
     Documents are linked when the Jaccard similarity of their sets of word shingles is at least
     `similarity`; component_id is the smallest id reachable over links. Empty and null texts have
     an empty set and no links. A row without an id takes no part: component_id null, kept false.
-    Rows that repeat an id and text get the same answer each. Other columns are not looked at, so
-    their names can't clash. An empty table gives an empty result.
+    Rows that repeat an id and text get the same answer each; rows that repeat an id with another
+    text are one document with the links of all of them, where no smaller id has the same set.
+    Other columns are not looked at, so their names can't clash. An empty table gives an empty result.
     """
     similarity = Fraction(similarity)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -313,31 +357,29 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5), word
         filled.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("low").alias("low")), "sets"
     )
     masks_at = float(similarity)
-    keys = reps.select("rep", "sig").mapInArrow(lambda it: key_rows(it, masks_at), "key long, rep long")
-    keys = in_blocks(keys, "key", F.lit(1), BUCKET_BLOCK, "rep")
     limit = radius(masks_at, SYMBOLS)
-    close = (
-        keys.join(reps.select("rep", "low"), "rep")
-        .select("key", "part", "rep", "low")
-        .repartition("key", "part")
-        .sortWithinPartitions("key", "part", "rep")
-        .mapInArrow(lambda it: close_pairs(it, limit), "a long, b long")
-    )
-    near = components(close).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    keys = reps.select("rep", "sig").mapInArrow(lambda it: key_rows(it, masks_at), "key long, rep long")
+
+    def close(rows: DataFrame) -> DataFrame:
+        signed = rows.select("key", "part", "rep").join(reps.select("rep", "low"), "rep").select("key", "part", "rep", "low")
+        return signed.repartition("key", "part").sortWithinPartitions("key", "part", "rep").mapInArrow(lambda it: close_pairs(it, limit), "a long, b long")
+
+    def true_links(rows: DataFrame) -> DataFrame:
+        # Blocks are dealt out before texts join them, so that no window ever holds a text or a set.
+        return (
+            source.join(rows.select("rep", "cluster", "part"), F.col("doc_id") == F.col("rep"))
+            .select("rep", "cluster", "part", "text")
+            .mapInArrow(lambda it: element_rows(it, words), "rep long, cluster long, part long, elements binary")
+            .where("length(elements) > 0")
+            .repartition("cluster", "part")
+            .sortWithinPartitions("cluster", "part", "rep")
+            .select("cluster", "part", "rep", "elements")
+            .mapInArrow(lambda it: confirm(it, similarity), "a long, b long")
+        )
+
+    near = components(linked(keys, "key", F.lit(1), BUCKET_BLOCK, close)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     sized = near.join(filled.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n_shingles").alias("n")), "rep")
-    parts = materialize(in_blocks(sized, "cluster", F.col("n"), CLUSTER_BLOCK, "rep").select("rep", "cluster", "part"), "clusters")
-    # Blocks are dealt out before texts join them, so that no window ever holds a text or a set.
-    links = (
-        source.join(parts, source.doc_id == parts.rep)
-        .select("rep", "cluster", "part", "text")
-        .mapInArrow(lambda it: element_rows(it, words), "rep long, cluster long, part long, elements binary")
-        .where("length(elements) > 0")
-        .repartition("cluster", "part")
-        .sortWithinPartitions("cluster", "part", "rep")
-        .select("cluster", "part", "rep", "elements")
-        .mapInArrow(lambda it: confirm(it, similarity), "a long, b long")
-    )
-    found = components(links)
+    found = components(linked(sized, "cluster", F.col("n"), CLUSTER_BLOCK, true_links))
     by_set = reps.join(found, reps.rep == found.node, "left").select(
         "fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id")
     )
@@ -349,6 +391,8 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5), word
 
 
 def keep_one_per_group(docs: DataFrame, similarity: Fraction = Fraction(4, 5), words: int = 5) -> DataFrame:
-    """The documents that stay, with the columns of docs; rows without an id stay."""
-    gone = near_duplicates(docs, similarity, words).where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(materialize(gone, "gone"), docs.doc_id == F.col("_gone"), "left_anti")
+    """The documents that stay, with the columns of docs, whatever their names; rows without an id stay."""
+    gone = near_duplicates(docs, similarity, words).where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own = F.col(f"c{docs.columns.index('doc_id')}")
+    return inner.join(materialize(gone, "gone"), own == F.col("gone"), "left_anti").toDF(*docs.columns)

@@ -28,6 +28,20 @@ def test_near_duplicates_in_small_blocks(docs, texts, monkeypatch):
     assert got == brute.components(texts, 17, 20)
 
 
+def test_large_groups_settle_in_few_mixes(spark, monkeypatch):
+    """Hundreds of near copies over tiny blocks become one component; beside them a chain of look-alikes
+    below the threshold stays apart."""
+    rng = random.Random(12)
+    base = [rng.choice("abcdefgh") * 3 + str(i) for i in range(80)]
+    near = [(i, " ".join("x" if rng.random() < 0.004 else w for w in base)) for i in range(300)]
+    far = [(1000 + i, " ".join(base[: 80 - 7 * i] + [f"n{i}_{k}" for k in range(7 * i)])) for i in range(1, 6)]
+    rows = near + far
+    monkeypatch.setattr(N, "BUCKET_BLOCK", 20)
+    monkeypatch.setattr(N, "CLUSTER_BLOCK", 1500)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(frame(spark, rows).repartition(4), Fraction(17, 20)).collect()}
+    assert got == brute.components(rows, 17, 20)
+
+
 def test_near_duplicates_of_odd_rows(odd, empty, texts):
     rows = N.near_duplicates(odd).collect()
     assert len(rows) == len(texts) + 4
@@ -89,6 +103,28 @@ def test_a_full_filter_costs_nothing_but_shuffling(docs, texts, monkeypatch):
     assert sorted(map(tuple, exact_duplicates(docs).collect())) == want
 
 
+@pytest.mark.parametrize("name, value", [("RANGE_ROWS", 9), ("HOT_ROWS", 2)])
+def test_exact_dedup_in_ranges_and_with_hot_texts(odd, monkeypatch, name, value):
+    import quarry.llm.exact_dedup as E
+
+    want, kept = sorted(map(tuple, exact_duplicates(odd).collect()), key=str), sorted(r.text or "" for r in keep_largest(odd).collect())
+    monkeypatch.setattr(E, name, value)
+    assert sorted(map(tuple, exact_duplicates(odd).collect()), key=str) == want
+    assert sorted(r.text or "" for r in keep_largest(odd).collect()) == kept
+
+
+def test_few_texts_without_copies_are_shuffled(spark):
+    """A table without copies passes nearly whole, also where its filter is split."""
+    import quarry.llm.exact_dedup as E
+
+    hashes = spark.range(20000).select(F.sha2(F.col("id").cast("string"), 256).alias("sha"))
+    maybe, single = E.Filters(hashes, 20000).split(hashes)
+    assert maybe.count() < 600 and maybe.count() + single.count() == 20000
+    twice = hashes.union(hashes.limit(100))
+    maybe, single = E.Filters(twice, 20100).split(twice)
+    assert 200 <= maybe.count() < 1000 and maybe.count() + single.count() == 20100
+
+
 def test_suffixes_are_sorted():
     rng = random.Random(5)
     for _ in range(1500):
