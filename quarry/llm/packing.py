@@ -101,7 +101,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return np.array(where, np.int64), np.array(offset, np.int64), np.array(fills, np.int64)
 
 
-def pack_rows(batches: Iterator[pa.RecordBatch], capacity: int, turn: int, most: int) -> Iterator[pa.RecordBatch]:
+def pack_rows(batches: Iterator[pa.RecordBatch], capacity: int, turn: int) -> Iterator[pa.RecordBatch]:
     """PIECE_SCHEMA -> PACK_SCHEMA for one partition; open marks the pieces to be exchanged."""
     held = [b for b in batches if b.num_rows]
     if not held:
@@ -109,15 +109,12 @@ def pack_rows(batches: Iterator[pa.RecordBatch], capacity: int, turn: int, most:
     rows = pa.Table.from_batches(held)
     rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("tie", "ascending")])
     lengths = np.asarray(rows.column("length"))
-    for at in range(0, len(lengths), most * 4):  # a partition far above the plan packs in runs
-        part = lengths[at : at + most * 4]
-        bins, offsets, fills = best_fit(part, capacity)
-        gap = len(fills) > lower_bound(np.bincount(part, minlength=capacity + 1), capacity)
-        base = (turn << 56) | (TaskContext.get().partitionId() << 32) | at
-        table = rows.slice(at, len(part))
-        for name, column in (("sequence_id", base + bins), ("offset", offsets), ("open", (fills[bins] < capacity) & gap)):
-            table = table.append_column(name, pa.array(column))
-        yield from table.combine_chunks().to_batches(max_chunksize=50_000)
+    bins, offsets, fills = best_fit(lengths, capacity)
+    gap = len(fills) > lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+    base = (turn << 56) | (TaskContext.get().partitionId() << 32)
+    for name, column in (("sequence_id", base + bins), ("offset", offsets), ("open", (fills[bins] < capacity) & gap)):
+        rows = rows.append_column(name, pa.array(column))
+    yield from rows.combine_chunks().to_batches(max_chunksize=50_000)
 
 
 def _deal(pieces: DataFrame, parts: int, seed: int = 0) -> DataFrame:
@@ -141,7 +138,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, partition_pieces: int = PARTIT
     bins = lambda df: df.select("sequence_id").distinct().count()
     before = None  # the open rows of the last round, where they were dealt to as many partitions again
     while True:
-        packed = materialize(_deal(rest, parts, mixes).mapInArrow(lambda it, t=turn: pack_rows(it, capacity, t, partition_pieces), PACK_SCHEMA), "packed")
+        packed = materialize(_deal(rest, parts, mixes).mapInArrow(lambda it, t=turn: pack_rows(it, capacity, t), PACK_SCHEMA), "packed")
         if before is not None and bins(packed) >= bins(before):
             out.append(before.drop("open"))
             break
