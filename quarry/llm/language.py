@@ -25,6 +25,8 @@ HIDDEN = 8
 SAMPLE_ROWS = 400
 SAMPLE_LANGUAGES = 64
 SAMPLE_BYTES = 512
+#: Tasks that a language's rows are dealt over while the sample is taken.
+SHARES = 64
 STEPS = 240
 BATCH = 256
 RATE = 0.02
@@ -238,8 +240,12 @@ def sample(docs: DataFrame) -> list[tuple[bytes, str]]:
     room = F.greatest(F.char_length("text") - F.lit(SAMPLE_BYTES), F.lit(0)) + 1
     rows = rows.select("lang", "doc_id", mark.alias("mark"), F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(7)), room).cast("int") + 1, SAMPLE_BYTES).alias("part"))
     frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGUAGES).select("lang")
-    first = Window.partitionBy("lang").orderBy("mark", "doc_id", "part")
-    taken = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_ROWS).join(F.broadcast(frequent), "lang")
+    # First within SHARES shares of a language, then among what these leave: no task sees all of one.
+    order = ["mark", "doc_id", "part"]
+    share = Window.partitionBy("lang", F.pmod("doc_id", F.lit(SHARES))).orderBy(*order)
+    few = rows.withColumn("n", F.row_number().over(share)).where(F.col("n") <= SAMPLE_ROWS)
+    first = Window.partitionBy("lang").orderBy(*order)
+    taken = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_ROWS).join(F.broadcast(frequent), "lang")
     return [(part.encode()[:SAMPLE_BYTES], lang) for lang, part in sorted(map(tuple, taken.select("lang", "part").collect()))]
 
 
