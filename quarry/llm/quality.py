@@ -16,23 +16,24 @@ from quarry.llm.common import BYTE_VALUES, U64, mix, prefix_hash, slices, span_h
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 # Marks that end a sentence, what may close after them, separators of menus,
-# words that menus start with, and phrases of boilerplate (compared after lower-casing A-Z).
+# words that menus start with and phrases of boilerplate in English, French, German and Spanish
+# (compared after lower-casing A-Z). What a rule needs of a language is in these two lists alone.
 # Licence statements are not among them: later steps need them.
 TERMINAL = ".!?:;…。！？"
 CLOSING = "\"')]}”’»"
 SEPARATORS = re.compile(r"[|»›→·•<>]")
-MENU_WORDS = ("home", "menu", "login", "log in", "sign in", "sign up", "search", "next", "previous", "contact", "about", "share", "skip to")
+MENU_WORDS = (
+    "home", "menu", "login", "log in", "sign in", "sign up", "search", "next", "previous", "contact", "about", "share", "skip to",
+    "accueil", "connexion", "se connecter", "rechercher", "recherche", "suivant", "précédent", "partager", "aller au contenu",
+    "startseite", "anmelden", "suche", "suchen", "weiter", "zurück", "kontakt", "teilen", "zum inhalt",
+    "inicio", "menú", "iniciar sesión", "buscar", "siguiente", "anterior", "contacto", "compartir", "ir al contenido",
+)
 BOILERPLATE = (
-    "all rights reserved",
-    "privacy policy",
-    "terms of use",
-    "terms of service",
-    "cookie policy",
-    "uses cookies",
-    "enable javascript",
-    "lorem ipsum",
-    "click here",
-)
+    "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "uses cookies", "enable javascript", "lorem ipsum", "click here",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies", "activer javascript", "cliquez ici",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "aktivieren sie javascript", "klicken sie hier",
+    "todos los derechos reservados", "política de privacidad", "condiciones de uso", "utiliza cookies", "active javascript", "haga clic aquí",
+)
 #: A line without a closing mark fails below so many words, or without any mark inside it.
 SHORT_LINE = 10
 #: Words of a menu item, and percent of its characters that removed lines may take from a document.
