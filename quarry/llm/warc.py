@@ -50,34 +50,61 @@ def build(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return gzip.compress(b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n", LEVEL, mtime=0)
 
 
-def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(headers, block) of each record in plain or gzip bytes. What is cut short ends the reading."""
-    if data[:2] == b"\x1f\x8b":
-        plain = []
-        while data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            try:
-                plain.append(member.decompress(data))
-            except zlib.error:
-                break
-            if not member.eof:
-                break
-            data = member.unused_data
-        data = b"".join(plain)
+#: Compressed bytes given to a decompressor at a time.
+STEP = 1 << 16
+
+
+def _members(data: bytes, damage: list[str]) -> Iterator[bytes]:
+    """What gzip members hold, one after the other; after a damaged one reading goes on at the next start."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        member, plain, end = zlib.decompressobj(31), [], at
+        try:
+            while end < len(data) and not member.eof:
+                plain.append(member.decompress(view[end : end + STEP]))
+                end = min(end + STEP, len(data))
+        except zlib.error:
+            pass
+        if member.eof:
+            at = end - len(member.unused_data)
+        else:
+            damage.append("gzip")
+            at = data.find(b"\x1f\x8b\x08", at + 3)
+            at = len(data) if at < 0 else at
+        yield b"".join(plain)
+
+
+def _records(data: bytes, damage: list[str]) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(headers, block) of each record of plain bytes; one cut short counts as damage."""
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
+            damage.append("head")
             return
         headers = parse_headers(data[at:end].split(b"\r\n")[1:])
-        size = next((int(v) for k, v in headers if k.lower() == "content-length" and v.isdigit()), 0)
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            return
+        declared = get(headers, "Content-Length") or ""
+        size = int(declared) if declared.isdecimal() else -1
+        block = data[end + 4 : end + 4 + max(size, 0)]
+        if size < 0 or len(block) < size:
+            damage.append("length")
+            at = end + 4
+            continue
         yield headers, block
         at = end + 4 + size
 
 
+def parse(data: bytes, damage: list[str] | None = None) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(headers, block) of each record in plain or gzip bytes, with one member in memory at a time.
+
+    A record that is cut short or a member that can't be read is left out and named in damage; reading
+    goes on after it. Bytes between records are passed over.
+    """
+    damage = [] if damage is None else damage
+    for part in _members(data, damage) if data[:2] == b"\x1f\x8b" else (data,):
+        yield from _records(part, damage)
+
+
 def parse_headers(lines: list[bytes]) -> list[tuple[str, str]]:
     """Names and values in order; a line that starts with white space goes on with the one before."""
     out: list[tuple[str, str]] = []
@@ -104,6 +131,64 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0].decode("latin-1"), parse_headers(lines[1:]), block[end + 4 :]
 
 
+def _dechunked(body: bytes) -> bytes:
+    """The payload of a body in chunked transfer coding; what can't be read on ends it."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            return b"".join(out) if out else body
+        if not size:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out)
+
+
+def decoded(http: list[tuple[str, str]], body: bytes) -> tuple[bytes, str | None]:
+    """(content, what kept it from being decoded): the body without its transfer and content codings.
+
+    Codings are undone from the last one named to the first; one that is not known, or whose bytes are
+    damaged, leaves the content as it is there.
+    """
+    if "chunked" in (get(http, "Transfer-Encoding") or "").lower():
+        body = _dechunked(body)
+    names = [x.strip().lower() for x in (get(http, "Content-Encoding") or "").split(",") if x.strip()]
+    for name in reversed(names):
+        if name == "identity":
+            continue
+        try:
+            if name in ("gzip", "x-gzip"):
+                body = b"".join(_whole(body))
+            elif name == "deflate":
+                body = zlib.decompress(body) if body[:1] and body[0] & 15 == 8 else zlib.decompress(body, -15)
+            else:
+                return body, name
+        except zlib.error:
+            return body, name
+    return body, None
+
+
+def _whole(body: bytes) -> Iterator[bytes]:
+    while body:
+        member = zlib.decompressobj(31)
+        yield member.decompress(body)
+        if not member.eof:
+            raise zlib.error("cut short")
+        body = member.unused_data
+
+
+def media_type(http: list[tuple[str, str]], content: bytes) -> str:
+    """The declared type without parameters; where none is, HTML unless it has zero bytes."""
+    declared = (get(http, "Content-Type") or "").split(";")[0].strip().lower()
+    return declared or ("application/octet-stream" if b"\0" in content[:1024] else "text/html")
+
+
+def is_markup(kind: str) -> bool:
+    return kind in ("text/html", "application/xhtml+xml", "text/xml", "application/xml") or kind.endswith("+xml")
+
+
 # Elements whose content is no text, those that end a line, and those that link.
 _DROPPED = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template")}
 _BREAKS = frozenset(
@@ -175,12 +260,22 @@ def response_record(page_id: object, url: str | None, source: str | None) -> byt
     )
 
 
-def derive(headers: list[tuple[str, str]], block: bytes) -> tuple[bytes, bytes]:
-    """(metadata record, conversion record) of a response record."""
-    status, http, payload = split_http(block)
+def derive(headers: list[tuple[str, str]], block: bytes) -> tuple[bytes, bytes | None]:
+    """(metadata record, conversion record) of a response record.
+
+    Codings of the body are undone first. HTML and XML become the text of a page, other text types
+    stay as they are; what is no text, or can't be decoded, has no conversion record.
+    """
+    status, http, body = split_http(block)
     source_id = get(headers, "WARC-Record-ID") or record_id("unnamed", digest(block))
-    payload_digest = get(headers, "WARC-Payload-Digest") or digest(payload)
-    title, text, links = page_text(decode_payload(payload, get(http, "Content-Type")))
+    payload_digest = get(headers, "WARC-Payload-Digest") or digest(body)
+    content, undecoded = decoded(http, body)
+    kind = media_type(http, content)
+    title, text, links = "", None, []
+    if undecoded is None and is_markup(kind):
+        title, text, links = page_text(decode_payload(content, get(http, "Content-Type")))
+    elif undecoded is None and (kind.startswith("text/") or kind == "application/json"):
+        text = decode_payload(content, get(http, "Content-Type"))
     shared = [
         ("WARC-Date", get(headers, "WARC-Date") or NO_DATE),
         ("WARC-Refers-To", source_id),
@@ -193,19 +288,22 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> tuple[bytes, bytes]:
         "warc_headers": headers,
         "http_status": status,
         "http_headers": http,
-        "payload_bytes": len(payload),
-        "payload_digest": digest(payload),
+        "media_type": kind,
+        "undecoded": undecoded,
+        "payload_bytes": len(body),
+        "content_bytes": len(content),
+        "payload_digest": digest(body),
         "declared_digest": get(headers, "WARC-Payload-Digest"),
         "title": title,
         "links": links,
     }
-    body = json.dumps(facts, ensure_ascii=False).encode("utf-8", "surrogatepass")
-    plain = text.encode("utf-8", "surrogatepass")
-    made = []
-    for kind, content, mime in (("metadata", body, "application/json"), ("conversion", plain, "text/plain; charset=utf-8")):
+
+    def record(kind: str, content: bytes, mime: str) -> bytes:
         own = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, source_id)), *shared, ("WARC-Block-Digest", digest(content)), ("Content-Type", mime)]
-        made.append(build(own, content))
-    return made[0], made[1]
+        return build(own, content)
+
+    meta = record("metadata", json.dumps(facts, ensure_ascii=False).encode("utf-8", "surrogatepass"), "application/json")
+    return meta, None if text is None else record("conversion", text.encode("utf-8", "surrogatepass"), "text/plain; charset=utf-8")
 
 
 def response_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,18 +317,22 @@ def response_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def derivative_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """page_id, record -> page_id, source, metadata, conversion: one row for each response in record."""
+    """page_id, record -> page_id, response_id, metadata, conversion, damaged: a row for each response
+    in record, and where something in it was damaged a last one with the number of damaged places."""
     for whole in batches:
         for at in range(0, whole.num_rows, 64):
             batch = whole.slice(at, 64)
             rows = []
             for page, data in zip(batch.column("page_id").to_pylist(), batch.column("record").to_pylist()):
-                for headers, block in parse(data or b""):
+                damage: list[str] = []
+                for headers, block in parse(data or b"", damage):
                     if (get(headers, "WARC-Type") or "").lower() == "response":
-                        rows.append((page, get(headers, "WARC-Record-ID"), *derive(headers, block)))
-            columns = list(zip(*rows)) or [()] * 4
-            kinds = [batch.schema.field("page_id").type, pa.string(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "response_id", "metadata", "conversion"])
+                        rows.append((page, get(headers, "WARC-Record-ID"), *derive(headers, block), 0))
+                if damage:
+                    rows.append((page, None, None, None, len(damage)))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = [batch.schema.field("page_id").type, pa.string(), pa.binary(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "response_id", "metadata", "conversion", "damaged"])
 
 
 def report_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,14 +341,16 @@ def report_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for page, source, meta, conv in zip(*(batch.column(c).to_pylist() for c in ("page_id", "response_id", "metadata", "conversion"))):
-            (mh, mb), (ch, cb) = next(parse(meta)), next(parse(conv))
+            mh, mb = next(parse(meta))
+            ch, cb = next(parse(conv)) if conv is not None else ([], None)
             facts = json.loads(mb)
-            if get(mh, "WARC-Refers-To") != get(ch, "WARC-Refers-To") or digest(mb) != get(mh, "WARC-Block-Digest") or digest(cb) != get(ch, "WARC-Block-Digest"):
+            agree = conv is None or (get(mh, "WARC-Refers-To") == get(ch, "WARC-Refers-To") and digest(cb) == get(ch, "WARC-Block-Digest"))
+            if not agree or digest(mb) != get(mh, "WARC-Block-Digest"):
                 raise ValueError(f"records of {source} don't agree")
-            text = cb.decode("utf-8", "surrogatepass")
             rows.append(
-                (page, source, get(mh, "WARC-Record-ID"), get(ch, "WARC-Record-ID"), get(ch, "WARC-Refers-To"), get(ch, "WARC-Target-URI"))
-                + (get(ch, "WARC-Source-Payload-Digest"), facts["title"], len(facts["links"]), len(text), hashlib.sha256(cb).hexdigest())
+                (page, source, get(mh, "WARC-Record-ID"), get(ch, "WARC-Record-ID"), get(mh, "WARC-Refers-To"), get(mh, "WARC-Target-URI"))
+                + (get(mh, "WARC-Source-Payload-Digest"), facts["title"], len(facts["links"]))
+                + ((len(cb.decode("utf-8", "surrogatepass")), hashlib.sha256(cb).hexdigest()) if cb is not None else (None, None))
             )
         kinds = [batch.schema.field("page_id").type] + [pa.string()] * 7 + [pa.int64()] * 2 + [pa.string()]
         columns = list(zip(*rows)) or [()] * len(names)
@@ -260,13 +364,14 @@ def responses(pages: DataFrame) -> DataFrame:
 
 
 def derivatives(records: DataFrame) -> DataFrame:
-    """page_id, response_id, metadata, conversion for each response in records (page_id, record).
+    """page_id, response_id, metadata, conversion, damaged for each response in records (page_id, record).
 
     record may hold one record or a whole file, plain or gzip; other kinds of records and bytes
-    that are no record are passed over.
+    between records are passed over. What is damaged is left out and counted in a row of its own,
+    which has no response; what is no text has no conversion.
     """
     rows = records.select("page_id", "record")
-    return rows.mapInArrow(derivative_rows, "page_id long, response_id string, metadata binary, conversion binary")
+    return rows.mapInArrow(derivative_rows, "page_id long, response_id string, metadata binary, conversion binary, damaged long")
 
 
 def report(pages: DataFrame) -> DataFrame:
@@ -274,9 +379,10 @@ def report(pages: DataFrame) -> DataFrame:
 
     A null url is an empty target, null html an empty payload with an empty text; null ids stay
     null; rows that repeat each get their records, with the same names; other columns are not
-    read; an empty table gives an empty result. Pages of any length are converted whole.
+    read; an empty table gives an empty result. Pages of any length are converted whole. Pages are
+    written as responses here, so none is damaged or without text.
     """
-    return derivatives(responses(pages)).mapInArrow(
+    return derivatives(responses(pages)).where("damaged = 0").drop("damaged").mapInArrow(
         report_rows,
         "page_id long, response_id string, metadata_id string, conversion_id string, refers_to string, target_uri string, "
         "payload_digest string, title string, n_links long, n_chars long, text_sha256 string",

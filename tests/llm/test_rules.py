@@ -51,6 +51,9 @@ def test_quality_of_odd_rows(odd, empty, texts):
         ("Menu", "navigation"),
         ("All rights reserved.", "boilerplate"),
         ("Please enable JavaScript to see this page.", "boilerplate"),
+        ("Alle Rechte vorbehalten.", "boilerplate"),
+        ("Accueil du site", "navigation"),
+        ("Política de privacidad y más.", "boilerplate"),
         ("a line cut short", "punctuation"),
         ("A long line, with a comma inside, whose end was cut off by the crawler at some", None),
         ('He said "yes."', None),
@@ -152,6 +155,106 @@ def test_records_round_trip_and_survive_damage():
     assert len(list(W.parse(whole[:-20]))) == 2 and list(W.parse(b"not a record")) == []
 
 
+class Plain(__import__("html.parser").parser.HTMLParser):
+    """Title, text by lines and links of a page by the standard library's parser."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.out, self.links, self.title, self.skip, self.inside = [], [], None, None, False
+        self.feed(source)
+        self.close()
+        self.text = "\n".join(x for x in (" ".join(line.split()) for line in "".join(self.out).split("\n")) if x)
+        self.title = " ".join((self.title or "").split())
+
+    def handle_starttag(self, tag, attrs):
+        if tag in W._LINKED and dict(attrs).get("href") is not None:
+            self.links.append(dict(attrs)["href"])
+        if tag in W._DROPPED and self.skip is None:
+            self.skip = tag
+            self.out.append(" ")
+        elif tag == "title" and self.title is None:
+            self.inside, self.title = True, ""
+        elif tag in W._BREAKS:
+            self.out.append("\n")
+
+    handle_startendtag = handle_starttag
+
+    def handle_endtag(self, tag):
+        if tag == self.skip:
+            self.skip = None
+        elif tag == "title" and self.inside:
+            self.inside = False
+        elif tag in W._BREAKS and self.skip is None:
+            self.out.append("\n")
+
+    def handle_comment(self, data):
+        if self.skip is None:
+            self.out.append(" ")
+
+    handle_decl = handle_comment
+
+    def handle_data(self, data):
+        if self.inside:
+            self.title += data
+        elif self.skip is None:
+            self.out.append(data)
+
+
+def test_all_pages_equal_the_standard_parser(spark):
+    """The registered query on the whole table of pages against html.parser."""
+    import os
+
+    from quarry.llm.queries import op6_warc_derivatives
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    want = {}
+    for r in spark.read.parquet(f"{d}/pages.parquet").collect():
+        page = Plain(r.html or "")
+        want[r.page_id] = (r.url or "", page.title, len(page.links), len(page.text), hashlib.sha256(page.text.encode()).hexdigest(), W.digest((r.html or "").encode()))
+    got = {r.page_id: (r.target_uri, r.title, r.n_links, r.n_chars, r.text_sha256, r.payload_digest) for r in op6_warc_derivatives(spark, d).collect()}
+    assert got == want
+
+
+def response(head, body):
+    return W.build([("WARC-Type", "response"), ("WARC-Record-ID", W.record_id(head))], f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + body)
+
+
+def test_codings_and_media_types():
+    import gzip
+    import zlib
+
+    page, want = PAGE.encode(), "Head\nOne two\nthree four\nlink"
+    chunked = lambda b: b"".join(f"{len(b[i : i + 50]):x};x=y\r\n".encode() + b[i : i + 50] + b"\r\n" for i in range(0, len(b), 50)) + b"0\r\n\r\n"
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    cases = [
+        ("Content-Type: text/html", page, want),
+        ("Content-Type: text/html\r\nTransfer-Encoding: chunked", chunked(page), want),
+        ("Content-Type: text/html\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked", chunked(gzip.compress(page)), want),
+        ("Content-Type: text/html\r\nContent-Encoding: deflate", zlib.compress(page), want),
+        ("Content-Type: text/html\r\nContent-Encoding: deflate", raw.compress(page) + raw.flush(), want),
+        ("Content-Type: text/plain; charset=latin-1", "é <b>".encode("latin-1"), "é <b>"),
+        ("Content-Type: image/png", b"\x89PNG", None),
+        ("Content-Type: text/html\r\nContent-Encoding: br", b"\0\1", None),
+        ("Content-Type: text/html\r\nContent-Encoding: gzip", gzip.compress(page)[:30], None),
+    ]
+    for head, body, text in cases:
+        meta, conv = W.derive(*next(W.parse(response(head, body))))
+        assert (None if conv is None else next(W.parse(conv))[1].decode()) == text, head
+        assert json.loads(next(W.parse(meta))[1])["payload_digest"] == W.digest(body)
+
+
+def test_damage_is_counted_and_reading_goes_on(spark):
+    good = [W.response_record(i, f"http://a/{i}", PAGE) for i in range(4)]
+    torn = good[0] + good[1][: len(good[1]) // 2] + good[2] + good[3]
+    plain = b"".join(next(W._members(g, [])) for g in good)
+    short = plain.replace(b"Content-Length: ", b"Content-Length: 9", 1)
+    rows = W.derivatives(spark.createDataFrame([(1, bytearray(torn)), (2, bytearray(short)), (3, bytearray(b"none"))], "page_id long, record binary")).collect()
+    per = lambda i: (sum(r.response_id is not None for r in rows if r.page_id == i), sum(r.damaged for r in rows if r.page_id == i))
+    assert per(1) == (3, 1) and per(2) == (3, 1) and per(3) == (0, 0)
+
+
 def test_responses_of_a_whole_file(spark):
     data = b"".join(W.response_record(i, f"http://a/{i}", PAGE) for i in range(3))
     rows = W.derivatives(spark.createDataFrame([(None, bytearray(data)), (None, None)], "page_id long, record binary")).collect()
@@ -207,6 +310,22 @@ def test_languages_of_held_out_texts(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_pools_equal_a_byte_at_a_time():
+    """Probabilities of each segment by itself, summed over a document's bytes."""
+    rng = np.random.default_rng(2)
+    w = G.tables(rng, G.HIDDEN, 3)
+    G.quiet_pad(w, G.HIDDEN)
+    model = G.Model(["a", "b", "c"], w)
+    texts = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 63, 64, 65, 500)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = next(G.pooled(model, iter([(np.frombuffer(b"".join(texts), np.uint8), offsets)])))
+    for t, row in zip(texts, got):
+        want = np.zeros(3)
+        for at in range(0, len(t), G.SEGMENT):
+            want += G.probabilities(w, np.frombuffer(t[at : at + G.SEGMENT], np.uint8).astype(np.intp)[:, None])[:, :, 0].sum(axis=0)
+        assert np.allclose(row, want, atol=1e-3)
+
+
 def test_language_of_odd_rows(odd, empty, texts):
     rows = G.identify(odd).collect()
     assert len(rows) == len(texts) + 4
