@@ -347,9 +347,11 @@ def repeats_in(raw: np.ndarray, sizes: np.ndarray, bucket: np.ndarray, row: np.n
     equal[pair + 1] = _same_bytes(raw, origin[pair], origin[pair + 1], length)
     piece = owner[span_of]
     first = start[piece] + origin - begins[piece]
+    # A window may stand in two texts of one row: equal places have one rank.
     by = np.lexsort((first, row[piece]))
+    moved = (first[by[1:]] != first[by[:-1]]) | (row[piece[by[1:]]] != row[piece[by[:-1]]])
     rank = np.empty(len(by), np.int64)
-    rank[by] = np.arange(len(by))
+    rank[by] = np.concatenate([[0], np.cumsum(moved)])
     least = np.minimum.reduceat(rank, np.flatnonzero(~equal))
     later = np.sort(origin[rank != least[np.cumsum(~equal) - 1]])
     if not len(later):

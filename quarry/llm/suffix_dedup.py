@@ -3,9 +3,10 @@
 Every window of LENGTH bytes belongs to the piece around its minimizer, a gram of GRAM bytes that
 equal windows share. Pieces are dealt out by the minimizer's hash, so all copies of a window meet.
 Of equal pieces the earliest two go on, and what the suffix sort finds for the second holds for
-those after it. All others go on where their minimizer has different ones. They are fetched, and
-the suffixes of a minimizer's pieces are sorted by groups (see substring_kernels) to find equal
-windows. A minimizer with more than HOT such pieces is dealt out anew, by half of the bytes that its
+those after it. Pieces that follow each other in both of two texts make chains, of which stretches are
+sorted together; where a minimizer has different pieces, the earliest of each are. They are fetched,
+and their suffixes are sorted by groups (see substring_kernels) to find equal windows. A minimizer
+with more than HOT different pieces is dealt out anew, by half of the bytes that its
 windows don't have in common yet, and again until no bucket has more; windows with nothing left
 to differ in are all equal, so this ends.
 """
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,9 @@ LENGTH = 100
 GRAM = 32
 #: Pieces that go to the suffix sort together; a bucket with more is dealt out anew.
 HOT = 4096
-#: Bytes of pieces that are suffix-sorted at a time.
-SORTED_BYTES = 1 << 20
+#: Bytes of pieces that are suffix-sorted at a time, and windows of a chain that are sorted together.
+SORTED_BYTES = 2 << 20
+STRETCH = 256
 #: Pieces that a task remembers so that what repeats often is finished before the shuffle.
 REMEMBERED = 1 << 17
 
@@ -110,25 +113,49 @@ def _piece_batch(h: np.ndarray, ph: np.ndarray, place: list[np.ndarray], done: b
 
 
 def fetch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ROW_SCHEMA, text, asked (h, ph, pos, again) -> _BUCKET and again."""
+    """ROW_SCHEMA, text, asked (h, ph, pos, size, again) -> _BUCKET and again."""
     for batch in slices(batches):
-        _, offsets = string_buffers(batch.column("text"))
-        raw = memoryview(string_buffers(batch.column("text"))[0])
+        data, offsets = string_buffers(batch.column("text"))
+        raw = memoryview(data)
         asked = batch.column("asked")
         counts = np.diff(np.asarray(asked.offsets))
         flat = asked.flatten()
-        h, ph, pos, again = (flat.field(n) for n in ("h", "ph", "pos", "again"))
+        h, ph, pos, size, again = (flat.field(n) for n in ("h", "ph", "pos", "size", "again"))
         owner = np.repeat(np.arange(batch.num_rows), counts)
-        packed = np.asarray(pos)
-        lo = offsets[owner] + (packed >> 16)
-        hi = lo + (packed & 255)
-        piece = pa.array([bytes(raw[a:b]) for a, b in zip(lo.tolist(), hi.tolist())], pa.binary())
+        lo = offsets[owner] + (np.asarray(pos) >> 16)
+        piece = pa.array([bytes(raw[a : a + n]) for a, n in zip(lo.tolist(), np.asarray(size).tolist())], pa.binary())
         common = pa.array(np.zeros(len(owner), np.int32))
         yield pa.RecordBatch.from_arrays(
             [h, ph, *[batch.column(n).take(pa.array(owner)) for n in ROW], pos, common, piece, again], names=["h", "ph", *ROW, "pos", "common", "piece", "again"]
         )
 
 
+def chain_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """ROW_SCHEMA, first (the same), ahead, held (start, size) -> h, ROW_SCHEMA, pos, size: pieces that
+    repeat those of another text at one distance, joined where they overlap and cut into stretches, each
+    for both texts under one key."""
+    for batch in batches:
+        out = []
+        columns = [batch.column(n).to_pylist() for n in (*ROW, "first", "ahead", "held")]
+        for none, doc, k1, k2, first, ahead, held in zip(*columns):
+            earlier = (first["none"], first["doc"], first["k1"], first["k2"])
+            spans: list[list[int]] = []
+            for a, n in sorted((x["start"], x["size"]) for x in held):
+                if spans and a <= spans[-1][1] - length + 1:
+                    spans[-1][1] = max(spans[-1][1], a + n)
+                else:
+                    spans.append([a, a + n])
+            for begin, end in spans:
+                for a in range(begin, end - length + 1, STRETCH):
+                    n = min(STRETCH + length - 1, end - a)
+                    key = _digest(repr((none, doc, k1, k2, earlier, ahead, a)).encode())
+                    out.append((key, none, doc, k1, k2, a << 16, n))
+                    out.append((key, *earlier, (a - ahead) << 16, n))
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        made = list(zip(*out)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds)], names=["h", *ROW, "pos", "size"])
+
+
 def _digest(*parts: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
 
@@ -163,11 +190,11 @@ def halved_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> It
 
 
 def sorted_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """_BUCKET sorted by h -> ROW_SCHEMA, a, b: spans that occur earlier. Buckets are whole."""
+    """h, ROW_SCHEMA, pos, piece sorted by h -> ROW_SCHEMA, a, b: spans that occur earlier. Buckets are whole."""
     for bounds, columns in _runs(batches, ["h"], [*ROW, "pos", "piece"]):
         none, doc, k1, k2 = (np.asarray(c) if i else np.asarray(c.to_pylist(), bool) for i, c in enumerate(columns[:4]))
-        pos, piece = np.asarray(columns[4]), columns[5]
-        size = pos & 255
+        start, piece = np.asarray(columns[4]) >> 16, columns[5]
+        size = np.asarray(pc.binary_length(piece)).astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         s = 0
         while s < len(bounds) - 1:
@@ -181,10 +208,10 @@ def sorted_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
             row = np.empty(hi - lo, np.int64)
             row[by] = np.concatenate([[0], np.cumsum(fresh)])
             raw = np.frombuffer(b"".join(piece.slice(lo, hi - lo).to_pylist()), np.uint8)
-            start = pos[lo:hi] >> 16
-            i, a, b = repeats_in(raw, size[lo:hi], bucket, row, start, length)
+            i, a, b = repeats_in(raw, size[lo:hi], bucket, row, start[lo:hi], length)
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i]) for x in rows] + [pa.array(start[i] + a), pa.array(start[i] + b)], names=[*ROW, "a", "b"])
+                at = start[lo:hi][i]
+                yield pa.RecordBatch.from_arrays([pa.array(x[i]) for x in rows] + [pa.array(at + a), pa.array(at + b)], names=[*ROW, "a", "b"])
 
 
 def removed_rows(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
@@ -233,26 +260,52 @@ def with_keys(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:
 
 def _judged(rows: DataFrame, hot: int) -> DataFrame:
     """rows and kind: 0 for finished intervals, 1 for pieces after the second of equal ones, 2 for
-    those to be sorted, 3 for those whose bucket has more than `hot` to be sorted. Pieces that nothing
-    can repeat are left out."""
+    the earliest of different pieces of a bucket, 3 for those where there are more than `hot`, and 4 for
+    second ones, with the place of the first. Pieces that nothing can repeat are left out."""
     equal = Window.partitionBy("key", "ph").orderBy(*ROW, "pos")
     bucket = Window.partitionBy("key")
+    nth = F.col("nth")
+    first = F.struct(*ROW, "pos")
     return (
         rows.withColumn("nth", F.dense_rank().over(equal))
-        .withColumn("more", F.lead("pos").over(equal).isNotNull())
+        .withColumn("first", F.first(first).over(equal))
         .withColumn("low", F.min("ph").over(bucket))
         .withColumn("high", F.max("ph").over(bucket))
-        .withColumn("n", F.count_if(F.col("nth") <= 2).over(bucket))
-        .where("done OR nth > 1 OR more OR low < high")
-        .withColumn("kind", F.when(F.col("done"), 0).when(F.col("nth") > 2, 1).when(F.col("n") <= hot, 2).otherwise(3))
-        .drop("nth", "more", "low", "high", "n", "key")
+        .withColumn("n", F.count_if(nth == 1).over(bucket))
+        .where("done OR nth > 1 OR low < high")
+        .withColumn("kind", F.when(F.col("done"), 0).when(nth > 2, 1).when(nth == 2, 4).when(F.col("n") <= hot, 2).otherwise(3))
+        .withColumn("first", F.when(F.col("kind") == 4, F.col("first")))
+        .drop("nth", "low", "high", "n", "key")
     )
 
 
+def _start(pos: Column) -> Column:
+    return F.shiftright(pos, 16)
+
+
+def _size(pos: Column) -> Column:
+    return pos.bitwiseAND(F.lit(255)).cast("int")
+
+
 def _whole(rows: DataFrame) -> DataFrame:
     """SPAN_SCHEMA of whole pieces."""
-    at = F.shiftright("pos", 16)
-    return rows.select(*ROW, at.alias("a"), (at + F.col("pos").bitwiseAND(F.lit(255))).alias("b"))
+    at = _start(F.col("pos"))
+    return rows.select(*ROW, at.alias("a"), (at + _size(F.col("pos"))).alias("b"))
+
+
+def _chained(rows: DataFrame, length: int) -> DataFrame:
+    """What to fetch (ROW_SCHEMA and a struct) for second pieces with the place of the first."""
+    ahead = _start(F.col("pos")) - _start(F.col("first.pos"))
+    held = F.collect_set(F.struct(_start(F.col("pos")).alias("start"), _size(F.col("pos")).alias("size"))).alias("held")
+    pairs = rows.groupBy(*ROW, F.struct(*[F.col(f"first.{c}").alias(c) for c in ROW]).alias("first"), ahead.alias("ahead")).agg(held)
+    cut = pairs.mapInArrow(lambda it: chain_rows(it, length), f"h long, {ROW_SCHEMA}, pos long, size int")
+    return cut.select(*ROW, F.struct("h", F.lit(0).cast("long").alias("ph"), "pos", "size", F.lit(False).alias("again")).alias("ask"))
+
+
+def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """_BUCKET and again for wanted (ROW_SCHEMA, ask), from one pass over the texts."""
+    asked = wanted.groupBy(*ROW).agg(F.collect_set("ask").alias("asked"))
+    return docs.select(*ROW, "text").join(asked, ROW).mapInArrow(fetch_rows, _BUCKET + ", again boolean")
 
 
 def _sorted(rows: DataFrame, length: int) -> DataFrame:
@@ -263,29 +316,31 @@ def _sorted(rows: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """SPAN_SCHEMA: byte spans of docs (ROW_SCHEMA, text) covered by windows that occur earlier.
 
-    `hot` is how many pieces go to a sort together, at least the two that equal windows leave.
+    `hot` is how many different pieces go to a sort together.
     """
     if not 0 < gram <= length or 2 * length - gram > 255:
         raise ValueError("a piece must fit in 255 bytes: gram <= length and 2 * length - gram <= 255")
-    hot = max(hot, 2)
     rows = docs.select(*ROW, "text").mapInArrow(lambda it: piece_rows(it, length, gram), _PIECES)
     # One shuffle by minimizer serves both windows; finished intervals are spread by their document.
     dealt = rows.withColumn("key", F.when(F.col("done"), F.xxhash64("doc", "h")).otherwise(F.col("h"))).repartition("key")
     known = materialize(_judged(dealt, hot).drop("done"), "pieces")
     out = known.where("kind = 0").select(*ROW, F.col("h").alias("a"), F.col("ph").alias("b")).union(_whole(known.where("kind = 1")))
 
-    ask = F.collect_set(F.struct("h", "ph", "pos", (F.col("kind") == 3).alias("again"))).alias("asked")
-    fetched = docs.select(*ROW, "text").join(known.where("kind >= 2").groupBy(*ROW).agg(ask), ROW).mapInArrow(fetch_rows, _BUCKET + ", again boolean")
+    ask = F.struct("h", "ph", "pos", _size(F.col("pos")).alias("size"), (F.col("kind") == 3).alias("again")).alias("ask")
+    wanted = known.where("kind IN (2, 3)").select(*ROW, ask).union(_chained(known.where("kind = 4"), length))
+    fetched = _fetched(docs, wanted)
+    dealt = None
     if known.where("kind = 3").limit(1).count():
         fetched = materialize(fetched, "fetched")
+        dealt = fetched.where("again").drop("again")
     out = out.union(_sorted(fetched.where("NOT again"), length))
-    dealt = fetched.where("again").drop("again") if known.where("kind = 3").limit(1).count() else None
     while dealt is not None:
         # At most eight rounds: each halves the bytes in which the windows of a bucket may differ.
         halves = dealt.mapInArrow(lambda it: halved_rows(it, length, gram), _BUCKET)
         now = materialize(_judged(halves.withColumns({"key": F.col("h"), "done": F.lit(False)}), hot).drop("done"), "halves")
-        out = out.union(_whole(now.where("kind = 1"))).union(_sorted(now.where("kind = 2"), length))
-        dealt = now.where("kind = 3").drop("kind") if now.where("kind = 3").limit(1).count() else None
+        chains = _fetched(docs, _chained(now.where("kind = 4"), length))
+        out = out.union(_whole(now.where("kind = 1"))).union(_sorted(now.where("kind = 2"), length)).union(_sorted(chains, length))
+        dealt = now.where("kind = 3").drop("kind", "first") if now.where("kind = 3").limit(1).count() else None
     return out
 
 
