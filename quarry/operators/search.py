@@ -52,11 +52,15 @@ KO_TO_EN = {
 QUESTION_WORDS = ("얼마", "언제", "어디", "누구", "무엇", "뭐", "몇", "어느", "무슨", "어떤")
 
 
+class IndexUnavailable(ValueError):
+    """There is no index to search: not the same as a search without results."""
+
+
 def postings(chunks: DataFrame, fields: tuple[str, ...] = tuple(FIELDS), tokenize=terms) -> DataFrame:
     """chunk_id, doc_id, field, term, tf, dl: one row for each term of each field of each chunk.
 
     One pass over the chunks; the counts are combined before the shuffle. To be written sorted by
-    term and read by many queries (see sources.files.write_index).
+    term and read by many queries (see sources.index).
     """
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.filter(tokenize(F.coalesce(F.col(f), F.lit(""))), lambda t: t != "").alias("ts")) for f in fields])).alias("f")
     split = chunks.select("chunk_id", "doc_id", each).select("chunk_id", "doc_id", "f.field", F.size("f.ts").cast("long").alias("dl"), F.explode("f.ts").alias("term"))
@@ -69,12 +73,16 @@ def field_stats(index: DataFrame) -> DataFrame:
     return sizes.groupBy("field").agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
 
 
-def chunk_stats(chunks: DataFrame, fields: tuple[str, ...] = tuple(FIELDS), tokenize=terms) -> DataFrame:
-    """field_stats of the postings of chunks, counted without a row for each term."""
+def field_sizes(chunks: DataFrame, fields: tuple[str, ...] = tuple(FIELDS), tokenize=terms) -> DataFrame:
+    """field, dl: the number of terms of each field of each chunk that has any."""
     size = lambda f: F.size(F.filter(tokenize(F.coalesce(F.col(f), F.lit(""))), lambda t: t != "")).cast("long")
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), size(f).alias("dl")) for f in fields])).alias("f")
-    sizes = chunks.select(each).select("f.field", "f.dl").where("dl > 0")
-    return sizes.groupBy("field").agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+    return chunks.select(each).select("f.field", "f.dl").where("dl > 0")
+
+
+def chunk_stats(chunks: DataFrame, fields: tuple[str, ...] = tuple(FIELDS), tokenize=terms) -> DataFrame:
+    """field_stats of the postings of chunks, counted without a row for each term."""
+    return field_sizes(chunks, fields, tokenize).groupBy("field").agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
 
 
 def query_terms(query: str) -> list[str]:
@@ -162,19 +170,33 @@ def holders(passages: DataFrame, docs: DataFrame, tokenize=terms) -> DataFrame:
     return met.where(F.contains("text", "passage")).select("query_id", "doc_id").union(bare.where(F.contains("text", "passage")).select("query_id", "doc_id"))
 
 
-def okapi(index: DataFrame, query: list[str], n_chunks: int | None = None) -> DataFrame:
-    """chunk_id, doc_id, score of the older index: no field weights, negative idf lifted to a share
-    of the mean idf, and only positive scores kept."""
-    k1, b, eps = OKAPI
+def okapi_stats(index: DataFrame, n_chunks: int | None = None) -> DataFrame:
+    """One row n, avgdl, mean: chunks, their mean length and the mean of all terms' idf. n_chunks counts
+    chunks without terms too, which the index does not have."""
     sizes = index.groupBy("chunk_id").agg(F.max("dl").alias("dl"))
-    whole = sizes.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+    n = F.lit(n_chunks) if n_chunks is not None else F.count("*")
+    whole = sizes.agg(n.cast("long").alias("n"), (F.sum("dl") / n).alias("avgdl"))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(whole)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg((F.sum("raw") / F.count("*")).alias("mean"))
-    idf = raw.where(F.col("term").isin(query)).join(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, eps * F.col("mean")).otherwise(F.col("raw")))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = index.where(F.col("term").isin(query)).join(F.broadcast(idf.select("term", "idf", "avgdl")), "term")
-    return hits.groupBy("chunk_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    raw = df.join(F.broadcast(whole)).select("n", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    return raw.groupBy("n", "avgdl").agg((F.sum("raw") / F.count("*")).alias("mean"))
+
+
+def okapi(index: DataFrame, query: list[str], stats: DataFrame | None = None) -> DataFrame:
+    """chunk_id, doc_id, score of the older index: no field weights, negative idf lifted to a share
+    of the mean idf, a token of the query counted as often as it stands there, and only positive
+    scores kept. stats is okapi_stats, kept with the index."""
+    k1, b, eps = OKAPI
+    stats = okapi_stats(index) if stats is None else stats
+    asked = F.lit(0)
+    for term in dict.fromkeys(query):
+        asked = F.when(F.col("term") == term, F.lit(query.count(term))).otherwise(asked)
+    hits = index.where(F.col("term").isin(query))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    idf = hits.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))
+    idf = idf.select("term", "avgdl", F.when(raw < 0, eps * F.col("mean")).otherwise(raw).alias("idf"), asked.alias("times"))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = hits.join(F.broadcast(idf), "term")  # a row for each term of the query
+    return scored.groupBy("chunk_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
 
 
 def best_per_doc(hits: DataFrame) -> DataFrame:
@@ -249,9 +271,12 @@ def hybrid(bm25_hits: DataFrame, knn_hits: DataFrame, minimum: float = SEM_MINIM
 
 
 def final_page(fused: DataFrame, limit: int = RESULTS) -> DataFrame:
-    """The best documents, scores relative to the best and rounded to four places."""
-    best = fused.orderBy(F.desc("raw"), "doc_id").limit(limit)
-    return best.select("doc_id", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy()), 4).alias("score"), "bm25_rank", "sem_rank", "chunk_id")
+    """The best documents with their places: scores relative to the best and rounded to four places.
+    Equal ones stand as candidates did, keyword hits by rank and then the others by similarity."""
+    order = [F.desc("raw"), F.asc_nulls_last("bm25_rank"), F.col("sem_rank")]
+    best = fused.orderBy(*order).limit(limit)
+    place = F.row_number().over(Window.partitionBy().orderBy(*order)).alias("place")
+    return best.select("doc_id", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy()), 4).alias("score"), "bm25_rank", "sem_rank", "chunk_id", place)
 
 
 def hybrid_old(bm25_hits: DataFrame, vec_hits: DataFrame, top_k: int = 10) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
@@ -35,6 +36,10 @@ def test_search_modes(spark):
     assert ids(query=" ", mode="semantic") == {2, 3} and ids(query="RED", mode="odd", admin=True) == {2}
     assert ids(query="pears red", mode="semantic", admin=True) == {1, 2} and ids(query="pears", mode="semantic") == {2}
     assert ids(admin=True, file_type="pdf") == {1, 3}
+    listed = [(r.position, r.doc_id) for r in search(docs, grants, users, query=" ", admin=True).collect()]
+    assert listed == [(1, 3), (2, 2), (3, 1)]
+    with pytest.raises(S.IndexUnavailable):
+        search(docs, grants, users, query="pears", mode="semantic")
     first = search(docs, grants, users, query="pears", mode="semantic", index=index).first()
     assert first.snippet == "green pears" and first.uploaded_by_name == "U" and first.score == 1.0
     assert log_row(" ", None, 3, "t") is None and log_row("q", None, 3, "t")["user_email"] == "anonymous"
@@ -74,7 +79,53 @@ def test_evaluation_ranks_by_a_search(spark):
         hits = S.bm25(index, S.field_stats(index), S.query_terms(r.text[:40])).collect()
         order = sorted((-h.score, h.doc_id) for h in hits if texts[h.doc_id][1] == "success")[:50]
         ranks[r.item_id] = next((i + 1 for i, (_, x) in enumerate(order) if x in targets), None)
-    got = {r.kind: (r.n, r.hit1, r.hit5, r.mrr10) for r in QUERIES["eval_retrieval"](spark, d).collect()}
+    got = {r.kind: (r.n, r.hit1, r.hit5, r.mrr10) for r in QUERIES["eval_metrics"](spark, d).collect()}
     for kind, own in ((None, list(ranks.values())), ("even", [v for k, v in ranks.items() if k % 2 == 0]), ("odd", [v for k, v in ranks.items() if k % 2])):
         mean = lambda xs: round(sum(xs) / len(own), 3)
         assert got[kind] == (len(own), mean([v == 1 for v in own if v]), mean([v <= 5 for v in own if v]), mean([1 / v for v in own if v and v <= 10]))
+
+
+def test_semantic_results_come_in_order_with_their_best_chunk(spark):
+    """Positions, scores and order agree; snippet and page are those of the best chunk, not of the text."""
+    rows = [(i, f"d{i}.txt", f"whole text of {i}") for i in range(1, 7)]
+    docs = spark.createDataFrame(rows, "id long, filename string, text string").selectExpr(
+        "*", "'txt' AS file_type", "'spec' AS category", "'success' AS status", "'u@x' AS uploaded_by", "'' AS title", "'' AS memo", "1 AS page_count", "0 AS download_count",
+        "CASE WHEN id = 4 THEN 'rnd' END AS department", "TIMESTAMP_NTZ '2024-01-01' AS uploaded_at",
+    )
+    chunks = spark.createDataFrame(
+        [(10 * i + k, i, "apple " * (6 - i if k == 2 else 1) + "pear " * k + f"chunk {k} of {i}", 7 + k) for i in range(1, 7) for k in (1, 2)], "chunk_id long, doc_id long, text string, page_num long"
+    )
+    index = S.postings(chunks.selectExpr("*", "'' AS title", "'' AS filename", "'' AS memo"))
+    near = spark.createDataFrame([(10 * i + 1, i, [1.0, i / 10]) for i in range(1, 7)], "chunk_id long, doc_id long, embedding array<float>")
+    grants = spark.createDataFrame([], "doc_id long, user_email string")
+    users = spark.createDataFrame([("u@x", None)], "email string, name string")
+    out = search(docs, grants, users, query="apple pear", mode="semantic", index=index, chunks=chunks, vectors=near, query_vector=[1.0, 0.0], user="me").collect()
+    assert [r.position for r in out] == list(range(1, len(out) + 1)) and {r.doc_id for r in out} == {1, 2, 3, 5, 6}
+    assert [r.score for r in out] == sorted((r.score for r in out), reverse=True) and out[0].score == 1.0
+    assert all(r.page_num == 8 and f"chunk 1 of {r.doc_id}" in r.snippet for r in out)
+    alone = search(docs, grants, users, query="apple pear", mode="semantic", index=index, chunks=chunks, user="me").collect()
+    assert all(f"of {r.doc_id}" in r.snippet and r.page_num in (8, 9) for r in alone)
+
+
+def test_index_takes_changes(spark, tmp_path):
+    from quarry.sources.index import SearchIndex
+
+    chunk = lambda *rows: spark.createDataFrame(list(rows), "chunk_id long, doc_id long, text string, title string, filename string, memo string")
+    index = SearchIndex(spark, str(tmp_path / "index"))
+    assert index.count() == 0
+    with pytest.raises(S.IndexUnavailable):
+        index.postings()
+    assert index.add(chunk((1, 1, "red apple", "", "a", ""), (2, 1, "green pear", "", "a", ""), (3, 2, "red pear", "t", "b", "m"), (None, 2, "x", "", "", ""))) == (3, 1)
+    ids = lambda word: {r.chunk_id for r in index.postings().where(f"term = '{word}'").collect()}
+    assert ids("red") == {1, 3} and index.count() == 3
+    assert index.add(chunk((1, 1, "blue apple", "", "a", ""))) == (1, 0)
+    assert ids("red") == {3} and ids("apple") == {1} and index.count() == 3
+    assert index.replace(chunk((4, 1, "yellow", "", "a", ""))) == (1, 0)
+    assert ids("apple") == set() and ids("yellow") == {4} and index.count() == 2
+    assert index.delete(spark.createDataFrame([(2,), (9,)], "doc_id long")) == 1
+    assert index.count() == 1 and ids("red") == set()
+    assert index.add(chunk((3, 2, "back again", "", "b", ""))) == (1, 0) and ids("again") == {3}
+    stats = lambda df: sorted((r.field, r.n, round(r.avgdl, 9)) for r in df.collect())
+    fresh = index.compacted(str(tmp_path / "fresh"))
+    assert stats(index.stats()) == stats(S.field_stats(index.postings())) == stats(fresh.stats())
+    assert fresh.count() == 2 and index.chunks().where("chunk_id = 3").first().text == "back again"
