@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,28 +94,45 @@ def title_of(pages: Column) -> Column:
     return F.coalesce(F.get(fit, F.lit(0)), F.lit(""))
 
 
-def highlight(text: Column, tokens: list[str]) -> Column:
-    """text with every token, ignoring case, between <mark> tags; longer tokens first."""
-    quoted = [r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in sorted(tokens, key=len, reverse=True) if t]
-    if not quoted:
+def highlight(text: Column, query: str) -> Column:
+    """text with every word of query, ignoring case, between <mark> tags. Of words that fit at one
+    place the first in the query is marked; a blank query marks nothing."""
+    words = [w for w in re.split(r"\s+", query) if w]
+    if not words:
         return text
-    return F.regexp_replace(text, "(?i)(" + "|".join(quoted) + ")", "<mark>$1</mark>")
+    quoted = "|".join(r"\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E" for w in words)
+    return F.regexp_replace(text, f"(?iu)({quoted})", "<mark>$1</mark>")
+
+
+#: What a recent time is called.
+JUST_NOW, MINUTES, HOURS, DAYS = "방금 전", "분 전", "시간 전", "일 전"
 
 
 def relative_date(ts: Column, as_of: Column) -> Column:
-    """today, yesterday, days up to a week, weeks up to a month, months up to a year, then years."""
-    days = F.datediff(as_of, ts)
-    say = lambda n, unit: F.concat(n.cast("long").cast("string"), F.lit(unit))
+    """How long ago ts was in whole minutes, hours or days, under a minute and in the future just now,
+    from seven days on the date; empty without a time."""
+    seconds = F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(ts.cast("timestamp"))
+    whole = lambda size, unit: F.concat(F.floor(seconds / size).cast("string"), F.lit(unit))
     return (
-        F.when(days <= 0, "today")
-        .when(days == 1, "yesterday")
-        .when(days < 7, say(days, " days ago"))
-        .when(days < 30, say(F.floor(days / 7), " weeks ago"))
-        .when(days < 365, say(F.floor(days / 30), " months ago"))
-        .otherwise(say(F.floor(days / 365), " years ago"))
+        F.when(ts.isNull(), "")
+        .when(seconds < 60, JUST_NOW)
+        .when(seconds < 3600, whole(60, MINUTES))
+        .when(seconds < 86400, whole(3600, HOURS))
+        .when(seconds < 604800, whole(86400, DAYS))
+        .otherwise(F.date_format(ts, "yyyy.MM.dd"))
     )
 
 
+def in_seoul(ts: Column) -> Column:
+    """The wall clock in Seoul at a time given in UTC."""
+    return F.convert_timezone(F.lit("UTC"), F.lit("Asia/Seoul"), ts.cast("timestamp_ntz"))
+
+
+def percent(share: Column) -> Column:
+    """A share from 0 to 1 as a whole percentage, halves away from zero; null stays null."""
+    return F.round(share * 100, 0).cast("long")
+
+
 def days_left(deleted_at: Column, as_of: Column, keep_days: int) -> Column:
     """Days until a trashed row is purged: rounded up, never below 0."""
     seconds = F.unix_seconds(deleted_at.cast("timestamp")) + keep_days * 86400 - F.unix_seconds(as_of.cast("timestamp"))

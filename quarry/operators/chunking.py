@@ -7,6 +7,7 @@ fell, so it runs as Python over Arrow batches; everything else is column express
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -100,11 +101,25 @@ def page_at(offsets: Column, place: Column) -> Column:
     return F.coalesce(F.get(before, F.size(before) - 1)["page"], F.get(offsets, F.lit(0))["page"])
 
 
+def page_chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, offsets -> doc_id, chunk_idx, page_num, text: chunks with the page they start on."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            rows = []
+            for doc, text, offsets in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "offsets"))):
+                starts = [o["off"] for o in offsets]
+                for i, (begin, _, chunk) in enumerate(spans(text)):
+                    if len(chunk) >= SHORTEST:
+                        rows.append((doc, i, offsets[max(bisect.bisect_right(starts, begin) - 1, 0)]["page"], chunk))
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "chunk_idx", "page_num", "text"])
+
+
 def page_chunks(docs: DataFrame) -> DataFrame:
     """doc_id, chunk_idx, page_num, text of the chunks long enough to be indexed."""
-    joined = joined_pages(docs)
-    cut = chunks(joined).where(F.length("text") >= SHORTEST)
-    return cut.join(joined.select("doc_id", "offsets"), "doc_id").select("doc_id", "chunk_idx", page_at(F.col("offsets"), F.col("char_start")).alias("page_num"), "text")
+    return joined_pages(docs).mapInArrow(page_chunk_rows, "doc_id long, chunk_idx int, page_num long, text string")
 
 
 def snippet(text: str, tokens: list[str], size: int = 200) -> str:

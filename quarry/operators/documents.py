@@ -113,12 +113,16 @@ def latest_per(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def newest_duplicate(docs: DataFrame) -> DataFrame:
-    """id, duplicate_of: the newest other document with the same content hash."""
+    """id, duplicate_of: the newest other document with the same content hash.
+
+    Map tasks keep two rows of a hash, so the window holds no more than that many of each.
+    """
+    held = docs.where(F.col("sha256").isNotNull()).select("id", "sha256", "uploaded_at")
     w = Window.partitionBy("sha256").orderBy(F.desc("uploaded_at"), F.desc("id"))
-    ranked = docs.where(F.col("sha256").isNotNull()).select("id", "sha256", F.row_number().over(w).alias("n"))
-    first = ranked.where("n = 1").select("sha256", F.col("id").alias("_first"))
-    second = ranked.where("n = 2").select("sha256", F.col("id").alias("_second"))
-    return ranked.join(second, "sha256").join(first, "sha256").select("id", F.when(F.col("n") == 1, F.col("_second")).otherwise(F.col("_first")).alias("duplicate_of"))
+    two = held.withColumn("_n", F.row_number().over(w)).where("_n <= 2")
+    best = two.groupBy("sha256").agg(F.max(F.when(F.col("_n") == 1, F.col("id"))).alias("_first"), F.max(F.when(F.col("_n") == 2, F.col("id"))).alias("_second"))
+    other = F.when(F.col("id") == F.col("_first"), F.col("_second")).otherwise(F.col("_first"))
+    return held.join(best.where("_second IS NOT NULL"), "sha256").select("id", other.alias("duplicate_of"))
 
 
 def display_name(df: DataFrame, users: DataFrame, email: str, out: str) -> DataFrame:
@@ -147,21 +151,21 @@ def notification_rows(notes: DataFrame, docs: DataFrame, comments: DataFrame, re
     )
 
 
-def fan_out(comments: DataFrame, docs: DataFrame) -> DataFrame:
-    """A notification for the uploader of each commented document, but not to oneself or to nobody."""
+def fan_out(comments: DataFrame, docs: DataFrame, users: DataFrame) -> DataFrame:
+    """A notification for the uploader of each commented document, but not to oneself or to nobody: who
+    commented on what, and the first 80 characters."""
     up = docs.select(F.col("id").alias("_did"), "uploaded_by", "title", "filename")
-    ok = F.col("uploaded_by").isNotNull() & (F.col("uploaded_by") != "anonymous") & (F.col("uploaded_by") != F.col("user_email"))
-    return (
-        comments.join(up, F.col("doc_id") == F.col("_did"))
-        .where(ok)
-        .select(F.col("id").alias("comment_id"), "doc_id", F.col("uploaded_by").alias("recipient"), F.concat(F.col("user_email"), F.lit(" commented on "), or_else(F.col("title"), F.col("filename"))).alias("message"))
-    )
+    ok = F.col("uploaded_by").isNotNull() & (F.col("uploaded_by") != "") & (F.col("uploaded_by") != "anonymous") & ~F.col("uploaded_by").eqNullSafe(F.col("user_email"))
+    named = display_name(comments, users, "user_email", "_who").join(up, F.col("doc_id") == F.col("_did")).where(ok)
+    label = or_else(F.col("title"), F.col("filename"))
+    said = F.concat(F.coalesce("_who", "user_email"), F.lit("님이 '"), label, F.lit("' 문서에 댓글을 남겼습니다: "), F.substring("content", 1, 80))
+    return named.select(F.col("id").alias("comment_id"), "doc_id", F.col("uploaded_by").alias("recipient"), said.alias("message"))
 
 
 def statuses(docs: DataFrame, chunks: DataFrame, id_list: str) -> DataFrame:
     """Status and chunk count of the ids in a comma list; what is no number in it is ignored."""
     ids = [int(x) for x in (p.strip() for p in id_list.split(",")) if x.isdecimal()]
-    count = chunks.groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("_n"))
+    count = chunks.where(F.col("doc_id").isin(ids)).groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("_n"))
     return docs.where(F.col("id").isin(ids)).join(count, F.col("id") == F.col("_d"), "left").select("id", "status", F.coalesce("_n", F.lit(0)).cast("long").alias("chunk_count"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import shift
+from quarry.functions.text import or_else, shift
 from quarry.operators.documents import without_keys
 
 TRASH_DAYS = 30
@@ -56,38 +56,65 @@ def stale_to_failed(docs: DataFrame, as_of: str, minutes: int = STALE_MINUTES) -
 
 
 def purge_logs(logs: DataFrame, as_of: str) -> DataFrame:
-    """Deletion logs after a sweep: trash past its days is purged, entries past theirs are gone."""
+    """Deletion logs after a sweep: trash past its days is purged and loses its snapshot, entries past
+    theirs are gone."""
     age = lambda d: shift(as_of_lit(as_of), days=-d)
     kept = logs.where(F.col("deleted_at") >= age(LOG_DAYS))
-    return set_where(kept, (F.col("status") == "trashed") & (F.col("deleted_at") < age(TRASH_DAYS)), status=F.lit("purged"))
+    late = (F.col("status") == "trashed") & (F.col("deleted_at") < age(TRASH_DAYS))
+    values = {"status": F.lit("purged")} | ({"snapshot": F.lit(None).cast("string")} if "snapshot" in logs.columns else {})
+    return set_where(kept, late, **values)
 
 
 def log_states(logs: DataFrame, as_of: str) -> DataFrame:
-    """What a deletion log shows: state, and until when a trashed document can be restored."""
+    """What a deletion log shows: state, and until when a trashed document can be restored. Trash whose
+    time is over counts as purged already."""
     until = shift(F.col("deleted_at"), days=TRASH_DAYS)
-    open_ = (F.col("status") == "trashed") & (until >= as_of_lit(as_of))
-    state = F.when(F.col("status").isNull(), "legacy").when((F.col("status") == "trashed") & ~open_, "expired").otherwise(F.col("status"))
+    open_ = (F.col("status") == "trashed") & (until > as_of_lit(as_of))
+    state = F.when((F.col("status") == "trashed") & ~open_, "purged").otherwise(or_else(F.col("status"), F.lit("legacy")))
     return logs.select("id", "doc_id", "filename", "deleted_at", state.alias("state"), F.when(open_, until).alias("restorable_until"))
 
 
-def restore_verdict(logs: DataFrame, as_of: str) -> DataFrame:
-    """The answer to a restore: 200, 404 without an entry to restore, 409 when done, 410 when too late."""
-    late = shift(F.col("deleted_at"), days=TRASH_DAYS) < as_of_lit(as_of)
-    verdict = F.when(F.col("status").isNull(), 404).when(F.col("status") == "restored", 409).when((F.col("status") == "purged") | late, 410).otherwise(200)
-    return logs.select("id", "doc_id", verdict.alias("verdict"))
+def restore_verdict(wanted: DataFrame, logs: DataFrame, as_of: str) -> DataFrame:
+    """The answer to each restore (wanted: id of a log): 404 without a log, 409 when restored already,
+    410 when it is not in the trash, its snapshot or folder is missing or its time is over, else 200."""
+    held = logs.select(F.col("id").alias("_id"), "status", "deleted_at", "snapshot", "trash_dir")
+    gone = (or_else(F.col("snapshot"), F.lit(None)).isNull()) | (or_else(F.col("trash_dir"), F.lit(None)).isNull())
+    late = shift(F.col("deleted_at"), days=TRASH_DAYS) <= as_of_lit(as_of)
+    verdict = (
+        F.when(F.col("_id").isNull(), 404)
+        .when(F.col("status") == "restored", 409)
+        .when(~F.col("status").eqNullSafe(F.lit("trashed")) | gone | late, 410)
+        .otherwise(200)
+    )
+    return wanted.join(held, wanted.id == F.col("_id"), "left").select("id", verdict.alias("verdict"))
+
+
+#: Ids that are numbered together when conflicts get new ones.
+ID_RANGE = 100_000
 
 
 def restored_ids(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, restored_id: the old id, or where it is taken the next free ones in order."""
+    """doc_id, restored_id: the old id, or where it is taken the next free ones in order.
+
+    Conflicts are numbered within ranges of ids; only a count for each range stands in one place.
+    """
     top = docs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     taken = docs.select(F.col("id").alias("_taken"))
     marked = wanted.join(taken, wanted.doc_id == taken._taken, "left").withColumn("_new", F.col("_taken").isNotNull())
-    # Numbering within the conflicts alone: the rest keep their ids and need no order.
-    fresh = marked.where("_new").withColumn("_k", F.row_number().over(Window.orderBy("doc_id")))
-    fresh = fresh.join(F.broadcast(top)).select("doc_id", (F.col("_top") + F.col("_k")).alias("restored_id"))
+    fresh = marked.where("_new").withColumn("_range", F.floor(F.col("doc_id") / ID_RANGE))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = fresh.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = fresh.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy("doc_id"))).join(starts, "_range")
+    fresh = numbered.join(F.broadcast(top)).select("doc_id", (F.col("_top") + F.col("_before") + F.col("_k")).alias("restored_id"))
     return marked.where("NOT _new").select("doc_id", F.col("doc_id").alias("restored_id")).unionByName(fresh)
 
 
+def sweep(rows: DataFrame, at: str, as_of: str, days: int) -> DataFrame:
+    """Rows that a sweep leaves: those not older than so many days (revoked sessions SESSION_DAYS,
+    mirrored trash MIRROR_DAYS)."""
+    return rows.where(F.col(at) >= shift(as_of_lit(as_of), days=-days))
+
+
 def cascade(children: dict[str, DataFrame], gone: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
     """Child tables without the rows of deleted documents (gone: id)."""
     return {name: without_keys(df, gone, key, "id") for name, df in children.items()}

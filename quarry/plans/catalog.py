@@ -31,6 +31,7 @@ SELECT doc_id AS id,
        CASE WHEN doc_id % 6 = 0 THEN concat('memo ', lang, ' the note') ELSE NULL END AS memo,
        1 + doc_id % 40 AS page_count,
        CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id % 17 END AS download_count,
+       CASE WHEN doc_id % 7 = 0 THEN NULL ELSE concat('in/', source, '/', lang, {_EXT}) END AS original_path,
        lang, text
 FROM documents""",
     "kb_users": """
@@ -53,10 +54,11 @@ SELECT event_id % (SELECT count(*) FROM documents) AS doc_id,
 FROM events WHERE event_type = 'click' GROUP BY 1, 2""",
     "kb_downloads": """
 SELECT event_id AS id, event_id % (SELECT count(*) FROM documents) AS doc_id, ts AS at FROM events WHERE event_type = 'purchase'""",
-    "kb_comments": """
+    "kb_comments": f"""
 SELECT conv_id * 100 + turn AS id, conv_id % (SELECT count(*) FROM documents) AS doc_id,
        concat('u', CAST((conv_id * 7 + turn) % 50 AS STRING), '@ex.com') AS user_email,
-       substring(text, 1, 1000) AS content
+       substring(text, 1, 1000) AS content,
+       {_EPOCH} + INTERVAL '1' MINUTE * ((conv_id * 13 + turn) % 40000) AS created_at
 FROM conversations WHERE role = 'user'""",
     "kb_page_scores": """
 SELECT doc_id AS page_id,
@@ -67,14 +69,25 @@ FROM documents""",
     "kb_deletion_logs": f"""
 SELECT doc_id AS id, doc_id, concat('d', CAST(doc_id AS STRING)) AS filename,
        CASE doc_id % 4 WHEN 0 THEN 'trashed' WHEN 1 THEN 'restored' WHEN 2 THEN 'purged' ELSE NULL END AS status,
-       {_EPOCH} + INTERVAL '1' HOUR * (doc_id % 720) - INTERVAL '1' DAY * (doc_id % 97) AS deleted_at
+       {_EPOCH} + INTERVAL '1' HOUR * (doc_id % 720) - INTERVAL '1' DAY * (doc_id % 97) AS deleted_at,
+       CASE WHEN doc_id % 5 = 0 THEN NULL ELSE concat('[', CAST(doc_id AS STRING), ']') END AS snapshot,
+       CASE WHEN doc_id % 7 = 0 THEN '' ELSE concat('trash/', CAST(doc_id AS STRING)) END AS trash_dir
 FROM documents WHERE doc_id % 9 = 0""",
+    "kb_revoked_sessions": """
+SELECT user_id AS session_id, max(ts) AS revoked_at FROM events GROUP BY user_id
+HAVING max(ts) = max(CASE WHEN event_type = 'error' THEN ts END)""",
+    "kb_admin_emails": """
+SELECT DISTINCT concat('U', CAST(doc_id % 50 AS STRING), '@ex.com') AS email FROM documents WHERE (doc_id % 50) % 9 = 4""",
+    "kb_chunks": """
+SELECT vec_id AS chunk_id, vec_id % 100 AS doc_id, substring(text, CAST((vec_id / 100) * 400 + 1 AS INT), 400) AS text, 1 + vec_id / 100 AS page_num,
+       CAST(vec_id / 100 AS INT) AS chunk_idx, embedding
+FROM embeddings JOIN documents ON vec_id % 100 = doc_id""",
     "kb_chunk_vectors": "SELECT vec_id AS chunk_id, vec_id % 100 AS doc_id, embedding, label FROM embeddings",
 }
 
-#: Views that a view reads.
-_SPARK = {"sha256_hex(text)": "sha2(text, 256)", "json_k(props)": "get_json_object(props, '$.k')", "(doc_id / 5) %": "(doc_id DIV 5) %"}
+_SPARK = {"vec_id / 100": "vec_id DIV 100", "sha256_hex(text)": "sha2(text, 256)", "json_k(props)": "get_json_object(props, '$.k')", "(doc_id / 5) %": "(doc_id DIV 5) %"}
 _DUCK = {
+    "vec_id / 100": "vec_id // 100",
     "sha256_hex(text)": "sha256(text)",
     "json_k(props)": "json_extract_string(props, '$.k')",
     "(doc_id / 5) %": "(doc_id // 5) %",
@@ -97,7 +110,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of VIEWS as a DataFrame; nothing is registered in the session."""
     sql = _dialect(VIEWS[name], _SPARK)
     for base in ("documents", "events", "conversations", "embeddings"):
-        sql = sql.replace(f"FROM {base}", f"FROM {{{base}}}")
+        sql = sql.replace(f"FROM {base}", f"FROM {{{base}}}").replace(f"JOIN {base}", f"JOIN {{{base}}}")
     used = {b: table(spark, sf_dir, b) for b in ("documents", "events", "conversations", "embeddings") if f"{{{b}}}" in sql}
     return spark.sql(sql, **used)
 

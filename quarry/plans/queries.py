@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import admin
 from quarry.operators import chunking as C
 from quarry.operators import documents as D
 from quarry.operators import lifecycle as L
 from quarry.operators import search as S
 from quarry.plans.catalog import AS_OF, oracle, table, view
+from quarry.plans.dispatch import search
+from quarry.sources.index import SearchIndex
+from quarry.sources.parse import RESULT
 from quarry.streaming import jobs as J
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,9 +105,9 @@ def admin_page_by_downloads(spark, d):
     return D.page_of(view(spark, d, "kb_documents"), [F.coalesce("download_count", F.lit(0)).desc(), F.col("id")], 2, 20).select("id", "filename", "download_count")
 
 
-@query("SELECT filename, id, uploaded_at FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY uploaded_at DESC, id DESC) AS n FROM kb_documents) k WHERE n = 1")
+@query("SELECT original_path, id, uploaded_at FROM (SELECT *, row_number() OVER (PARTITION BY original_path ORDER BY uploaded_at DESC, id DESC) AS n FROM kb_documents WHERE original_path IS NOT NULL) k WHERE n = 1")
 def upload_check_latest(spark, d):
-    return D.latest_per(view(spark, d, "kb_documents"), "category", [F.desc("uploaded_at"), F.desc("id")]).select("filename", "id", "uploaded_at")
+    return D.latest_per(view(spark, d, "kb_documents"), "original_path", [F.desc("uploaded_at"), F.desc("id")]).select("original_path", "id", "uploaded_at")
 
 
 @query(
@@ -140,8 +144,8 @@ def _notes(comments: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""WITH {_NOTES} SELECT n.id, n.doc_id, coalesce(nullif(title, ''), filename) AS doc_label, coalesce(c.content, message) AS body, is_read, created_at
-FROM n JOIN kb_documents k ON n.doc_id = k.id LEFT JOIN kb_comments c ON c.id = comment_id ORDER BY created_at DESC, n.id DESC LIMIT 50"""
+    f"""WITH {_NOTES} SELECT n.id, n.doc_id, coalesce(nullif(title, ''), filename) AS doc_label, coalesce(c.content, message) AS body, is_read, n.created_at
+FROM n JOIN kb_documents k ON n.doc_id = k.id LEFT JOIN kb_comments c ON c.id = comment_id ORDER BY n.created_at DESC, n.id DESC LIMIT 50"""
 )
 def notifications_join(spark, d):
     comments = view(spark, d, "kb_comments")
@@ -158,10 +162,10 @@ def comments_with_names(spark, d):
     return D.display_name(view(spark, d, "kb_comments"), view(spark, d, "kb_users"), "user_email", "author").select("id", "doc_id", "content", "author")
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id % 3 = 0)")
+@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT session_id FROM kb_revoked_sessions)")
 def session_valid_anti(spark, d):
     events = table(spark, d, "events")
-    return D.without_keys(events.where("event_type = 'view'").select("user_id").distinct(), events.where("event_type = 'error' AND user_id % 3 = 0"), "user_id", "user_id")
+    return D.without_keys(events.where("event_type = 'view'").select("user_id").distinct(), view(spark, d, "kb_revoked_sessions"), "user_id", "session_id")
 
 
 _CHUNKS = "ch AS (SELECT vec_id AS chunk_id, vec_id % 100 AS doc_id FROM embeddings)"
@@ -178,11 +182,11 @@ def uploaders_distinct(spark, d):
 
 
 @query(
-    """SELECT c.id AS comment_id, c.doc_id, uploaded_by AS recipient, concat(c.user_email, ' commented on ', coalesce(nullif(title, ''), filename)) AS message
-FROM kb_comments c JOIN kb_documents k ON c.doc_id = k.id WHERE uploaded_by <> 'anonymous' AND uploaded_by <> c.user_email"""
+    """SELECT c.id AS comment_id, c.doc_id, uploaded_by AS recipient, concat(coalesce(nullif(u.name, ''), c.user_email), '님이 ', chr(39), coalesce(nullif(title, ''), filename), chr(39), ' 문서에 댓글을 남겼습니다: ', substring(content, 1, 80)) AS message
+FROM kb_comments c JOIN kb_documents k ON c.doc_id = k.id LEFT JOIN kb_users u ON u.email = c.user_email WHERE uploaded_by <> 'anonymous' AND uploaded_by <> c.user_email"""
 )
 def comment_fanout(spark, d):
-    return D.fan_out(view(spark, d, "kb_comments"), view(spark, d, "kb_documents"))
+    return D.fan_out(view(spark, d, "kb_comments"), view(spark, d, "kb_documents"), view(spark, d, "kb_users"))
 
 
 # ---- aggregates ---------------------------------------------------------------------------------------------
@@ -243,19 +247,21 @@ def known_departments(spark, d):
 
 @query(
     f"""SELECT id, doc_id, filename, deleted_at,
-CASE WHEN status IS NULL THEN 'legacy' WHEN status = 'trashed' AND deleted_at + INTERVAL 30 DAY < TIMESTAMP '{AS_OF}' THEN 'expired' ELSE status END AS state,
-CASE WHEN status = 'trashed' AND deleted_at + INTERVAL 30 DAY >= TIMESTAMP '{AS_OF}' THEN deleted_at + INTERVAL 30 DAY END AS restorable_until FROM kb_deletion_logs"""
+CASE WHEN status IS NULL THEN 'legacy' WHEN status = 'trashed' AND deleted_at + INTERVAL 30 DAY <= TIMESTAMP '{AS_OF}' THEN 'purged' ELSE status END AS state,
+CASE WHEN status = 'trashed' AND deleted_at + INTERVAL 30 DAY > TIMESTAMP '{AS_OF}' THEN deleted_at + INTERVAL 30 DAY END AS restorable_until FROM kb_deletion_logs"""
 )
 def deletion_log_state(spark, d):
     return L.log_states(view(spark, d, "kb_deletion_logs"), AS_OF)
 
 
 @query(
-    f"""SELECT id, doc_id, CASE WHEN status IS NULL THEN 404 WHEN status = 'restored' THEN 409 WHEN status = 'purged' OR deleted_at + INTERVAL 30 DAY < TIMESTAMP '{AS_OF}' THEN 410 ELSE 200 END AS verdict
-FROM kb_deletion_logs"""
+    f"""SELECT w.doc_id AS id, CASE WHEN g.id IS NULL THEN 404 WHEN status = 'restored' THEN 409
+WHEN status IS NULL OR status <> 'trashed' OR coalesce(snapshot, '') = '' OR coalesce(trash_dir, '') = '' OR deleted_at + INTERVAL 30 DAY <= TIMESTAMP '{AS_OF}' THEN 410 ELSE 200 END AS verdict
+FROM documents w LEFT JOIN kb_deletion_logs g ON g.id = w.doc_id"""
 )
 def restore_eligibility(spark, d):
-    return L.restore_verdict(view(spark, d, "kb_deletion_logs"), AS_OF)
+    wanted = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    return L.restore_verdict(wanted, view(spark, d, "kb_deletion_logs"), AS_OF)
 
 
 @query(f"SELECT id, greatest(0, CAST(ceil((epoch(deleted_at) + 30 * 86400 - epoch(TIMESTAMP '{AS_OF}')) / 86400) AS BIGINT)) AS days_left FROM kb_deletion_logs WHERE status = 'trashed'")
@@ -269,11 +275,12 @@ def stale_parsing_sweep(spark, d):
 
 
 @query(
-    f"""SELECT id, CASE WHEN status = 'trashed' AND deleted_at < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY THEN 'purged' ELSE status END AS status
+    f"""SELECT id, CASE WHEN status = 'trashed' AND deleted_at < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY THEN 'purged' ELSE status END AS status,
+CASE WHEN status = 'trashed' AND deleted_at < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY THEN NULL ELSE snapshot END AS snapshot
 FROM kb_deletion_logs WHERE deleted_at >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY"""
 )
 def retention_purge(spark, d):
-    return L.purge_logs(view(spark, d, "kb_deletion_logs"), AS_OF).select("id", "status")
+    return L.purge_logs(view(spark, d, "kb_deletion_logs"), AS_OF).select("id", "status", "snapshot")
 
 
 @query("SELECT id, coalesce(download_count, 0) + (SELECT count(*) FROM kb_downloads w WHERE w.doc_id = k.id) AS download_count FROM kb_documents k")
@@ -339,8 +346,10 @@ def backup_retention(spark, d):
 
 
 @query(
-    """SELECT CAST(id AS VARCHAR) AS id, filename, category, file_type, CASE status WHEN 'success' THEN 'done' WHEN 'failed' THEN 'failed' ELSE 'in progress' END AS status,
-CAST(page_count AS VARCHAR) AS pages, CAST(coalesce(download_count, 0) AS VARCHAR) AS downloads, uploaded_by, strftime(uploaded_at, '%Y-%m-%d %H:%M') AS uploaded_at FROM kb_documents"""
+    """SELECT CAST(id AS VARCHAR) AS "ID", filename AS "파일명", coalesce(file_type, '') AS "파일형식", coalesce(original_path, '') AS "원본경로",
+CASE category WHEN 'spec' THEN '사양서' WHEN 'research' THEN '연구자료' WHEN 'presentation' THEN '발표자료' WHEN 'report' THEN '보고서' ELSE coalesce(nullif(category, ''), '미지정') END AS "카테고리",
+CASE WHEN status = 'success' THEN '성공' ELSE '실패' END AS "상태", CAST(page_count AS VARCHAR) AS "페이지수", CASE WHEN has_flagged THEN '검토필요' ELSE '정상' END AS "OCR저신뢰",
+strftime(uploaded_at, '%Y-%m-%d %H:%M:%S') AS "업로드시각" FROM kb_documents"""
 )
 def csv_export_rows(spark, d):
     from quarry.sources.files import export_rows
@@ -375,8 +384,28 @@ def _as_chunks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("id").alias("chunk_id"), F.col("id").alias("doc_id"), "text", "title", "filename", "memo")
 
 
+#: Indexes built in this session, by application, tables and kind.
+_BUILT: dict[tuple[str, str, str], str] = {}
+
+
+def built(spark: SparkSession, d: str, kind: str = "documents") -> SearchIndex:
+    """The search index of the tables under d: written once in a session, read by every query."""
+    fields = {"legacy": ("text",)}.get(kind, tuple(S.FIELDS))
+    tokenize = T.english_tokens if kind == "legacy" else T.terms
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _BUILT:
+        path = _scratch(spark)
+        index = SearchIndex(spark, path, fields, tokenize)
+        docs = view(spark, d, "kb_documents")
+        index.add(admin.backfill(view(spark, d, "kb_chunks"), docs) if kind == "chunks" else _as_chunks(docs))
+        if kind == "legacy":
+            S.okapi_stats(index.postings()).write.parquet(f"{path}/okapi")
+        _BUILT[key] = path
+    return SearchIndex(spark, _BUILT[key], fields, tokenize)
+
+
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return S.postings(_as_chunks(view(spark, d, "kb_documents")))
+    return built(spark, d).postings()
 
 
 WORDS = ["the", "and", "that", "note"]
@@ -389,13 +418,13 @@ def tokenize_terms(spark, d):
 
 @query(f"WITH {_POSTINGS} SELECT field, n, round(avgdl, 6) AS avgdl FROM stats")
 def corpus_field_stats(spark, d):
-    return S.field_stats(_index(spark, d)).select("field", "n", F.round("avgdl", 6).alias("avgdl"))
+    return built(spark, d).stats().select("field", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {_POSTINGS}, {_bm25_sql(WORDS[:3], chr(39) + 'text' + chr(39), 2)} SELECT doc_id, score FROM bm WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 100")
 def bm25_single_field(spark, d):
-    index = S.postings(_as_chunks(view(spark, d, "kb_documents")), ("text",))
-    hits = S.bm25(index, S.field_stats(index), WORDS[:3])
+    index = built(spark, d)
+    hits = S.bm25(index.postings().where("field = 'text'"), index.stats(), WORDS[:3])
     return S.top(hits, S.BM25_DOCS).select("doc_id", "score")
 
 
@@ -408,9 +437,9 @@ WHERE score > 0 AND doc_id IN (SELECT id FROM kb_documents WHERE status = 'succe
 )
 def bm25_multifield_msm(spark, d):
     docs = view(spark, d, "kb_documents")
-    index = S.postings(_as_chunks(docs))
+    index = built(spark, d)
     allowed = D.visible(docs).select(F.col("id").alias("doc_id"))
-    return S.top(S.best_per_doc(S.bm25(index, S.field_stats(index), WORDS, allowed=allowed)), S.BM25_DOCS).select("doc_id", "score")
+    return S.top(S.best_per_doc(S.bm25(index.postings(), index.stats(), WORDS, allowed=allowed)), S.BM25_DOCS).select("doc_id", "score")
 
 
 _EN_TOKENS = (
@@ -431,12 +460,13 @@ def tokens_en_legacy(spark, d):
     f"""WITH {_EN_SQL}, p AS (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM en), postings AS (SELECT id, dl, term, count(*) AS tf FROM p GROUP BY ALL),
 w AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM (SELECT id, max(dl) AS dl FROM postings GROUP BY id)),
 idf AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM postings, w GROUP BY term, n), m AS (SELECT sum(raw) / count(*) AS mean FROM idf)
-SELECT id AS doc_id, round(sum(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
-FROM postings JOIN idf USING (term), w, m WHERE term IN ('thion', 'ering', 'src1') GROUP BY id HAVING score > 0 ORDER BY score DESC, doc_id LIMIT 30"""
+SELECT id AS doc_id, round(sum(CASE term WHEN 'thion' THEN 2 ELSE 1 END * CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+FROM postings JOIN idf USING (term), w, m WHERE term IN ('thion', 'ering') GROUP BY id HAVING score > 0 ORDER BY score DESC, doc_id LIMIT 30"""
 )
 def bm25_okapi_legacy(spark, d):
-    index = S.postings(_as_chunks(view(spark, d, "kb_documents")), ("text",), T.english_tokens)
-    return S.top(S.okapi(index, ["thion", "ering", "src1"]), 30).select("doc_id", "score")
+    index = built(spark, d, "legacy")
+    stats = spark.read.schema("n long, avgdl double, mean double").parquet(f"{index.path}/okapi")
+    return S.top(S.okapi(index.postings(), ["thion", "ering", "thion"], stats), 30).select("doc_id", "score")
 
 
 @query(
@@ -492,15 +522,15 @@ s AS (SELECT doc_id, score, chunk_id, row_number() OVER (ORDER BY score DESC, do
 m AS (SELECT coalesce(b.doc_id, s.doc_id) AS doc_id, bm25_rank, sem_rank, s.score AS sem_score, coalesce(s.chunk_id, b.chunk_id) AS chunk_id FROM b FULL JOIN s ON b.doc_id = s.doc_id),
 c AS (SELECT * FROM m WHERE bm25_rank IS NOT NULL OR sem_score >= CASE WHEN (SELECT count(*) FROM b) > 0 THEN {strong} ELSE {minimum} END),
 r AS (SELECT *, 1 / (30 + coalesce(sem_rank, (SELECT count(*) FROM c) + 1)) + 1 / (60 + coalesce(bm25_rank, (SELECT count(*) FROM c) + 1)) AS raw FROM c),
-t AS (SELECT * FROM r ORDER BY raw DESC, doc_id LIMIT 50)
-SELECT doc_id, round(raw / max(raw) OVER (), 4) AS score, bm25_rank, sem_rank, chunk_id FROM t"""
+t AS (SELECT *, CAST(row_number() OVER (ORDER BY raw DESC, bm25_rank NULLS LAST, sem_rank) AS INT) AS place FROM r QUALIFY place <= 50)
+SELECT doc_id, round(raw / max(raw) OVER (), 4) AS score, bm25_rank, sem_rank, chunk_id, place FROM t"""
 
 
-def _hybrid(spark: SparkSession, d: str, words: list[str]) -> DataFrame:
-    index = _index(spark, d)
-    found = S.top(S.best_per_doc(S.bm25(index, S.field_stats(index), words)), S.BM25_DOCS)
+def _hybrid(spark: SparkSession, d: str, words: list[str], minimum: float = 0.60, strong: float = 0.65) -> DataFrame:
+    index = built(spark, d)
+    found = S.top(S.best_per_doc(S.bm25(index.postings(), index.stats(), words)), S.BM25_DOCS)
     near = S.knn(view(spark, d, "kb_chunk_vectors"), _vector(spark, d))
-    return S.final_page(S.hybrid(found, near, minimum=0.60, strong=0.65))
+    return S.final_page(S.hybrid(found, near, minimum, strong))
 
 
 @query(_hybrid_sql(_bm25_sql(WORDS, _ALL_FIELDS, 3), 0.60, 0.65))
@@ -513,6 +543,16 @@ def gate_no_keyword(spark, d):
     return _hybrid(spark, d, ["zzzz", "qqqq"])
 
 
+@query(_hybrid_sql(_bm25_sql(WORDS, _ALL_FIELDS, 3), S.SEM_MINIMUM, S.SEM_STRONG))
+def hybrid_default_gates(spark, d):
+    return _hybrid(spark, d, WORDS, S.SEM_MINIMUM, S.SEM_STRONG)
+
+
+@query(_hybrid_sql(_bm25_sql(["zzzz", "qqqq"], _ALL_FIELDS, 1), S.SEM_MINIMUM, S.SEM_STRONG))
+def gate_no_keyword_default(spark, d):
+    return _hybrid(spark, d, ["zzzz", "qqqq"], S.SEM_MINIMUM, S.SEM_STRONG)
+
+
 @query(
     f"""WITH {_POSTINGS}, {_bm25_sql(WORDS[:3], chr(39) + 'text' + chr(39), 2)}, {_SIM},
 b AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS bm25_rank FROM (SELECT * FROM bm WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 30)),
@@ -521,9 +561,9 @@ SELECT coalesce(b.chunk_id, v.chunk_id) AS chunk_id, bm25_rank, vec_rank, round(
 FROM b FULL JOIN v ON b.chunk_id = v.chunk_id ORDER BY score DESC, chunk_id LIMIT 10"""
 )
 def hybrid_rrf_legacy(spark, d):
-    index = S.postings(_as_chunks(view(spark, d, "kb_documents")), ("text",))
-    k = S.fetch_k(10, 10**6)
-    return S.hybrid_old(S.top(S.bm25(index, S.field_stats(index), WORDS[:3]), k, "chunk_id"), S.knn(view(spark, d, "kb_chunk_vectors"), _vector(spark, d), k))
+    index = built(spark, d)
+    k = S.fetch_k(10, view(spark, d, "kb_chunk_vectors").count())
+    return S.hybrid_old(S.top(S.bm25(index.postings().where("field = 'text'"), index.stats(), WORDS[:3]), k, "chunk_id"), S.knn(view(spark, d, "kb_chunk_vectors"), _vector(spark, d), k))
 
 
 # ---- chunks and pages -------------------------------------------------------------------------------------------
@@ -560,9 +600,9 @@ def snippet_dense(spark, d):
     return C.snippets(docs, C.snippet_tokens("the thion ering")).select("id", "snippet")
 
 
-@query("SELECT id, regexp_replace(filename, '(thion|src1|pdf)', '<mark>\\1</mark>', 'gi') AS marked FROM kb_documents")
+@query("SELECT id, regexp_replace(filename, '(src|src1|pdf)', '<mark>\\1</mark>', 'gi') AS marked FROM kb_documents")
 def highlight(spark, d):
-    return view(spark, d, "kb_documents").select("id", T.highlight(F.col("filename"), ["PDF", "src1", "thion"]).alias("marked"))
+    return view(spark, d, "kb_documents").select("id", T.highlight(F.col("filename"), " src  SRC1 PDF ").alias("marked"))
 
 
 _GRADE = "CASE WHEN {0} IS NULL THEN 'UNSPECIFIED' WHEN {0} < 0.5 THEN 'POOR' WHEN {0} < 0.8 THEN 'FAIR' WHEN {0} < 0.9 THEN 'GOOD' ELSE 'EXCELLENT' END"
@@ -595,40 +635,47 @@ def grid_markdown(spark, d):
     return C.grid_markdown(cells)
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'today' WHEN doc_id % 3 = 1 THEN '3 days ago' ELSE '4 months ago' END AS label FROM documents")
+_AGO = "epoch(TIMESTAMP '{1}') - epoch({0})"
+_LABEL = f"""CASE WHEN {{0}} IS NULL THEN '' WHEN {_AGO} < 60 THEN '방금 전' WHEN {_AGO} < 3600 THEN concat(CAST(floor(({_AGO}) / 60) AS BIGINT), '분 전') WHEN {_AGO} < 86400 THEN concat(CAST(floor(({_AGO}) / 3600) AS BIGINT), '시간 전')
+  WHEN {_AGO} < 604800 THEN concat(CAST(floor(({_AGO}) / 86400) AS BIGINT), '일 전') ELSE strftime({{0}}, '%Y.%m.%d') END"""
+
+
+@query(
+    f"""SELECT id, {_LABEL.format("uploaded_at", "2024-01-01 12:00:00")} AS uploaded, {_LABEL.format("deleted_at", AS_OF)} AS deleted
+FROM kb_documents LEFT JOIN (SELECT doc_id, deleted_at FROM kb_deletion_logs) g ON g.doc_id = id"""
+)
 def relative_date_label(spark, d):
-    days = F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, 3).otherwise(130)
-    return table(spark, d, "documents").select("doc_id", T.relative_date(F.date_sub(F.lit("2024-06-30").cast("date"), days), F.lit("2024-06-30").cast("date")).alias("label"))
+    deleted = view(spark, d, "kb_deletion_logs").select("doc_id", "deleted_at")
+    rows = view(spark, d, "kb_documents").join(deleted, F.col("id") == F.col("doc_id"), "left")
+    return rows.select("id", T.relative_date(F.col("uploaded_at"), L.as_of_lit("2024-01-01 12:00:00")).alias("uploaded"), T.relative_date(F.col("deleted_at"), L.as_of_lit(AS_OF)).alias("deleted"))
+
+
+_ASKED = r"""w AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(substring(text, 1, 40)), '[^\p{L}\p{N}_]+'), lambda t: t <> '')) AS term FROM benchmark),
+need AS (SELECT query_id, greatest(1, CAST(floor(0.75 * count(*)) AS BIGINT)) AS need FROM w GROUP BY query_id)"""
 
 
 @query(
-    """WITH e AS (SELECT item_id, substring(text, 1, 40) AS q FROM benchmark),
-t AS (SELECT item_id, doc_id FROM e JOIN documents k ON contains(k.text, q)), r AS (SELECT item_id, min(doc_id % 7) + 1 AS rank FROM t GROUP BY item_id),
-a AS (SELECT e.item_id, CASE WHEN e.item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, rank FROM e LEFT JOIN r USING (item_id))
+    f"""WITH {_POSTINGS}, {_ASKED}, dfs AS (SELECT field, term, count(*) AS df FROM postings GROUP BY ALL),
+per AS (SELECT w.query_id, chunk_id, p.field, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS s, count(*) AS matched
+  FROM postings p JOIN w ON w.term = p.term JOIN dfs ON dfs.field = p.field AND dfs.term = p.term JOIN stats ON stats.field = p.field GROUP BY ALL),
+hit AS (SELECT query_id, chunk_id AS doc_id, round(max(s * CASE field WHEN 'text' THEN 2.0 ELSE 1.0 END), 6) AS score FROM per JOIN need USING (query_id) WHERE matched >= need GROUP BY ALL),
+page AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM hit WHERE score > 0 AND doc_id IN (SELECT id FROM kb_documents WHERE status = 'success') QUALIFY place <= 50),
+target AS (SELECT item_id AS query_id, k.id AS doc_id FROM benchmark b JOIN kb_documents k ON contains(k.text, b.text) WHERE trim(b.text) <> ''),
+r AS (SELECT query_id, min(place) AS rank FROM page JOIN target USING (query_id, doc_id) GROUP BY query_id),
+a AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, rank FROM benchmark LEFT JOIN r ON r.query_id = item_id)
 SELECT kind, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 3) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 3) AS hit5,
 round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0.0 END), 3) AS mrr10 FROM a GROUP BY GROUPING SETS ((), (kind))"""
 )
 def eval_metrics(spark, d):
-    asked = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("q"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    # The evaluation set is a few dozen questions; each is looked up in every text.
-    found = docs.join(F.broadcast(asked), F.contains("text", "q")).groupBy("item_id").agg((F.min(F.col("doc_id") % 7) + 1).alias("rank"))
-    ranks = asked.join(found, "item_id", "left").withColumn("kind", F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd"))
-    return S.retrieval_metrics(ranks, ["kind"])
-
-
-@query()
-def eval_retrieval(spark, d):
-    """eval_metrics with ranks of a search: the first 40 characters of each passage are the question,
-    BM25 over all fields ranks the visible documents, those with the whole passage are its targets."""
+    """Search quality: the first 40 characters of each passage are the question, BM25 over all fields
+    ranks the visible documents, those with the whole passage are its targets."""
     docs = view(spark, d, "kb_documents")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     question = T.terms(F.substring("passage", 1, 40))
     words = asked.select("query_id", F.explode(question).alias("term")).where((F.col("term") != "") & ~F.col("term").isin(*S.QUESTION_WORDS))
-    path = _scratch(spark) + "/postings"
-    S.postings(_as_chunks(docs)).join(words.select("term").distinct(), "term", "left_semi").write.parquet(path)
+    index = built(spark, d)
     seen = D.visible(docs).select(F.col("id").alias("doc_id"))
-    hits = S.bm25_each(spark.read.parquet(path), S.chunk_stats(_as_chunks(docs)), words).join(seen, "doc_id", "left_semi")
+    hits = S.bm25_each(index.postings(), index.stats(), words).join(seen, "doc_id", "left_semi")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     page = hits.withColumn("place", place).where(F.col("place") <= S.RESULTS)
     names = docs.select(F.col("id").alias("doc_id"), F.col("filename").alias("name"))
@@ -677,7 +724,12 @@ def rate_limit_batch(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
+    """A fresh folder that driver and executors share; a local one only where they are one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quarry-")
     return f"{base.rstrip('/')}/quarry/{uuid.uuid4().hex}"
 
 
@@ -690,11 +742,282 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark, d):
-    counts = J.daily_counts(_event_stream(spark, d))
-    return J.run_to_memory(counts, "daily_" + uuid.uuid4().hex, "complete", _scratch(spark)).withColumn("day", F.col("day").cast("string"))
+    counts, base = J.daily_counts(_event_stream(spark, d)), _scratch(spark)
+    return J.run_to_files(counts, base + "/out", "complete", base + "/state").withColumn("day", F.col("day").cast("string"))
 
 
 @query()
 def stream_rate_limit(spark, d):
     requests = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"))
-    return J.run_to_memory(J.limited(requests, window=86400, most=5, expire=False), "limited_" + uuid.uuid4().hex, "append", _scratch(spark))
+    base = _scratch(spark)
+    return J.run_to_files(J.limited(requests, window=86400, most=5, expire=False), base + "/out", "append", base + "/state")
+
+
+@query("SELECT concat(CAST(doc_id AS VARCHAR), '.txt') AS source_file, 'success' AS status, 1 AS n_pages, text AS full_text FROM documents")
+def stream_ingest(spark, d):
+    """Each document as an uploaded text file of a stream, parsed as it comes."""
+    docs = table(spark, d, "documents")
+    single = any(f.endswith("/documents.parquet") for f in docs.inputFiles())
+    files = spark.readStream.schema(docs.schema).parquet(f"{d}/{{documents}}.parquet" if single else f"{d}/documents.parquet")
+    files = files.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    base = _scratch(spark)
+    J.ingest_stream(files, base + "/out", base + "/state").awaitTermination()
+    pages = spark.read.schema(RESULT).parquet(base + "/out")
+    return pages.select("source_file", "status", F.size("pages").alias("n_pages"), F.get(F.col("pages"), F.lit(0))["text"].alias("full_text"))
+
+
+# ---- searching, owners and administrators ---------------------------------------------------------------------------
+
+_ORDERED = """row_number() OVER (ORDER BY place) AS position, o.doc_id, filename, category, pages, snippet, content_preview, page_num, score, download_count, uploaded_by, uploaded_at, file_type, title, memo,
+  CASE WHEN uploaded_by IS NULL OR uploaded_by = 'anonymous' THEN NULL ELSE coalesce(nullif(u.name, ''), uploaded_by) END AS uploaded_by_name"""
+_LISTED = f"""SELECT {_ORDERED} FROM (SELECT row_number() OVER (ORDER BY uploaded_at DESC, id DESC) AS place, id AS doc_id, filename, category, page_count AS pages, coalesce(nullif(title, ''), filename) AS snippet,
+  {_STRIP} AS content_preview, CAST(0 AS BIGINT) AS page_num, CAST(0 AS DOUBLE) AS score, download_count, uploaded_by, uploaded_at, file_type, title, memo, department, id FROM kb_documents
+  WHERE status = 'success' AND {{0}} QUALIFY place <= {{1}}) o {_GRANTS.replace("= id", "= o.id")} LEFT JOIN kb_users u ON u.email = uploaded_by WHERE {_READABLE.replace("department", "o.department")}"""
+
+
+def _search(spark: SparkSession, d: str, query: str, **how) -> DataFrame:
+    names = ("kb_documents", "kb_permissions", "kb_users")
+    return search(*[view(spark, d, n) for n in names], query, user=USER, department=DEPARTMENT, **how)
+
+
+@query(_LISTED.format("TRUE", 200))
+def search_browse(spark, d):
+    return _search(spark, d, "  ", mode="semantic")
+
+
+@query(_LISTED.format("contains(lower(filename), 'src')", 50))
+def search_filename(spark, d):
+    return _search(spark, d, " SRC ", mode="unknown")
+
+
+_SEMANTIC_QUERY = "the and that note"
+_CHUNK_POSTINGS = _POSTINGS.replace("id AS chunk_id", "chunk_id").replace("SELECT id, ", "SELECT chunk_id, ").replace("FROM kb_documents", "FROM kc")
+
+
+@query(
+    f"""WITH kc AS (SELECT c.chunk_id, c.doc_id, c.text, c.page_num, c.embedding, filename, title, memo FROM kb_chunks c JOIN kb_documents k ON k.id = c.doc_id), {_CHUNK_POSTINGS},
+{_bm25_sql(WORDS, _ALL_FIELDS, 3).replace("chunk_id, chunk_id AS doc_id", "chunk_id, (SELECT min(doc_id) FROM kc WHERE kc.chunk_id = per.chunk_id) AS doc_id")},
+ok AS (SELECT id FROM kb_documents WHERE status = 'success'),
+sim AS (SELECT v.chunk_id, v.doc_id, round((1 + list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[])
+  / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))) / 2, 6) AS score
+  FROM kc v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE v.doc_id IN (FROM ok)),
+b1 AS (SELECT * FROM bm WHERE score > 0 AND doc_id IN (FROM ok) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id) = 1),
+b AS (SELECT doc_id, score, chunk_id, row_number() OVER (ORDER BY score DESC, doc_id) AS bm25_rank FROM b1 QUALIFY bm25_rank <= 100),
+k AS (SELECT * FROM sim ORDER BY score DESC, chunk_id LIMIT 50),
+sb AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id) = 1),
+s AS (SELECT doc_id, score, chunk_id, row_number() OVER (ORDER BY score DESC, doc_id) AS sem_rank FROM sb),
+m AS (SELECT coalesce(b.doc_id, s.doc_id) AS doc_id, bm25_rank, sem_rank, s.score AS sem_score, coalesce(s.chunk_id, b.chunk_id) AS chunk_id FROM b FULL JOIN s ON b.doc_id = s.doc_id),
+c AS (SELECT * FROM m WHERE bm25_rank IS NOT NULL OR sem_score >= CASE WHEN (SELECT count(*) FROM b) > 0 THEN {S.SEM_STRONG} ELSE {S.SEM_MINIMUM} END),
+r AS (SELECT *, 1 / (30 + coalesce(sem_rank, (SELECT count(*) FROM c) + 1)) + 1 / (60 + coalesce(bm25_rank, (SELECT count(*) FROM c) + 1)) AS raw FROM c),
+t AS (SELECT *, row_number() OVER (ORDER BY raw DESC, bm25_rank NULLS LAST, sem_rank) AS place FROM r QUALIFY place <= 50),
+best AS (SELECT t.doc_id, place, round(raw / max(raw) OVER (), 4) AS score, kc.text, kc.page_num FROM t JOIN kc ON kc.chunk_id = t.chunk_id),
+tok AS (SELECT * FROM (VALUES (1, 'the'), (2, 'and'), (3, 'that'), (4, 'note')) v(ord, t)),
+occ AS (SELECT doc_id, ord, pos, lower(substring(text, greatest(0, pos - 61) + 1, least(length(text), pos + 139) - greatest(0, pos - 61))) AS win
+  FROM (SELECT doc_id, text, ord, t, unnest(range(1, length(text) + 1)) AS pos FROM best, tok) x WHERE substring(lower(text), pos, length(t)) = t),
+dense AS (SELECT doc_id, pos FROM (SELECT doc_id, ord, pos, (SELECT sum((length(win) - length(replace(win, t, ''))) / length(t)) FROM tok) AS near FROM occ)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY near DESC, ord, pos) = 1),
+cutout AS (SELECT best.*, greatest(0, coalesce(pos, 1) - 61) AS a, least(length(text), coalesce(pos, 1) + 139) AS e FROM best LEFT JOIN dense USING (doc_id)),
+o AS (SELECT place, cutout.doc_id, score, page_num, concat(CASE WHEN a > 0 THEN '…' ELSE '' END, regexp_replace(substring(cutout.text, a + 1, e - a), '^\\s+|\\s+$', '', 'g'), CASE WHEN e < length(cutout.text) THEN '…' ELSE '' END) AS snippet,
+  snippet AS content_preview, filename, category, page_count AS pages, download_count, uploaded_by, uploaded_at, file_type, title, memo, department, cutout.doc_id AS id FROM cutout JOIN kb_documents kd ON kd.id = cutout.doc_id)
+SELECT {_ORDERED} FROM o {_GRANTS.replace("= id", "= o.id")} LEFT JOIN kb_users u ON u.email = uploaded_by WHERE {_READABLE.replace("department", "o.department")}"""
+)
+def search_semantic(spark, d):
+    index = built(spark, d, "chunks")
+    vectors = index.chunks().select("chunk_id", "doc_id", "embedding")
+    return _search(spark, d, _SEMANTIC_QUERY, mode="semantic", index=index.postings(), stats=index.stats(), chunks=index.chunks(), vectors=vectors, query_vector=_vector(spark, d))
+
+
+@query("SELECT count(*) AS chunks FROM documents")
+def index_build(spark, d):
+    """Writes the index of all documents anew and counts its chunks."""
+    for key in [k for k in _BUILT if k[1:] == (d, "documents")]:
+        del _BUILT[key]
+    return built(spark, d).chunks().agg(F.count("*").alias("chunks"))
+
+
+@query("SELECT c.chunk_id, c.doc_id, coalesce(filename, '') AS filename, coalesce(title, '') AS title, coalesce(memo, '') AS memo, c.text, page_num, chunk_idx FROM kb_chunks c LEFT JOIN kb_documents ON id = c.doc_id AND status = 'success'")
+def index_backfill(spark, d):
+    return admin.backfill(view(spark, d, "kb_chunks").drop("embedding"), D.visible(view(spark, d, "kb_documents")))
+
+
+@query("SELECT field, term, count(*) AS df FROM (SELECT * FROM postings WHERE chunk_id % 3 <> 0)".replace("SELECT field", f"WITH {_POSTINGS} SELECT field") + " GROUP BY ALL")
+def index_after_changes(spark, d):
+    """Terms of an index of which some documents were deleted and some written again."""
+    docs = _as_chunks(view(spark, d, "kb_documents"))
+    index = SearchIndex(spark, _scratch(spark))
+    index.add(docs.withColumn("text", F.concat(F.lit("stale "), F.col("text"))))
+    index.replace(docs)
+    index.delete(docs.where("doc_id % 3 = 0"))
+    return index.postings().groupBy("field", "term").agg(F.count("*").alias("df"))
+
+
+_ADMINS = "adm AS (SELECT DISTINCT lower(email) AS email FROM kb_admin_emails UNION SELECT 'root@ex.com')"
+
+
+def _admins(spark: SparkSession, d: str) -> DataFrame:
+    return admin.admin_set([" Root@ex.com ", ""], view(spark, d, "kb_admin_emails"))
+
+
+@query(f"WITH {_ADMINS} SELECT email FROM adm")
+def admin_emails(spark, d):
+    return _admins(spark, d)
+
+
+@query(f"WITH {_ADMINS} SELECT email, lower(email) IN (SELECT email FROM adm) AS is_admin FROM kb_users")
+def admin_predicate(spark, d):
+    return admin.with_admin(view(spark, d, "kb_users"), "email", _admins(spark, d)).select("email", "is_admin")
+
+
+@query("SELECT id FROM kb_documents WHERE uploaded_by = 'u3@ex.com'")
+def owned_documents(spark, d):
+    return admin.owned_filter(view(spark, d, "kb_documents"), "uploaded_by", USER, False).select("id")
+
+
+@query("SELECT email, name FROM (SELECT DISTINCT uploaded_by AS email, coalesce(nullif(u.name, ''), uploaded_by) AS name FROM kb_documents LEFT JOIN kb_users u ON u.email = uploaded_by WHERE uploaded_by <> 'anonymous') x WHERE contains(lower(name), 'r 1') OR contains(lower(email), 'r 1')")
+def uploader_autocomplete(spark, d):
+    return admin.uploader_matches(D.uploaders(view(spark, d, "kb_documents"), view(spark, d, "kb_users")), "R 1")
+
+
+_REQUESTS = "rq AS (SELECT id AS comment_id, CASE WHEN id % 4 = 0 THEN doc_id + 1 ELSE doc_id END AS doc_id, CASE WHEN id % 3 = 0 THEN 'u4@ex.com' ELSE user_email END AS user_email FROM kb_comments)"
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    doc = F.when(F.col("id") % 4 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id"))
+    user = F.when(F.col("id") % 3 == 0, "u4@ex.com").otherwise(F.col("user_email"))
+    asked = view(spark, d, "kb_comments").select(F.col("id").alias("comment_id"), doc.alias("doc_id"), user.alias("user_email"))
+    return admin.with_admin(asked, "user_email", admin.admin_set([], view(spark, d, "kb_admin_emails").where("email <> 'U4@ex.com'")))
+
+
+_VERDICTS = f"""{_REQUESTS}, adm AS (SELECT lower(email) AS email FROM kb_admin_emails WHERE email <> 'U4@ex.com'),
+vd AS (SELECT comment_id, rq.user_email, CASE WHEN c.id IS NULL THEN 404 WHEN c.user_email <> rq.user_email AND rq.user_email NOT IN (SELECT email FROM adm) THEN 403 ELSE 200 END AS verdict
+FROM rq LEFT JOIN kb_comments c ON c.id = comment_id AND c.doc_id = rq.doc_id)"""
+
+
+@query(f"WITH {_VERDICTS} SELECT * FROM vd")
+def comment_delete_verdicts(spark, d):
+    return admin.comment_verdicts(_requests(spark, d), view(spark, d, "kb_comments"))
+
+
+@query(f"WITH {_VERDICTS} SELECT id, doc_id FROM kb_comments WHERE id NOT IN (SELECT comment_id FROM vd WHERE verdict = 200)")
+def comments_after_deletes(spark, d):
+    comments = view(spark, d, "kb_comments")
+    return admin.without_granted(comments, "id", admin.comment_verdicts(_requests(spark, d), comments), "comment_id").select("id", "doc_id")
+
+
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'u3@ex.com' ELSE 'other' END AS recipient, CASE WHEN id % 2 = 0 THEN 200 ELSE 404 END AS verdict FROM kb_comments")
+def notification_delete_verdicts(spark, d):
+    notes = _notes(view(spark, d, "kb_comments"))
+    asked = notes.select("id", F.when(F.col("id") % 2 == 0, F.col("recipient")).otherwise("other").alias("recipient"))
+    return admin.notification_verdicts(asked, notes)
+
+
+@query("SELECT id, query FROM kb_search_logs WHERE user_email <> 'u3@ex.com'")
+def history_cleared(spark, d):
+    return admin.clear_history(view(spark, d, "kb_search_logs"), USER).select("id", "query")
+
+
+@query(f"WITH {_ADMINS} SELECT email FROM kb_users WHERE email IN (SELECT email FROM adm) OR CAST(substring(email, 2, length(email) - 8) AS INT) % 2 = 1")
+def users_after_removal(spark, d):
+    users = view(spark, d, "kb_users")
+    number = F.regexp_extract("email", r"(\d+)", 1).cast("int")
+    verdicts = admin.user_verdicts(users.where(number % 2 == 0).select(F.concat(F.lit(" "), F.upper("email")).alias("email")), _admins(spark, d))
+    return admin.without_granted(users, "email", verdicts, "email").select("email")
+
+
+@query("SELECT id AS doc_id, filename, category, 'u3@ex.com' AS deleted_by, 'no longer used' AS reason, TIMESTAMP '2024-01-31 00:00:00' AS deleted_at, 'trashed' AS status FROM kb_documents WHERE id IN (SELECT doc_id FROM kb_comments)")
+def bulk_delete_logs(spark, d):
+    wanted = view(spark, d, "kb_comments").select("doc_id").union(spark.range(1).select(F.lit(-1).cast("long")))
+    return admin.bulk_delete(view(spark, d, "kb_documents"), wanted, " no longer used ", USER, AS_OF)[1]
+
+
+@query("SELECT id FROM kb_documents WHERE id NOT IN (SELECT doc_id FROM kb_comments)")
+def bulk_delete_left(spark, d):
+    return admin.bulk_delete(view(spark, d, "kb_documents"), view(spark, d, "kb_comments"), "no longer used", USER, AS_OF)[0].select("id")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, ls, doc_id % 9 + 1 AS p FROM l)
+SELECT doc_id, CASE WHEN p <= len(ls) THEN 200 ELSE 404 END AS verdict, len(list_filter(range(1, len(ls) + 1), lambda i: i % 7 = 0 AND i <> p)) > 0 AS has_flagged,
+array_to_string(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN i = p THEN 'edited' ELSE ls[i] END), chr(10)) AS text FROM e"""
+)
+def page_edits(spark, d):
+    edits = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 9 + 1).alias("page"), F.lit("edited").alias("text"))
+    out = admin.edit_pages(_paged(spark, d), edits)
+    return out.select("doc_id", "verdict", "has_flagged", F.array_join(F.transform("pages", lambda p: p["text"]), "\n").alias("text"))
+
+
+@query("SELECT id, filename, 'parsing' AS status, u.department FROM kb_documents LEFT JOIN kb_users u ON u.email = uploaded_by")
+def upload_rows(spark, d):
+    docs = view(spark, d, "kb_documents")
+    return admin.inherited(docs.select("id", "filename", "uploaded_by", "department"), view(spark, d, "kb_users"), AS_OF).select("id", "filename", "status", "department")
+
+
+@query("SELECT concat(' ', upper(category), ' ') AS name, TRUE AS taken FROM kb_documents GROUP BY category UNION ALL SELECT concat(category, '2'), FALSE FROM kb_documents GROUP BY category UNION ALL SELECT ' ', TRUE")
+def category_name_taken(spark, d):
+    cats = D.categories(view(spark, d, "kb_documents")).select("category")
+    held = view(spark, d, "kb_documents").select("category").distinct()
+    names = held.select(F.concat(F.lit(" "), F.upper("category"), F.lit(" ")).alias("name")).union(held.select(F.concat("category", F.lit("2")))).union(spark.range(1).select(F.lit(" ")))
+    return admin.category_taken(cats, names)
+
+
+@query("SELECT row_number() OVER (ORDER BY coalesce(download_count, 0) DESC, id) AS position, id FROM kb_documents QUALIFY position <= 20")
+def table_by_downloads(spark, d):
+    return _placed(view(spark, d, "kb_documents"), admin.table_order("download_count", True), 20).select("position", "id")
+
+
+@query("SELECT row_number() OVER (ORDER BY lower(filename), filename, id) AS position, id FROM kb_documents QUALIFY position <= 20")
+def table_by_filename(spark, d):
+    return _placed(view(spark, d, "kb_documents"), admin.table_order("filename"), 20).select("position", "id")
+
+
+def _placed(df: DataFrame, order: list, most: int) -> DataFrame:
+    """The first rows in an order with their positions."""
+    return df.orderBy(*order).limit(most).withColumn("position", F.row_number().over(Window.partitionBy().orderBy(*order)))
+
+
+@query("SELECT row_number() OVER (ORDER BY created_at, id) AS position, id FROM kb_comments WHERE doc_id = 7")
+def comments_in_order(spark, d):
+    comments = view(spark, d, "kb_comments").where("doc_id = 7")
+    return admin.listed(comments, "comments").withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy("created_at", "id"))).select("position", "id")
+
+
+@query(_LISTED.format("contains(lower(filename), 'src')", 50).replace("SELECT row_number() OVER (ORDER BY place) AS position, o.doc_id,", "SELECT row_number() OVER (ORDER BY coalesce(CASE WHEN uploaded_by <> 'anonymous' THEN coalesce(nullif(u.name, ''), uploaded_by) END, uploaded_by, ''), place) AS shown_at, o.doc_id,", 1))
+def search_by_author(spark, d):
+    found = _search(spark, d, "src")
+    at = F.row_number().over(Window.partitionBy().orderBy(*admin.result_order("author")))
+    return found.withColumn("shown_at", at).drop("position")
+
+
+@query("SELECT round(avg(value), 3) AS mean, round(max(value), 3) AS max FROM events")
+def latency_summary(spark, d):
+    return admin.latency(table(spark, d, "events"), "value")
+
+
+@query(
+    """SELECT conv_id AS doc_id, CAST(page AS INT) AS page, string_agg(text, chr(10) ORDER BY tab, place) AS text
+FROM (SELECT conv_id, coalesce(CASE WHEN turn % 3 = 0 THEN NULL ELSE 1 + turn % 2 END, 1) AS page, role <> 'user' AS tab, turn AS place, text FROM conversations) GROUP BY ALL"""
+)
+def page_groups(spark, d):
+    said = table(spark, d, "conversations")
+    page = F.when(F.col("turn") % 3 != 0, 1 + F.col("turn") % 2).cast("int").alias("page")
+    return admin.pages_of(said.select(F.col("conv_id").alias("doc_id"), page, F.when(F.col("role") == "user", "text").otherwise("table").alias("kind"), F.col("turn").alias("place"), "text"))
+
+
+@query(f"SELECT session_id FROM kb_revoked_sessions WHERE revoked_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY")
+def session_sweep(spark, d):
+    return L.sweep(view(spark, d, "kb_revoked_sessions"), "revoked_at", AS_OF, L.SESSION_DAYS).select("session_id")
+
+
+@query(f"SELECT id FROM kb_deletion_logs WHERE deleted_at >= TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY")
+def mirror_sweep(spark, d):
+    return L.sweep(view(spark, d, "kb_deletion_logs"), "deleted_at", AS_OF, L.MIRROR_DAYS).select("id")
+
+
+@query("SELECT id, uploaded_at + INTERVAL 9 HOUR AS local_at FROM kb_documents")
+def seoul_times(spark, d):
+    return view(spark, d, "kb_documents").select("id", T.in_seoul(F.col("uploaded_at")).alias("local_at"))
+
+
+@query("SELECT page_id, CAST(round(ocr_score * 100) AS BIGINT) AS percent FROM kb_page_scores")
+def confidence_percent(spark, d):
+    return view(spark, d, "kb_page_scores").select("page_id", T.percent(F.col("ocr_score")).alias("percent"))

@@ -36,17 +36,6 @@ def write_parsed(results: DataFrame, path: str) -> None:
     results.write.mode("append").json(path)
 
 
-def write_index(postings: DataFrame, path: str, buckets: int = 64) -> None:
-    """Postings in files by ranges of terms, sorted by term: a query reads only the row groups that
-    may hold its terms."""
-    postings.repartitionByRange(buckets, "term").sortWithinPartitions("term", "field").write.mode("overwrite").parquet(path)
-
-
-def index_batch(batch: DataFrame, path: str) -> None:
-    """Append the chunks of a micro-batch; readers take the last row of each chunk_id."""
-    batch.withColumn("indexed_at", F.current_timestamp()).write.mode("append").parquet(path)
-
-
 def upload_errors(files: DataFrame) -> DataFrame:
     """Adds error: why an upload (name, length, page_count) is not taken, null where it is."""
     kind = F.substring(extension(F.col("name")), 2, 20)
@@ -96,20 +85,29 @@ def mirror(batch: DataFrame, paths: list[str]) -> None:
         batch.unpersist()
 
 
+#: The export's columns, and its names of categories and states.
+EXPORT = ("ID", "파일명", "파일형식", "원본경로", "카테고리", "상태", "페이지수", "OCR저신뢰", "업로드시각")
+CATEGORY_NAMES = {"spec": "사양서", "research": "연구자료", "presentation": "발표자료", "report": "보고서"}
+NO_CATEGORY, DONE, NOT_DONE, TO_CHECK, FINE = "미지정", "성공", "실패", "검토필요", "정상"
+
+
 def export_rows(docs: DataFrame) -> DataFrame:
     """The nine columns of the document list as text, with labels."""
-    label = F.when(F.col("status") == "success", "done").when(F.col("status") == "failed", "failed").when(F.col("status") == "parsing", "in progress").otherwise(F.col("status"))
-    return docs.select(
-        F.col("id").cast("string").alias("id"),
-        "filename",
-        "category",
-        "file_type",
-        label.alias("status"),
-        F.coalesce("page_count", F.lit(0)).cast("string").alias("pages"),
-        F.coalesce("download_count", F.lit(0)).cast("string").alias("downloads"),
-        "uploaded_by",
-        F.date_format("uploaded_at", "yyyy-MM-dd HH:mm").alias("uploaded_at"),
+    named = F.col("category")
+    for key, name in CATEGORY_NAMES.items():
+        named = F.when(F.col("category") == key, name).otherwise(named)
+    values = (
+        F.col("id").cast("string"),
+        F.col("filename"),
+        F.coalesce("file_type", F.lit("")),
+        F.coalesce("original_path", F.lit("")),
+        F.coalesce(F.nullif(named, F.lit("")), F.lit(NO_CATEGORY)),
+        F.when(F.col("status") == "success", DONE).otherwise(NOT_DONE),
+        F.coalesce(F.col("page_count").cast("string"), F.lit("")),
+        F.when(F.col("has_flagged"), TO_CHECK).otherwise(FINE),
+        F.date_format("uploaded_at", "yyyy-MM-dd HH:mm:ss"),
     )
+    return docs.select(*[v.alias(n) for v, n in zip(values, EXPORT)])
 
 
 def write_csv(docs: DataFrame, path: str) -> None:

@@ -76,18 +76,39 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, files_ea
     number names its folder.
     """
     source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_each).load(folder)
+    return ingest_stream(source, out, checkpoint, parsers)
+
+
+def ingest_stream(files: DataFrame, out: str, checkpoint: str, parsers: dict | None = None):
+    """ingest for any stream of files (path, content)."""
 
     def write(batch: DataFrame, number: int) -> None:
         parsed(batch, parsers).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_to_files(stream: DataFrame, out: str, mode: str, checkpoint: str) -> DataFrame:
+    """Run a finite stream to its end and give its result, written as Parquet under out.
 
+    Executors write a folder for each batch, again where a batch is run again; of a complete result the
+    last batch counts, of an appended one all do. A stream without any batch gives no rows.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a finite stream to its end and give its result table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(out)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    batches = sorted(int(s.getPath().getName().split("=")[1]) for s in system.listStatus(folder)) if system.exists(folder) else []
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    paths = [f"{out}/batch={n}" for n in (batches[-1:] if mode == "complete" else batches)]
+    return spark.read.schema(stream.schema).parquet(*paths)
 
 
 def settled(docs: DataFrame, chunks: DataFrame, index: DataFrame) -> DataFrame:

@@ -7,12 +7,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import admin as A
 from quarry.operators import chunking as C
 from quarry.operators import documents as D
 from quarry.operators import lifecycle as L
 from quarry.operators import search as S
 from quarry.sources import files as FS
+from quarry.sources import hwp5 as H
 from quarry.sources import parse as P
+from quarry.sources.compound import SIGNATURE
 from quarry.streaming import jobs as J
 
 # ---- chunks -------------------------------------------------------------------------------------------
@@ -148,9 +151,18 @@ def test_upserts_and_absent_rows(spark):
 
 def test_restore_verdicts(spark):
     rows = [(1, "restored", "2024-01-30"), (2, "trashed", "2024-01-10"), (3, "trashed", "2023-12-01"), (4, None, "2024-01-10"), (5, "purged", "2024-01-10")]
-    logs = spark.createDataFrame(rows, "id long, status string, at string").selectExpr("id", "id AS doc_id", "status", "CAST(at AS TIMESTAMP_NTZ) AS deleted_at", "'f' AS filename")
-    assert {r.id: r.verdict for r in L.restore_verdict(logs, "2024-01-31 00:00:00").collect()} == {1: 409, 2: 200, 3: 410, 4: 404, 5: 410}
-    assert {r.id: r.state for r in L.log_states(logs, "2024-01-31 00:00:00").collect()} == {1: "restored", 2: "trashed", 3: "expired", 4: "legacy", 5: "purged"}
+    rows += [(6, "trashed", "2024-01-01"), (7, "trashed", "2024-01-01 00:00:01"), (8, "trashed", "2024-01-10"), (9, "trashed", "2024-01-10")]
+    logs = spark.createDataFrame(rows, "id long, status string, at string").selectExpr(
+        "id", "id AS doc_id", "status", "CAST(at AS TIMESTAMP_NTZ) AS deleted_at", "'f' AS filename", "CASE WHEN id = 8 THEN NULL ELSE '[]' END AS snapshot", "CASE WHEN id = 9 THEN '' ELSE 'd' END AS trash_dir"
+    )
+    wanted = spark.createDataFrame([(i,) for i in range(1, 11)], "id long")
+    # Thirty days on the second are over, one second less is not.
+    want = {1: 409, 2: 200, 3: 410, 4: 410, 5: 410, 6: 410, 7: 200, 8: 410, 9: 410, 10: 404}
+    assert {r.id: r.verdict for r in L.restore_verdict(wanted, logs, "2024-01-31 00:00:00").collect()} == want
+    states = {r.id: r.state for r in L.log_states(logs, "2024-01-31 00:00:00").collect()}
+    assert {k: states[k] for k in range(1, 8)} == {1: "restored", 2: "trashed", 3: "purged", 4: "legacy", 5: "purged", 6: "purged", 7: "trashed"}
+    purged = {r.id: (r.status, r.snapshot) for r in L.purge_logs(logs, "2024-01-31 00:00:00").collect()}
+    assert purged[3] == ("purged", None) and purged[6] == ("trashed", "[]")
 
 
 def test_uploads(spark):
@@ -162,6 +174,65 @@ def test_uploads(spark):
     assert [r.saved_path for r in FS.free_names(paths, [F.col("id")]).orderBy("id").collect()] == ["a/b.txt", "a/b (2).txt", "a/b (3).txt", "a/c"]
 
 
+def test_relative_dates(spark):
+    ago = {0: "방금 전", 59: "방금 전", -5: "방금 전", 60: "1분 전", 3599: "59분 전", 3600: "1시간 전", 86399: "23시간 전", 86400: "1일 전", 604799: "6일 전", 604800: "2024.01.24", 9_000_000: "2023.10.19"}
+    df = spark.createDataFrame([(s,) for s in ago], "s long").select("s", (F.lit("2024-01-31 12:00:00").cast("timestamp") - F.make_dt_interval(secs=F.col("s").cast("decimal(18,6)"))).alias("at"))
+    assert {r.s: r.x for r in df.select("s", T.relative_date(F.col("at"), F.lit("2024-01-31 12:00:00").cast("timestamp")).alias("x")).collect()} == ago
+    none = spark.sql("SELECT CAST(NULL AS TIMESTAMP) AS at")
+    assert none.select(T.relative_date(F.col("at"), F.lit("2024-01-31").cast("timestamp"))).first()[0] == ""
+
+
+def test_highlights_words_in_the_query_s_order(spark):
+    df = spark.createDataFrame([("ÄB ab abc a.c É",)], "t string")
+    mark = lambda q: df.select(T.highlight(F.col("t"), q)).first()[0]
+    assert mark("ab abc") == "ÄB <mark>ab</mark> <mark>ab</mark>c a.c É"
+    assert mark("abc ab") == "ÄB <mark>ab</mark> <mark>abc</mark> a.c É"
+    assert mark(" äb  é a.c") == "<mark>ÄB</mark> ab abc <mark>a.c</mark> <mark>É</mark>" and mark("  ") == "ÄB ab abc a.c É"
+
+
+def test_okapi_counts_repeated_tokens_and_chunks_without_terms(spark):
+    chunks = spark.createDataFrame([(1, "rare common"), (2, "common other"), (3, "more words"), (4, "")], "chunk_id long, text string").selectExpr("*", "chunk_id AS doc_id")
+    index = S.postings(chunks, ("text",))
+    score = lambda q, n=None: {r.chunk_id: r.score for r in S.okapi(index, q, S.okapi_stats(index, n)).collect()}
+    once, twice = score(["rare"]), score(["rare", "rare"])
+    assert set(once) == {1} and twice[1] == pytest.approx(2 * once[1], abs=2e-6)
+    assert S.okapi_stats(index, 4).first().n == 4 and S.okapi_stats(index).first().n == 3 and score(["rare"], 4) != once
+
+
+def test_roles_and_deletes(spark):
+    admins = A.admin_set([" Boss@x ", ""], spark.createDataFrame([("Me@x",), (None,)], "email string"))
+    assert {r.email for r in admins.collect()} == {"boss@x", "me@x"}
+    who = spark.createDataFrame([("BOSS@x",), ("you@x",), (None,)], "email string")
+    assert [r.is_admin for r in A.with_admin(who, "email", admins).orderBy("email").collect()] == [False, True, False]
+    assert all(r.is_admin for r in A.with_admin(who, "email", admins, login=False).collect())
+    comments = spark.createDataFrame([(1, 10, "a"), (2, 10, "b"), (3, 11, None)], "id long, doc_id long, user_email string")
+    asked = spark.createDataFrame([(10, 1, "a", False), (10, 2, "a", False), (10, 2, "c", True), (11, 1, "a", True), (11, 3, None, False)], "doc_id long, comment_id long, user_email string, is_admin boolean")
+    verdicts = A.comment_verdicts(asked, comments)
+    assert sorted((r.comment_id, r.verdict) for r in verdicts.collect()) == [(1, 200), (1, 404), (2, 200), (2, 403), (3, 403)]
+    assert [r.id for r in A.without_granted(comments, "id", verdicts, "comment_id").collect()] == [3]
+    docs = spark.createDataFrame([(1, "f", "c"), (2, "g", "c")], "id long, filename string, category string")
+    left, log = A.bulk_delete(docs, spark.createDataFrame([(1,), (1,), (9,)], "doc_id long"), " why ", "me", "2024-01-31 00:00:00")
+    assert [r.id for r in left.collect()] == [2] and [(r.doc_id, r.reason) for r in log.collect()] == [(1, "why")]
+    with pytest.raises(ValueError):
+        A.bulk_delete(docs, docs.selectExpr("id AS doc_id"), "  ", "me", "2024-01-31 00:00:00")
+
+
+def test_page_edits(spark):
+    schema = "doc_id long, pages array<struct<page: int, text: string, flagged: boolean>>"
+    parsed = spark.createDataFrame([(1, [(1, "a", True), (2, "b", True), (2, "c", False)]), (2, [(1, "a", None)]), (3, [])], schema)
+    edits = spark.createDataFrame([(1, 2, "new"), (2, 5, "x"), (3, 1, "y")], "doc_id long, page long, text string")
+    got = {r.doc_id: r for r in A.edit_pages(parsed, edits).collect()}
+    assert [(p.text, p.flagged) for p in got[1].pages] == [("a", True), ("new", False), ("c", False)] and got[1].has_flagged and got[1].verdict == 200
+    assert got[2].verdict == got[3].verdict == 404 and not got[2].has_flagged
+
+
+def test_exports_are_read_back(spark, tmp_path):
+    row = spark.createDataFrame([(1, 'a "b".pdf', "pdf", None, "spec", "parsing", 3, True, "2024-01-05 10:00:00")], "id long, filename string, file_type string, original_path string, category string, status string, page_count int, has_flagged boolean, at string")
+    FS.write_csv(row.coalesce(1).withColumn("uploaded_at", F.col("at").cast("timestamp_ntz")), str(tmp_path / "csv"))
+    text = next((tmp_path / "csv").glob("*.csv")).read_bytes().decode("utf-8-sig").splitlines()
+    assert text[0] == ",".join(FS.EXPORT) and "사양서,실패,3,검토필요,2024-01-05 10:00:00" in text[1]
+
+
 # ---- parsing ----------------------------------------------------------------------------------------------------
 
 
@@ -220,7 +291,7 @@ def compound(streams):
     fat = [x for _, x in sectors] + [0xFFFFFFFD] * n_fat
     fat += [0xFFFFFFFF] * (n_fat * 128 - len(fat))
     difat = [len(sectors) + i for i in range(n_fat)] + [0xFFFFFFFF] * (109 - n_fat)
-    head = P._SIGNATURE + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 6
+    head = SIGNATURE + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 6
     head += struct.pack("<IIIIIIIII", 0, n_fat, first_dir, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0) + struct.pack("<109I", *difat)
     return head + b"".join(s for s, _ in sectors) + struct.pack(f"<{len(fat)}I", *fat)
 
@@ -228,22 +299,22 @@ def compound(streams):
 def hwp(bits, body):
     header = b"HWP Document File".ljust(36, b"\0") + struct.pack("<I", bits)
     packed = zlib.compressobj(9, zlib.DEFLATED, -15)
-    data = packed.compress(body) + packed.flush() if bits & P.COMPRESSED else body
+    data = packed.compress(body) + packed.flush() if bits & H.COMPRESSED else body
     return compound([("FileHeader", 2, (None, 2), header), ("BodyText", 1, 3, None), ("Section0", 2, None, data)])
 
 
 def test_hwp():
-    control = P.TABLE_CONTROL.to_bytes(4, "little")
-    cell = lambda r, c: record(P.LIST_HEADER, 2, b"\0" * 8 + struct.pack("<HH", c, r))
-    body = record(P.PARA_TEXT, 1, utf16("Hello\u0009" + "\0" * 7 + "there\u000a" + "x" * 5000 + "\u001e" + "y"))
-    body += record(P.CTRL_HEADER, 1, control) + record(P.TABLE, 2, b"\0" * 4 + struct.pack("<HH", 1, 2))
-    body += cell(0, 0) + record(P.PARA_TEXT, 3, utf16("left")) + cell(0, 1) + record(P.PARA_TEXT, 3, utf16("right"))
-    body += record(P.PARA_TEXT, 1, utf16("end"))
-    got = P.parse("a.hwp", hwp(P.COMPRESSED, body.ljust(5000, b"\0")))
+    control = H.TABLE_CONTROL.to_bytes(4, "little")
+    cell = lambda r, c: record(H.LIST_HEADER, 2, b"\0" * 8 + struct.pack("<HH", c, r))
+    body = record(H.PARA_TEXT, 1, utf16("Hello\u0009" + "\0" * 7 + "there\u000a" + "x" * 5000 + "\u001e" + "y"))
+    body += record(H.CTRL_HEADER, 1, control) + record(H.TABLE, 2, b"\0" * 4 + struct.pack("<HH", 1, 2))
+    body += cell(0, 0) + record(H.PARA_TEXT, 3, utf16("left")) + cell(0, 1) + record(H.PARA_TEXT, 3, utf16("right"))
+    body += record(H.PARA_TEXT, 1, utf16("end"))
+    got = P.parse("a.hwp", hwp(H.COMPRESSED, body.ljust(5000, b"\0")))
     assert got["status"] == "success", got["error"]
     text = got["pages"][0]["text"]
     assert text.startswith("Hello\tthere\n") and "x y" in text and "| left | right |\n| --- | --- |\n\nend" in text
-    assert "password" in P.parse("a.hwp", hwp(P.PASSWORD, body))["error"] and "distribution" in P.parse("a.hwp", hwp(P.DISTRIBUTION, body))["error"]
+    assert "password" in P.parse("a.hwp", hwp(H.PASSWORD, body))["error"] and "distribution" in P.parse("a.hwp", hwp(H.DISTRIBUTION, body))["error"]
     assert P.parse("a.hwp", b"junk")["status"] == "failed"
 
 
@@ -270,9 +341,81 @@ def test_limiter_and_ingest_as_streams(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "out")
     spark.createDataFrame([("k", f"2024-01-01 00:00:{i:02d}") for i in range(5)], "key string, at string").selectExpr("key", "CAST(at AS TIMESTAMP) AS at").coalesce(1).write.parquet(str(source))
     stream = spark.readStream.schema("key string, at timestamp").parquet(str(source))
-    rows = J.run_to_memory(J.limited(stream, window=3, most=2, expire=False), "limited_test", "append", str(tmp_path / "c1")).orderBy("at").collect()
+    rows = J.run_to_files(J.limited(stream, window=3, most=2, expire=False), str(tmp_path / "o1"), "append", str(tmp_path / "c1")).orderBy("at").collect()
     assert [r.allowed for r in rows] == [True, True, False, False, True]
     (tmp_path / "files").mkdir()
     (tmp_path / "files" / "a.txt").write_text("some text")
     J.ingest(spark, str(tmp_path / "files"), out, str(tmp_path / "c2")).awaitTermination(60)
     assert [r.status for r in spark.read.parquet(out).collect()] == ["success"]
+
+
+# ---- Office files -------------------------------------------------------------------------------------------------
+
+
+def package(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in parts.items():
+            z.writestr(name, body)
+    return out.getvalue()
+
+
+W_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+A_NS = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+P_NS = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
+R_NS = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+S_NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+RELS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
+
+
+def rels(*targets):
+    return RELS.format("".join(f'<Relationship Id="rId{i}" Target="{t}"/>' for i, t in enumerate(targets, 1)))
+
+
+def test_docx():
+    p = lambda t: f"<w:p><w:pPr/><w:r><w:t>{t}</w:t></w:r></w:p>"
+    cell = lambda t, span="": f"<w:tc><w:tcPr>{span}</w:tcPr>{p(t)}</w:tc>"
+    table = f'<w:tbl><w:tr>{cell("a", "<w:gridSpan w:val=" + chr(34) + "2" + chr(34) + "/>")}{cell("b|c")}</w:tr><w:tr>{cell("1")}{cell("2")}{cell("3")}</w:tr></w:tbl>'
+    body = f"{p('One')}{table}<w:sdt><w:sdtContent>{p('Two')}</w:sdtContent></w:sdt><w:p><w:r><w:t>x</w:t><w:tab/><w:t>y</w:t></w:r><w:del><w:r><w:t>gone</w:t></w:r></w:del></w:p>"
+    got = P.parse("x.docx", package({"word/document.xml": f"<w:document {W_NS}><w:body>{body}</w:body></w:document>"}))
+    assert got["status"] == "success" and got["pages"][0]["page"] == 1
+    assert got["pages"][0]["text"] == "One\nTwo\nx\ty\n| a |  | b\\|c |\n| --- | --- | --- |\n| 1 | 2 | 3 |"
+    assert P.parse("x.docx", b"none")["status"] == P.parse("x.docx", package({"a": "b"}))["status"] == "failed"
+
+
+def test_pptx_slides_in_their_order():
+    slide = lambda t, more="": f"<p:sld {P_NS} {A_NS}><p:cSld><a:p><a:r><a:t>{t}</a:t></a:r></a:p>{more}</p:cSld></p:sld>"
+    table = "<a:tbl><a:tr><a:tc><a:txBody><a:p><a:r><a:t>k</a:t></a:r></a:p></a:txBody></a:tc><a:tc><a:txBody><a:p><a:r><a:t>v</a:t></a:r></a:p></a:txBody></a:tc></a:tr></a:tbl>"
+    parts = {
+        "ppt/presentation.xml": f'<p:presentation {P_NS} {R_NS}><p:sldIdLst><p:sldId r:id="rId2"/><p:sldId r:id="rId3"/><p:sldId r:id="rId1"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": rels("slides/slide1.xml", "/ppt/slides/slide2.xml", "slides/slide3.xml"),
+        "ppt/slides/slide1.xml": slide("last", table),
+        "ppt/slides/slide2.xml": slide("first"),
+        "ppt/slides/slide3.xml": slide(" "),
+    }
+    got = P.parse("x.pptx", package(parts))
+    assert [(p["page"], p["text"]) for p in got["pages"]] == [(1, "first"), (3, "last\n| k | v |\n| --- | --- |")]
+
+
+def test_xlsx_sheets():
+    sheet = lambda rows: f"<worksheet {S_NS}><sheetData>{rows}</sheetData></worksheet>"
+    parts = {
+        "xl/workbook.xml": f'<workbook {S_NS} {R_NS}><sheets><sheet name="B" r:id="rId2"/><sheet name="A" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": rels("worksheets/sheet1.xml", "worksheets/sheet2.xml"),
+        "xl/sharedStrings.xml": f"<sst {S_NS}><si><t>name</t></si><si><r><t>a</t></r><r><t>b</t></r><rPh><t>x</t></rPh></si></sst>",
+        "xl/worksheets/sheet1.xml": sheet('<row><c r="A1" t="s"><v>0</v></c><c r="AAA1"><v>2.5</v></c></row><row><c r="A900" t="s"><v>1</v></c><c r="AAA900" t="b"><v>1</v></c></row>'),
+        "xl/worksheets/sheet2.xml": sheet('<row><c t="inlineStr"><is><t>only</t></is></c></row>'),
+    }
+    got = P.parse("x.xlsx", package(parts))
+    assert [p["text"] for p in got["pages"]] == ["| only |\n| --- |", "| name | 2.5 |\n| --- | --- |\n| ab | TRUE |"]
+
+
+def test_addresses_by_what_fits_a_whole_table():
+    """Headers of six bytes before the address, and one cell whose bytes at eight would fit too."""
+    cell = lambda r, c, more: b"\0" * 6 + struct.pack("<HHHH", c, r, *more)
+    assert H.addresses([cell(0, 1, (0, 0)), cell(1, 0, (9, 9))], 2, 2) == [(0, 1), (1, 0)]
+    assert H.addresses([b"", b"", b""], 2, 2) == [(0, 0), (0, 1), (1, 0)]
+    inner = record(H.CTRL_HEADER, 4, H.TABLE_CONTROL.to_bytes(4, "little")) + record(H.LIST_HEADER, 5, b"") + record(H.PARA_TEXT, 6, utf16("x")) + record(H.LIST_HEADER, 5, b"") + record(H.PARA_TEXT, 6, utf16("y"))
+    outer = record(H.CTRL_HEADER, 1, H.TABLE_CONTROL.to_bytes(4, "little")) + record(H.TABLE, 2, b"\0" * 4 + struct.pack("<HH", 1, 1)) + record(H.LIST_HEADER, 2, b"")
+    # Paragraphs of a cell stand beside its header, as files have them.
+    assert list(H.blocks(H.tree(outer + record(66, 2, b"") + record(H.PARA_TEXT, 3, utf16("cell")) + inner).below)) == ["| cell x / y |\n| --- |"]
