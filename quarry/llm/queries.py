@@ -6,6 +6,8 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm import sql
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -87,17 +89,6 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-_OP2_SQL = """
-WITH hashed AS (
-  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
-  FROM documents
-), grouped AS (
-  SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM hashed GROUP BY text_sha256
-)
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
-FROM hashed JOIN grouped USING (text_sha256)"""
-
-
 def _url_sql() -> str:
     from quarry.llm.url_filter import oracle
 
@@ -105,6 +96,9 @@ def _url_sql() -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_exact_dedup": _OP2_SQL,
+    "op1_minhash_near_dedup": sql.OP1,
+    "op2_exact_dedup": sql.OP2,
+    "op4_suffix_dedup": sql.OP4,
     "op7_url_filter": _url_sql(),
+    "op8_quality_rules": sql.op8(),
 }
