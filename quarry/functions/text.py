@@ -50,6 +50,17 @@ def occurrences(x: Column, part: Column) -> Column:
     return ((F.length(x) - F.length(F.replace(x, part, F.lit("")))) / F.length(part)).cast("long")
 
 
+def find(x: Column, part: str) -> Column:
+    """Where part stands first in x, from 0; -1 where it does not."""
+    return F.locate(part, x) - 1
+
+
+def rfind(x: Column, part: str) -> Column:
+    """Where part stands last in x, from 0; -1 where it does not."""
+    back = F.locate(part[::-1], F.reverse(x))
+    return F.when(back == 0, -1).otherwise(F.length(x) - back - len(part) + 1)
+
+
 def extension(name: Column) -> Column:
     """The last dot and what follows, lower-cased; empty without a dot."""
     return F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
@@ -85,6 +96,28 @@ def english_tokens(text: Column) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(plain)
 
 
+def hangul_tokens(text: Column) -> Column:
+    """Runs of Hangul of two characters or more: what stands in for a morphological analyser."""
+    return F.regexp_extract_all(text, F.lit("([가-힣]{2,})"))
+
+
+def mixed_tokens(text: Column, korean=hangul_tokens) -> Column:
+    """Korean tokens and then the English ones that are not among them, once each; the text split at
+    white space where there are none."""
+    both = F.array_distinct(F.concat(korean(text), english_tokens(text)))
+    return F.when(F.size(both) > 0, both).otherwise(F.filter(F.split(text, r"\p{IsWhite_Space}+"), lambda t: t != ""))
+
+
+def legacy_tokens(text: Column, korean=hangul_tokens) -> Column:
+    """Tokens of the older index: English ones of an English text, else both."""
+    return F.when(ascii_letter_language(text) == "en", english_tokens(text)).otherwise(mixed_tokens(text, korean))
+
+
+def legacy_query_tokens(text: Column, korean=hangul_tokens) -> Column:
+    """Tokens of a query to the older index: both as soon as there is Hangul in it."""
+    return F.when(has_hangul(text), mixed_tokens(text, korean)).otherwise(legacy_tokens(text, korean))
+
+
 def title_of(pages: Column) -> Column:
     """The first line of the first three pages that may be a title: 4 to 120 characters after
     stripping and no page number, table of contents or the like; empty where there is none.

@@ -161,6 +161,30 @@ def page_flags(scores: DataFrame) -> DataFrame:
     return scores.select("page_id", parse.alias("parse_grade"), ocr.alias("ocr_grade"), flagged.alias("flagged"), (parse == "POOR").alias("reread"))
 
 
+def reread(pages: DataFrame) -> DataFrame:
+    """pages (parse_score, text, fallback, method) with the fallback's text where the text layer is poor
+    and the fallback has any."""
+    poor = (grade(F.col("parse_score")) == "POOR") & (F.coalesce("fallback", F.lit("")) != "")
+    return pages.withColumns({"text": F.when(poor, F.col("fallback")).otherwise(F.col("text")), "method": F.when(poor, "fallback").otherwise(F.col("method"))}).drop("fallback")
+
+
+def ingest_report(parsed: DataFrame) -> DataFrame:
+    """doc_id, status, total_pages, indexed_pages, flagged_pages of parsed (doc_id, status, pages): failed
+    stays failed; flagged and blank pages are left out, and where nothing is left a document is skipped.
+    Nothing of a failed document counts."""
+    failed = F.col("status") == "failed"
+    flagged = F.transform(F.filter("pages", lambda p: F.coalesce(p["flagged"], F.lit(False))), lambda p: p["page"])
+    good = F.filter("pages", lambda p: ~F.coalesce(p["flagged"], F.lit(False)) & (strip(F.coalesce(p["text"], F.lit(""))) != ""))
+    zero = lambda n: F.when(failed, 0).otherwise(n)
+    return parsed.select(
+        "doc_id",
+        F.when(failed, "failed").when(F.size(good) == 0, "skipped").otherwise("success").alias("status"),
+        zero(F.size("pages")).alias("total_pages"),
+        F.when(failed, 0).otherwise(F.size(good)).alias("indexed_pages"),
+        F.when(failed, F.array().cast("array<int>")).otherwise(flagged.cast("array<int>")).alias("flagged_pages"),
+    )
+
+
 def weighted_confidence(blocks: DataFrame, page: str = "page_id") -> DataFrame:
     """Confidence of each page weighted by the length of its blocks (text, conf); 0 without text."""
     size = F.length("text")

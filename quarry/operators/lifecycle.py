@@ -166,3 +166,15 @@ def counters(base: DataFrame, events: DataFrame, name: str = "download_count") -
     """base with the events of each id added to a counter; addition commutes, so order is free."""
     n = events.groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("_n"))
     return base.join(n, base.id == n._d, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col("_n"), F.lit(0))).drop("_d", "_n")
+
+
+def counts_as_download(method: Column, ranged: Column) -> Column:
+    """Whether a request adds to the counter: a GET without a range, or of one from the first byte on."""
+    return (F.upper(method) == "GET") & (F.coalesce(ranged, F.lit("")).rlike(r"^\s*$") | F.coalesce(ranged, F.lit("")).rlike(r"^bytes=0-"))
+
+
+def log_rows(calls: DataFrame, as_of: str) -> DataFrame:
+    """The search log's rows of calls (query, user_email, result_count): those with a query that is not
+    blank, of anonymous where nobody is logged in."""
+    asked = calls.where(F.trim(F.coalesce("query", F.lit(""))) != "")
+    return asked.select("query", F.coalesce("user_email", F.lit("anonymous")).alias("user_email"), "result_count", as_of_lit(as_of).alias("searched_at"))

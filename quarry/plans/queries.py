@@ -389,11 +389,12 @@ _BUILT: dict[tuple[str, str, str], str] = {}
 
 
 def built(spark: SparkSession, d: str, kind: str = "documents") -> SearchIndex:
-    """The search index of the tables under d: written once in a session, read by every query."""
+    """The search index of the tables under d: written once in a session, read by every query. Tables
+    that change under d in a session need index_build."""
     fields = {"legacy": ("text",)}.get(kind, tuple(S.FIELDS))
     tokenize = T.english_tokens if kind == "legacy" else T.terms
     key = (spark.sparkContext.applicationId, d, kind)
-    if key not in _BUILT:
+    if key not in _BUILT or not SearchIndex(spark, _BUILT[key]).committed():
         path = _scratch(spark)
         index = SearchIndex(spark, path, fields, tokenize)
         docs = view(spark, d, "kb_documents")
@@ -1021,3 +1022,66 @@ def seoul_times(spark, d):
 @query("SELECT page_id, CAST(round(ocr_score * 100) AS BIGINT) AS percent FROM kb_page_scores")
 def confidence_percent(spark, d):
     return view(spark, d, "kb_page_scores").select("page_id", T.percent(F.col("ocr_score")).alias("percent"))
+
+
+@query(
+    """WITH v AS (SELECT chunk_id, doc_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, list_min(embedding)::DOUBLE AS low, (list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE) / 15 AS step FROM kb_chunk_vectors),
+c AS (SELECT chunk_id, doc_id, list_transform(e, lambda x: low + CAST(floor((x - low) / step + 0.5) AS INT) * step) AS e FROM v), q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0)
+SELECT chunk_id, doc_id, round((1 + list_dot_product(c.e, q.e) / (sqrt(list_dot_product(c.e, c.e)) * sqrt(list_dot_product(q.e, q.e)))) / 2, 6) AS score FROM c, q ORDER BY score DESC, chunk_id LIMIT 50"""
+)
+def knn_quantised(spark, d):
+    return S.knn_coded(S.coded(view(spark, d, "kb_chunk_vectors")), _vector(spark, d))
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, ls, list_filter(range(1, len(ls) + 1), lambda i: i % 7 <> 0 AND regexp_replace(ls[i], '^\s+|\s+$', '', 'g') <> '') AS good FROM l)
+SELECT doc_id, CASE WHEN doc_id % 20 = 0 THEN 'failed' WHEN len(good) = 0 THEN 'skipped' ELSE 'success' END AS status, CASE WHEN doc_id % 20 = 0 THEN 0 ELSE len(ls) END AS total_pages,
+CASE WHEN doc_id % 20 = 0 THEN 0 ELSE len(good) END AS indexed_pages, CASE WHEN doc_id % 20 = 0 THEN 0 ELSE len(ls) // 7 END AS n_flagged FROM p"""
+)
+def ingest_results(spark, d):
+    status = F.when(F.col("doc_id") % 20 == 0, "failed").otherwise("success")
+    out = C.ingest_report(_paged(spark, d).withColumn("status", status))
+    return out.select("doc_id", "status", "total_pages", "indexed_pages", F.size("flagged_pages").alias("n_flagged"))
+
+
+@query("SELECT page_id, CASE WHEN parse_score < 0.5 AND page_id % 2 = 0 THEN 'read again' ELSE text END AS text, CASE WHEN parse_score < 0.5 AND page_id % 2 = 0 THEN 'fallback' ELSE 'layer' END AS method FROM kb_page_scores")
+def page_reread(spark, d):
+    pages = view(spark, d, "kb_page_scores").select("page_id", "parse_score", "text", F.when(F.col("page_id") % 2 == 0, "read again").otherwise("").alias("fallback"), F.lit("layer").alias("method"))
+    return C.reread(pages).select("page_id", "text", "method")
+
+
+@query("SELECT id, strpos(filename, '_') - 1 AS first_at, CASE WHEN strpos(filename, '_e') = 0 THEN -1 ELSE length(filename) - strpos(reverse(filename), 'e_') - 1 END AS last_at FROM kb_documents")
+def text_positions(spark, d):
+    return view(spark, d, "kb_documents").select("id", T.find(F.col("filename"), "_").alias("first_at"), T.rfind(F.col("filename"), "_e").alias("last_at"))
+
+
+@query(
+    "SELECT id, count(*) FILTER (event_id % 4 IN (0, 1)) AS counted FROM (SELECT event_id AS id, event_id FROM events WHERE event_type = 'purchase') e GROUP BY id"
+)
+def download_requests(spark, d):
+    asked = table(spark, d, "events").where("event_type = 'purchase'")
+    ranged = F.when(F.col("event_id") % 4 == 1, "bytes=0-99").when(F.col("event_id") % 4 == 2, "bytes=100-")
+    method = F.when(F.col("event_id") % 4 == 3, "HEAD").otherwise("GET")
+    return asked.groupBy(F.col("event_id").alias("id")).agg(F.count_if(L.counts_as_download(method, ranged)).alias("counted"))
+
+
+@query(f"SELECT query, user_email, id AS result_count, TIMESTAMP '{AS_OF}' AS searched_at FROM kb_search_logs WHERE trim(query) <> ''")
+def search_log_rows(spark, d):
+    calls = view(spark, d, "kb_search_logs").select("query", "user_email", F.col("id").alias("result_count"))
+    return L.log_rows(calls, AS_OF)
+
+
+@query("SELECT b.doc_id, filename FROM kb_bookmarks b JOIN kb_documents k ON b.doc_id = k.id WHERE user_email = 'u3@ex.com' AND contains(lower(filename), '.pd')")
+def bookmarks_filtered(spark, d):
+    own = D.bookmarks_of(view(spark, d, "kb_bookmarks"), view(spark, d, "kb_documents"), USER)
+    return own.where(T.contains_ignoring_case(F.col("filename"), ".PD")).select("doc_id", "filename")
+
+
+@query(
+    """WITH w AS (SELECT count(*) AS waiting FROM kb_documents WHERE status = 'success' AND NOT has_flagged AND id NOT IN (SELECT doc_id FROM kb_chunks)),
+c AS (SELECT count(*) AS chunks, count(*) FILTER (chunk_id % 5 <> 0) AS indexed FROM kb_chunks) SELECT waiting, chunks, indexed, waiting = 0 AND chunks = indexed AS settled FROM w, c"""
+)
+def index_settled(spark, d):
+    chunks = view(spark, d, "kb_chunks")
+    return J.settled(view(spark, d, "kb_documents"), chunks, chunks.where("chunk_id % 5 <> 0"))

@@ -69,6 +69,20 @@ def list_backups(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).orderBy(F.desc("modified"), F.desc("name"))
 
 
+def fetch_backup(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """name, content of a backup file; no row unless the folder has a file of just that name."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.where(F.substring_index("path", "/", -1) == name).select(F.lit(name).alias("name"), "content")
+
+
+def delete_backup(spark: SparkSession, path: str, name: str) -> bool:
+    """Delete a backup file of a folder; False where the folder has none of just that name."""
+    if name not in {r.name for r in list_backups(spark, path).where(F.col("name") == name).select("name").collect()}:
+        return False
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}")
+    return bool(file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, False))
+
+
 def write_backup(tables: dict[str, DataFrame], path: str, stamp: str) -> None:
     """A snapshot of each table under its own folder and stamp."""
     for name, df in tables.items():

@@ -116,6 +116,10 @@ class SearchIndex:
         sums = self._read("sums", "field string, n long, total long", self._batches()).groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
         return sums.where("n > 0").select("field", "n", (F.col("total") / F.col("n")).alias("avgdl"))
 
+    def committed(self) -> bool:
+        """Whether any batch counts."""
+        return bool(self._batches())
+
     def count(self) -> int:
         """Chunks that are there; none where there is no index yet."""
         return self.chunks().count() if self._batches() else 0

@@ -15,6 +15,7 @@ from quarry.operators import search as S
 from quarry.sources import files as FS
 from quarry.sources import hwp5 as H
 from quarry.sources import parse as P
+from quarry.sources import pdf as PDF
 from quarry.sources.compound import SIGNATURE
 from quarry.streaming import jobs as J
 
@@ -233,6 +234,46 @@ def test_exports_are_read_back(spark, tmp_path):
     assert text[0] == ",".join(FS.EXPORT) and "사양서,실패,3,검토필요,2024-01-05 10:00:00" in text[1]
 
 
+def test_mixed_tokens(spark):
+    df = spark.createDataFrame([("모터 설계 1.8V NFC_CTRL 값",), ("only English words",), ("가 나",)], "t string")
+    assert [r[0] for r in df.select(T.legacy_tokens(F.col("t"))).collect()] == [["모터", "설계", "nfc_ctrl", "1.8v"], ["english", "words"], ["가", "나"]]
+    assert df.select(T.legacy_query_tokens(F.col("t"))).first()[0] == ["모터", "설계", "nfc_ctrl", "1.8v"]
+    assert [tuple(r) for r in df.select(T.find(F.col("t"), "l"), T.rfind(F.col("t"), "l"), T.rfind(F.col("t"), "lis")).collect()][1] == (2, 8, 8)
+
+
+def test_backups_are_fetched_and_deleted_by_name(spark, tmp_path):
+    (tmp_path / "a.tar").write_bytes(b"one")
+    (tmp_path / "b.tar").write_bytes(b"two")
+    path = "file://" + str(tmp_path)
+    assert [bytes(r.content) for r in FS.fetch_backup(spark, path, "a.tar").collect()] == [b"one"]
+    assert FS.fetch_backup(spark, path, "../a.tar").collect() == []
+    assert not FS.delete_backup(spark, path, "../b.tar") and FS.delete_backup(spark, path, "b.tar") and not FS.delete_backup(spark, path, "b.tar")
+    assert [r.name for r in FS.list_backups(spark, path).collect()] == ["a.tar"]
+
+
+def test_pages_of_a_pdf(spark):
+    page = b"1 0 obj <</Type /Page /Parent 2 0 R>> endobj\n"
+    packed = zlib.compress(b"5 0 6 20 <</Type/Page>> <</Type/Page /X 1>> <</Type /Pages /Count 9>>")
+    stream = b"3 0 obj <</Type /ObjStm /Length %d /Filter /FlateDecode>> stream\n" % len(packed) + packed + b"\nendstream endobj\n"
+    text = b"4 0 obj <</Length 12>> stream\n/Type /Page \nendstream endobj\n"
+    assert PDF.page_count(b"%PDF-1.5\n" + page + b"<</Type /Pages>>" + stream + text + page) == 4
+    assert PDF.page_count(b"none") is None and PDF.page_count(b"%PDF-1.4\n") == 0
+    files = spark.createDataFrame([("a", bytearray(b"%PDF-1.5\n" + page)), ("b", bytearray(b"x"))], "path string, content binary")
+    assert {r.path: r.page_count for r in PDF.page_counts(files).collect()} == {"a": 1, "b": None}
+
+
+def test_coded_vectors_find_most_of_the_nearest(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(i, i, [float(x) for x in v / np.linalg.norm(v)]) for i, v in enumerate(rng.normal(size=(400, 48)))]
+    vectors = spark.createDataFrame(rows + [(400, 400, [0.5] * 48)], "chunk_id long, doc_id long, embedding array<float>")
+    exact = {r.chunk_id for r in S.knn(vectors, rows[7][2], 20).collect()}
+    got = {r.chunk_id for r in S.knn_coded(S.coded(vectors), rows[7][2], 20).collect()}
+    assert len(got) == 20 and len(exact & got) >= 18
+    assert S.knn_coded(S.coded(vectors), rows[7][2], 1000).count() == 401
+
+
 # ---- parsing ----------------------------------------------------------------------------------------------------
 
 
