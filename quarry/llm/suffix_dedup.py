@@ -8,7 +8,9 @@ sorted together; where a minimizer has different pieces, the earliest of each ar
 and their suffixes are sorted by groups (see substring_kernels) to find equal windows. A minimizer
 with more than HOT different pieces is dealt out anew, by half of the bytes that its
 windows don't have in common yet, and again until no bucket has more; windows with nothing left
-to differ in are all equal, so this ends.
+to differ in are all equal, so this ends. A minimizer that very many different pieces share, as a
+sample of documents tells, is dealt out by single windows from the start, so that no task gets them
+all; which way a piece goes makes no difference to what is found.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import U64, materialize, slices, string_buffers
+from quarry.llm.common import BYTE_VALUES, U64, materialize, mix, prefix_hash, slices, span_hash, string_buffers
 from quarry.llm.near_dedup import _runs
 from quarry.llm.substring_kernels import pieces, repeats_in
 
@@ -33,6 +35,11 @@ HOT = 4096
 #: Bytes of pieces that are suffix-sorted at a time, and windows of a chain that are sorted together.
 SORTED_BYTES = 2 << 20
 STRETCH = 256
+#: One in so many documents is looked at for minimizers with more different pieces than this, and more
+#: than one in HOT_MINIMIZERS of all; there are fewer than HOT_MINIMIZERS of them.
+SAMPLED = 64
+HOT_PIECES = 100_000
+HOT_MINIMIZERS = 1 << 16
 #: Pieces that a task remembers so that what repeats often is finished before the shuffle.
 REMEMBERED = 1 << 17
 
@@ -75,13 +82,51 @@ class _Seen:
             column[at] = values
 
 
-def piece_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def counted_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """text -> h, n: the different pieces of each minimizer in a slice of texts."""
+    for batch in slices(batches):
+        h, ph = pieces(*string_buffers(batch.column("text")), length, gram)[-2:]
+        both = np.unique(np.stack([h, ph]), axis=1)[0]
+        h, n = np.unique(both, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+
+def hot_minimizers(docs: DataFrame, length: int, gram: int) -> np.ndarray:
+    """The minimizers of docs (ROW_SCHEMA, text) that too many different pieces share, by a sample."""
+    some = docs.where(F.pmod(F.xxhash64(*ROW), F.lit(SAMPLED)) == 0).select("text")
+    counts = some.mapInArrow(lambda it: counted_rows(it, length, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = materialize(counts.where("n > 1"), "sampled")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    most = max(HOT_PIECES / SAMPLED, total / HOT_MINIMIZERS)
+    return np.array([r.h for r in counts.where(F.col("n") > most).select("h").collect()], np.int64).view(np.uint64)
+
+
+def _windows(raw: np.ndarray, offsets: np.ndarray, cut: tuple[np.ndarray, ...], hot: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """cut, as pieces gives it, with the pieces of hot minimizers as their single windows."""
+    far = np.isin(cut[4], hot)
+    if not far.any():
+        return cut
+    d, start, at, size = (x[far] for x in cut[:4])
+    n = size - length + 1
+    ends = np.cumsum(n)
+    step = np.arange(ends[-1]) - np.repeat(ends - n, n)
+    d, start, at = np.repeat(d, n), np.repeat(start, n) + step, np.repeat(at, n) - step
+    begin = offsets[d] + start
+    one = span_hash(prefix_hash(BYTE_VALUES[raw]), begin, begin + length)
+    two = span_hash(prefix_hash(mix(BYTE_VALUES * U64(0x9E3779B97F4A7C15))[raw]), begin, begin + length)
+    made = (d, start, at, np.full(len(d), length), one, two)
+    joined = [np.concatenate([x[~far], y]) for x, y in zip(cut, made)]
+    order = np.lexsort((joined[1], joined[0]))
+    return tuple(x[order] for x in joined)
+
+
+def piece_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """ROW_SCHEMA, text -> _PIECES. What comes after two equal pieces that the task has handed on
     comes as finished intervals: done, from h to ph of the document."""
     seen = _Seen()
     for batch in slices(batches):
         raw, offsets = string_buffers(batch.column("text"))
-        d, start, at, size, h, ph = pieces(raw, offsets, length, gram)
+        d, start, at, size, h, ph = _windows(raw, offsets, pieces(raw, offsets, length, gram), hot, length)
         if not len(d):
             continue
         rows = [np.asarray(batch.column(n)) if n != "none" else np.asarray(batch.column(n).to_pylist(), bool) for n in ROW]
@@ -320,7 +365,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """
     if not 0 < gram <= length or 2 * length - gram > 255:
         raise ValueError("a piece must fit in 255 bytes: gram <= length and 2 * length - gram <= 255")
-    rows = docs.select(*ROW, "text").mapInArrow(lambda it: piece_rows(it, length, gram), _PIECES)
+    far = hot_minimizers(docs, length, gram)
+    rows = docs.select(*ROW, "text").mapInArrow(lambda it: piece_rows(it, length, gram, far), _PIECES)
     # One shuffle by minimizer serves both windows; finished intervals are spread by their document.
     dealt = rows.withColumn("key", F.when(F.col("done"), F.xxhash64("doc", "h")).otherwise(F.col("h"))).repartition("key")
     known = materialize(_judged(dealt, hot).drop("done"), "pieces")

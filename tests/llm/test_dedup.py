@@ -170,6 +170,17 @@ def test_suffix_removals_of_repeated_rows(spark, texts):
     assert all((r[1], r[2], r[3], bytes(r[4])) == want[r[0]] for r in got)
 
 
+@pytest.mark.parametrize("most", [0, 3])
+def test_suffix_removals_with_hot_minimizers(docs, texts, monkeypatch, most):
+    """All or some minimizers are dealt out by windows, in all or in a part of their texts: no difference."""
+    monkeypatch.setattr(S, "SAMPLED", 1)
+    monkeypatch.setattr(S, "HOT_PIECES", most)
+    rows = S.with_keys(docs, "doc_id", F.col("text")).select(*S.ROW, F.coalesce("text", F.lit("")).alias("text"))
+    assert len(S.hot_minimizers(rows, S.LENGTH, S.GRAM)) > 20
+    out = S.remove_repeats(docs).select("c0", "n_bytes", "n_removed", "n_spans", "kept").collect()
+    assert {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in out} == brute.removals(texts, S.LENGTH)
+
+
 @pytest.mark.parametrize("shared_id", [None, 5])
 def test_suffix_removals_of_rows_that_share_an_id(spark, shared_id):
     """Thousands of rows without an id, or with one and the same: each loses what repeats and no more."""

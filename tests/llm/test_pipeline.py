@@ -1,10 +1,10 @@
-from fractions import Fraction
 
 import corpus_pipeline as P
 from quarry.llm import quality as Q
 from quarry.llm.common import materialize
 from quarry.llm.tokens import encoder, public_path
 from tests.llm import brute
+from tests.llm.conftest import frame
 from tests.llm.test_rules import plain_counts
 
 
@@ -46,5 +46,12 @@ def test_stages_take_an_empty_table(spark, empty):
     assert now.count() == 0
 
 
-def test_near_stage_takes_four_fifths():
-    assert "Fraction(4, 5)" in __import__("inspect").getsource(P.near_dedup) and Fraction(4, 5) == Fraction(80, 100)
+def test_near_stage_takes_four_fifths(spark):
+    """Of two texts that share 80 of 100 shingles one goes, of two that share 79 of 101 both stay."""
+    words = [f"w{i}" for i in range(94)]
+    pair = lambda name, same: (" ".join(words[: same + 4] + [f"{name}a{i}" for i in range(90 - same)]), " ".join(words[: same + 4] + [f"{name}b{i}" for i in range(90 - same)]))
+    for same, left in ((80, 1), (79, 2)):
+        texts = pair(f"n{same}", same)
+        a, b = (brute.shingles(t) for t in texts)
+        assert len(a & b) == same and len(a | b) == 180 - same
+        assert P.near_dedup(spark, frame(spark, list(enumerate(texts))), "").count() == left
