@@ -10,7 +10,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import materialize
+from quarry.llm.common import discard, materialize
 from quarry.llm.exact_dedup import keep_largest
 from quarry.llm.near_dedup import keep_one_per_group
 from quarry.llm.packing import pack_documents
@@ -57,7 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's table is deleted once the next one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
