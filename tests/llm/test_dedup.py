@@ -67,7 +67,9 @@ def test_radius_is_kept_by_some_key():
         assert set(out[out.rep == 1].key) & set(out[out.rep == 2].key)
 
 
-def test_components_of_paths_stars_and_loops(spark):
+@pytest.mark.parametrize("most", [1000, 2])
+def test_components_of_paths_stars_and_loops(spark, monkeypatch, most):
+    monkeypatch.setattr(CC, "HOT_EDGES", most)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in CC.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
