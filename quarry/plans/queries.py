@@ -1009,9 +1009,9 @@ def session_sweep(spark, d):
     return L.sweep(view(spark, d, "kb_revoked_sessions"), "revoked_at", AS_OF, L.SESSION_DAYS).select("session_id")
 
 
-@query(f"SELECT id FROM kb_deletion_logs WHERE deleted_at >= TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY")
+@query("SELECT id FROM kb_deletion_logs WHERE deleted_at >= TIMESTAMP '2024-01-05 00:00:00' - INTERVAL 3 DAY")
 def mirror_sweep(spark, d):
-    return L.sweep(view(spark, d, "kb_deletion_logs"), "deleted_at", AS_OF, L.MIRROR_DAYS).select("id")
+    return L.sweep(view(spark, d, "kb_deletion_logs"), "deleted_at", "2024-01-05 00:00:00", L.MIRROR_DAYS).select("id")
 
 
 @query("SELECT id, uploaded_at + INTERVAL 9 HOUR AS local_at FROM kb_documents")
