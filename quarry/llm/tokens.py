@@ -19,7 +19,7 @@ import regex
 from quarry.llm.common import KEPT
 
 #: Units between spaces, and pre-tokens, that a worker remembers; frequent ones come early.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 _MARKS = frozenset(".,;:!?")
 #: A space before white space or at the end: the only place where splitting at spaces may be wrong.
 _WIDE = re.compile("[\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
