@@ -76,6 +76,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.fill_middle import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -87,8 +105,12 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
+    "op11_pii": op11_pii,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_source_divergence": op13_source_divergence,
 }
 
+
 def _url_sql() -> str:
     from quarry.llm.url_filter import oracle
 
@@ -101,4 +123,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_suffix_dedup": sql.OP4,
     "op7_url_filter": _url_sql(),
     "op8_quality_rules": sql.op8(),
+    "op12_fill_in_middle": sql.OP12,
+    "op13_source_divergence": sql.OP13,
 }
