@@ -11,8 +11,8 @@ the division fails instead of rounding.
 The sum over all kept terms of a language is taken without all terms of all pairs. Terms that neither
 group has cost the same each: V times that is the base, to which come corrections.
 
-* Heavy terms, those of many groups: dense numpy tiles of up to BLOCK groups against BLOCK groups and
-  about TILE terms, each giving partial sums over the terms that it holds.
+* Heavy terms, those of many groups: dense numpy tiles of about BLOCK groups against BLOCK groups and a
+  share of the terms, each giving partial sums over the terms that it holds.
 * Light terms: what a term that one group has and the other lacks differs by depends on its count
   alone, so a histogram of the counts of a group's light terms is enough, evaluated in the same tiles;
   for the few pairs of groups that share the light term, its posting list gives what that misses.
@@ -40,8 +40,8 @@ from quarry.llm.common import materialize, slices, string_buffers
 SCALE = 1_000_000_000
 MIN_DOCS = 3
 TOP_TERMS = 200
-#: Groups of a block and terms of a tile.
-BLOCK, TILE = 32, 1024
+#: Groups of a block, and entries of a block that a tile holds on average.
+BLOCK, TILE_ROWS = 32, 16_384
 #: A term is light in at most this share of its language's groups, and in no more groups than that.
 LIGHT_SHARE, LIGHT_LEAST, LIGHT_GROUPS = 5, 2, 64
 #: Distinct terms that a task counts before it sends them on.
@@ -182,14 +182,22 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_T
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = counts.where("term IS NULL").select("lang", "source").join(totals, ["lang", "source"], "left")
     groups = materialize(groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total")), "divergence-groups")
-    # Sums over kept terms of each language: those of its groups hold all occurrences.
+    # A row for each language: its groups hold all occurrences of its kept terms.
     sizes = groups.groupBy("lang").agg(F.count("*").alias("n_groups"), F.sum("total").alias("lang_total"))
-    sizes = sizes.join(terms.groupBy("lang").agg(F.count("*").alias("kept")), "lang", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    sizes = sizes.join(terms.groupBy("lang").agg(F.count("*").alias("kept")), "lang", "left")
     light = F.greatest(F.lit(LIGHT_LEAST), F.least(F.lit(LIGHT_GROUPS), F.floor(F.col("n_groups") / LIGHT_SHARE)))
-    sizes = sizes.select("lang", "lang_total", "kept", light.cast("long").alias("light"), F.ceil(F.col("n_groups") / BLOCK).alias("blocks"))
-    entries = kept.join(groups.join(sizes, "lang"), ["lang", "source"])
+    sizes = sizes.select("lang", "lang_total", F.coalesce("kept", F.lit(0)).alias("kept"), light.cast("long").alias("light"), F.ceil(F.col("n_groups") / BLOCK).alias("blocks"))
+    sizes = materialize(sizes, "divergence-languages")
+    # How many heavy and how many light terms each group has with each count.
+    heavy = F.col("holders") > F.col("light")
+    bars = kept.join(sizes.select("lang", "light"), "lang").groupBy("lang", "source", "n").agg(F.count_if(heavy).alias("heavy"), F.count_if(~heavy).alias("times"))
+    bars = materialize(bars, "divergence-bars")
+    rows = bars.groupBy("lang").agg((F.sum("heavy") + F.count_if(F.col("times") > 0)).alias("rows"))
+    tiles = (1 + F.floor(F.coalesce("rows", F.lit(0)) / F.col("blocks") / TILE_ROWS)).cast("long")
+    groups = materialize(groups.join(sizes, "lang").join(rows, "lang", "left").withColumn("tiles", tiles).drop("rows"), "divergence-groups")
 
-    return _top_terms(entries, top_terms).unionByName(_pairs(entries, groups.join(sizes, "lang")))
+    entries = kept.join(groups, ["lang", "source"])
+    return _top_terms(entries, top_terms).unionByName(_pairs(entries, bars.join(groups, ["lang", "source"]), groups))
 
 
 def _ranked(rows: DataFrame, part: str) -> DataFrame:
@@ -204,31 +212,23 @@ def _top_terms(entries: DataFrame, most: int) -> DataFrame:
     return _ranked(above.select("lang", "source", F.col("term").alias("item"), _apart(F.col("p"), F.col("q")).alias("value")), "term").where(F.col("rank") <= most)
 
 
-def _pairs(entries: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(entries: DataFrame, bars: DataFrame, groups: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("source"), F.col("blocks")).cast("long").alias("block")
-    heavy = entries.where(F.col("holders") > F.col("light"))
-    rare = entries.where(F.col("holders") <= F.col("light"))
-    histogram = rare.groupBy("lang", "source", "total", "kept", "blocks", "n").agg(F.count("*").alias("times"))
-    # Tiles of a language: by its heavy terms, and by the counts in histograms, of all blocks at worst.
-    spread = heavy.groupBy("lang").agg(F.countDistinct("term").alias("terms"))
-    spread = spread.join(histogram.groupBy("lang").agg(F.count("*").alias("bars")), "lang", "full_outer")
-    tiles = (1 + F.floor((F.coalesce("terms", F.lit(0)) + F.coalesce("bars", F.lit(0)) / BLOCK) / TILE)).cast("long")
-    groups = groups.join(spread.select("lang", tiles.alias("tiles")), "lang", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    counted = groups.select("lang", "tiles").distinct()
-
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    heads = groups.select("lang", "source", block, "blocks", "total", "kept", F.lit(_HEADER).alias("part"), none("string", "term"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("times"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
-    full = heavy.join(counted, "lang").select("lang", "source", block, "blocks", "total", "kept", F.lit(_ENTRY).alias("part"), "term", "n", F.lit(1).cast("long").alias("times"), F.pmod(F.xxhash64("term"), F.col("tiles")).alias("tile"))
-    bars = histogram.join(counted, "lang").select("lang", "source", block, "blocks", "total", "kept", F.lit(_HISTOGRAM).alias("part"), none("string", "term"), "n", "times", F.pmod(F.xxhash64("n"), F.col("tiles")).alias("tile"))
-    rows = heads.unionByName(full).unionByName(bars)
+    tile = lambda by: F.pmod(F.xxhash64(by), F.col("tiles")).alias("tile")
+    zero = F.lit(0).cast("long")
+    known = ("lang", "source", block, "blocks", "total", "kept")
+    heads = groups.select(*known, F.lit(_HEADER).alias("part"), none("string", "term"), zero.alias("n"), zero.alias("times"), F.explode(F.sequence(zero, F.col("tiles") - 1)).alias("tile"))
+    full = entries.where(F.col("holders") > F.col("light")).select(*known, F.lit(_ENTRY).alias("part"), "term", "n", F.lit(1).cast("long").alias("times"), tile("term"))
+    rare = bars.where("times > 0").select(*known, F.lit(_HISTOGRAM).alias("part"), none("string", "term"), "n", "times", tile("n"))
+    rows = heads.unionByName(full).unionByName(rare)
     # A block meets each block once; a tile works out both directions.
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).drop("other", "blocks")
     dense = met.groupBy("lang", "low", "high", "tile").applyInArrow(_tile, _TILE)
 
-    zero = lambda: share(F.lit(0).cast("long"), F.col("total"), F.col("kept"))
-    posting = F.struct("source", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"), zero().alias("z"))
-    lists = rare.where("holders > 1").select("lang", "term", posting.alias("g")).groupBy("lang", "term").agg(F.collect_list("g").alias("gs"))
+    posting = F.struct("source", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"), share(zero, F.col("total"), F.col("kept")).alias("z"))
+    lists = entries.where("holders > 1 AND holders <= light").select("lang", "term", posting.alias("g")).groupBy("lang", "term").agg(F.collect_list("g").alias("gs"))
     shared = lists.select("lang", F.explode("gs").alias("a"), "gs").select("lang", "a", F.explode("gs").alias("b")).where("a.source <> b.source")
     f = lambda p, q: _apart(F.col(p), F.col(q))
     fix = f("a.p", "b.p") - f("a.p", "b.z") - f("a.z", "b.p") + f("a.z", "b.z")

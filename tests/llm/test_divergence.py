@@ -78,7 +78,7 @@ def test_small_blocks_tiles_and_flushes(spark, monkeypatch):
     rows = made(random.Random(9), 300, 12)
     want = plain(rows)
     for block, tile, share, least in [(2, 3, 5, 2), (5, 4, 1, 50), (3, 1000, 5, 0)]:
-        for name, value in (("BLOCK", block), ("TILE", tile), ("LIGHT_SHARE", share), ("LIGHT_LEAST", least)):
+        for name, value in (("BLOCK", block), ("TILE_ROWS", tile), ("LIGHT_SHARE", share), ("LIGHT_LEAST", least)):
             monkeypatch.setattr(V, name, value)
         assert rows_of(V.divergence(frame(spark, rows))) == want
 
