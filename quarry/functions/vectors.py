@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,22 +32,36 @@ def from_text(text: Column) -> Column:
     return from_bytes(F.unbase64(text))
 
 
-def hashing_encoder(dim: int = 64) -> Encoder:
-    """Words hashed to signed places, at length 1."""
+DIM = 64
+#: Words whose places an encoder remembers.
+_REMEMBERED = 1 << 20
+
+
+def hashing_encoder(dim: int = DIM) -> Encoder:
+    """Words of lower-cased texts counted at places and with signs that the first 32 bits of their MD5
+    give, at length 1; a text whose counts cancel out is all zeros. The counts are integers, so each
+    number of a vector is one rounded division."""
+    places: dict[str, tuple[int, int]] = {}
+
+    def place(word: str) -> tuple[int, int]:
+        if len(places) >= _REMEMBERED:
+            places.clear()
+        h = int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+        return places.setdefault(word, (h % dim, 1 if h >> 31 else -1))
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), np.float32)
+        out = np.zeros((len(texts), dim))
         for row, text in zip(out, texts):
-            for word in text.lower().split():
-                h = zlib.crc32(word.encode())
-                row[h % dim] += 1 if h & 0x40000000 else -1
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, norm, out=out, where=norm > 0)
+            for word, n in Counter(text.lower().split()).items():
+                at, sign = places.get(word) or place(word)
+                row[at] += sign * n
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
 
     return encode
 
 
-def embed(df: DataFrame, make: Callable[[], Encoder], text: str = "text", prefix: str = "", dim: int = 64, batch: int = 32) -> DataFrame:
+def embed(df: DataFrame, make: Callable[[], Encoder], text: str = "text", prefix: str = "", dim: int = DIM, batch: int = 32) -> DataFrame:
     """Adds embedding. make builds the model once for each task; vectors of another size are an error."""
 
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -60,3 +75,8 @@ def embed(df: DataFrame, make: Callable[[], Encoder], text: str = "text", prefix
 
     typed: Callable[[Iterator[pd.Series]], Iterator[pd.Series]] = run
     return df.withColumn("embedding", F.pandas_udf(typed, "array<float>", functionType=F.PandasUDFType.SCALAR_ITER)(F.col(text)))
+
+
+def embedded(text: str, make: Callable[[], Encoder], prefix: str = "") -> list[float]:
+    """The vector of one question, by the model that embed takes."""
+    return [float(x) for x in make()([prefix + text])[0]]

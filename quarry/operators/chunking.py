@@ -2,12 +2,11 @@
 
 A chunk is a span of a document's text: sections between headings where there are two headings or
 more, cut into windows that end at natural boundaries. The cutting depends on where the last cut
-fell, so it runs as Python over Arrow batches; everything else is column expressions.
+fell, so it runs as Python over Arrow batches; everything else is column expressions and an as-of join.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Iterator
 
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import grade, strip
+from quarry.operators.asof import carried
 
 LONGEST, OVERLAP, SHORTEST, LOOK_BACK = 400, 80, 20, 100
 #: Headings, and boundaries in the order in which they are preferred.
@@ -96,30 +96,31 @@ def joined_pages(docs: DataFrame) -> DataFrame:
 
 
 def page_at(offsets: Column, place: Column) -> Column:
-    """The last page that starts at or before a place; the first where none does."""
+    """The last page that starts at or before a place, of few pages in an array; the first where none does."""
     before = F.filter(offsets, lambda o: o["off"] <= place)
     return F.coalesce(F.get(before, F.size(before) - 1)["page"], F.get(offsets, F.lit(0))["page"])
 
 
 def page_chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, offsets -> doc_id, chunk_idx, page_num, text: chunks with the page they start on."""
+    """doc_id, text, offsets -> the chunks of each document and the starts of its pages, a row each:
+    doc_id, at, chunk_idx, page_num, text, asks (whether the row is a chunk, whose page is asked)."""
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
-            rows = []
+            rows: list[tuple] = []
             for doc, text, offsets in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "offsets"))):
-                starts = [o["off"] for o in offsets]
-                for i, (begin, _, chunk) in enumerate(spans(text)):
-                    if len(chunk) >= SHORTEST:
-                        rows.append((doc, i, offsets[max(bisect.bisect_right(starts, begin) - 1, 0)]["page"], chunk))
-            columns = list(zip(*rows)) or [()] * 4
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "chunk_idx", "page_num", "text"])
+                rows += [(doc, o["off"], None, o["page"], None, False) for o in offsets]
+                rows += [(doc, begin, i, None, chunk, True) for i, (begin, _, chunk) in enumerate(spans(text)) if len(chunk) >= SHORTEST]
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "at", "chunk_idx", "page_num", "text", "asks"])
 
 
 def page_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, chunk_idx, page_num, text of the chunks long enough to be indexed."""
-    return joined_pages(docs).mapInArrow(page_chunk_rows, "doc_id long, chunk_idx int, page_num long, text string")
+    """doc_id, chunk_idx, page_num, text of the chunks long enough to be indexed, with the page that each
+    starts on: the last page start at or before the chunk's, one scan and one shuffle by doc_id."""
+    rows = joined_pages(docs).mapInArrow(page_chunk_rows, "doc_id long, at long, chunk_idx int, page_num long, text string, asks boolean")
+    return carried(rows, ["doc_id"], "at", ["page_num"], "asks").select("doc_id", "chunk_idx", "page_num", "text")
 
 
 def snippet(text: str, tokens: list[str], size: int = 200) -> str:

@@ -173,8 +173,9 @@ def counts_as_download(method: Column, ranged: Column) -> Column:
     return (F.upper(method) == "GET") & (F.coalesce(ranged, F.lit("")).rlike(r"^\s*$") | F.coalesce(ranged, F.lit("")).rlike(r"^bytes=0-"))
 
 
-def log_rows(calls: DataFrame, as_of: str) -> DataFrame:
+def log_rows(calls: DataFrame, as_of: str | None = None) -> DataFrame:
     """The search log's rows of calls (query, user_email, result_count): those with a query that is not
-    blank, of anonymous where nobody is logged in."""
+    blank, of anonymous where nobody is logged in; at as_of, or else at their own searched_at."""
     asked = calls.where(F.trim(F.coalesce("query", F.lit(""))) != "")
-    return asked.select("query", F.coalesce("user_email", F.lit("anonymous")).alias("user_email"), "result_count", as_of_lit(as_of).alias("searched_at"))
+    at = F.col("searched_at") if as_of is None else as_of_lit(as_of).alias("searched_at")
+    return asked.select("query", F.coalesce("user_email", F.lit("anonymous")).alias("user_email"), "result_count", at)

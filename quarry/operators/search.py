@@ -219,10 +219,10 @@ def normalised(v: Column) -> Column:
 
 
 def similarity(vector: Column, query: list[float]) -> Column:
-    """(1 + cosine) / 2, rounded for ranking."""
+    """(1 + cosine) / 2, rounded for ranking; a vector of zeros is at a right angle to all others."""
     q = F.array(*[F.lit(float(x)) for x in query])
     norm = sum(float(x) ** 2 for x in query) ** 0.5
-    return F.round((1 + dot(vector, q) / (F.sqrt(dot(vector, vector)) * F.lit(norm))) / 2, 6)
+    return F.round((1 + F.coalesce(F.try_divide(dot(vector, q), F.sqrt(dot(vector, vector)) * F.lit(norm)), F.lit(0.0))) / 2, 6)
 
 
 def knn(vectors: DataFrame, query: list[float], k: int = KNN_CHUNKS, allowed: DataFrame | None = None) -> DataFrame:
@@ -231,19 +231,6 @@ def knn(vectors: DataFrame, query: list[float], k: int = KNN_CHUNKS, allowed: Da
     return top(pool.select("chunk_id", "doc_id", similarity(F.col("embedding"), query).alias("score")), k, "chunk_id")
 
 
-def knn_lsh(vectors: DataFrame, query: list[float], k: int = KNN_CHUNKS, tables: int = 8, width: float = 1.0) -> DataFrame:
-    """Approximate neighbours by random projections of unit vectors."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    data = vectors.select("chunk_id", "doc_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(data)
-    near = model.approxNearestNeighbors(data, Vectors.dense([float(x) for x in query]), k, distCol="dist")
-    # On unit vectors the squared distance is 2 - 2 cos.
-    return near.select("chunk_id", "doc_id", F.round(1 - F.col("dist") * F.col("dist") / 4, 6).alias("score"))
-
-
 #: Steps of a coded number: four bits.
 STEPS = 15
 

@@ -6,7 +6,12 @@ written in Spark's form and rewritten for the oracle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.operators.chunking import page_chunks
 
 #: The moment that sweeps, windows of retention and labels count from.
 AS_OF = "2024-01-31 00:00:00"
@@ -78,13 +83,54 @@ SELECT user_id AS session_id, max(ts) AS revoked_at FROM events GROUP BY user_id
 HAVING max(ts) = max(CASE WHEN event_type = 'error' THEN ts END)""",
     "kb_admin_emails": """
 SELECT DISTINCT concat('U', CAST(doc_id % 50 AS STRING), '@ex.com') AS email FROM documents WHERE (doc_id % 50) % 9 = 4""",
-    "kb_chunks": """
-SELECT vec_id AS chunk_id, vec_id % 100 AS doc_id, substring(text, CAST((vec_id / 100) * 400 + 1 AS INT), 400) AS text, 1 + vec_id / 100 AS page_num,
-       CAST(vec_id / 100 AS INT) AS chunk_idx, embedding
-FROM embeddings JOIN documents ON vec_id % 100 = doc_id""",
     "kb_chunk_vectors": "SELECT vec_id AS chunk_id, vec_id % 100 AS doc_id, embedding, label FROM embeddings",
 }
 
+#: Ids of chunks: the document's times this, and the chunk's place in it.
+CHUNKS_EACH = 1_000_000
+
+_TRIM = r"'^\s+|\s+$', '', 'g'"
+# Fixed values, as in operators.chunking: headings, and boundaries in the order in which they are preferred.
+_HEADING = r"'^(?:#{1,4}\s+.+|\d+(?:\.\d+)*\.\s+\S.{0,60}|제\s*\d+\s*[장절항].{0,40})'"
+_BOUNDARIES = ("chr(10) || chr(10)", "chr(10)", "'. '", "'? '", "'! '", "'。'", "'？'", "'！'")
+
+
+def spans_sql(source: str) -> str:
+    """DuckDB: doc_id, chunk_idx, cs, ce, text of the chunks of the rows (doc_id, text) of source."""
+    found = [f"strpos(reverse(w), reverse({b}))" for b in _BOUNDARIES]
+    cut = " ".join(f"WHEN {f} > 0 THEN start + 401 - {f}" for f in found)
+    return f"""WITH RECURSIVE lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {source}),
+placed AS (SELECT doc_id, text, 1 + coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM lines),
+heads AS (SELECT doc_id, CAST(pos - 1 AS BIGINT) AS b FROM placed WHERE regexp_matches(substring(text, CAST(pos AS BIGINT)), {_HEADING})),
+many AS (SELECT doc_id FROM heads GROUP BY doc_id HAVING count(*) > 1),
+edge AS (SELECT doc_id, b, lead(b) OVER (PARTITION BY doc_id ORDER BY b) AS e FROM heads WHERE doc_id IN (FROM many) UNION ALL SELECT doc_id, 0, NULL FROM {source} WHERE doc_id NOT IN (FROM many)),
+sec AS (SELECT doc_id, b, regexp_replace(substring(text, b + 1, coalesce(e, length(text)) - b), {_TRIM}) AS s FROM edge JOIN {source} USING (doc_id)),
+r AS (SELECT doc_id, b, s, CAST(0 AS BIGINT) AS start, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS z, FALSE AS found, TRUE AS more FROM sec WHERE length(s) > 400
+  UNION ALL SELECT doc_id, b, s, CASE WHEN cut IS NULL THEN start WHEN cut - 80 > start THEN cut - 80 ELSE cut END, CASE WHEN cut IS NOT NULL OR length(part) >= 80 OR NOT found THEN start END, coalesce(cut, length(s)),
+    found OR (cut IS NOT NULL AND part <> ''), cut IS NOT NULL
+  FROM (SELECT *, regexp_replace(substring(s, start + 1, coalesce(cut, length(s)) - start), {_TRIM}) AS part
+    FROM (SELECT *, CASE WHEN start + 400 >= length(s) THEN NULL {cut} ELSE start + 400 END AS cut FROM (SELECT *, substring(s, start + 301, 100) AS w FROM r WHERE more)))),
+c AS (SELECT doc_id, b AS cs, b + length(s) AS ce, s AS text FROM sec WHERE s <> '' AND length(s) <= 400
+  UNION ALL SELECT doc_id, b + a, b + z, regexp_replace(substring(s, a + 1, z - a), {_TRIM}) FROM r WHERE a IS NOT NULL AND regexp_replace(substring(s, a + 1, z - a), {_TRIM}) <> '')
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY cs) - 1 AS INT) AS chunk_idx, cs, ce, text FROM c"""
+
+
+#: Views that only the oracle reads as SQL; Spark has them from the chunker and the embedder.
+ORACLE_VIEWS: dict[str, str] = {
+    "kb_pages": f"""
+SELECT doc_id, page, text, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off
+FROM (SELECT doc_id, i AS page, regexp_replace(ls[i], {_TRIM}) AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE i % 7 <> 0) WHERE text <> ''""",
+    "kb_joined": "SELECT doc_id, string_agg(text, chr(10) ORDER BY page) AS text FROM kb_pages GROUP BY doc_id",
+    "kb_spans": spans_sql("kb_joined"),
+    "kb_chunks": f"SELECT s.doc_id * {CHUNKS_EACH} + s.chunk_idx AS chunk_id, s.doc_id, s.chunk_idx, page AS page_num, s.text FROM kb_spans s ASOF JOIN kb_pages p ON s.doc_id = p.doc_id AND s.cs >= p.off WHERE length(s.text) >= 20",
+    "kb_chunk_embeddings": """
+SELECT chunk_id, list(CASE WHEN norm > 0 THEN CAST(v / norm AS FLOAT) ELSE CAST(0 AS FLOAT) END ORDER BY i) AS embedding
+FROM (SELECT chunk_id, i, CAST(coalesce(v, 0) AS DOUBLE) AS v, sqrt(CAST(sum(coalesce(v, 0) * coalesce(v, 0)) OVER (PARTITION BY chunk_id) AS DOUBLE)) AS norm
+  FROM (SELECT chunk_id, unnest(range(0, 64)) AS i FROM kb_texts) LEFT JOIN (SELECT chunk_id, h % 64 AS i, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS BIGINT) AS v
+    FROM (SELECT chunk_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM (SELECT chunk_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda t: t <> '')) AS w FROM kb_texts)) GROUP BY ALL) USING (chunk_id, i))
+GROUP BY chunk_id""",
+}
+
 _SPARK = {"vec_id / 100": "vec_id DIV 100", "sha256_hex(text)": "sha2(text, 256)", "json_k(props)": "get_json_object(props, '$.k')", "(doc_id / 5) %": "(doc_id DIV 5) %"}
 _DUCK = {
     "vec_id / 100": "vec_id // 100",
@@ -115,10 +161,33 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
-def oracle(query: str) -> str:
-    """query with the views that it names as common table expressions, for DuckDB."""
-    used = [name for name in VIEWS if name in query]
-    ctes = [f"{name} AS ({_dialect(VIEWS[name], _DUCK)})" for name in used]
+def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as pages at its line ends, every seventh flagged."""
+    lines = F.split("text", "\n")
+    pages = F.transform(lines, lambda t, i: F.struct((i + 1).cast("long").alias("page"), t.alias("text"), (i % 7 == 6).alias("flagged")))
+    return table(spark, sf_dir, "documents").select("doc_id", pages.alias("pages"))
+
+
+def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_id, doc_id, chunk_idx, page_num, text of every document's chunks."""
+    return page_chunks(paged(spark, sf_dir)).select((F.col("doc_id") * CHUNKS_EACH + F.col("chunk_idx")).alias("chunk_id"), "doc_id", "chunk_idx", "page_num", "text")
+
+
+def oracle(query: str, question: str | None = None) -> str:
+    """query with the views that it names, and those that these name, as common table expressions for
+    DuckDB. kb_texts is what is embedded: the chunks and, as chunk -1, a question."""
+    asked = f" UNION ALL SELECT -1, '{question}'" if question else ""
+    known = VIEWS | ORACLE_VIEWS | {"kb_texts": f"SELECT chunk_id, text FROM kb_chunks{asked}"}
+    used: list[str] = []
+
+    def want(sql: str) -> None:
+        for name in known:
+            if re.search(rf"\b{name}\b", sql) and name not in used:
+                want(known[name])
+                used.append(name)
+
+    want(query)
+    ctes = [f"{name} AS {'MATERIALIZED ' if name in ORACLE_VIEWS else ''}({_dialect(known[name], _DUCK)})" for name in used]
     body = _dialect(query.strip(), _DUCK)
     if not ctes:
         return body

@@ -9,6 +9,7 @@ from quarry.functions.text import contains_ignoring_case, or_else, strip
 from quarry.operators import documents as D
 from quarry.operators import search as S
 from quarry.operators.chunking import snippet_tokens, snippets
+from quarry.sources.vector_lists import VectorLists
 
 BROWSED, NAMED = 200, 50
 #: What a result shows, in this order.
@@ -26,19 +27,29 @@ def _newest(docs: DataFrame, limit: int) -> DataFrame:
 
 
 def _semantic(
-    seen: DataFrame, query: str, index: DataFrame, stats: DataFrame | None, chunks: DataFrame | None, vectors: DataFrame | None, query_vector: list[float] | None
+    seen: DataFrame, query: str, index: DataFrame, stats: DataFrame | None, chunks: DataFrame | None, vectors: DataFrame | VectorLists | None, query_vector: list[float] | None
 ) -> DataFrame:
-    """The best documents with their places; text and page are those of the best chunk of each."""
+    """The best documents with their places; text and page are those of the best chunk of each.
+
+    The ranking runs here: its page has at most RESULTS rows, and their ids are put into the filters of
+    the scans of chunks and documents, which read the row groups that hold them.
+    """
     allowed = seen.select(F.col("id").alias("doc_id"))
     hits = S.bm25(index, S.field_stats(index) if stats is None else stats, S.query_terms(query), allowed=allowed)
     hits = S.top(S.best_per_doc(hits), S.BM25_DOCS)
-    near = hits.limit(0) if vectors is None or query_vector is None else S.knn(vectors, query_vector, allowed=allowed)
-    # At most RESULTS rows: what is joined to them is looked up where it is.
+    if vectors is None or query_vector is None:
+        near = hits.limit(0)
+    elif isinstance(vectors, DataFrame):
+        near = S.knn(vectors, query_vector, allowed=allowed)
+    else:
+        near = vectors.nearest(query_vector, allowed=allowed)
     page = S.final_page(S.hybrid(hits, near)).select("doc_id", "score", "place", "chunk_id")
+    rows = page.collect()
+    page = seen.sparkSession.createDataFrame(rows, page.schema)
     if chunks is None:
         chunks = seen.select(F.col("id").alias("chunk_id"), "text", F.lit(0).alias("page_num"))
-    best = chunks.select("chunk_id", "text", F.col("page_num").cast("long").alias("page_num")).join(F.broadcast(page), "chunk_id")
-    found = seen.drop("text").join(F.broadcast(best), F.col("id") == F.col("doc_id")).drop("doc_id", "chunk_id")
+    best = chunks.where(F.col("chunk_id").isin([r["chunk_id"] for r in rows])).select("chunk_id", "text", F.col("page_num").cast("long").alias("page_num")).join(F.broadcast(page), "chunk_id")
+    found = seen.where(F.col("id").isin([r["doc_id"] for r in rows])).drop("text").join(F.broadcast(best), F.col("id") == F.col("doc_id")).drop("doc_id", "chunk_id")
     return snippets(found, snippet_tokens(query)).withColumn("content_preview", F.col("snippet")).drop("text")
 
 
@@ -51,7 +62,7 @@ def search(
     index: DataFrame | None = None,
     stats: DataFrame | None = None,
     chunks: DataFrame | None = None,
-    vectors: DataFrame | None = None,
+    vectors: DataFrame | VectorLists | None = None,
     query_vector: list[float] | None = None,
     user: str | None = None,
     department: str | None = None,

@@ -10,27 +10,33 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.functions import vectors as V
 from quarry.operators import admin
 from quarry.operators import chunking as C
 from quarry.operators import documents as D
 from quarry.operators import lifecycle as L
 from quarry.operators import search as S
-from quarry.plans.catalog import AS_OF, oracle, table, view
+from quarry.operators.asof import asof
+from quarry.plans.catalog import AS_OF, CHUNKS_EACH, chunk_rows, oracle, paged, spans_sql, table, view
 from quarry.plans.dispatch import search
 from quarry.sources.index import SearchIndex
+from quarry.sources.vector_lists import VectorLists, nearest_each, recall
 from quarry.sources.parse import RESULT
 from quarry.streaming import jobs as J
+from quarry.streaming.limiter import keyed_state, limited_in_order
+from quarry.streaming.notify import fan_out_stream, search_log_stream
+from quarry.streaming.status import document_states, events, ingest_with_status
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, question: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = oracle(sql)
+            ORACLE_SQL[f.__name__] = oracle(sql, question)
         return f
 
     return register
@@ -181,10 +187,11 @@ def uploaders_distinct(spark, d):
     return D.uploaders(view(spark, d, "kb_documents"), view(spark, d, "kb_users"))
 
 
-@query(
-    """SELECT c.id AS comment_id, c.doc_id, uploaded_by AS recipient, concat(coalesce(nullif(u.name, ''), c.user_email), '님이 ', chr(39), coalesce(nullif(title, ''), filename), chr(39), ' 문서에 댓글을 남겼습니다: ', substring(content, 1, 80)) AS message
+_FANOUT = """SELECT c.id AS comment_id, c.doc_id, uploaded_by AS recipient, concat(coalesce(nullif(u.name, ''), c.user_email), '님이 ', chr(39), coalesce(nullif(title, ''), filename), chr(39), ' 문서에 댓글을 남겼습니다: ', substring(content, 1, 80)) AS message
 FROM kb_comments c JOIN kb_documents k ON c.doc_id = k.id LEFT JOIN kb_users u ON u.email = c.user_email WHERE uploaded_by <> 'anonymous' AND uploaded_by <> c.user_email"""
-)
+
+
+@query(_FANOUT)
 def comment_fanout(spark, d):
     return D.fan_out(view(spark, d, "kb_comments"), view(spark, d, "kb_documents"), view(spark, d, "kb_users"))
 
@@ -370,13 +377,17 @@ postings AS (SELECT chunk_id, field, dl, term, count(*) AS tf FROM p GROUP BY AL
 stats AS (SELECT field, count(*) AS n, sum(dl) / count(*) AS avgdl FROM (SELECT field, chunk_id, max(dl) AS dl FROM postings GROUP BY ALL) GROUP BY field)"""
 
 
-def _bm25_sql(words: list[str], fields: str, need: int) -> str:
+#: The postings of chunks, and a chunk's document.
+_CHUNK_POSTINGS = "kc AS (SELECT c.chunk_id, c.doc_id, c.text, c.page_num, filename, title, memo FROM kb_chunks c JOIN kb_documents k ON k.id = c.doc_id), " + _POSTINGS.replace("id AS chunk_id", "chunk_id").replace("SELECT id, ", "SELECT chunk_id, ").replace("FROM kb_documents", "FROM kc")
+
+
+def _bm25_sql(words: list[str], fields: str, need: int, doc: str = "chunk_id") -> str:
     inside = ", ".join(f"'{w}'" for w in words)
     return f"""hits AS (SELECT * FROM postings WHERE term IN ({inside}) AND field IN ({fields})),
 dfs AS (SELECT field, term, count(*) AS df FROM hits GROUP BY ALL),
 per AS (SELECT chunk_id, hits.field, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS s, count(*) AS matched
   FROM hits JOIN dfs ON hits.field = dfs.field AND hits.term = dfs.term JOIN stats ON hits.field = stats.field GROUP BY ALL),
-bm AS (SELECT chunk_id, chunk_id AS doc_id, round(max(s * CASE field WHEN 'text' THEN 2.0 ELSE 1.0 END), 6) AS score FROM per WHERE matched >= {need} GROUP BY chunk_id)"""
+bm AS (SELECT chunk_id, {doc} AS doc_id, round(max(s * CASE field WHEN 'text' THEN 2.0 ELSE 1.0 END), 6) AS score FROM per WHERE matched >= {need} GROUP BY chunk_id)"""
 
 
 def _as_chunks(docs: DataFrame) -> DataFrame:
@@ -398,13 +409,27 @@ def built(spark: SparkSession, d: str, kind: str = "documents") -> SearchIndex:
         path = _scratch(spark)
         index = SearchIndex(spark, path, fields, tokenize)
         docs = view(spark, d, "kb_documents")
-        index.add(admin.backfill(view(spark, d, "kb_chunks"), docs) if kind == "chunks" else _as_chunks(docs))
+        index.add(admin.backfill(V.embed(chunk_rows(spark, d), V.hashing_encoder), docs) if kind == "chunks" else _as_chunks(docs))
+        if kind == "chunks":
+            VectorLists(spark, f"{path}/lists").build(index.chunks())
         if kind == "legacy":
             S.okapi_stats(index.postings()).write.parquet(f"{path}/okapi")
         _BUILT[key] = path
     return SearchIndex(spark, _BUILT[key], fields, tokenize)
 
 
+def _lists(spark: SparkSession, d: str, kind: str = "chunks") -> VectorLists:
+    """Inverted lists of the chunks' vectors, or of the table of embeddings."""
+    if kind == "chunks":
+        return VectorLists(spark, f"{built(spark, d, kind).path}/lists")
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _BUILT:
+        path = _scratch(spark)
+        VectorLists(spark, path).build(view(spark, d, "kb_chunk_vectors"))
+        _BUILT[key] = path
+    return VectorLists(spark, _BUILT[key])
+
+
 def _index(spark: SparkSession, d: str) -> DataFrame:
     return built(spark, d).postings()
 
@@ -509,82 +534,117 @@ def knn_best_per_doc(spark, d):
     return S.best_per_doc(S.knn(view(spark, d, "kb_chunk_vectors"), _vector(spark, d))).select("doc_id", "chunk_id", "score")
 
 
+@query(f"WITH {_SIM} SELECT chunk_id, doc_id, score FROM sim ORDER BY score DESC, chunk_id LIMIT 50")
+def knn_lists_exact(spark, d):
+    """The nearest vectors by inverted lists, those read that may hold any."""
+    return _lists(spark, d, "vectors").nearest(_vector(spark, d), probes=2)
+
+
 @query()
-def knn_lsh(spark, d):
-    return S.knn_lsh(view(spark, d, "kb_chunk_vectors"), _vector(spark, d))
+def knn_lists(spark, d):
+    """The nearest vectors of the nearest lists."""
+    return _lists(spark, d, "vectors").near(_vector(spark, d))
 
 
-def _hybrid_sql(bm: str, minimum: float, strong: float) -> str:
-    return f"""WITH {_POSTINGS}, {bm}, {_SIM},
-b AS (SELECT doc_id, score, chunk_id, row_number() OVER (ORDER BY score DESC, doc_id) AS bm25_rank FROM (SELECT * FROM bm WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 100)),
+@query()
+def knn_lists_recall(spark, d):
+    """The share of the 50 nearest that the nearest lists give, over all vectors whose id is divisible by 100."""
+    asked = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    lists = _lists(spark, d, "vectors")
+    return recall(lists.near_each(asked), nearest_each(view(spark, d, "kb_chunk_vectors"), asked))
+
+
+#: What is asked of the chunks: its words, and its vector by the embedder of the chunks.
+QUESTION = "the and that note"
+_CHUNK_DOC = f"CAST(chunk_id // {CHUNKS_EACH} AS BIGINT)"
+
+
+def _chunk_sim(only: str = "TRUE") -> str:
+    dot = "list_dot_product({0}.embedding::DOUBLE[], {1}.embedding::DOUBLE[])".format
+    return f"""sim AS (SELECT chunk_id, {_CHUNK_DOC} AS doc_id, round((1 + CASE WHEN vv > 0 THEN vq / (sqrt(vv) * sqrt(qq)) ELSE 0 END) / 2, 6) AS score
+  FROM (SELECT v.chunk_id, {dot("v", "q")} AS vq, {dot("v", "v")} AS vv, {dot("q", "q")} AS qq FROM kb_chunk_embeddings v, (SELECT embedding FROM kb_chunk_embeddings WHERE chunk_id = -1) q WHERE v.chunk_id >= 0) WHERE {only})"""
+
+
+def _fused_sql(minimum: float, strong: float) -> str:
+    """From the tables bm and sim to the page t of doc_id, score, bm25_rank, sem_rank, chunk_id, place."""
+    return f"""b1 AS (SELECT * FROM bm WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id) = 1),
+b AS (SELECT doc_id, score, chunk_id, row_number() OVER (ORDER BY score DESC, doc_id) AS bm25_rank FROM b1 QUALIFY bm25_rank <= 100),
 k AS (SELECT * FROM sim ORDER BY score DESC, chunk_id LIMIT 50),
-sb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id) AS n FROM k) WHERE n = 1),
+sb AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id) = 1),
 s AS (SELECT doc_id, score, chunk_id, row_number() OVER (ORDER BY score DESC, doc_id) AS sem_rank FROM sb),
 m AS (SELECT coalesce(b.doc_id, s.doc_id) AS doc_id, bm25_rank, sem_rank, s.score AS sem_score, coalesce(s.chunk_id, b.chunk_id) AS chunk_id FROM b FULL JOIN s ON b.doc_id = s.doc_id),
 c AS (SELECT * FROM m WHERE bm25_rank IS NOT NULL OR sem_score >= CASE WHEN (SELECT count(*) FROM b) > 0 THEN {strong} ELSE {minimum} END),
 r AS (SELECT *, 1 / (30 + coalesce(sem_rank, (SELECT count(*) FROM c) + 1)) + 1 / (60 + coalesce(bm25_rank, (SELECT count(*) FROM c) + 1)) AS raw FROM c),
-t AS (SELECT *, CAST(row_number() OVER (ORDER BY raw DESC, bm25_rank NULLS LAST, sem_rank) AS INT) AS place FROM r QUALIFY place <= 50)
+t AS (SELECT *, CAST(row_number() OVER (ORDER BY raw DESC, bm25_rank NULLS LAST, sem_rank) AS INT) AS place FROM r QUALIFY place <= 50)"""
+
+
+def _hybrid_sql(words: list[str], need: int, minimum: float, strong: float) -> str:
+    return f"""WITH {_CHUNK_POSTINGS}, {_bm25_sql(words, _ALL_FIELDS, need, _CHUNK_DOC)}, {_chunk_sim()}, {_fused_sql(minimum, strong)}
 SELECT doc_id, round(raw / max(raw) OVER (), 4) AS score, bm25_rank, sem_rank, chunk_id, place FROM t"""
 
 
 def _hybrid(spark: SparkSession, d: str, words: list[str], minimum: float = 0.60, strong: float = 0.65) -> DataFrame:
-    index = built(spark, d)
+    """Chunks by words and by the question's vector, from one index."""
+    index = built(spark, d, "chunks")
     found = S.top(S.best_per_doc(S.bm25(index.postings(), index.stats(), words)), S.BM25_DOCS)
-    near = S.knn(view(spark, d, "kb_chunk_vectors"), _vector(spark, d))
+    near = _lists(spark, d).nearest(V.embedded(QUESTION, V.hashing_encoder))
     return S.final_page(S.hybrid(found, near, minimum, strong))
 
 
-@query(_hybrid_sql(_bm25_sql(WORDS, _ALL_FIELDS, 3), 0.60, 0.65))
+@query(_hybrid_sql(WORDS, 3, 0.60, 0.65), QUESTION)
 def hybrid_rrf(spark, d):
     return _hybrid(spark, d, WORDS)
 
 
-@query(_hybrid_sql(_bm25_sql(["zzzz", "qqqq"], _ALL_FIELDS, 1), 0.60, 0.65))
+@query(_hybrid_sql(["zzzz", "qqqq"], 1, 0.60, 0.65), QUESTION)
 def gate_no_keyword(spark, d):
     return _hybrid(spark, d, ["zzzz", "qqqq"])
 
 
-@query(_hybrid_sql(_bm25_sql(WORDS, _ALL_FIELDS, 3), S.SEM_MINIMUM, S.SEM_STRONG))
+@query(_hybrid_sql(WORDS, 3, S.SEM_MINIMUM, S.SEM_STRONG), QUESTION)
 def hybrid_default_gates(spark, d):
     return _hybrid(spark, d, WORDS, S.SEM_MINIMUM, S.SEM_STRONG)
 
 
-@query(_hybrid_sql(_bm25_sql(["zzzz", "qqqq"], _ALL_FIELDS, 1), S.SEM_MINIMUM, S.SEM_STRONG))
+@query(_hybrid_sql(["zzzz", "qqqq"], 1, S.SEM_MINIMUM, S.SEM_STRONG), QUESTION)
 def gate_no_keyword_default(spark, d):
     return _hybrid(spark, d, ["zzzz", "qqqq"], S.SEM_MINIMUM, S.SEM_STRONG)
 
 
 @query(
-    f"""WITH {_POSTINGS}, {_bm25_sql(WORDS[:3], chr(39) + 'text' + chr(39), 2)}, {_SIM},
+    f"""WITH {_CHUNK_POSTINGS}, {_bm25_sql(WORDS[:3], chr(39) + 'text' + chr(39), 2, _CHUNK_DOC)}, {_chunk_sim()},
 b AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS bm25_rank FROM (SELECT * FROM bm WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 30)),
 v AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS vec_rank FROM (SELECT * FROM sim ORDER BY score DESC, chunk_id LIMIT 30))
 SELECT coalesce(b.chunk_id, v.chunk_id) AS chunk_id, bm25_rank, vec_rank, round(coalesce(1 / (30 + bm25_rank), 0) + coalesce(1 / (60 + vec_rank), 0), 9) AS score
-FROM b FULL JOIN v ON b.chunk_id = v.chunk_id ORDER BY score DESC, chunk_id LIMIT 10"""
+FROM b FULL JOIN v ON b.chunk_id = v.chunk_id ORDER BY score DESC, chunk_id LIMIT 10""",
+    QUESTION,
 )
 def hybrid_rrf_legacy(spark, d):
-    index = built(spark, d)
-    k = S.fetch_k(10, view(spark, d, "kb_chunk_vectors").count())
-    return S.hybrid_old(S.top(S.bm25(index.postings().where("field = 'text'"), index.stats(), WORDS[:3]), k, "chunk_id"), S.knn(view(spark, d, "kb_chunk_vectors"), _vector(spark, d), k))
+    index = built(spark, d, "chunks")
+    k = S.fetch_k(10, index.count())
+    found = S.top(S.bm25(index.postings().where("field = 'text'"), index.stats(), WORDS[:3]), k, "chunk_id")
+    return S.hybrid_old(found, _lists(spark, d).nearest(V.embedded(QUESTION, V.hashing_encoder), k))
 
 
 # ---- chunks and pages -------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"SELECT doc_id, chunk_idx, CAST(cs AS BIGINT) AS char_start, CAST(ce AS BIGINT) AS char_end, text FROM ({spans_sql('documents')})")
 def chunk_fixed(spark, d):
     return C.chunks(table(spark, d, "documents"))
 
 
-def _paged(spark: SparkSession, d: str) -> DataFrame:
-    """Each document as pages at its line ends, every seventh flagged."""
-    lines = F.split("text", "\n")
-    pages = F.transform(lines, lambda t, i: F.struct((i + 1).cast("long").alias("page"), t.alias("text"), (i % 7 == 6).alias("flagged")))
-    return table(spark, d, "documents").select("doc_id", pages.alias("pages"))
+@query("SELECT doc_id, chunk_idx, page_num, text FROM kb_chunks")
+def chunk_pages(spark, d):
+    return C.page_chunks(paged(spark, d))
 
 
-@query()
-def chunk_pages(spark, d):
-    return C.page_chunks(_paged(spark, d))
+@query("SELECT e.event_id, e.user_id, l.event_id AS last_error FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'error' GROUP BY ALL) l ON e.user_id = l.user_id AND e.ts >= l.ts WHERE e.event_type = 'click'")
+def last_error_before_click(spark, d):
+    """For each click the user's last error until then: an as-of join whose keys are split by days."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    errors = events.where("event_type = 'error'").select("user_id", "at", F.col("event_id").alias("last_error"))
+    return asof(events.where("event_type = 'click'").drop("event_type"), errors, ["user_id"], "at", ["last_error"], width=86_400_000_000).drop("at")
 
 
 @query(
@@ -747,11 +807,62 @@ def stream_daily_counts(spark, d):
     return J.run_to_files(counts, base + "/out", "complete", base + "/state").withColumn("day", F.col("day").cast("string"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE rq AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+r AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS log, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BOOLEAN) AS allowed FROM rq
+  UNION ALL SELECT key, i, CASE WHEN len(kept) < 5 THEN list_append(kept, us) ELSE kept END, ts, len(kept) < 5
+  FROM (SELECT rq.key, rq.i, rq.ts, rq.us, list_filter(r.log, lambda t: t >= rq.us - 86400000000) AS kept FROM r JOIN rq ON rq.key = r.key AND rq.i = r.i + 1))
+SELECT key, ts AS at, allowed FROM r WHERE i > 0 AND ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+)
 def stream_rate_limit(spark, d):
+    """The sliding log over all requests; those of the last hour are not decided yet, as earlier ones may come."""
     requests = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"))
     base = _scratch(spark)
-    return J.run_to_files(J.limited(requests, window=86400, most=5, expire=False), base + "/out", "append", base + "/state")
+    with keyed_state(spark):
+        out = J.run_to_files(limited_in_order(requests, window=86400, most=5, late="1 hour"), base + "/out", "append", base + "/state")
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+def _sent_twice(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """A stream of rows whose source sends all of them again."""
+    path = _scratch(spark)
+    for _ in range(2):
+        rows.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(path)
+
+
+@query(_FANOUT)
+def comment_fanout_stream(spark, d):
+    base = _scratch(spark)
+    comments = _sent_twice(spark, view(spark, d, "kb_comments"))
+    notes = fan_out_stream(comments, view(spark, d, "kb_documents"), view(spark, d, "kb_users"), late="60 days")
+    return J.run_to_files(notes, base + "/out", "append", base + "/state")
+
+
+@query("SELECT query, user_email, id AS result_count, searched_at FROM kb_search_logs WHERE trim(query) <> ''")
+def search_log_from_stream(spark, d):
+    base = _scratch(spark)
+    calls = _sent_twice(spark, view(spark, d, "kb_search_logs").withColumn("result_count", F.col("id")))
+    return J.run_to_files(search_log_stream(calls, late="60 days"), base + "/out", "append", base + "/state")
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, list_transform(list_filter(string_split_regex(text, '\r\n|[\n\r\v\f]'), lambda x: TRUE), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS ls FROM documents)
+SELECT concat(CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 20 = 0 THEN '.bin' ELSE '.txt' END) AS source_file, CASE WHEN doc_id % 20 = 0 THEN 'failed' ELSE 'success' END AS status,
+CASE WHEN doc_id % 20 = 0 THEN 'unsupported format .bin' END AS error, CASE WHEN doc_id % 20 <> 0 THEN coalesce(list_filter(ls, lambda x: length(x) BETWEEN 4 AND 120 AND NOT regexp_matches(x, '^[\d\s\-_./·•]+$'))[1], '') END AS title,
+CASE WHEN doc_id % 20 = 0 THEN 0 ELSE 1 END AS page_count, FALSE AS has_flagged, 2 AS n_events FROM l"""
+)
+def ingest_status(spark, d):
+    """Each document as an uploaded file of a stream, every twentieth of a format that has no parser; the
+    states that the log of events gives after the last batch."""
+    docs = table(spark, d, "documents")
+    single = any(f.endswith("/documents.parquet") for f in docs.inputFiles())
+    files = spark.readStream.schema(docs.schema).parquet(f"{d}/{{documents}}.parquet" if single else f"{d}/documents.parquet")
+    ending = F.when(F.col("doc_id") % 20 == 0, ".bin").otherwise(".txt")
+    files = files.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), ending).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    base = _scratch(spark)
+    ingest_with_status(files, base + "/log", base + "/state").awaitTermination()
+    return document_states(events(spark, base + "/log")).drop("at")
 
 
 @query("SELECT concat(CAST(doc_id AS VARCHAR), '.txt') AS source_file, 'success' AS status, 1 AS n_pages, text AS full_text FROM documents")
@@ -791,26 +902,12 @@ def search_filename(spark, d):
     return _search(spark, d, " SRC ", mode="unknown")
 
 
-_SEMANTIC_QUERY = "the and that note"
-_CHUNK_POSTINGS = _POSTINGS.replace("id AS chunk_id", "chunk_id").replace("SELECT id, ", "SELECT chunk_id, ").replace("FROM kb_documents", "FROM kc")
+_OK = "(SELECT id FROM kb_documents WHERE status = 'success')"
 
 
 @query(
-    f"""WITH kc AS (SELECT c.chunk_id, c.doc_id, c.text, c.page_num, c.embedding, filename, title, memo FROM kb_chunks c JOIN kb_documents k ON k.id = c.doc_id), {_CHUNK_POSTINGS},
-{_bm25_sql(WORDS, _ALL_FIELDS, 3).replace("chunk_id, chunk_id AS doc_id", "chunk_id, (SELECT min(doc_id) FROM kc WHERE kc.chunk_id = per.chunk_id) AS doc_id")},
-ok AS (SELECT id FROM kb_documents WHERE status = 'success'),
-sim AS (SELECT v.chunk_id, v.doc_id, round((1 + list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[])
-  / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))) / 2, 6) AS score
-  FROM kc v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE v.doc_id IN (FROM ok)),
-b1 AS (SELECT * FROM bm WHERE score > 0 AND doc_id IN (FROM ok) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id) = 1),
-b AS (SELECT doc_id, score, chunk_id, row_number() OVER (ORDER BY score DESC, doc_id) AS bm25_rank FROM b1 QUALIFY bm25_rank <= 100),
-k AS (SELECT * FROM sim ORDER BY score DESC, chunk_id LIMIT 50),
-sb AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id) = 1),
-s AS (SELECT doc_id, score, chunk_id, row_number() OVER (ORDER BY score DESC, doc_id) AS sem_rank FROM sb),
-m AS (SELECT coalesce(b.doc_id, s.doc_id) AS doc_id, bm25_rank, sem_rank, s.score AS sem_score, coalesce(s.chunk_id, b.chunk_id) AS chunk_id FROM b FULL JOIN s ON b.doc_id = s.doc_id),
-c AS (SELECT * FROM m WHERE bm25_rank IS NOT NULL OR sem_score >= CASE WHEN (SELECT count(*) FROM b) > 0 THEN {S.SEM_STRONG} ELSE {S.SEM_MINIMUM} END),
-r AS (SELECT *, 1 / (30 + coalesce(sem_rank, (SELECT count(*) FROM c) + 1)) + 1 / (60 + coalesce(bm25_rank, (SELECT count(*) FROM c) + 1)) AS raw FROM c),
-t AS (SELECT *, row_number() OVER (ORDER BY raw DESC, bm25_rank NULLS LAST, sem_rank) AS place FROM r QUALIFY place <= 50),
+    f"""WITH {_CHUNK_POSTINGS}, {_bm25_sql(WORDS, _ALL_FIELDS, 3, _CHUNK_DOC).replace(f"matched >= 3", f"matched >= 3 AND {_CHUNK_DOC} IN {_OK}")},
+{_chunk_sim(f"{_CHUNK_DOC} IN {_OK}")}, {_fused_sql(S.SEM_MINIMUM, S.SEM_STRONG)},
 best AS (SELECT t.doc_id, place, round(raw / max(raw) OVER (), 4) AS score, kc.text, kc.page_num FROM t JOIN kc ON kc.chunk_id = t.chunk_id),
 tok AS (SELECT * FROM (VALUES (1, 'the'), (2, 'and'), (3, 'that'), (4, 'note')) v(ord, t)),
 occ AS (SELECT doc_id, ord, pos, lower(substring(text, greatest(0, pos - 61) + 1, least(length(text), pos + 139) - greatest(0, pos - 61))) AS win
@@ -820,25 +917,31 @@ dense AS (SELECT doc_id, pos FROM (SELECT doc_id, ord, pos, (SELECT sum((length(
 cutout AS (SELECT best.*, greatest(0, coalesce(pos, 1) - 61) AS a, least(length(text), coalesce(pos, 1) + 139) AS e FROM best LEFT JOIN dense USING (doc_id)),
 o AS (SELECT place, cutout.doc_id, score, page_num, concat(CASE WHEN a > 0 THEN '…' ELSE '' END, regexp_replace(substring(cutout.text, a + 1, e - a), '^\\s+|\\s+$', '', 'g'), CASE WHEN e < length(cutout.text) THEN '…' ELSE '' END) AS snippet,
   snippet AS content_preview, filename, category, page_count AS pages, download_count, uploaded_by, uploaded_at, file_type, title, memo, department, cutout.doc_id AS id FROM cutout JOIN kb_documents kd ON kd.id = cutout.doc_id)
-SELECT {_ORDERED} FROM o {_GRANTS.replace("= id", "= o.id")} LEFT JOIN kb_users u ON u.email = uploaded_by WHERE {_READABLE.replace("department", "o.department")}"""
+SELECT {_ORDERED} FROM o {_GRANTS.replace("= id", "= o.id")} LEFT JOIN kb_users u ON u.email = uploaded_by WHERE {_READABLE.replace("department", "o.department")}""",
+    QUESTION,
 )
 def search_semantic(spark, d):
+    """Over the chunks of all documents; the question's vector is made by the chunks' embedder."""
     index = built(spark, d, "chunks")
-    vectors = index.chunks().select("chunk_id", "doc_id", "embedding")
-    return _search(spark, d, _SEMANTIC_QUERY, mode="semantic", index=index.postings(), stats=index.stats(), chunks=index.chunks(), vectors=vectors, query_vector=_vector(spark, d))
+    return _search(spark, d, QUESTION, mode="semantic", index=index.postings(), stats=index.stats(), chunks=index.chunks(), vectors=_lists(spark, d), query_vector=V.embedded(QUESTION, V.hashing_encoder))
 
 
-@query("SELECT count(*) AS chunks FROM documents")
+@query(
+    f"""WITH {_POSTINGS} SELECT field, n, round(avgdl, 6) AS avgdl, rows, occurrences, terms, (SELECT count(*) FROM documents) AS chunks FROM stats
+JOIN (SELECT field, count(*) AS rows, CAST(sum(tf) AS BIGINT) AS occurrences, count(DISTINCT term) AS terms FROM postings GROUP BY field) USING (field)"""
+)
 def index_build(spark, d):
-    """Writes the index of all documents anew and counts its chunks."""
+    """Writes the index of all documents anew; what its sums, postings and chunks hold, by field."""
     for key in [k for k in _BUILT if k[1:] == (d, "documents")]:
         del _BUILT[key]
-    return built(spark, d).chunks().agg(F.count("*").alias("chunks"))
+    index = built(spark, d)
+    held = index.postings().groupBy("field").agg(F.count("*").alias("rows"), F.sum("tf").alias("occurrences"), F.countDistinct("term").alias("terms"))
+    return index.stats().select("field", "n", F.round("avgdl", 6).alias("avgdl")).join(held, "field").withColumn("chunks", F.lit(index.count()).cast("long"))
 
 
 @query("SELECT c.chunk_id, c.doc_id, coalesce(filename, '') AS filename, coalesce(title, '') AS title, coalesce(memo, '') AS memo, c.text, page_num, chunk_idx FROM kb_chunks c LEFT JOIN kb_documents ON id = c.doc_id AND status = 'success'")
 def index_backfill(spark, d):
-    return admin.backfill(view(spark, d, "kb_chunks").drop("embedding"), D.visible(view(spark, d, "kb_documents")))
+    return admin.backfill(chunk_rows(spark, d), D.visible(view(spark, d, "kb_documents")))
 
 
 @query("SELECT field, term, count(*) AS df FROM (SELECT * FROM postings WHERE chunk_id % 3 <> 0)".replace("SELECT field", f"WITH {_POSTINGS} SELECT field") + " GROUP BY ALL")
@@ -943,7 +1046,7 @@ array_to_string(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN i = p
 )
 def page_edits(spark, d):
     edits = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 9 + 1).alias("page"), F.lit("edited").alias("text"))
-    out = admin.edit_pages(_paged(spark, d), edits)
+    out = admin.edit_pages(paged(spark, d), edits)
     return out.select("doc_id", "verdict", "has_flagged", F.array_join(F.transform("pages", lambda p: p["text"]), "\n").alias("text"))
 
 
@@ -1041,7 +1144,7 @@ CASE WHEN doc_id % 20 = 0 THEN 0 ELSE len(good) END AS indexed_pages, CASE WHEN
 )
 def ingest_results(spark, d):
     status = F.when(F.col("doc_id") % 20 == 0, "failed").otherwise("success")
-    out = C.ingest_report(_paged(spark, d).withColumn("status", status))
+    out = C.ingest_report(paged(spark, d).withColumn("status", status))
     return out.select("doc_id", "status", "total_pages", "indexed_pages", F.size("flagged_pages").alias("n_flagged"))
 
 
@@ -1083,5 +1186,5 @@ def bookmarks_filtered(spark, d):
 c AS (SELECT count(*) AS chunks, count(*) FILTER (chunk_id % 5 <> 0) AS indexed FROM kb_chunks) SELECT waiting, chunks, indexed, waiting = 0 AND chunks = indexed AS settled FROM w, c"""
 )
 def index_settled(spark, d):
-    chunks = view(spark, d, "kb_chunks")
+    chunks = chunk_rows(spark, d)
     return J.settled(view(spark, d, "kb_documents"), chunks, chunks.where("chunk_id % 5 <> 0"))

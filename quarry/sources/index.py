@@ -34,7 +34,8 @@ class SearchIndex:
         rows = rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in named.items()])
         n = self._next()
         fit = rows.where("chunk_id IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["chunk_id"])
-        fit.write.mode("overwrite").parquet(f"{self.path}/chunks/batch={n}")
+        # In ranges of ids: who asks for a page of results reads the row groups of its chunks.
+        fit.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(f"{self.path}/chunks/batch={n}")
         own = self.spark.read.schema(CHUNK).parquet(f"{self.path}/chunks/batch={n}")
         postings = S.postings(own, self.fields, self.tokenize)
         postings.repartitionByRange(RANGES, "term").sortWithinPartitions("term", "field").write.mode("overwrite").parquet(f"{self.path}/postings/batch={n}")
