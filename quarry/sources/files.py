@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import extension
+from quarry.operators.lifecycle import BACKUPS_KEPT, keep_newest
 from quarry.sources.parse import ACCEPTED, RESULT
 
 MAX_BYTES = 500 << 20
@@ -84,9 +85,29 @@ def delete_backup(spark: SparkSession, path: str, name: str) -> bool:
 
 
 def write_backup(tables: dict[str, DataFrame], path: str, stamp: str) -> None:
-    """A snapshot of each table under its own folder and stamp."""
+    """A snapshot of each table under its own folder and stamp; what a failed run left there is written over."""
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{name}/backup_ts={stamp}")
+        df.write.mode("overwrite").parquet(f"{path}/{name}/backup_ts={stamp}")
+
+
+def snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """prefix, name of the finished snapshots under a backup folder."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = jvm.org.apache.hadoop.fs.Path(f"{path}/*/backup_ts=*/_SUCCESS")
+    done = [s.getPath().getParent() for s in found.getFileSystem(conf).globStatus(found) or []]
+    return spark.createDataFrame([(p.getParent().getName(), p.getName()) for p in done], "prefix string, name string")
+
+
+def backup(spark: SparkSession, tables: dict[str, DataFrame], path: str, stamp: str, keep: int = BACKUPS_KEPT) -> list[str]:
+    """The backup job: a snapshot of each table, then of every table's snapshots the `keep` newest stay.
+    Returns what went, as table/backup_ts=stamp. Run again with its stamp it changes nothing."""
+    write_backup(tables, path, stamp)
+    old = keep_newest(snapshots(spark, path), "prefix", [F.desc("name")], keep).where("NOT keep")
+    gone = sorted(f"{r['prefix']}/{r['name']}" for r in old.collect())  # a name for each run since the last job
+    for name in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return gone
 
 
 def mirror(batch: DataFrame, paths: list[str]) -> None:
@@ -131,11 +152,49 @@ def write_csv(docs: DataFrame, path: str) -> None:
     marked.write.option("header", True).option("encoding", "UTF-8").mode("overwrite").csv(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8) -> DataFrame:
-    """A relational table; with a numeric key and its bounds, read in parts."""
+def jdbc_url(url: str) -> str:
+    """The JDBC form of a database's address, whatever driver of another language it names."""
     for old, new in (("postgresql+asyncpg:", "postgresql:"), ("postgres:", "postgresql:"), ("sqlite+aiosqlite:", "sqlite:")):
         url = new + url.removeprefix(old) if url.startswith(old) else url
-    reader = spark.read.format("jdbc").option("url", url if url.startswith("jdbc:") else "jdbc:" + url).option("dbtable", name)
+    return url if url.startswith("jdbc:") else "jdbc:" + url
+
+
+def read_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8) -> DataFrame:
+    """A relational table, whose filters and columns the database evaluates; with a numeric key, read in
+    parts between bounds, or else between the key's least and greatest value."""
+    reader = spark.read.format("jdbc").option("url", jdbc_url(url)).option("dbtable", name)
+    if key and bounds is None:
+        low, high = reader.load().agg(F.min(key), F.max(key)).first()
+        bounds = None if low is None else (low, high)
     if key and bounds:
         reader = reader.options(partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts)
     return reader.load()
+
+
+def upsert_jdbc(rows: DataFrame, url: str, name: str, key: list[str], types: str | None = None, parts: int = 8) -> None:
+    """Rows into a relational table, in place of those with their keys; created where there is none. Tasks
+    write a stage table, in any order and as often as they are run; one transaction moves it, so that a
+    job that fails or is run again leaves each key once. Of rows with one key one is taken; null keys
+    are left out. types says what columns are to be in a new table, for databases whose default for
+    texts can't be compared."""
+    spark, address = rows.sparkSession, jdbc_url(url)
+    stage = f"{name}_stage"
+    fit = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in key)).dropDuplicates(key)
+    writer = fit.coalesce(parts).write.format("jdbc").option("url", address).option("dbtable", stage).mode("overwrite")
+    (writer.option("createTableColumnTypes", types) if types else writer).save()
+    columns = ", ".join(f'"{c}"' for c in rows.columns)
+    same = " AND ".join(f's."{k}" = t."{k}"' for k in key)
+    connection = spark._jvm.java.sql.DriverManager.getConnection(address)
+    try:
+        there = connection.getMetaData().getTables(None, None, name.upper(), None).next()
+        connection.setAutoCommit(False)
+        sql = connection.createStatement()
+        if there:
+            sql.executeUpdate(f"DELETE FROM {name} t WHERE EXISTS (SELECT 1 FROM {stage} s WHERE {same})")
+        else:
+            sql.executeUpdate(f"CREATE TABLE {name} AS SELECT {columns} FROM {stage} WITH NO DATA")
+        sql.executeUpdate(f"INSERT INTO {name} ({columns}) SELECT {columns} FROM {stage}")
+        sql.executeUpdate(f"DROP TABLE {stage}")
+        connection.commit()
+    finally:
+        connection.close()
