@@ -41,7 +41,7 @@ SCALE = 1_000_000_000
 MIN_DOCS = 3
 TOP_TERMS = 200
 #: Groups of a block, and entries of a block that a tile holds on average.
-BLOCK, TILE_ROWS = 32, 16_384
+BLOCK, TILE_ROWS = 32, 4_096
 #: A term is light in at most this share of its language's groups, and in no more groups than that.
 LIGHT_SHARE, LIGHT_LEAST, LIGHT_GROUPS = 5, 2, 64
 #: Distinct terms that a task counts before it sends them on.
