@@ -15,13 +15,16 @@ from quarry.operators import admin
 from quarry.operators import chunking as C
 from quarry.operators import documents as D
 from quarry.operators import lifecycle as L
+from quarry.operators import regions as R
 from quarry.operators import search as S
 from quarry.operators.asof import asof
 from quarry.plans.catalog import AS_OF, CHUNKS_EACH, chunk_rows, oracle, paged, spans_sql, table, view
 from quarry.plans.dispatch import search
 from quarry.sources.index import SearchIndex
 from quarry.sources.vector_lists import VectorLists, nearest_each, recall
-from quarry.sources.parse import RESULT
+from quarry.sources.chunk_table import ChunkTable
+from quarry.sources.parse import PAGE, RESULT
+from quarry.sources.parsed_source import read_results, write_results
 from quarry.streaming import jobs as J
 from quarry.streaming.limiter import keyed_state, limited_in_order
 from quarry.streaming.notify import fan_out_stream, search_log_stream
@@ -647,6 +650,76 @@ def last_error_before_click(spark, d):
     return asof(events.where("event_type = 'click'").drop("event_type"), errors, ["user_id"], "at", ["last_error"], width=86_400_000_000).drop("at")
 
 
+# What stands on a page: its lines as blocks with a place, and boxes of tables, both made from the documents.
+_BLOCK = ["(length(text) * 37 + place * 101) % 600 AS x", "place * 16 % 800 AS y"]
+_BOX = ["(doc_id * 53 + t * 211) % 500 AS x0", "(doc_id * 29 + t * 173) % 700 AS y0", "(doc_id * 53 + t * 211) % 500 + 20 + doc_id * t % 300 AS x1", "(doc_id * 29 + t * 173) % 700 + 10 + doc_id * 7 * t % 200 AS y1"]
+_PAGE_SQL = f"""bl AS (SELECT page_id, place, text, {', '.join(_BLOCK)} FROM (SELECT doc_id AS page_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS place, unnest(string_split(text, chr(10))) AS text FROM documents)),
+tb AS (SELECT doc_id AS page_id, t AS table_id, {', '.join(_BOX)}, concat('| ', CAST(t AS VARCHAR), ' |') AS markdown FROM (SELECT doc_id, unnest(range(1, 2 + doc_id % 4)) AS t FROM documents WHERE doc_id % 3 <> 0)),
+hit AS (SELECT bl.page_id, place, table_id FROM bl JOIN tb ON bl.page_id = tb.page_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)"""
+
+
+def _page_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents")
+    lines = docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("place", "text")).withColumn("place", F.col("place") + 1)
+    boxes = docs.where("doc_id % 3 <> 0").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), 1 + F.col("doc_id") % 4)).alias("t"))
+    return lines.selectExpr("page_id", "place", "text", *_BLOCK), boxes.selectExpr("doc_id AS page_id", "t AS table_id", *_BOX, "concat('| ', CAST(t AS STRING), ' |') AS markdown")
+
+
+@query(f"WITH {_PAGE_SQL} SELECT * FROM hit")
+def blocks_in_tables(spark, d):
+    return R.boxes_of(*_page_parts(spark, d), ["page_id"], ["place"], "table_id")
+
+
+@query(
+    f"""WITH {_PAGE_SQL}, ls AS (SELECT page_id, string_agg(text, chr(10) ORDER BY place) AS body FROM bl ANTI JOIN hit USING (page_id, place) GROUP BY page_id),
+ts AS (SELECT page_id, string_agg(markdown, chr(10) || chr(10) ORDER BY y0, x0, table_id) AS grids FROM tb GROUP BY page_id)
+SELECT coalesce(ls.page_id, ts.page_id) AS page_id, CASE WHEN grids IS NULL THEN body ELSE regexp_replace(concat(body, chr(10) || chr(10), grids), '^\\s+|\\s+$', '', 'g') END AS text FROM ls FULL JOIN ts USING (page_id)"""
+)
+def page_texts_with_tables(spark, d):
+    return R.page_texts(*_page_parts(spark, d), ["page_id"], ["place"], "table_id")
+
+
+@query(
+    """WITH a AS (SELECT page_id, text, page_id % 2 = 0 AS scan, page_id // 5 AS doc FROM kb_page_scores), p AS (SELECT doc, page_id, text, 'text' AS method FROM a WHERE NOT scan OR page_id % 3 = 0 UNION ALL SELECT doc, page_id, 'scanned', 'ocr' FROM a WHERE scan)
+SELECT doc AS doc_id, page_id AS page, CASE WHEN bool_or(method = 'ocr') THEN 'scanned' ELSE max(text) END AS text, CASE WHEN bool_or(method = 'ocr') THEN 'ocr' ELSE 'text' END AS method, row_number() OVER (PARTITION BY doc ORDER BY page_id) AS ordinal FROM p GROUP BY doc, page_id"""
+)
+def pages_routed(spark, d):
+    pages = view(spark, d, "kb_page_scores").select(F.expr("page_id DIV 5").alias("doc_id"), F.col("page_id").alias("page"), "text")
+    text = pages.where("page % 2 <> 0 OR page % 3 = 0").withColumn("method", F.lit("text"))
+    return R.routed(text, pages.where("page % 2 = 0").withColumns({"text": F.lit("scanned"), "method": F.lit("ocr")}))
+
+
+@query("SELECT concat(CAST(doc_id AS VARCHAR), '.txt') AS source_file, 'success' AS status, len(string_split(text, chr(10))) AS n_pages, text AS full_text FROM documents WHERE doc_id % 10 <> 0")
+def parsed_results_source(spark, d):
+    """Documents as parse results, written and read through the data source with its mirror; every tenth had failed."""
+    failed = F.col("doc_id") % 10 == 0
+    page = lambda p: F.struct(p["page"].cast("int").alias("page"), p["text"].alias("text"), F.lit("text").alias("method"), F.lit(None).cast("double").alias("ocr_confidence"), p["flagged"].alias("flagged"))
+    rows = paged(spark, d).select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"),
+        F.when(failed, "failed").otherwise("success").alias("status"),
+        F.when(failed, "broken").alias("error"),
+        F.when(failed, F.array().cast(f"array<{PAGE}>")).otherwise(F.transform("pages", page)).alias("pages"),
+    )
+    base = _scratch(spark)
+    write_results(rows, f"{base}/parsed", f"{base}/mirror")
+    back = read_results(spark, f"{base}/mirror").where("status = 'success'")
+    return back.select("source_file", "status", F.size("pages").alias("n_pages"), F.array_join(F.transform("pages", lambda p: p["text"]), "\n").alias("full_text"))
+
+
+@query(
+    "SELECT c.chunk_id, c.doc_id, CASE WHEN c.doc_id % 10 = 0 THEN concat('again ', c.text) ELSE c.text END AS text, filename FROM kb_chunks c JOIN kb_documents k ON k.id = c.doc_id WHERE c.doc_id % 10 <> 1"
+)
+def chunks_replaced(spark, d):
+    """Chunks by bucket of which every tenth document was parsed again and another tenth deleted, with the
+    names of their documents, bucketed alike."""
+    rows = chunk_rows(spark, d).select("chunk_id", "doc_id", "text")
+    base, name = _scratch(spark), f"chunks_{uuid.uuid4().hex}"
+    held = ChunkTable(spark, name, base).create(rows)
+    held.replace(rows.where("doc_id % 10 = 1").select("doc_id"), held.chunks().where("doc_id % 10 = 0").select("chunk_id", "doc_id", F.concat(F.lit("again "), "text").alias("text")))
+    held.save(view(spark, d, "kb_documents").select(F.col("id").alias("doc_id"), "filename"), f"{name}_names", "names")
+    return held.chunks().join(spark.table(f"{name}_names"), "doc_id").select("chunk_id", "doc_id", "text", "filename")
+
+
 @query(
     r"""WITH l AS (SELECT doc_id, list_transform(list_slice(string_split(text, chr(10)), 1, 3), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS ls FROM documents)
 SELECT doc_id, coalesce(list_filter(ls, lambda x: length(x) BETWEEN 4 AND 120 AND NOT regexp_matches(x, '^[\d\s\-_./·•]+$'))[1], '') AS title FROM l"""

@@ -5,8 +5,8 @@ once its manifest stands there: a job that fails leaves no file and a batch that
 seen in neither copy. A manifest names the batch's files with their rows, states and least and greatest
 source_file, by which a read skips files before it opens any; the filters are applied to rows too.
 
-Filters reach the source while `spark.sql.python.filterPushdown.enabled` is on; otherwise Spark applies
-them to what is read.
+`read_results` lets filters reach the source where `spark.sql.python.filterPushdown.enabled` is on; else
+Spark applies them to what is read.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
@@ -77,17 +78,6 @@ class ParsedReader(DataSourceReader):
         self.equal: dict[str, set] = {}
         self.known: set[str] = set()
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Takes equality, membership and presence of source_file and status; the others stay with Spark."""
-        for f in filters:
-            column = f.attribute[0] if isinstance(f, (EqualTo, In, IsNotNull)) and len(f.attribute) == 1 else None
-            if column not in ("source_file", "status"):
-                yield f
-            elif isinstance(f, IsNotNull):
-                self.known.add(column)
-            else:
-                self._only(column, {f.value} if isinstance(f, EqualTo) else set(f.value))
-
     def _only(self, column: str, values: set) -> None:
         self.equal[column] = self.equal[column] & values if column in self.equal else values
 
@@ -115,6 +105,21 @@ class ParsedReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
+class FilteredReader(ParsedReader):
+    """The reader for sessions that hand filters to Python sources."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes equality, membership and presence of source_file and status; the others stay with Spark."""
+        for f in filters:
+            column = f.attribute[0] if isinstance(f, (EqualTo, In, IsNotNull)) and len(f.attribute) == 1 else None
+            if column not in ("source_file", "status"):
+                yield f
+            elif isinstance(f, IsNotNull):
+                self.known.add(column)
+            else:
+                self._only(column, {f.value} if isinstance(f, EqualTo) else set(f.value))
+
+
 class ParsedWriter(DataSourceWriter):
     def __init__(self, paths: list[str], overwrite: bool):
         self.paths, self.overwrite = paths, overwrite
@@ -172,7 +177,7 @@ class ParsedWriter(DataSourceWriter):
 
 
 class ParsedResults(DataSource):
-    """Options: path, and mirror for writes."""
+    """Options: path, for reads pushdown (true where the session hands filters on), for writes mirror."""
 
     @classmethod
     def name(cls) -> str:
@@ -182,7 +187,21 @@ class ParsedResults(DataSource):
         return RESULT
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return ParsedReader(self.options["path"])
+        return (FilteredReader if self.options.get("pushdown") == "true" else ParsedReader)(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return ParsedWriter([self.options["path"], *([self.options["mirror"]] if self.options.get("mirror") else [])], overwrite)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The committed results under path; registers the source in the session."""
+    spark.dataSource.register(ParsedResults)
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("parsed_results").option("pushdown", push).load(path)
+
+
+def write_results(results: DataFrame, path: str, mirror: str | None = None, mode: str = "append") -> None:
+    """One batch of results, in the folder and its mirror or in neither."""
+    results.sparkSession.dataSource.register(ParsedResults)
+    writer = results.write.format("parsed_results").mode(mode)
+    (writer.option("mirror", mirror) if mirror else writer).save(path)
