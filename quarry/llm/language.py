@@ -2,8 +2,8 @@
 
 A text is read as segments of SEGMENT bytes, each from both ends; at every byte the two states give
 probabilities of the languages, and a document's answer pools those of all its bytes. Training is
-backpropagation through time with Adam on a bounded sample of labelled rows, once, on the driver;
-all texts are labelled in full by the executors.
+backpropagation through time with Adam on a bounded sample of labelled rows, once, on the driver, which
+draws segments from anywhere in the rows' whole texts; all texts are labelled in full by the executors.
 """
 
 from __future__ import annotations
@@ -17,14 +17,14 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import string_buffers
+from quarry.llm.common import materialize, string_buffers
 
 SEGMENT = 64
 HIDDEN = 8
-#: Bound of the training sample: rows of each language, languages, and bytes of each row.
+#: Bound of the training sample: labelled rows of each language, and of all. Where there are so many
+#: languages that the second is less, each has its share of it and one row at least; none is left out.
 SAMPLE_ROWS = 400
-SAMPLE_LANGUAGES = 64
-SAMPLE_BYTES = 512
+SAMPLE_TOTAL = 25_600
 #: Tasks that a language's rows are dealt over while the sample is taken.
 SHARES = 64
 STEPS = 240
@@ -233,20 +233,47 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame) -> list[tuple[bytes, str]]:
-    """At most SAMPLE_ROWS rows of each of the SAMPLE_LANGUAGES most frequent languages, by a hash of
-    the id, each as a slice of its text from a place set by that hash."""
-    mark = F.xxhash64("doc_id")
+    """Segments to train on, with their languages: as many as training draws, each any segment of the
+    whole texts of at most SAMPLE_ROWS rows of a language, the first by a hash of the id.
+
+    The rows are written once; the driver sees their sizes, says which segments are drawn, and gets
+    those, so a very long text takes no more of its memory than a short one.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    room = F.greatest(F.char_length("text") - F.lit(SAMPLE_BYTES), F.lit(0)) + 1
-    rows = rows.select("lang", "doc_id", mark.alias("mark"), F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(7)), room).cast("int") + 1, SAMPLE_BYTES).alias("part"))
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGUAGES).select("lang")
+    rows = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("mark"), "text")
     # First within SHARES shares of a language, then among what these leave: no task sees all of one.
-    order = ["mark", "doc_id", "part"]
+    order = ["mark", "doc_id", "text"]
     share = Window.partitionBy("lang", F.pmod("doc_id", F.lit(SHARES))).orderBy(*order)
     few = rows.withColumn("n", F.row_number().over(share)).where(F.col("n") <= SAMPLE_ROWS)
     first = Window.partitionBy("lang").orderBy(*order)
-    taken = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_ROWS).join(F.broadcast(frequent), "lang")
-    return [(part.encode()[:SAMPLE_BYTES], lang) for lang, part in sorted(map(tuple, taken.select("lang", "part").collect()))]
+    taken = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_ROWS)
+    taken = materialize(taken.select("lang", "n", F.octet_length("text").alias("size"), "text"), "language-sample")
+    sizes: dict[str, dict[int, int]] = {}
+    for r in taken.select("lang", "n", "size").collect():
+        sizes.setdefault(r["lang"], {})[r["n"]] = -(-r["size"] // SEGMENT)
+    drawn = draws(sizes)
+    if not drawn:
+        return []
+    asked = taken.sparkSession.createDataFrame(drawn, "lang string, n int, parts array<int>")
+    cut = taken.join(asked, ["lang", "n"]).select("lang", F.encode("text", "UTF-8").alias("raw"), F.explode("parts").alias("part"))
+    found = cut.select("lang", F.substring("raw", F.col("part") * SEGMENT + 1, F.lit(SEGMENT)).alias("segment")).collect()
+    return sorted((bytes(r["segment"]), r["lang"]) for r in found)
+
+
+def draws(sizes: dict[str, dict[int, int]], seed: int = 11) -> list[tuple[str, int, list[int]]]:
+    """(language, row, segments) of as many segments of each language as training draws of it, from rows
+    with so many segments, evenly over all of a language's segments."""
+    each = max(1, min(SAMPLE_ROWS, SAMPLE_TOTAL // max(len(sizes), 1)))
+    rng, out = np.random.default_rng(seed), []
+    for lang in sorted(sizes):
+        rows = sorted(sizes[lang])[:each]
+        ends = np.cumsum([sizes[lang][r] for r in rows])
+        want = min(int(ends[-1]), -(-STEPS * BATCH // len(sizes)))
+        picked = np.sort(rng.choice(int(ends[-1]), want, replace=False))
+        row = np.searchsorted(ends, picked, side="right")
+        begin = ends - [sizes[lang][r] for r in rows]
+        out += [(lang, int(rows[k]), [int(p - begin[k]) for p in picked[row == k]]) for k in np.unique(row)]
+    return out
 
 
 def identify(docs: DataFrame) -> DataFrame:

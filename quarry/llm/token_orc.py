@@ -21,6 +21,8 @@ SCHEMA = "doc_id long, part int, seq long, part_start long, n_tokens long, ids a
 #: Units that a worker remembers here, where little else needs its memory.
 REMEMBERED = 750_000
 #: Fixed at writing: stripe size, rows between index entries, false positives of the Bloom filter.
+#: Bytes of text of a file, on average.
+FILE_BYTES = 128 << 20
 ORC_OPTIONS = {
     "orc.stripe.size": str(16 << 20),
     "orc.create.index": "true",
@@ -61,12 +63,14 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, id_
 
     Null texts are empty; null ids come last; rows that repeat an id stand side by side in order of
     a hash of their text. An empty table gives no rows. Documents are dealt out by id ranges, so a
-    file holds a range of ids and min-max statistics separate files.
+    file holds a range of ids and min-max statistics separate files; there are as many as FILE_BYTES of
+    text for each need, and as many as the session has shuffle partitions at least.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     dealt.mapInArrow(lambda it: token_rows(it, tokenizer, end_id), SCHEMA).write.options(**ORC_OPTIONS).orc(out)
 

@@ -326,6 +326,67 @@ def test_pools_equal_a_byte_at_a_time():
         assert np.allclose(row, want, atol=1e-3)
 
 
+def scalar_states(w, side, codes):
+    """The gated recurrent unit number by number, from its definition."""
+    n = w["h" + side].shape[1]
+    squash = lambda v: v / (1 + abs(v))
+    gate = lambda v: 0.5 * squash(v) + 0.5
+    h, out = [0.0] * n, {}
+    for t in range(len(codes)) if side == "f" else reversed(range(len(codes))):
+        into = [[float(w["x" + side][k * n + i][codes[t]]) for i in range(n)] for k in range(3)]
+        back = [[sum(float(w["h" + side][k * n + i][j]) * h[j] for j in range(n)) for i in range(n)] for k in range(3)]
+        new = []
+        for i in range(n):
+            update, reset = gate(into[0][i] + back[0][i]), gate(into[1][i] + back[1][i])
+            candidate = squash(into[2][i] + reset * back[2][i])
+            new.append(update * h[i] + (1 - update) * candidate)
+        h = out[t] = new
+    return out
+
+
+def test_network_equals_its_definition():
+    rng = np.random.default_rng(4)
+    w = G.tables(rng, 3, 4)
+    G.quiet_pad(w, 3)
+    codes = [int(c) for c in rng.integers(0, 256, 9)]
+    sides = {side: scalar_states(w, side, codes) for side in "fb"}
+    got = G.probabilities(w, np.array(codes)[:, None])
+    for t in range(len(codes)):
+        logits = [float(w["b"][k][0]) + sum(float(w["o" + side][k][j]) * sides[side][t][j] for side in "fb" for j in range(3)) for k in range(4)]
+        total = sum(np.exp(v) for v in logits)
+        assert np.allclose(got[t, :, 0], [np.exp(v) / total for v in logits], atol=1e-5)
+
+
+def test_seventy_languages(spark, monkeypatch):
+    """Every language is learned from, however many there are; longer training tells them apart."""
+    monkeypatch.setattr(G, "STEPS", 600)
+    rng = random.Random(12)
+    scripts = [chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k) + chr(0x4E02 + 3 * k) for k in range(70)]
+    rows = [(i, "".join(rng.choice(scripts[i % 70]) for _ in range(30)), f"l{i % 70:02d}", "s", None, *["clash"] * 7) for i in range(1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, sha string, block string, tie string, kept string, rep string, h string, key string")
+    drawn = G.sample(docs)
+    assert {lang for _, lang in drawn} == {r[2] for r in rows}
+    got = G.identify(docs).collect()
+    assert len({r.lang_pred for r in got}) >= 60
+
+
+def test_draws_are_bounded_by_rows_and_reach_whole_texts(spark, monkeypatch):
+    sizes = {f"l{k}": {n: 1 + (n * 7) % 50 for n in range(1, 301)} for k in range(5)}
+    drawn = G.draws(sizes)
+    for lang, own in sizes.items():
+        rows = {n: parts for name, n, parts in drawn if name == lang}
+        assert all(0 <= p < own[n] for n, parts in rows.items() for p in parts)
+        assert sum(map(len, rows.values())) == min(sum(own.values()), -(-G.STEPS * G.BATCH // 5))
+    monkeypatch.setattr(G, "SAMPLE_TOTAL", 20)
+    assert {lang: {n for name, n, _ in G.draws(sizes) if name == lang} <= {1, 2, 3, 4} for lang in sizes} == dict.fromkeys(sizes, True)
+    monkeypatch.setattr(G, "SAMPLE_TOTAL", 2)
+    assert {name for name, *_ in G.draws(sizes)} == set(sizes)
+    text = "".join(chr(97 + i // 64 % 26) for i in range(64 * 26 * 4))
+    docs = spark.createDataFrame([(1, text, "en"), (2, "é" * 40, "fr")], "doc_id long, text string, lang string")
+    found = {s for s, lang in G.sample(docs) if lang == "en"}
+    assert found == {text[i : i + 64].encode() for i in range(0, len(text), 64)}
+
+
 def test_language_of_odd_rows(odd, empty, texts):
     rows = G.identify(odd).collect()
     assert len(rows) == len(texts) + 4

@@ -91,3 +91,14 @@ def test_orc_skips_by_range_and_by_bloom_filter(spark, tmp_path):
     assert found == 0 and read < 1000
     whole = O.read_tokens(spark, path).orderBy("doc_id").collect()
     assert [r.doc_id for r in whole] == [2 * i for i in range(6000)] and all(r.n_tokens == len(r.ids) for r in whole)
+
+
+def test_files_follow_the_size_of_the_input(spark, tmp_path, monkeypatch):
+    """Texts of many bytes go to more files than the session has partitions."""
+    import os
+
+    monkeypatch.setattr(O, "FILE_BYTES", 2000)
+    docs = frame(spark, [(i, f"some text of a document {i} ") for i in range(1000)])
+    O.write_tokens(docs, str(tmp_path / "t"), TOKENIZER)
+    assert len([f for f in os.listdir(tmp_path / "t") if f.endswith(".orc")]) >= 12
+    assert O.read_tokens(spark, str(tmp_path / "t")).count() == 1000
