@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from quarry.operators import chunking as C
 from quarry.operators import documents as D
 from quarry.operators import lifecycle as L
 from quarry.operators import regions as R
+from quarry.operators import restore as X
 from quarry.operators import search as S
 from quarry.operators.asof import asof
 from quarry.plans.catalog import AS_OF, CHUNKS_EACH, chunk_rows, oracle, paged, spans_sql, table, view
@@ -329,6 +331,81 @@ def restore_id_conflict(spark, d):
     return L.restored_ids(view(spark, d, "kb_deletion_logs").select("doc_id"), living)
 
 
+_RESTORED_AT = "2023-12-15 00:00:00"
+_SAVED = "coalesce(nullif(original_path, ''), filename)"
+_LOG_SNAPS = "lg AS (SELECT id, doc_id, deleted_at, status, snapshot, trash_dir FROM kb_deletion_logs), good AS (SELECT id AS log_id, doc_id FROM lg WHERE status = 'trashed' AND snapshot IS NOT NULL AND trash_dir <> '' AND deleted_at + INTERVAL 30 DAY > TIMESTAMP '{0}')"
+
+
+@query(
+    f"""WITH {_LOG_SNAPS.format(_RESTORED_AT)}, live AS (SELECT *, {_SAVED} AS saved_path FROM kb_documents WHERE id % 18 <> 0),
+nid AS (SELECT log_id, doc_id, CASE WHEN doc_id IN (SELECT id FROM live) THEN (SELECT max(id) FROM live) + row_number() OVER (PARTITION BY doc_id IN (SELECT id FROM live) ORDER BY doc_id) ELSE doc_id END AS restored_id FROM good)
+SELECT log_id, restored_id, k.filename, CASE WHEN {_SAVED} IN (SELECT saved_path FROM live) THEN concat(regexp_replace({_SAVED}, '\\.[^./]*$', ''), '_restored_', CAST(log_id AS VARCHAR), regexp_extract({_SAVED}, '(\\.[^./]*)$', 1)) ELSE {_SAVED} END AS saved_path,
+(SELECT count(*) FROM kb_comments c WHERE c.doc_id = k.id) AS n_comments, (SELECT count(*) FROM kb_bookmarks b WHERE b.doc_id = k.id) AS n_bookmarks, (SELECT count(*) FROM kb_permissions p WHERE p.doc_id = k.id) AS n_permissions,
+(SELECT count(*) FROM kb_chunks h WHERE h.doc_id = k.id) AS n_chunks, (SELECT CAST(sum(length(text)) AS BIGINT) FROM kb_chunks h WHERE h.doc_id = k.id) AS n_chars, 'restored' AS status FROM nid JOIN kb_documents k ON k.id = nid.doc_id"""
+)
+def restore_documents(spark, d):
+    """Every log that can be restored, at once: half of the documents are gone, the others' ids are taken."""
+    whole = view(spark, d, "kb_documents").withColumn("saved_path", T.or_else(F.col("original_path"), F.col("filename")))
+    children = {name: view(spark, d, f"kb_{name}") for name in ("comments", "bookmarks", "permissions")}
+    logs = view(spark, d, "kb_deletion_logs")
+    snaps = L.trash_snapshot(whole, children["comments"], children["bookmarks"], children["permissions"]).withColumnRenamed("snapshot", "_full")
+    # The trash as it was stored when the documents went.
+    trash = _scratch(spark)
+    logs.join(snaps, "doc_id").withColumn("snapshot", F.when(F.col("snapshot").isNotNull(), F.col("_full"))).drop("_full").write.parquet(f"{trash}/logs")
+    logs = spark.read.parquet(f"{trash}/logs")
+    chunks = built(spark, d, "chunks").chunks().select(*X.CHUNK_COLUMNS)
+    X.trash_chunks(chunks, logs.select(F.col("doc_id").alias("id"))).write.parquet(f"{trash}/chunks")
+    kept = spark.read.parquet(f"{trash}/chunks")
+    live = whole.where("id % 18 <> 0")
+    here = lambda df: df.join(live.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    after = X.restore(logs.select("id"), logs, kept, {"documents": live, **{k: here(v) for k, v in children.items()}, "chunks": here(chunks)}, _RESTORED_AT, "root@ex.com")
+    done = after["logs"].where("restored_doc_id IS NOT NULL").select(F.col("id").alias("log_id"), F.col("restored_doc_id").alias("restored_id"), "status")
+    out = done.join(after["documents"].select(F.col("id").alias("restored_id"), "filename", "saved_path"), "restored_id")
+    for name in ("comments", "bookmarks", "permissions", "chunks"):
+        extra = [F.sum(F.length("text")).alias("n_chars")] if name == "chunks" else []
+        out = out.join(after[name].groupBy(F.col("doc_id").alias("restored_id")).agg(F.count("*").alias(f"n_{name}"), *extra), "restored_id", "left")
+    return out.na.fill(0, ["n_comments", "n_bookmarks", "n_permissions", "n_chunks"])
+
+
+@query(
+    f"""WITH up AS (SELECT id + 1000000 AS id, filename, original_path, sha256, uploaded_by FROM kb_documents WHERE id % 10 = 3),
+p AS (SELECT *, {_SAVED} AS base, row_number() OVER (PARTITION BY {_SAVED} ORDER BY id) AS k FROM up), h AS (SELECT {_SAVED} AS base, count(*) AS n FROM kb_documents GROUP BY 1),
+s AS (SELECT sha256, arg_max(id, (uploaded_at, id)) AS duplicate_of FROM kb_documents GROUP BY sha256)
+SELECT id, filename, 'parsing' AS status, u.department, duplicate_of, CASE WHEN coalesce(n, 0) + k = 1 THEN base ELSE concat(regexp_replace(base, '\\.[^./]*$', ''), ' (', CAST(coalesce(n, 0) + k AS VARCHAR), ')', regexp_extract(base, '(\\.[^./]*)$', 1)) END AS saved_path
+FROM p LEFT JOIN h USING (base) LEFT JOIN s USING (sha256) LEFT JOIN kb_users u ON u.email = uploaded_by"""
+)
+def uploads_inserted(spark, d):
+    """A tenth of the documents uploaded again."""
+    docs = view(spark, d, "kb_documents")
+    up = docs.where("id % 10 = 3").select((F.col("id") + 1_000_000).alias("id"), "filename", "original_path", "sha256", "uploaded_by")
+    return X.insert_uploads(up, docs, view(spark, d, "kb_users"), AS_OF).select("id", "filename", "status", "department", "duplicate_of", "saved_path")
+
+
+@query("SELECT name, CASE WHEN name IN (SELECT category FROM kb_documents) THEN 409 ELSE 200 END AS verdict FROM (SELECT DISTINCT category AS name FROM kb_documents UNION SELECT DISTINCT concat(category, ' old') FROM kb_documents)")
+def category_deletes(spark, d):
+    docs = view(spark, d, "kb_documents")
+    names = docs.select(F.explode(F.array("category", F.concat("category", F.lit(" old")))).alias("name"))
+    return X.category_verdicts(docs, names)
+
+
+_GONE = "(SELECT id FROM kb_documents WHERE status = 'failed')"
+
+
+@query(
+    f"""WITH notes AS ({_FANOUT}) SELECT 'comments' AS child, count(*) AS n FROM kb_comments WHERE doc_id NOT IN {_GONE} UNION ALL SELECT 'bookmarks', count(*) FROM kb_bookmarks WHERE doc_id NOT IN {_GONE}
+UNION ALL SELECT 'permissions', count(*) FROM kb_permissions WHERE doc_id NOT IN {_GONE} UNION ALL SELECT 'chunks', count(*) FROM kb_chunks WHERE doc_id NOT IN {_GONE}
+UNION ALL SELECT 'notifications', count(*) FROM notes WHERE doc_id NOT IN {_GONE}"""
+)
+def cascade_delete_all(spark, d):
+    """What is left of all five child tables when the failed documents go."""
+    docs = view(spark, d, "kb_documents")
+    tables = {name: view(spark, d, f"kb_{name}") for name in ("comments", "bookmarks", "permissions")}
+    tables |= {"chunks": chunk_rows(spark, d), "notifications": D.fan_out(tables["comments"], docs, view(spark, d, "kb_users"))}
+    kept = L.cascade(tables, docs.where("status = 'failed'"))
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("child"), "n") for name, df in kept.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query("SELECT count(*) AS db_count, count(*) FILTER (vec_id % 5 <> 0) AS index_count, count(*) > 0 AND count(*) FILTER (vec_id % 5 <> 0) < 0.9 * count(*) AS reindex FROM embeddings")
 def index_reconcile(spark, d):
     chunks = view(spark, d, "kb_chunk_vectors")
