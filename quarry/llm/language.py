@@ -240,13 +240,15 @@ def sample(docs: DataFrame) -> list[tuple[bytes, str]]:
     those, so a very long text takes no more of its memory than a short one.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    rows = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("mark"), "text")
+    rows = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("mark"), F.xxhash64("text").alias("of"), "text")
     # First within SHARES shares of a language, then among what these leave: no task sees all of one.
-    order = ["mark", "doc_id", "text"]
+    order = ["mark", "doc_id", "of"]
     share = Window.partitionBy("lang", F.pmod("doc_id", F.lit(SHARES))).orderBy(*order)
-    few = rows.withColumn("n", F.row_number().over(share)).where(F.col("n") <= SAMPLE_ROWS)
+    few = rows.drop("text").withColumn("n", F.row_number().over(share)).where(F.col("n") <= SAMPLE_ROWS)
     first = Window.partitionBy("lang").orderBy(*order)
-    taken = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_ROWS)
+    keys = materialize(few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_ROWS).drop("mark"), "language-keys")
+    # Texts stay where they are; those of the keys, a few hundred of each language, are written once.
+    taken = rows.drop("mark").join(keys, ["lang", "doc_id", "of"]).dropDuplicates(["lang", "n"])
     taken = materialize(taken.select("lang", "n", F.octet_length("text").alias("size"), "text"), "language-sample")
     sizes: dict[str, dict[int, int]] = {}
     for r in taken.select("lang", "n", "size").collect():
