@@ -331,6 +331,13 @@ def restore_id_conflict(spark, d):
     return L.restored_ids(view(spark, d, "kb_deletion_logs").select("doc_id"), living)
 
 
+@query("SELECT chunk_id, doc_id, text FROM kb_chunks WHERE chunk_id % 5 = 0")
+def index_missing(spark, d):
+    """The chunks that a repair adds to an index without every fifth."""
+    chunks = chunk_rows(spark, d).select("chunk_id", "doc_id", "text")
+    return L.missing_from_index(chunks, chunks.where("chunk_id % 5 <> 0"))
+
+
 _RESTORED_AT = "2023-12-15 00:00:00"
 _SAVED = "coalesce(nullif(original_path, ''), filename)"
 _LOG_SNAPS = "lg AS (SELECT id, doc_id, deleted_at, status, snapshot, trash_dir FROM kb_deletion_logs), good AS (SELECT id AS log_id, doc_id FROM lg WHERE status = 'trashed' AND snapshot IS NOT NULL AND trash_dir <> '' AND deleted_at + INTERVAL 30 DAY > TIMESTAMP '{0}')"
@@ -805,12 +812,46 @@ def extract_title(spark, d):
     return table(spark, d, "documents").select("doc_id", T.title_of(F.split("text", "\n")).alias("title"))
 
 
-@query()
+def _snippet_sql(words: list[str]) -> str:
+    """From the table best (doc_id, text, ...) to cutout, which has the stretch a to e of the densest window."""
+    values = ", ".join(f"({i}, '{w}')" for i, w in enumerate(words, 1))
+    return f"""tok AS (SELECT * FROM (VALUES {values}) v(ord, t)),
+occ AS (SELECT doc_id, ord, pos, lower(substring(text, greatest(0, pos - 61) + 1, least(length(text), pos + 139) - greatest(0, pos - 61))) AS win
+  FROM (SELECT doc_id, text, ord, t, unnest(range(1, length(text) + 1)) AS pos FROM best, tok) x WHERE substring(lower(text), pos, length(t)) = t),
+dense AS (SELECT doc_id, pos FROM (SELECT doc_id, ord, pos, (SELECT sum((length(win) - length(replace(win, t, ''))) / length(t)) FROM tok) AS near FROM occ)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY near DESC, ord, pos) = 1),
+cutout AS (SELECT best.*, greatest(0, coalesce(pos, 1) - 61) AS a, least(length(text), coalesce(pos, 1) + 139) AS e FROM best LEFT JOIN dense USING (doc_id))"""
+
+
+_SNIPPET = r"concat(CASE WHEN a > 0 THEN '…' ELSE '' END, regexp_replace(substring(cutout.text, a + 1, e - a), '^\s+|\s+$', '', 'g'), CASE WHEN e < length(cutout.text) THEN '…' ELSE '' END)"
+
+
+@query(
+    f"""WITH best AS (SELECT id AS doc_id, text FROM kb_documents WHERE status = 'success' ORDER BY uploaded_at DESC, id DESC LIMIT 50), {_snippet_sql(["the", "thion", "ering"])}
+SELECT doc_id AS id, {_SNIPPET} AS snippet FROM cutout"""
+)
 def snippet_dense(spark, d):
     docs = D.newest(D.visible(view(spark, d, "kb_documents")), S.RESULTS).select("id", "text")
     return C.snippets(docs, C.snippet_tokens("the thion ering")).select("id", "snippet")
 
 
+@query("SELECT string_split(email, '@')[-1] AS domain, count(*) AS users FROM kb_users GROUP BY 1")
+def users_by_domain(spark, d):
+    return view(spark, d, "kb_users").groupBy(T.email_domain(F.col("email")).alias("domain")).agg(F.count("*").alias("users"))
+
+
+@query("SELECT id, (length(text) - length(replace(text, 'th', ''))) // 2 AS n FROM kb_documents")
+def text_occurrences(spark, d):
+    return view(spark, d, "kb_documents").select("id", T.occurrences(F.col("text"), F.lit("th")).cast("long").alias("n"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(e, lambda x: x / sqrt(list_dot_product(e, e)))), 6) AS total, round(list_dot_product(e, e) / list_dot_product(e, e), 6) AS length FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+def vectors_normalised(spark, d):
+    unit = S.normalised(F.transform("embedding", lambda x: x.cast("double")))
+    made = table(spark, d, "embeddings").select("vec_id", unit.alias("u"))
+    return made.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(S.dot(F.col("u"), F.col("u")), 6).alias("length"))
+
+
 @query("SELECT id, regexp_replace(filename, '(src|src1|pdf)', '<mark>\\1</mark>', 'gi') AS marked FROM kb_documents")
 def highlight(spark, d):
     return view(spark, d, "kb_documents").select("id", T.highlight(F.col("filename"), " src  SRC1 PDF ").alias("marked"))
@@ -838,7 +879,12 @@ def page_classify(spark, d):
     return table(spark, d, "documents").select("doc_id", C.page_kind(F.col("text")).alias("kind"))
 
 
-@query()
+@query(
+    r"""WITH c AS (SELECT conv_id AS table_id, turn // 4 AS r, conv_id % 3 AS k, string_agg(text, ' ' ORDER BY turn) AS t FROM conversations WHERE role = 'user' GROUP BY ALL),
+m AS (SELECT table_id, r, k, replace(trim(regexp_replace(t, '\s+', ' ', 'g')), '|', '\|') AS t FROM c), s AS (SELECT table_id, max(r) AS rows, max(k) AS cols, max(t <> '') AS any_text FROM m GROUP BY table_id),
+g AS (SELECT x.table_id, rows, cols, any_text, i, '| ' || string_agg(coalesce(t, ''), ' | ' ORDER BY j) || ' |' AS line FROM (SELECT *, unnest(range(0, cols + 1)) AS j FROM (SELECT *, unnest(range(0, rows + 1)) AS i FROM s)) x LEFT JOIN m ON m.table_id = x.table_id AND m.r = i AND m.k = j GROUP BY ALL)
+SELECT table_id, CASE WHEN bool_or(any_text) THEN string_agg(CASE WHEN i = 0 THEN line || chr(10) || '| ' || array_to_string(list_transform(range(0, cols + 1), lambda z: '---'), ' | ') || ' |' ELSE line END, chr(10) ORDER BY i) ELSE '' END AS markdown FROM g GROUP BY table_id"""
+)
 def grid_markdown(spark, d):
     # A table for each conversation and a cell for each four turns: both stay small however many comments there are.
     said = table(spark, d, "conversations").where("role = 'user'")
@@ -1059,13 +1105,8 @@ _OK = "(SELECT id FROM kb_documents WHERE status = 'success')"
     f"""WITH {_CHUNK_POSTINGS}, {_bm25_sql(WORDS, _ALL_FIELDS, 3, _CHUNK_DOC).replace(f"matched >= 3", f"matched >= 3 AND {_CHUNK_DOC} IN {_OK}")},
 {_chunk_sim(f"{_CHUNK_DOC} IN {_OK}")}, {_fused_sql(S.SEM_MINIMUM, S.SEM_STRONG)},
 best AS (SELECT t.doc_id, place, round(raw / max(raw) OVER (), 4) AS score, kc.text, kc.page_num FROM t JOIN kc ON kc.chunk_id = t.chunk_id),
-tok AS (SELECT * FROM (VALUES (1, 'the'), (2, 'and'), (3, 'that'), (4, 'note')) v(ord, t)),
-occ AS (SELECT doc_id, ord, pos, lower(substring(text, greatest(0, pos - 61) + 1, least(length(text), pos + 139) - greatest(0, pos - 61))) AS win
-  FROM (SELECT doc_id, text, ord, t, unnest(range(1, length(text) + 1)) AS pos FROM best, tok) x WHERE substring(lower(text), pos, length(t)) = t),
-dense AS (SELECT doc_id, pos FROM (SELECT doc_id, ord, pos, (SELECT sum((length(win) - length(replace(win, t, ''))) / length(t)) FROM tok) AS near FROM occ)
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY near DESC, ord, pos) = 1),
-cutout AS (SELECT best.*, greatest(0, coalesce(pos, 1) - 61) AS a, least(length(text), coalesce(pos, 1) + 139) AS e FROM best LEFT JOIN dense USING (doc_id)),
-o AS (SELECT place, cutout.doc_id, score, page_num, concat(CASE WHEN a > 0 THEN '…' ELSE '' END, regexp_replace(substring(cutout.text, a + 1, e - a), '^\\s+|\\s+$', '', 'g'), CASE WHEN e < length(cutout.text) THEN '…' ELSE '' END) AS snippet,
+{_snippet_sql(WORDS)},
+o AS (SELECT place, cutout.doc_id, score, page_num, {_SNIPPET} AS snippet,
   snippet AS content_preview, filename, category, page_count AS pages, download_count, uploaded_by, uploaded_at, file_type, title, memo, department, cutout.doc_id AS id FROM cutout JOIN kb_documents kd ON kd.id = cutout.doc_id)
 SELECT {_ORDERED} FROM o {_GRANTS.replace("= id", "= o.id")} LEFT JOIN kb_users u ON u.email = uploaded_by WHERE {_READABLE.replace("department", "o.department")}""",
     QUESTION,

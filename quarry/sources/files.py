@@ -33,10 +33,6 @@ def read_parsed(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("pages", F.transform(F.coalesce("pages", F.array().cast("array<struct<page:int,page_num:int,text:string,method:string,ocr_confidence:double,flagged:boolean>>")), page))
 
 
-def write_parsed(results: DataFrame, path: str) -> None:
-    results.write.mode("append").json(path)
-
-
 def upload_errors(files: DataFrame) -> DataFrame:
     """Adds error: why an upload (name, length, page_count) is not taken, null where it is."""
     kind = F.substring(extension(F.col("name")), 2, 20)
@@ -110,16 +106,6 @@ def backup(spark: SparkSession, tables: dict[str, DataFrame], path: str, stamp:
     return gone
 
 
-def mirror(batch: DataFrame, paths: list[str]) -> None:
-    """The same rows to every path, computed once."""
-    batch.persist()
-    try:
-        for path in paths:
-            batch.write.mode("append").parquet(path)
-    finally:
-        batch.unpersist()
-
-
 #: The export's columns, and its names of categories and states.
 EXPORT = ("ID", "파일명", "파일형식", "원본경로", "카테고리", "상태", "페이지수", "OCR저신뢰", "업로드시각")
 CATEGORY_NAMES = {"spec": "사양서", "research": "연구자료", "presentation": "발표자료", "report": "보고서"}

@@ -148,3 +148,21 @@ def test_backup_job_keeps_the_newest(spark, tmp_path):
     kept = S.snapshots(spark, path)
     assert kept.count() == 28 and kept.agg(F.min("name")).first()[0] == "backup_ts=20240103"
     assert spark.read.parquet(f"{path}/docs").groupBy("backup_ts").count().where("count = 5").count() == 14
+
+
+def test_files_of_texts_and_of_results(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_bytes("é ok ".encode() + b"\xff\xfe end")
+    assert [r.text for r in S.read_text(spark, str(tmp_path / "t")).collect()] == ["é ok  end"]
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "1.json").write_text(json.dumps({"source_file": "a", "status": "success", "pages": [{"page_num": 4, "text": "x"}, {"page": 5, "text": "y", "flagged": True}]}, indent=1))
+    (tmp_path / "r" / "2.json").write_text(json.dumps({"source_file": "b", "status": "failed", "error": "why"}))
+    rows = {r.source_file: r for r in S.read_parsed(spark, str(tmp_path / "r")).collect()}
+    assert [(p.page, p.text, p.flagged) for p in rows["a"].pages] == [(4, "x", False), (5, "y", True)] and rows["b"].pages == []
+
+
+@pytest.mark.parametrize("message, shown", [("File is Encrypted", "the file has a password"), ("PDF syntax error: EOF", "the file is damaged"), ("odd " * 100, "the file can't be read: " + ("odd " * 100)[:200])])
+def test_errors_that_users_see(message, shown):
+    from quarry.sources.parse import readable_error
+
+    assert readable_error(message) == shown
