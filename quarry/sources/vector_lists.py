@@ -27,6 +27,8 @@ from quarry.operators import search as S
 #: Vectors that centroids are fitted on at most, the first by a hash of their ids; and rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 12
 PART_ROWS = 50_000
+#: Vectors of a list on average at least: a small table has few lists, as each is a file to open.
+LIST_ROWS = 256
 #: What share of the nearest a search is to find, and how many of the sample are asked to measure it.
 RECALL, ASKED = 0.95, 400
 
@@ -96,10 +98,10 @@ class VectorLists:
 
     def build(self, vectors: DataFrame, lists: int | None = None, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> VectorLists:
         """Fit and write vectors (chunk_id, doc_id, embedding), in place of what was there. Without a number
-        of lists it is twice the square root of the number of vectors."""
+        of lists it is twice the square root of the number of vectors, or fewer where lists would be small."""
         real = vectors.select("chunk_id", "doc_id", "embedding").where(F.exists("embedding", lambda x: x != 0))
         n = real.count()
-        lists = lists or max(1, round(2 * n**0.5))
+        lists = lists or max(1, min(round(2 * n**0.5), n // LIST_ROWS))
         drawn = real.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample).select("embedding").toPandas()["embedding"]
         units = _units(drawn)
         centers = fitted(units, lists) if len(units) else np.zeros((0, 1))
