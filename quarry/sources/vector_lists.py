@@ -17,8 +17,11 @@ neighbour.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +90,24 @@ def nearest_lists(vector: Column, centers: np.ndarray, many: int = 1) -> Column:
     return F.pandas_udf(run, "array<struct<list: int, angle: double>>")(vector)
 
 
+def _best_of(query: list[float], k: int):
+    """The k best of every batch by similarity as S.similarity gives it."""
+    q = np.asarray(query, np.float64)
+    length = float(np.sqrt(q @ q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.asarray(batch.column("embedding").flatten(), np.float64).reshape(batch.num_rows, -1)
+            size = np.sqrt((x * x).sum(axis=1)) * length
+            score = np.round((1 + np.divide(x @ q, size, out=np.zeros(len(x)), where=size > 0)) / 2, 6)
+            best = np.lexsort((batch.column("chunk_id").to_numpy(), -score))[:k]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(best)), batch.column("doc_id").take(pa.array(best)), pa.array(score[best])], names=["chunk_id", "doc_id", "score"])
+
+    return run
+
+
 class VectorLists:
     """The lists under a path: build writes them, the searches read them."""
 
@@ -145,7 +166,12 @@ class VectorLists:
         return sorted((float(a), max(0.0, float(a) - r["widest"]), r["list"]) for a, r in zip(angles, known))
 
     def _among(self, lists: list[int], query: list[float], k: int, allowed: DataFrame | None) -> DataFrame:
-        return S.knn(self.vectors().where(F.col("list").isin(lists)), query, k, allowed)
+        """S.knn over some lists, with scores of a batch worked out at once and its k best handed on."""
+        pool = self.vectors().where(F.col("list").isin(lists)).select("chunk_id", "doc_id", "embedding")
+        if allowed is not None:
+            pool = pool.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+        best = pool.select("chunk_id", "doc_id", "embedding").mapInArrow(_best_of(query, k), "chunk_id long, doc_id long, score double")
+        return S.top(best, k, "chunk_id")
 
     def probes(self) -> int:
         """Lists that a search reads unless it says otherwise."""
