@@ -59,12 +59,16 @@ class IndexUnavailable(ValueError):
 def postings(chunks: DataFrame, fields: tuple[str, ...] = tuple(FIELDS), tokenize=terms) -> DataFrame:
     """chunk_id, doc_id, field, term, tf, dl: one row for each term of each field of each chunk.
 
-    One pass over the chunks; the counts are combined before the shuffle. To be written sorted by
-    term and read by many queries (see sources.index).
+    One pass over the chunks and no shuffle: a field's terms are sorted in its row, and runs of equal ones
+    counted. To be written sorted by term and read by many queries (see sources.index). Chunks differ in
+    chunk_id.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.filter(tokenize(F.coalesce(F.col(f), F.lit(""))), lambda t: t != "").alias("ts")) for f in fields])).alias("f")
-    split = chunks.select("chunk_id", "doc_id", each).select("chunk_id", "doc_id", "f.field", F.size("f.ts").cast("long").alias("dl"), F.explode("f.ts").alias("term"))
-    return split.groupBy("chunk_id", "doc_id", "field", "dl", "term").agg(F.count("*").alias("tf"))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.sort_array(F.filter(tokenize(F.coalesce(F.col(f), F.lit(""))), lambda t: t != "")).alias("ts")) for f in fields])).alias("f")
+    split = chunks.select("chunk_id", "doc_id", each).select("chunk_id", "doc_id", "f.field", "f.ts").where(F.size("ts") > 0)
+    heads = F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: (i == 0) | (F.get("ts", i) != F.get("ts", i - 1)))
+    run = lambda at, k: F.struct(F.get("ts", at).alias("term"), (F.coalesce(F.get("_at", k + 1), F.size("ts")) - at).cast("long").alias("tf"))
+    runs = split.withColumn("_at", heads).select("chunk_id", "doc_id", "field", F.size("ts").cast("long").alias("dl"), F.explode(F.transform("_at", run)).alias("r"))
+    return runs.select("chunk_id", "doc_id", "field", "dl", "r.term", "r.tf")
 
 
 def field_stats(index: DataFrame) -> DataFrame:

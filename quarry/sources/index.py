@@ -16,8 +16,8 @@ from quarry.operators import search as S
 
 CHUNK = "chunk_id long, doc_id long, filename string, title string, memo string, text string, page_num long, chunk_idx int, embedding array<float>"
 POSTING = "chunk_id long, doc_id long, field string, dl long, term string, tf long"
-#: Ranges of terms in a batch.
-RANGES = 32
+#: Ranges of terms in a batch at least, terms that a range has at most where they are many, and chunks of a file.
+RANGES, RANGE_TERMS, FILE_CHUNKS = 32, 2_000_000, 50_000
 
 
 class SearchIndex:
@@ -33,22 +33,35 @@ class SearchIndex:
         named = {f.split(" ")[0]: f.split(" ", 1)[1] for f in CHUNK.split(", ")}
         rows = rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in named.items()])
         n = self._next()
-        fit = rows.where("chunk_id IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["chunk_id"])
-        # In ranges of ids: who asks for a page of results reads the row groups of its chunks.
-        fit.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(f"{self.path}/chunks/batch={n}")
+        # Rows may be dear to make, and a shuffle by ranges looks at its input twice: they are made once.
+        held = f"{self.path}/taking/batch={n}"
+        rows.write.mode("overwrite").parquet(held)
+        given = self.spark.read.schema(CHUNK).parquet(held)
+        all_rows = given.count()
+        fit = given.where("chunk_id IS NOT NULL AND doc_id IS NOT NULL")
+        # In ranges of ids, by which equal ones meet: who asks for a page of results reads the row groups of its chunks.
+        files = -(-all_rows // FILE_CHUNKS)
+        dealt = fit.repartitionByRange(files, "chunk_id") if files > RANGES else fit.repartitionByRange("chunk_id")
+        dealt.dropDuplicates(["chunk_id"]).sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(f"{self.path}/chunks/batch={n}")
+        self._drop(held)
         own = self.spark.read.schema(CHUNK).parquet(f"{self.path}/chunks/batch={n}")
+        added = self._sums(own, 1).collect()  # a row for each field
+        # So many ranges that none has more rows than a task sorts in memory. A term of many chunks has several.
+        ranges = max(RANGES, -(-sum(r["total"] for r in added) // RANGE_TERMS))
         postings = S.postings(own, self.fields, self.tokenize)
-        postings.repartitionByRange(RANGES, "term").sortWithinPartitions("term", "field").write.mode("overwrite").parquet(f"{self.path}/postings/batch={n}")
-        self._close(n, own.select("chunk_id"), own)
-        taken, all_rows = own.count(), rows.count()
+        postings.repartitionByRange(ranges, "term", "field", "chunk_id").sortWithinPartitions("term", "field", "chunk_id").write.mode("overwrite").parquet(f"{self.path}/postings/batch={n}")
+        self._end(n, own.select("chunk_id"))
+        self._close(n, added)
+        taken = own.count()
         return taken, all_rows - taken
 
     def delete(self, doc_ids: DataFrame) -> int:
         """How many chunks of doc_ids (doc_id) went."""
+        n = self._next()
         gone = self.chunks().join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-        count = gone.count()
+        count = self._end(n, gone.select("chunk_id"))
         if count:
-            self._close(self._next(), gone.select("chunk_id"), None)
+            self._close(n, [])
         return count
 
     def replace(self, rows: DataFrame) -> tuple[int, int]:
@@ -65,17 +78,27 @@ class SearchIndex:
     def _next(self) -> int:
         return max(self._batches(), default=0) + 1
 
-    def _close(self, n: int, gone: DataFrame, new: DataFrame | None) -> None:
-        """Note what batch n puts an end to, what it adds to the sums, and that it counts."""
-        ended = gone.join(self.chunks().select("chunk_id"), "chunk_id", "left_semi") if n > 1 else gone.limit(0)
-        sums = self._sums(self.chunks().join(ended, "chunk_id", "left_semi"), -1) if n > 1 else None
-        if new is not None:
-            added = self._sums(new, 1)
-            sums = added if sums is None else sums.union(added)
+    def _end(self, n: int, ids: DataFrame) -> int:
+        """Note which chunks of ids (chunk_id) batch n puts an end to, and give their number."""
+        ended = ids.join(self.chunks().select("chunk_id"), "chunk_id", "left_semi") if n > 1 else ids.limit(0)
         ended.withColumn("before", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{self.path}/gone/batch={n}")
+        return self._ended(n).count()
+
+    def _ended(self, n: int) -> DataFrame:
+        return self.spark.read.schema("chunk_id long, before long").parquet(f"{self.path}/gone/batch={n}")
+
+    def _close(self, n: int, added: list) -> None:
+        """Note what batch n adds to the sums and takes away, and that it counts."""
+        sums = self.spark.createDataFrame(added, "field string, n long, total long")
+        if n > 1:
+            sums = sums.union(self._sums(self.chunks().join(self._ended(n), "chunk_id", "left_semi"), -1))
         sums.groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sums/batch={n}")
         self.spark.range(1).select(F.lit(n).cast("long").alias("number")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/batch={n}")
 
+    def _drop(self, path: str) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
     def _sums(self, chunks: DataFrame, sign: int) -> DataFrame:
         """field, n, total: chunks with terms and their number of terms."""
         sizes = S.field_sizes(chunks, self.fields, self.tokenize)

@@ -129,3 +129,18 @@ def test_index_takes_changes(spark, tmp_path):
     fresh = index.compacted(str(tmp_path / "fresh"))
     assert stats(index.stats()) == stats(S.field_stats(index.postings())) == stats(fresh.stats())
     assert fresh.count() == 2 and index.chunks().where("chunk_id = 3").first().text == "back again"
+
+
+def test_postings_need_no_shuffle_and_a_hot_term_has_many_files(spark, tmp_path):
+    from quarry.sources.index import SearchIndex
+
+    rows = [(i, i, "the " * (1 + i % 3) + f"word{i} The", None, "a", "") for i in range(400)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, doc_id long, text string, title string, filename string, memo string")
+    found = S.postings(chunks)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.chunk_id, r.field, r.term): (r.tf, r.dl) for r in found.collect()}
+    assert got == {k: v for i in range(400) for k, v in {(i, "text", "the"): (2 + i % 3, 3 + i % 3), (i, "text", f"word{i}"): (1, 3 + i % 3), (i, "filename", "a"): (1, 1)}.items()}
+    index = SearchIndex(spark, str(tmp_path / "index"))
+    assert index.add(chunks.union(chunks.limit(5))) == (400, 5)
+    assert len(index.postings().where("term = 'the'").select(F.input_file_name()).distinct().collect()) > 4
+    assert not (tmp_path / "index" / "taking" / "batch=1").exists()
