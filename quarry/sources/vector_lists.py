@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import search as S
@@ -30,8 +30,11 @@ from quarry.operators import search as S
 #: Vectors that centroids are fitted on at most, the first by a hash of their ids; and rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 12
 PART_ROWS = 50_000
-#: Vectors of a list on average at least: a small table has few lists, as each is a file to open.
-LIST_ROWS = 256
+#: Vectors of a list on average at least: a small table has few lists, as each is a file to open. And lists at
+#: most: each vector is compared with all centroids, so more of them would cost more for every vector.
+LIST_ROWS, MOST_LISTS = 256, 1024
+#: Numbers of a matrix that is worked on at a time; and questions that meet a slice of vectors together.
+BLOCK, QUESTIONS = 1 << 21, 1024
 #: What share of the nearest a search is to find, and how many of the sample are asked to measure it.
 RECALL, ASKED = 0.95, 400
 
@@ -74,20 +77,35 @@ def probes_for(sample: np.ndarray, centers: np.ndarray, k: int, target: float =
 
 
 def _units(vectors: pd.Series) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 1))
+    return _at_length_one(np.stack([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 1)))
+
+
+def _at_length_one(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def nearest_lists(vector: Column, centers: np.ndarray, many: int = 1) -> Column:
-    """array<struct<list, angle>> of the centroids nearest to a vector, nearest first."""
+def _rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one size as the rows of a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
-    def run(vectors: pd.Series) -> pd.Series:
-        near = np.clip(_units(vectors) @ centers.T, -1, 1)
-        order = np.argsort(-near, axis=1, kind="stable")[:, :many]
-        return pd.Series([[{"list": int(i), "angle": float(np.arccos(near[r, i]))} for i in row] for r, row in enumerate(order)])
 
-    return F.pandas_udf(run, "array<struct<list: int, angle: double>>")(vector)
+def _assigned(centers: np.ndarray):
+    """Rows with an embedding -> the same with list and angle of the nearest centroid, the first of equal ones."""
+    step = max(1, BLOCK // max(len(centers), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                near = _at_length_one(_rows(batch.column("embedding"))) @ centers.T
+                own = np.argmax(near, axis=1)
+                angle = np.arccos(np.clip(near[np.arange(len(own)), own], -1, 1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(angle)], names=[*batch.schema.names, "list", "angle"])
+
+    return run
 
 
 def _best_of(query: list[float], k: int):
@@ -122,26 +140,22 @@ class VectorLists:
         of lists it is twice the square root of the number of vectors, or fewer where lists would be small."""
         real = vectors.select("chunk_id", "doc_id", "embedding").where(F.exists("embedding", lambda x: x != 0))
         n = real.count()
-        lists = lists or max(1, min(round(2 * n**0.5), n // LIST_ROWS))
+        lists = lists or max(1, min(round(2 * n**0.5), n // LIST_ROWS, MOST_LISTS))
         drawn = real.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample).select("embedding").toPandas()["embedding"]
         units = _units(drawn)
         centers = fitted(units, lists) if len(units) else np.zeros((0, 1))
         # Of the k nearest of all, a sample has its share.
         probes = probes_for(units, centers, max(1, round(S.KNN_CHUNKS * len(units) / n))) if len(units) else 0
-        put = real.withColumn("_near", nearest_lists(F.col("embedding"), centers)[0]).select("*", F.col("_near.list").alias("list"), F.col("_near.angle").alias("angle")).drop("_near") if len(centers) else real.selectExpr("*", "0 AS list", "0D AS angle").limit(0)
-        # What was assigned is kept until the lists' sizes are known, as they say how lists are dealt.
-        held = f"{self.path}/assigned"
-        put.write.mode("overwrite").parquet(held)
-        assigned = self.spark.read.schema("chunk_id long, doc_id long, embedding array<float>, list int, angle double").parquet(held)
-        sizes = assigned.groupBy("list").agg(F.count("*").alias("n"), F.max("angle").alias("widest"))
-        rows = [(r["list"], [float(x) for x in centers[r["list"]]], max(1, -(-r["n"] // part_rows)), r["widest"], r["n"], probes) for r in sizes.orderBy("list").collect()]
-        known = self.spark.createDataFrame(rows, _LISTS)
-        known.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/lists")
-        dealt = assigned.join(known.select("list", "parts"), "list")
-        dealt = dealt.select("chunk_id", "doc_id", "embedding", "list", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int").alias("part"))
+        # How many parts a list has follows from its share of the sample, so that vectors are assigned and written once.
+        share = np.bincount(np.argmax(units @ centers.T, axis=1), minlength=len(centers)) / len(units) if len(units) else np.zeros(0)
+        parts = [max(1, -(-round(n * x) // part_rows)) for x in share.tolist()]
+        put = real.mapInArrow(_assigned(centers), "chunk_id long, doc_id long, embedding array<float>, list int, angle double") if len(centers) else real.selectExpr("*", "0 AS list", "0D AS angle").limit(0)
+        many = F.get(F.array(*[F.lit(m) for m in parts]), F.col("list")) if parts else F.lit(1)
+        dealt = put.withColumn("part", F.pmod(F.xxhash64("chunk_id"), many).cast("int"))
         dealt.repartition("list", "part").write.mode("overwrite").partitionBy("list", "part").parquet(f"{self.path}/vectors")
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(held)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        sizes = self._written().groupBy("list").agg(F.count("*").alias("n"), F.max("angle").alias("widest"))
+        rows = [(r["list"], [float(x) for x in centers[r["list"]]], parts[r["list"]], r["widest"], r["n"], probes) for r in sizes.orderBy("list").collect()]
+        self.spark.createDataFrame(rows, _LISTS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/lists")
         self._known = None
         return self
 
@@ -154,7 +168,10 @@ class VectorLists:
         return self._known
 
     def vectors(self) -> DataFrame:
-        return self.spark.read.schema("chunk_id long, doc_id long, embedding array<float>, list int, part int").parquet(f"{self.path}/vectors")
+        return self._written().drop("angle")
+
+    def _written(self) -> DataFrame:
+        return self.spark.read.schema("chunk_id long, doc_id long, embedding array<float>, angle double, list int, part int").parquet(f"{self.path}/vectors")
 
     def _order(self, query: list[float]) -> list[tuple[float, float, int]]:
         """(angle to the centroid, least angle to any member, list) of every list, nearest first."""
@@ -195,43 +212,67 @@ class VectorLists:
         return S.top(kept.union(self._among(rest, query, k, allowed)), k, "chunk_id") if rest else S.top(kept, k, "chunk_id")
 
     def near_each(self, queries: DataFrame, k: int = S.KNN_CHUNKS, probes: int | None = None) -> DataFrame:
-        """query_id, chunk_id, doc_id, score: near for each of queries (query_id, embedding), by an equality
-        join on lists and their parts, so that a hot list meets its queries in as many tasks as it has parts."""
+        """query_id, chunk_id, doc_id, score: near for each of queries (query_id, embedding). Small lists lie in
+        slices together and parts of large ones in slices of their own, so that a hot list is many tasks."""
         known = self.lists()
-        parts = self.spark.createDataFrame([(r["list"], r["parts"]) for r in known], "list int, parts int")
-        centers = np.array([r["centroid"] for r in known]) if known else np.zeros((0, 1))
-        names = F.array(*[F.lit(r["list"]) for r in known]) if known else F.array().cast("array<int>")
-        asked = queries.select("query_id", F.col("embedding").alias("_q")).where(F.exists("_q", lambda x: x != 0))
-        asked = asked.withColumn("_at", F.explode(nearest_lists(F.col("_q"), centers, probes or self.probes())))
-        asked = asked.select("query_id", "_q", F.get(names, F.col("_at.list")).alias("list")).join(parts, "list")
-        asked = asked.select("query_id", "_q", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        v, q = F.col("embedding"), F.col("_q")
-        score = F.round((1 + F.coalesce(F.try_divide(S.dot(v, q), F.sqrt(S.dot(v, v)) * F.sqrt(S.dot(q, q))), F.lit(0.0))) / 2, 6)
-        met = asked.join(self.vectors(), ["list", "part"]).select("query_id", "chunk_id", "doc_id", score.alias("score"))
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-        return met.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+        centers, names = np.array([r["centroid"] for r in known]), np.array([r["list"] for r in known])
+        many = probes or self.probes()
+        dealt, slice_, held = [], 0, 0
+        for r in known:
+            for part in range(r["parts"]):
+                if held and held + r["n"] // r["parts"] > PART_ROWS:
+                    slice_, held = slice_ + 1, 0
+                dealt.append((r["list"], part, slice_))
+                held += r["n"] // r["parts"]
+
+        def read(units: np.ndarray, lists: np.ndarray) -> np.ndarray:
+            chosen = np.zeros((len(units), len(names)), bool)
+            np.put_along_axis(chosen, np.argsort(-(units @ centers.T), axis=1, kind="stable")[:, :many], True, axis=1)
+            return chosen[:, np.searchsorted(names, lists)]
+
+        where = self.spark.createDataFrame(dealt, "list int, part int, slice int")
+        return _best_each(self.vectors().join(F.broadcast(where), ["list", "part"]), slice_ + 1, queries, k, read)
+
+
+def _best_each(vectors: DataFrame, slices: int, queries: DataFrame, k: int, read=None) -> DataFrame:
+    """query_id, chunk_id, doc_id, score: the k best vectors for each of queries (query_id, embedding).
+
+    Each slice of vectors (chunk_id, doc_id, embedding, list, slice) meets each block of questions in a task
+    that holds the two and hands on the k best of the slice. read tells which questions read which lists.
+    """
+    asked = queries.select("query_id", F.col("embedding").alias("_q")).where(F.exists("_q", lambda x: x != 0))
+    blocks = max(1, -(-asked.count() // QUESTIONS))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    met = vectors.select("chunk_id", "doc_id", "embedding", "list", "slice", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def best(held: pa.Table, questions: pa.Table) -> pa.Table:
+        ids, docs, lists = (held.column(c).to_numpy() for c in ("chunk_id", "doc_id", "list"))
+        x, q = _at_length_one(_rows(held.column("embedding"))), _at_length_one(_rows(questions.column("_q")))
+        names = questions.column("query_id").to_numpy()
+        parts = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0)]]
+        step = max(1, BLOCK // max(len(x), 1))
+        for at in range(0, len(q) if len(x) else 0, step):
+            score = np.round((1 + q[at : at + step] @ x.T) / 2, 6)
+            if read is not None:
+                score[~read(q[at : at + step], lists)] = -1
+            least = np.partition(score, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.zeros(len(score))
+            for name, own, cut in zip(names[at : at + step], score, least):
+                near = np.flatnonzero(own >= max(cut, 0))
+                near = near[np.lexsort((ids[near], -own[near]))[:k]]
+                parts.append([np.full(len(near), name), ids[near], docs[near], own[near]])
+        return pa.table([np.concatenate(c) for c in zip(*parts)], names=["query_id", "chunk_id", "doc_id", "score"])
+
+    found = met.groupBy("slice", "block").cogroup(asked.groupBy("slice", "block")).applyInArrow(best, "query_id long, chunk_id long, doc_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 
 def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = S.KNN_CHUNKS) -> DataFrame:
-    """query_id, chunk_id, doc_id, score: the k nearest of all vectors for each of a stated set of queries,
-    by brute force: numpy blocks of vectors against all queries, the best of each block kept. The queries
-    go to every task, so they must be few; what a measure of recall compares with."""
-    asked = queries.where(F.exists("embedding", lambda x: x != 0)).select("query_id", "embedding").toPandas()
-    ids, q = asked["query_id"].to_numpy(), _units(asked["embedding"])
-
-    def run(frames):
-        for frame in frames:
-            if not len(frame) or not len(ids):
-                continue
-            scores = np.round((1 + _units(frame["embedding"]) @ q.T) / 2, 6)
-            best = np.argsort(-scores, axis=0, kind="stable")[:k]
-            for j, name in enumerate(ids):
-                at = best[:, j]
-                yield pd.DataFrame({"query_id": name, "chunk_id": frame["chunk_id"].to_numpy()[at], "doc_id": frame["doc_id"].to_numpy()[at], "score": scores[at, j]})
-
-    found = vectors.where(F.exists("embedding", lambda x: x != 0)).select("chunk_id", "doc_id", "embedding").mapInPandas(run, "query_id long, chunk_id long, doc_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+    """query_id, chunk_id, doc_id, score: the k nearest of all vectors for each of a set of queries, by brute
+    force; what a measure of recall compares with."""
+    real = vectors.where(F.exists("embedding", lambda x: x != 0)).select("chunk_id", "doc_id", "embedding", F.lit(0).alias("list"))
+    slices = max(1, -(-real.count() // PART_ROWS))
+    return _best_each(real.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).cast("int")), slices, queries, k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

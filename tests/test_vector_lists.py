@@ -104,3 +104,21 @@ def test_encoder_counts_words():
     a, b, c, none = V.hashing_encoder()(["Alpha beta alpha", "beta ALPHA\nalpha", "gamma", ""])
     assert np.array_equal(a, b) and not np.array_equal(a, c) and abs(float((a * a).sum()) - 1) < 1e-6 and not none.any()
     assert V.embedded("beta alpha alpha", V.hashing_encoder) == [float(x) for x in a]
+
+
+def test_lists_are_bounded_and_batches_meet_slice_by_slice(made, spark, tmp_path, monkeypatch):
+    from quarry.sources import vector_lists
+
+    vectors, _ = made
+    monkeypatch.setattr(vector_lists, "MOST_LISTS", 5)
+    monkeypatch.setattr(vector_lists, "PART_ROWS", 900)
+    monkeypatch.setattr(vector_lists, "QUESTIONS", 7)
+    monkeypatch.setattr(vector_lists, "BLOCK", 3000)
+    lists = VectorLists(spark, str(tmp_path / "v")).build(vectors)
+    assert len(lists.lists()) <= 5 and lists.vectors().count() == vectors.count()
+    some = asked(vectors)
+    best = lambda df: {(r.query_id, r.chunk_id, r.score) for r in df.collect()}
+    want = {(q.query_id, r.chunk_id, r.score) for q in some.limit(3).collect() for r in S.knn(vectors, q.embedding, 20).collect()}
+    every = best(lists.near_each(some, 20, probes=5))
+    assert every == best(nearest_each(vectors, some, 20)) and want <= every
+    assert "CoGroup" in nearest_each(vectors, some, 20)._jdf.queryExecution().executedPlan().toString()
