@@ -90,10 +90,10 @@ def english_tokens(text: Column) -> Column:
         F.regexp_extract_all(low, F.lit(r"([0-9]+\.?[0-9]*[a-z]+)")),
         F.regexp_extract_all(low, F.lit("(0x[0-9a-f]+)")),
     )
-    stop = F.array(*[F.lit(w) for w in EN_STOP_WORDS])
-    kept = F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t)))
+    kept = F.filter(F.array_distinct(found), lambda t: (F.length(t) >= 2) & ~t.isin(*EN_STOP_WORDS))
     plain = F.filter(F.split(text, r"\p{IsWhite_Space}+"), lambda t: t != "")
-    return F.when(F.size(kept) > 0, kept).otherwise(plain)
+    # Named once, as an array of one: the tokens are used twice and would be worked out twice.
+    return F.get(F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, k).otherwise(plain)), F.lit(0))
 
 
 def hangul_tokens(text: Column) -> Column:

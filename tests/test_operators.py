@@ -460,3 +460,8 @@ def test_addresses_by_what_fits_a_whole_table():
     outer = record(H.CTRL_HEADER, 1, H.TABLE_CONTROL.to_bytes(4, "little")) + record(H.TABLE, 2, b"\0" * 4 + struct.pack("<HH", 1, 1)) + record(H.LIST_HEADER, 2, b"")
     # Paragraphs of a cell stand beside its header, as files have them.
     assert list(H.blocks(H.tree(outer + record(66, 2, b"") + record(H.PARA_TEXT, 3, utf16("cell")) + inner).below)) == ["| cell x / y |\n| --- |"]
+
+
+def test_english_tokens_are_worked_out_once(spark):
+    df = spark.range(2).select(F.concat(F.lit("The rail x"), F.col("id").cast("string")).alias("t"))
+    assert df.select(T.english_tokens(F.col("t")))._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 3
