@@ -19,12 +19,12 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
-from pyspark.sql.types import Row, StructType
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from quarry.sources.parse import RESULT
 
-#: Rows that a reader hands over at a time.
+#: Rows that a reader hands over, and a writer has as objects, at a time.
 BATCH = 512
 _PAGE = pa.struct([("page", pa.int32()), ("text", pa.string()), ("method", pa.string()), ("ocr_confidence", pa.float64()), ("flagged", pa.bool_())])
 _ARROW = pa.schema([("source_file", pa.string()), ("status", pa.string()), ("error", pa.string()), ("pages", pa.list_(_PAGE))])
@@ -120,12 +120,12 @@ class FilteredReader(ParsedReader):
                 self._only(column, {f.value} if isinstance(f, EqualTo) else set(f.value))
 
 
-class ParsedWriter(DataSourceWriter):
+class ParsedWriter(DataSourceArrowWriter):
     def __init__(self, paths: list[str], overwrite: bool):
         self.paths, self.overwrite = paths, overwrite
         self.batch = uuid.uuid4().hex
 
-    def write(self, iterator: Iterator[Row]) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         name = f"{self.batch}/part-{uuid.uuid4().hex}.jsonl"
         rows, states, least, greatest = 0, set(), None, None
         outs = []
@@ -134,8 +134,7 @@ class ParsedWriter(DataSourceWriter):
                 system, base = _at(path)
                 system.create_dir(f"{base}/{self.batch}", recursive=True)
                 outs.append(system.open_output_stream(f"{base}/{name}"))
-            for row in iterator:
-                made = row.asDict(recursive=True)
+            for made in (row for batch in iterator for at in range(0, batch.num_rows, BATCH) for row in batch.slice(at, BATCH).to_pylist()):
                 line = json.dumps({c: made.get(c) for c in _ARROW.names}, ensure_ascii=False).encode() + b"\n"
                 for out in outs:
                     out.write(line)
