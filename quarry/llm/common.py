@@ -74,7 +74,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 KEPT: dict[str, object] = {}
 
 
-def _let_go(keep: str | None) -> None:
+def release(keep: str | None = None) -> None:
     """Drop what is kept but for one name, and give freed memory back to the system."""
     for name in [k for k in KEPT if k != keep]:
         del KEPT[name]
@@ -90,7 +90,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", keep: str | No
 
     A kernel names what it keeps; all else that earlier tasks left in this worker is let go.
     """
-    _let_go(keep)
+    release(keep)
     for batch in batches:
         if not batch.num_rows:
             continue

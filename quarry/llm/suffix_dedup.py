@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BYTE_VALUES, U64, materialize, mix, prefix_hash, slices, span_hash, string_buffers
+from quarry.llm.common import BYTE_VALUES, U64, materialize, mix, prefix_hash, release, slices, span_hash, string_buffers
 from quarry.llm.near_dedup import _runs
 from quarry.llm.substring_kernels import pieces, repeats_in
 
@@ -33,7 +33,9 @@ GRAM = 32
 #: Pieces that go to the suffix sort together; a bucket with more is dealt out anew.
 HOT = 4096
 #: Bytes of pieces that are suffix-sorted at a time, and windows of a chain that are sorted together.
-SORTED_BYTES = 2 << 20
+SORTED_BYTES = 1 << 20
+#: Rows that are Python objects at a time.
+FEW = 1024
 STRETCH = 256
 #: One in so many documents is looked at for minimizers with more different pieces than this, and more
 #: than one in HOT_MINIMIZERS of all; there are fewer than HOT_MINIMIZERS of them.
@@ -175,11 +177,19 @@ def fetch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of few rows, for what makes Python objects of them; memory of earlier tasks is given back first."""
+    release()
+    for batch in batches:
+        for at in range(0, batch.num_rows, FEW):
+            yield batch.slice(at, FEW)
+
+
 def chain_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """ROW_SCHEMA, first (the same), ahead, held (start, size) -> h, ROW_SCHEMA, pos, size: pieces that
     repeat those of another text at one distance, joined where they overlap and cut into stretches, each
     for both texts under one key."""
-    for batch in batches:
+    for batch in _few_rows(batches):
         out = []
         columns = [batch.column(n).to_pylist() for n in (*ROW, "first", "ahead", "held")]
         for none, doc, k1, k2, first, ahead, held in zip(*columns):
@@ -209,7 +219,7 @@ def halved_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> It
     """_BUCKET -> _BUCKET: the windows of each piece in two groups, by whether half of the bytes that
     they need not share stand before what they share or after it. The bytes of that half, with the old
     key, are the new one; common has the bytes shared before and after the gram."""
-    for batch in batches:
+    for batch in _few_rows(batches):
         out = []
         columns = [batch.column(n).to_pylist() for n in ("h", *ROW, "pos", "common", "piece")]
         for h, none, doc, k1, k2, pos, common, piece in zip(*columns):
@@ -236,6 +246,7 @@ def halved_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> It
 
 def sorted_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """h, ROW_SCHEMA, pos, piece sorted by h -> ROW_SCHEMA, a, b: spans that occur earlier. Buckets are whole."""
+    release()
     for bounds, columns in _runs(batches, ["h"], [*ROW, "pos", "piece"]):
         none, doc, k1, k2 = (np.asarray(c) if i else np.asarray(c.to_pylist(), bool) for i, c in enumerate(columns[:4]))
         start, piece = np.asarray(columns[4]) >> 16, columns[5]

@@ -78,3 +78,11 @@ def test_the_writer_takes_arrow_batches(tmp_path):
     assert (done.rows, done.states, done.least, done.greatest) == (5, ["success"], "0.txt", "4.txt")
     writer.commit([done])
     assert [r for part in parsed_source.ParsedReader(str(tmp_path / "a")).partitions() for b in parsed_source.ParsedReader(str(tmp_path / "a")).read(part) for r in b.to_pylist()] == rows
+
+
+def test_stretches_are_made_of_few_rows():
+    from quarry.llm import suffix_dedup
+
+    batch = pa.RecordBatch.from_pydict({"h": list(range(5000))})
+    made = list(suffix_dedup._few_rows(iter([batch])))
+    assert sum(b.num_rows for b in made) == 5000 and max(b.num_rows for b in made) <= 1024
