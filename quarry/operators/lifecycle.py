@@ -77,13 +77,14 @@ def log_states(logs: DataFrame, as_of: str) -> DataFrame:
 def restore_verdict(wanted: DataFrame, logs: DataFrame, as_of: str) -> DataFrame:
     """The answer to each restore (wanted: id of a log): 404 without a log, 409 when restored already,
     410 when it is not in the trash, its snapshot or folder is missing or its time is over, else 200."""
-    held = logs.select(F.col("id").alias("_id"), "status", "deleted_at", "snapshot", "trash_dir")
     gone = (or_else(F.col("snapshot"), F.lit(None)).isNull()) | (or_else(F.col("trash_dir"), F.lit(None)).isNull())
+    # Whether there is a snapshot goes into the join, not the snapshot.
+    held = logs.select(F.col("id").alias("_id"), "status", "deleted_at", gone.alias("_gone"))
     late = shift(F.col("deleted_at"), days=TRASH_DAYS) <= as_of_lit(as_of)
     verdict = (
         F.when(F.col("_id").isNull(), 404)
         .when(F.col("status") == "restored", 409)
-        .when(~F.col("status").eqNullSafe(F.lit("trashed")) | gone | late, 410)
+        .when(~F.col("status").eqNullSafe(F.lit("trashed")) | F.col("_gone") | late, 410)
         .otherwise(200)
     )
     return wanted.join(held, wanted.id == F.col("_id"), "left").select("id", verdict.alias("verdict"))

@@ -39,15 +39,16 @@ def restore(wanted: DataFrame, logs: DataFrame, chunks_kept: DataFrame, tables:
     """
     docs = tables["documents"]
     asked = L.restore_verdict(wanted.select("id").distinct(), logs, as_of)
-    held = logs.select(F.col("id").alias("_log"), "doc_id", "deleted_at", "snapshot")
+    held = logs.select(F.col("id").alias("_log"), "doc_id", "deleted_at")
     joined = asked.join(held, F.col("id") == F.col("_log"), "left")
     newest = Window.partitionBy("doc_id").orderBy(F.desc(F.col("verdict") == 200), F.desc("deleted_at"), F.desc("id"))
     twice = (F.col("verdict") == 200) & (F.row_number().over(newest) > 1)
     joined = joined.withColumn("verdict", F.when(twice, 409).otherwise(F.col("verdict")))
-    good = joined.where("verdict = 200")
-    ids = L.restored_ids(good.select("doc_id"), docs)
+    good = joined.where("verdict = 200").select(F.col("id").alias("log_id"), "doc_id")
+    good = good.join(L.restored_ids(good.select("doc_id"), docs), "doc_id")
+    # Snapshots hold whole documents: only those of what is restored are read on.
     # Read by every table below; a lost part of it is made again from the logs.
-    good = good.select(F.col("id").alias("log_id"), "doc_id", "snapshot").join(ids, "doc_id").persist()
+    good = good.join(logs.select(F.col("id").alias("log_id"), "snapshot"), "log_id").persist()
 
     back = L.from_snapshot(good.select("doc_id", "snapshot"), docs.schema).withColumnRenamed("id", "_old")
     back = back.join(good.select("log_id", F.col("doc_id").alias("_old"), F.col("restored_id").alias("id")), "_old").drop("_old")

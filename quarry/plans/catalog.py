@@ -161,16 +161,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
-def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as pages at its line ends, every seventh flagged."""
+def paged(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """Each document, or each of docs (doc_id, text), as pages at its line ends, every seventh flagged."""
     lines = F.split("text", "\n")
     pages = F.transform(lines, lambda t, i: F.struct((i + 1).cast("long").alias("page"), t.alias("text"), (i % 7 == 6).alias("flagged")))
-    return table(spark, sf_dir, "documents").select("doc_id", pages.alias("pages"))
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    return docs.select("doc_id", pages.alias("pages"))
 
 
-def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chunk_id, doc_id, chunk_idx, page_num, text of every document's chunks."""
-    return page_chunks(paged(spark, sf_dir)).select((F.col("doc_id") * CHUNKS_EACH + F.col("chunk_idx")).alias("chunk_id"), "doc_id", "chunk_idx", "page_num", "text")
+def chunk_rows(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """chunk_id, doc_id, chunk_idx, page_num, text of the chunks of every document, or of docs (doc_id, text)."""
+    return page_chunks(paged(spark, sf_dir, docs)).select((F.col("doc_id") * CHUNKS_EACH + F.col("chunk_idx")).alias("chunk_id"), "doc_id", "chunk_idx", "page_num", "text")
 
 
 def oracle(query: str, question: str | None = None) -> str:

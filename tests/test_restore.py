@@ -64,3 +64,30 @@ def test_uploads_take_no_place(spark):
 def test_categories_go_when_empty(spark, state):
     names = spark.createDataFrame([("spec",), ("none",), ("none",), (None,)], "name string")
     assert {r.name: r.verdict for r in X.category_verdicts(state[0], names).collect()} == {"spec": 409, "none": 200, None: 200}
+
+
+def test_verdicts_carry_no_snapshots(spark, state):
+    docs, comments, marks, grants, chunks = state
+    snaps = L.trash_snapshot(docs, comments, marks, grants)
+    logs = spark.createDataFrame([(100 + i, i, "trashed", "t") for i in range(3)], "id long, doc_id long, status string, trash_dir string").withColumn("deleted_at", F.lit("2024-01-25").cast("timestamp_ntz"))
+    logs = logs.join(snaps, "doc_id").localCheckpoint()
+    after = X.restore(logs.select("id"), logs, X.trash_chunks(chunks, docs), {"documents": docs, "comments": comments, "bookmarks": marks, "permissions": grants, "chunks": chunks}, AS_OF, "root@ex.com")
+    plan = after["verdicts"]._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.verdict for r in after["verdicts"].collect()} == {200}
+    # What joins and windows move: the rows above the projections that read the logs.
+    moved = [line for line in plan.splitlines() if "snapshot" in line and not line.lstrip(" :+-").startswith(("Project", "LogicalRDD"))]
+    above = plan[: plan.rindex("Join")]
+    assert not moved and "snapshot" not in above
+
+
+def test_restore_builds_no_search_index(spark, monkeypatch):
+    from quarry.plans import queries as Q
+    from quarry.sources.index import SearchIndex
+
+    def refuse(*_):
+        raise AssertionError("a restore searches nothing")
+
+    monkeypatch.setattr(Q, "_BUILT", {})
+    monkeypatch.setattr(SearchIndex, "add", refuse)
+    got = Q.QUERIES["restore_documents"](spark, "/root/testdata/sf0.001").collect()
+    assert all(r.n_chunks >= 0 for r in got)
