@@ -19,7 +19,7 @@ from quarry.llm.tokens import encoder
 
 SCHEMA = "doc_id long, part int, seq long, part_start long, n_tokens long, ids array<int>"
 #: Units that a worker remembers here, where little else needs its memory.
-REMEMBERED = 750_000
+REMEMBERED = 1_500_000
 #: Fixed at writing: stripe size, rows between index entries, false positives of the Bloom filter.
 #: Bytes of text of a file, on average.
 FILE_BYTES = 128 << 20

@@ -14,13 +14,18 @@ import re
 from array import array
 from collections.abc import Callable
 
+import numpy as np
 import regex
 
 from quarry.llm.common import KEPT
 
 #: Units between spaces, and pre-tokens, that a worker remembers; frequent ones come early.
 REMEMBERED = 450_000
+#: New units that the library encodes as one text.
+JOINED = 8192
 _MARKS = frozenset(".,;:!?")
+#: The character that stands for the byte of a space in byte-level vocabularies.
+_SPACE = "\u0120"
 #: A space before white space or at the end: the only place where splitting at spaces may be wrong.
 _WIDE = re.compile("[\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -63,6 +68,10 @@ class LibraryEncoder:
         pre = spec.get("pre_tokenizer") or {}
         self.direct = not (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer"))
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        # Other models list their vocabulary; there each unit is cut by itself.
+        vocab: dict[str, int] = v if isinstance(v := spec["model"].get("vocab"), dict) else {}
+        self.spaced = np.zeros(max(vocab.values(), default=0) + 2, bool)
+        self.spaced[[i for t, i in vocab.items() if t.startswith(_SPACE)]] = True
         self.cut = regex.compile(PRETOKEN).findall
         self.known: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
@@ -104,6 +113,23 @@ class LibraryEncoder:
                 gc.enable()
 
     def _by_units(self, units: list[str]) -> list[bytes]:
+        """Ids of units with the space before them."""
+        return [x for at in range(0, len(units), JOINED) for x in self._as_text(units[at : at + JOINED])]
+
+    def _as_text(self, units: list[str]) -> list[bytes]:
+        """Ids of units as one text: only a unit's first token starts with a space. Where that doesn't give
+        a start for each unit, each is cut by itself."""
+        text = " " + " ".join(units)
+        if any(a in text for a in self.added):
+            return self._one_by_one(units)
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(self.spaced[np.minimum(ids, len(self.spaced) - 1)])
+        if len(starts) != len(units) or starts[0]:
+            return self._one_by_one(units)
+        packed, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        return [packed[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _one_by_one(self, units: list[str]) -> list[bytes]:
         """Ids of units with the space before them. Letters alone, or with one mark after them, need
         no pattern to be cut."""
         words = []

@@ -9,7 +9,7 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 from quarry.llm import bpe, packing, token_orc  # noqa: E402
 from quarry.llm.common import fresh_path  # noqa: E402
-from quarry.llm.tokens import encoder, public_path  # noqa: E402
+from quarry.llm.tokens import LibraryEncoder, encoder, public_path  # noqa: E402
 
 PATH = public_path("byte_bpe_50k.json")
 
@@ -44,6 +44,44 @@ def test_encoders_equal_the_library(library):
         assert numpy_codec.decode(np.array(want, np.int64)).decode() == library.decode(want, skip_special_tokens=False)
 
 
+class Counted:
+    """The library, with a count of the texts that it is given."""
+
+    def __init__(self, library):
+        self.library, self.given = library, 0
+
+    def encode(self, text, **how):
+        self.given += 1
+        return self.library.encode(text, **how)
+
+    def encode_batch_fast(self, texts, **how):
+        self.given += len(texts)
+        return self.library.encode_batch_fast(texts, **how)
+
+
+def test_new_units_are_encoded_together(library):
+    import random
+
+    rng = random.Random(5)
+    odd = ["'s", "'ll", "x's", "...", "日本", "🙂", "é\u0301", "\u0301a", "\x00", "\u200b", "²", "a\nb", "st.\nWhwh", "a\n\n", "b\r\nc", "12ab", "_", "<|x", "Ġ", "Ġa", "\ufeff"]
+    new = ["".join(rng.choice("abcdeéßÄ") for _ in range(9)) + rng.choice(["", ".", ",***", "\nThe"]) for _ in range(20_000)]
+    texts = [" ".join(["start", *new[i : i + 400], *rng.sample(odd, 12), "end"]) for i in range(0, len(new), 400)]
+    own = LibraryEncoder(PATH)
+    own.library = Counted(own.library)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.library.given < 20
+
+
+def test_units_by_themselves_where_they_make_an_added_token(library):
+    own = LibraryEncoder(PATH)
+    own.added.append("a b")
+    own.library = Counted(own.library)
+    texts = ["x a c", "y d b", "z q a", "z b"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    own.spaced[:] = False
+    assert np.frombuffer(own.encode(["u v w"])[0], "<u4").tolist() == library.encode("u v w", add_special_tokens=False).ids
+
+
 def test_broken_ids_decode_like_the_library(library):
     codec = bpe.codec(PATH)
     rng = np.random.default_rng(2)
