@@ -27,7 +27,7 @@ def _beside(path: Column, mark: Column) -> Column:
     return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), mark, F.regexp_extract(path, r"(\.[^./]*)$", 1))
 
 
-def restore(wanted: DataFrame, logs: DataFrame, chunks_kept: DataFrame, tables: dict[str, DataFrame], as_of: str, by: str, path: str = "saved_path") -> dict[str, DataFrame]:
+def restore(wanted: DataFrame, logs: DataFrame, chunks_kept: DataFrame, tables: dict[str, DataFrame], as_of: str, by: str, path: str = "saved_path", held_at: str | None = None) -> dict[str, DataFrame]:
     """verdicts, documents, comments, bookmarks, permissions, chunks, logs after restoring wanted (id of a
     log) whose verdict is 200; tables has documents and their children as they are.
 
@@ -35,7 +35,8 @@ def restore(wanted: DataFrame, logs: DataFrame, chunks_kept: DataFrame, tables:
     _restored_ and the log's id where another document has that. What is left of children under the id
     is replaced by what the snapshot has, vectors come back from their bytes, and the log is closed
     without its snapshot. Of several logs of one document in a call the newest is restored and the
-    others get 409.
+    others get 409. What is restored is read for every table: it is written under held_at, a fresh folder
+    that driver and executors share, where that is given, and the plans of the tables begin there.
     """
     docs = tables["documents"]
     asked = L.restore_verdict(wanted.select("id").distinct(), logs, as_of)
@@ -47,8 +48,12 @@ def restore(wanted: DataFrame, logs: DataFrame, chunks_kept: DataFrame, tables:
     good = joined.where("verdict = 200").select(F.col("id").alias("log_id"), "doc_id")
     good = good.join(L.restored_ids(good.select("doc_id"), docs), "doc_id")
     # Snapshots hold whole documents: only those of what is restored are read on.
-    # Read by every table below; a lost part of it is made again from the logs.
-    good = good.join(logs.select(F.col("id").alias("log_id"), "snapshot"), "log_id").persist()
+    good = good.join(logs.select(F.col("id").alias("log_id"), "snapshot"), "log_id")
+    if held_at:
+        good.write.parquet(held_at)
+        good = good.sparkSession.read.schema(good.schema).parquet(held_at)
+    else:
+        good = good.persist()  # a lost part of it is made again from the logs
 
     back = L.from_snapshot(good.select("doc_id", "snapshot"), docs.schema).withColumnRenamed("id", "_old")
     back = back.join(good.select("log_id", F.col("doc_id").alias("_old"), F.col("restored_id").alias("id")), "_old").drop("_old")
