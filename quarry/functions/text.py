@@ -27,7 +27,8 @@ def strip(x: Column) -> Column:
 
 def terms(x: Column, least: int = 1) -> Column:
     """Lower-cased runs of letters, digits and underscores, at least so long."""
-    return F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) >= least)
+    found = F.split(F.lower(x), r"[^\p{L}\p{N}_]+")
+    return F.array_remove(found, "") if least == 1 else F.filter(found, lambda t: F.length(t) >= least)
 
 
 def shift(ts: Column, days: Column | int = 0, minutes: Column | int = 0, seconds: int = 0) -> Column:

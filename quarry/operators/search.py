@@ -7,6 +7,10 @@ of summation can't change a rank, and ties go to the smaller id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +25,9 @@ SEM_MINIMUM, SEM_STRONG = 0.74, 0.78
 RRF_SEM, RRF_BM25 = 30, 60
 OLD_RRF_BM25, OLD_RRF_VEC = 30, 60
 BM25_DOCS, KNN_CHUNKS, RESULTS = 100, 50, 50
+COUNTED = "chunk_id long, doc_id long, field string, dl long, runs array<struct<term: string, tf: long>>"
+#: Tokens that are counted at a time.
+TOKENS = 1 << 19
 
 # Technical terms that queries in one language gain in the other.
 EN_TO_KO = {
@@ -56,19 +63,44 @@ class IndexUnavailable(ValueError):
     """There is no index to search: not the same as a search without results."""
 
 
-def postings(chunks: DataFrame, fields: tuple[str, ...] = tuple(FIELDS), tokenize=terms) -> DataFrame:
-    """chunk_id, doc_id, field, term, tf, dl: one row for each term of each field of each chunk.
-
-    One pass over the chunks and no shuffle: a field's terms are sorted in its row, and runs of equal ones
-    counted. To be written sorted by term and read by many queries (see sources.index). Chunks differ in
-    chunk_id.
-    """
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.sort_array(F.filter(tokenize(F.coalesce(F.col(f), F.lit(""))), lambda t: t != "")).alias("ts")) for f in fields])).alias("f")
+def _tokens(field: str, tokenize) -> Column:
+    return F.array_remove(tokenize(F.coalesce(F.col(field), F.lit(""))), "")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with tokens ts -> the same with dl and runs, of as many rows at a time as have TOKENS of them."""
+    for whole in batches:
+        ends = np.asarray(whole.column("ts").offsets)
+        at = 0
+        while at < whole.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOKENS, side="right")) - 1)
+            batch, at = whole.slice(at, to - at), to
+            ts = batch.column("ts")
+            dl = np.diff(np.asarray(ts.offsets)).astype(np.int64)
+            coded = ts.flatten().dictionary_encode()
+            size = max(len(coded.dictionary), 1)
+            found, tf = np.unique(np.repeat(np.arange(len(dl)), dl) * size + coded.indices.to_numpy(), return_counts=True)
+            runs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(found % size)), pa.array(tf.astype(np.int64))], names=["term", "tf"])
+            starts = np.concatenate([[0], np.cumsum(np.bincount(found // size, minlength=len(dl)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chunk_id", "doc_id", "field")), pa.array(dl), pa.ListArray.from_arrays(pa.array(starts), runs)], names=["chunk_id", "doc_id", "field", "dl", "runs"])
+
+
+def term_counts(chunks: DataFrame, fields: tuple[str, ...] = tuple(FIELDS), tokenize=terms) -> DataFrame:
+    """chunk_id, doc_id, field, dl, runs: a row for each field with terms of each chunk, and how often each term
+    stands in it. One pass over the chunks and no shuffle. Chunks differ in chunk_id."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _tokens(f, tokenize).alias("ts")) for f in fields])).alias("f")
     split = chunks.select("chunk_id", "doc_id", each).select("chunk_id", "doc_id", "f.field", "f.ts").where(F.size("ts") > 0)
-    heads = F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: (i == 0) | (F.get("ts", i) != F.get("ts", i - 1)))
-    run = lambda at, k: F.struct(F.get("ts", at).alias("term"), (F.coalesce(F.get("_at", k + 1), F.size("ts")) - at).cast("long").alias("tf"))
-    runs = split.withColumn("_at", heads).select("chunk_id", "doc_id", "field", F.size("ts").cast("long").alias("dl"), F.explode(F.transform("_at", run)).alias("r"))
-    return runs.select("chunk_id", "doc_id", "field", "dl", "r.term", "r.tf")
+    return split.mapInArrow(_counted, COUNTED)
+
+
+def posted(counts: DataFrame) -> DataFrame:
+    """chunk_id, doc_id, field, term, tf, dl of term_counts: one row for each term of each field of each chunk."""
+    return counts.select("chunk_id", "doc_id", "field", "dl", F.explode("runs").alias("r")).select("chunk_id", "doc_id", "field", "dl", "r.term", "r.tf")
+
+
+def postings(chunks: DataFrame, fields: tuple[str, ...] = tuple(FIELDS), tokenize=terms) -> DataFrame:
+    """posted term_counts of chunks. To be written sorted by term and read by many queries (see sources.index)."""
+    return posted(term_counts(chunks, fields, tokenize))
 
 
 def field_stats(index: DataFrame) -> DataFrame:
@@ -79,7 +111,7 @@ def field_stats(index: DataFrame) -> DataFrame:
 
 def field_sizes(chunks: DataFrame, fields: tuple[str, ...] = tuple(FIELDS), tokenize=terms) -> DataFrame:
     """field, dl: the number of terms of each field of each chunk that has any."""
-    size = lambda f: F.size(F.filter(tokenize(F.coalesce(F.col(f), F.lit(""))), lambda t: t != "")).cast("long")
+    size = lambda f: F.size(_tokens(f, tokenize)).cast("long")
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), size(f).alias("dl")) for f in fields])).alias("f")
     return chunks.select(each).select("f.field", "f.dl").where("dl > 0")
 

@@ -2,9 +2,11 @@
 
 Every change is a numbered batch of files and counts once its number stands among the commits. A chunk
 that is written again or deleted is noted with the number up to which it is gone, so nothing is
-rewritten; `compacted` makes a fresh index of what is left. Postings are sorted by term within ranges
-of terms: a query reads the row groups of its terms. Statistics are kept as sums to which a batch adds
-what it brings and takes away, so a query does not read the whole index for them.
+rewritten; `compacted` makes a fresh index of what is left. A commit names the batches of which any chunk
+is left, and no other is read. Postings are sorted by term within ranges of terms: a query reads the row
+groups of its terms. Texts are tokenized once, when their batch is written: the number of terms of each
+field of a chunk is kept. Statistics are sums to which a batch adds what it brings and takes away, so a
+query does not read the whole index for them.
 """
 
 from __future__ import annotations
@@ -18,6 +20,10 @@ CHUNK = "chunk_id long, doc_id long, filename string, title string, memo string,
 POSTING = "chunk_id long, doc_id long, field string, dl long, term string, tf long"
 #: Ranges of terms in a batch at least, terms that a range has at most where they are many, and chunks of a file.
 RANGES, RANGE_TERMS, FILE_CHUNKS = 32, 2_000_000, 50_000
+SIZE = "chunk_id long, field string, dl long"
+COMMIT = "number long, ended long, live array<long>"
+#: So many chunks that are gone are sent to all tasks that read; more are met by a shuffle.
+SENT = 2_000_000
 
 
 class SearchIndex:
@@ -45,13 +51,17 @@ class SearchIndex:
         dealt.dropDuplicates(["chunk_id"]).sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(f"{self.path}/chunks/batch={n}")
         self._drop(held)
         own = self.spark.read.schema(CHUNK).parquet(f"{self.path}/chunks/batch={n}")
-        added = self._sums(own, 1).collect()  # a row for each field
+        # Tokens are counted once: sums, bounds of ranges and rows are read from their counts.
+        counting = f"{self.path}/counting/batch={n}"
+        S.term_counts(own, self.fields, self.tokenize).write.mode("overwrite").parquet(counting)
+        counts = self.spark.read.schema(S.COUNTED).parquet(counting)
+        counts.select("chunk_id", "field", "dl").write.mode("overwrite").parquet(f"{self.path}/sizes/batch={n}")
+        added = self._sums(counts, 1).collect()  # a row for each field
         # So many ranges that none has more rows than a task sorts in memory. A term of many chunks has several.
         ranges = max(RANGES, -(-sum(r["total"] for r in added) // RANGE_TERMS))
-        postings = S.postings(own, self.fields, self.tokenize)
-        postings.repartitionByRange(ranges, "term", "field", "chunk_id").sortWithinPartitions("term", "field", "chunk_id").write.mode("overwrite").parquet(f"{self.path}/postings/batch={n}")
-        self._end(n, own.select("chunk_id"))
-        self._close(n, added)
+        S.posted(counts).repartitionByRange(ranges, "term", "field", "chunk_id").sortWithinPartitions("term", "field", "chunk_id").write.mode("overwrite").parquet(f"{self.path}/postings/batch={n}")
+        self._drop(counting)
+        self._close(n, added, self._end(n, own.select("chunk_id")))
         taken = own.count()
         return taken, all_rows - taken
 
@@ -61,7 +71,7 @@ class SearchIndex:
         gone = self.chunks().join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
         count = self._end(n, gone.select("chunk_id"))
         if count:
-            self._close(n, [])
+            self._close(n, [], count)
         return count
 
     def replace(self, rows: DataFrame) -> tuple[int, int]:
@@ -87,21 +97,25 @@ class SearchIndex:
     def _ended(self, n: int) -> DataFrame:
         return self.spark.read.schema("chunk_id long, before long").parquet(f"{self.path}/gone/batch={n}")
 
-    def _close(self, n: int, added: list) -> None:
+    def _close(self, n: int, added: list, ended: int) -> None:
         """Note what batch n adds to the sums and takes away, and that it counts."""
         sums = self.spark.createDataFrame(added, "field string, n long, total long")
         if n > 1:
-            sums = sums.union(self._sums(self.chunks().join(self._ended(n), "chunk_id", "left_semi"), -1))
+            sums = sums.union(self._sums(self._live("sizes", SIZE).join(self._ended(n), "chunk_id", "left_semi"), -1))
         sums.groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sums/batch={n}")
-        self.spark.range(1).select(F.lit(n).cast("long").alias("number")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/batch={n}")
+        live = [n]
+        if n > 1:
+            done, gone = self._commits()
+            left = self._left("chunks", "chunk_id long", [*done, n], gone | {n: ended})
+            live = sorted(r["batch"] for r in left.select("batch").distinct().collect())
+        self.spark.createDataFrame([(n, ended, live)], COMMIT).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/batch={n}")
 
     def _drop(self, path: str) -> None:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
-    def _sums(self, chunks: DataFrame, sign: int) -> DataFrame:
-        """field, n, total: chunks with terms and their number of terms."""
-        sizes = S.field_sizes(chunks, self.fields, self.tokenize)
+    def _sums(self, sizes: DataFrame, sign: int) -> DataFrame:
+        """field, n, total of sizes (field, dl): chunks with terms and their number of terms."""
         return sizes.groupBy("field").agg((F.count("*") * sign).alias("n"), (F.sum("dl") * sign).alias("total"))
 
     # ---- reading ----------------------------------------------------------------------------------
@@ -119,15 +133,28 @@ class SearchIndex:
         whole = self.spark.read.schema(schema + ", batch long").parquet(f"{self.path}/{part}")
         return whole.where(F.col("batch").isin(batches))
 
-    def _live(self, part: str, schema: str) -> DataFrame:
+    def _commits(self) -> tuple[list[int], dict[int, int]]:
+        """The batches of which any chunk is left, and how many chunks each batch put an end to."""
         batches = self._batches()
-        if not batches:
-            raise S.IndexUnavailable(f"no index under {self.path}")
+        if len(batches) < 2:
+            return batches, {}
+        rows = self._read("commits", COMMIT, batches).orderBy("number").collect()  # a row for each batch
+        return rows[-1]["live"], {r["number"]: r["ended"] for r in rows}
+
+    def _left(self, part: str, schema: str, batches: list[int], ended: dict[int, int]) -> DataFrame:
+        """What batches wrote of a part, without chunks that a later one of ended put an end to; with batch."""
         rows = self._read(part, schema, batches)
-        if len(batches) > 1:
-            gone = self._read("gone", "chunk_id long, before long", batches).groupBy(F.col("chunk_id").alias("_gone")).agg(F.max("before").alias("_before"))
-            rows = rows.join(gone, (F.col("chunk_id") == F.col("_gone")) & (F.col("batch") < F.col("_before")), "left_anti")
-        return rows.drop("batch")
+        later = {n: many for n, many in ended.items() if many and n > min(batches, default=n)}
+        if not later:
+            return rows
+        gone = self._read("gone", "chunk_id long, before long", list(later)).groupBy(F.col("chunk_id").alias("_gone")).agg(F.max("before").alias("_before"))
+        gone = F.broadcast(gone) if sum(later.values()) <= SENT else gone
+        return rows.join(gone, (F.col("chunk_id") == F.col("_gone")) & (F.col("batch") < F.col("_before")), "left_anti")
+
+    def _live(self, part: str, schema: str) -> DataFrame:
+        if not self._batches():
+            raise S.IndexUnavailable(f"no index under {self.path}")
+        return self._left(part, schema, *self._commits()).drop("batch")
 
     def chunks(self) -> DataFrame:
         return self._live("chunks", CHUNK)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,31 @@ def test_postings_need_no_shuffle_and_a_hot_term_has_many_files(spark, tmp_path)
     assert index.add(chunks.union(chunks.limit(5))) == (400, 5)
     assert len(index.postings().where("term = 'the'").select(F.input_file_name()).distinct().collect()) > 4
     assert not (tmp_path / "index" / "taking" / "batch=1").exists()
+
+
+def test_an_index_tokenizes_once_and_reads_no_batch_without_chunks(spark, tmp_path):
+    from quarry.functions import text as T
+    from quarry.sources.index import SearchIndex
+
+    asked = []
+    index = SearchIndex(spark, str(tmp_path / "index"), tokenize=lambda x: asked.append(x) or T.terms(x))
+    rows = lambda word: spark.createDataFrame([(i, i, f"{word} x{i} {word}", None, "a", "") for i in range(9)], "chunk_id long, doc_id long, text string, title string, filename string, memo string")
+    index.add(rows("old"))
+    assert len(asked) == len(S.FIELDS)
+    index.replace(rows("new"))
+    assert index.delete(spark.createDataFrame([(0,), (3,)], "doc_id long")) == 2 and len(asked) == 2 * len(S.FIELDS)
+    (tmp_path / "index" / "postings" / "batch=1" / "part-damaged.parquet").write_bytes(b"no parquet")
+    got = {(r.field, r.term): (r.n, r.tf) for r in index.postings().groupBy("field", "term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf")).collect()}
+    assert got == {("text", "new"): (7, 14), ("filename", "a"): (7, 7)} | {("text", f"x{i}"): (1, 1) for i in (1, 2, 4, 5, 6, 7, 8)}
+    assert sorted((r.field, r.n, r.avgdl) for r in index.stats().collect()) == [("filename", 7, 1.0), ("text", 7, 3.0)]
+    assert index.delete(spark.range(9).select(F.col("id").alias("doc_id"))) == 7 and index.count() == 0
+    assert index.add(rows("old")) == (9, 0) and index.postings().where("term = 'old'").count() == 9
+
+
+def test_counts_of_many_tokens_are_those_of_each_chunk(spark, monkeypatch):
+    monkeypatch.setattr(S, "TOKENS", 7)
+    ts = [["b", "a", "b"], ["x"] * 20, [], ["é", "a"], ["c"] * 3 + ["d"] * 4]
+    batch = pa.RecordBatch.from_pydict({"chunk_id": range(5), "doc_id": range(5), "field": ["text"] * 5, "ts": ts}).slice(1)
+    out = list(S._counted(iter([batch])))
+    got = {r["chunk_id"]: (r["dl"], {x["term"]: x["tf"] for x in r["runs"]}) for b in out for r in b.to_pylist()}
+    assert len(out) > 1 and got == {1: (20, {"x": 20}), 2: (0, {}), 3: (2, {"é": 1, "a": 1}), 4: (7, {"c": 3, "d": 4})}
