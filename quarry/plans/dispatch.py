@@ -9,7 +9,7 @@ from quarry.functions.text import contains_ignoring_case, or_else, strip
 from quarry.operators import documents as D
 from quarry.operators import search as S
 from quarry.operators.chunking import snippet_tokens, snippets
-from quarry.sources.vector_lists import VectorLists
+from quarry.sources.vector_lists import VectorLists, VectorTable
 
 BROWSED, NAMED = 200, 50
 #: What a result shows, in this order.
@@ -27,7 +27,7 @@ def _newest(docs: DataFrame, limit: int) -> DataFrame:
 
 
 def _semantic(
-    seen: DataFrame, query: str, index: DataFrame, stats: DataFrame | None, chunks: DataFrame | None, vectors: DataFrame | VectorLists | None, query_vector: list[float] | None
+    seen: DataFrame, query: str, index: DataFrame, stats: DataFrame | None, chunks: DataFrame | None, vectors: DataFrame | VectorLists | VectorTable | None, query_vector: list[float] | None
 ) -> DataFrame:
     """The best documents with their places; text and page are those of the best chunk of each.
 
@@ -62,7 +62,7 @@ def search(
     index: DataFrame | None = None,
     stats: DataFrame | None = None,
     chunks: DataFrame | None = None,
-    vectors: DataFrame | VectorLists | None = None,
+    vectors: DataFrame | VectorLists | VectorTable | None = None,
     query_vector: list[float] | None = None,
     user: str | None = None,
     department: str | None = None,

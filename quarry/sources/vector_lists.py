@@ -126,6 +126,27 @@ def _best_of(query: list[float], k: int):
     return run
 
 
+def _best(pool: DataFrame, query: list[float], k: int, allowed: DataFrame | None) -> DataFrame:
+    """S.knn over pool, with scores of a batch worked out at once and its k best handed on."""
+    if allowed is not None:
+        pool = pool.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+    best = pool.select("chunk_id", "doc_id", "embedding").mapInArrow(_best_of(query, k), "chunk_id long, doc_id long, score double")
+    return S.top(best, k, "chunk_id")
+
+
+class VectorTable:
+    """The exact search of vectors (chunk_id, doc_id, embedding) by one pass over them. Of vectors that lie
+    evenly an exact search reads most lists, so that making them costs more than it saves."""
+
+    def __init__(self, vectors: DataFrame):
+        self.vectors = vectors
+
+    def nearest(self, query: list[float], k: int = S.KNN_CHUNKS, allowed: DataFrame | None = None) -> DataFrame:
+        """chunk_id, doc_id, score of the k nearest, found once; a vector of zeros is at a right angle to all others."""
+        found = _best(self.vectors.where("embedding IS NOT NULL"), query, k, allowed).collect()
+        return self.vectors.sparkSession.createDataFrame(found, "chunk_id long, doc_id long, score double")
+
+
 class VectorLists:
     """The lists under a path: build writes them, the searches read them."""
 
@@ -183,12 +204,7 @@ class VectorLists:
         return sorted((float(a), max(0.0, float(a) - r["widest"]), r["list"]) for a, r in zip(angles, known))
 
     def _among(self, lists: list[int], query: list[float], k: int, allowed: DataFrame | None) -> DataFrame:
-        """S.knn over some lists, with scores of a batch worked out at once and its k best handed on."""
-        pool = self.vectors().where(F.col("list").isin(lists)).select("chunk_id", "doc_id", "embedding")
-        if allowed is not None:
-            pool = pool.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
-        best = pool.select("chunk_id", "doc_id", "embedding").mapInArrow(_best_of(query, k), "chunk_id long, doc_id long, score double")
-        return S.top(best, k, "chunk_id")
+        return _best(self.vectors().where(F.col("list").isin(lists)), query, k, allowed)
 
     def probes(self) -> int:
         """Lists that a search reads unless it says otherwise."""

@@ -173,3 +173,27 @@ def test_counts_of_many_tokens_are_those_of_each_chunk(spark, monkeypatch):
     out = list(S._counted(iter([batch])))
     got = {r["chunk_id"]: (r["dl"], {x["term"]: x["tf"] for x in r["runs"]}) for b in out for r in b.to_pylist()}
     assert len(out) > 1 and got == {1: (20, {"x": 20}), 2: (0, {}), 3: (2, {"é": 1, "a": 1}), 4: (7, {"c": 3, "d": 4})}
+
+
+def test_hybrid_searches_make_no_lists(spark, monkeypatch):
+    from quarry.plans import queries as Q
+    from quarry.sources.vector_lists import VectorLists
+
+    def refuse(*a, **k):
+        raise AssertionError("lists")
+
+    monkeypatch.setattr(Q, "_BUILT", {})
+    monkeypatch.setattr(VectorLists, "build", refuse)
+    assert QUERIES["gate_no_keyword"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_a_table_of_vectors_is_searched_exactly(spark):
+    from quarry.sources.vector_lists import VectorTable
+
+    rows = [(i, i // 3, [float((i * 7) % 11 - 5), float((i * 5) % 13 - 6), 0.5]) for i in range(90)] + [(90, 30, [0.0] * 3), (91, 30, None)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, doc_id long, embedding array<float>")
+    q = [1.0, 2.0, -0.5]
+    near = [tuple(r) for r in S.knn(vectors.where("chunk_id < 91"), q, 91).collect()]
+    assert [tuple(r) for r in VectorTable(vectors).nearest(q, 91).collect()] == near and len(near) == 91
+    allowed = spark.createDataFrame([(4,), (30,), (4,)], "doc_id long")
+    assert [tuple(r) for r in VectorTable(vectors).nearest(q, 3, allowed).collect()] == [r for r in near if r[1] in (4, 30)][:3]
